@@ -26,8 +26,6 @@ from tessera.llm.shared import cut, stored
 
 NO_ID = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
-EDIT = "array<struct<s:int,e:int,pre:array<bigint>,post:array<bigint>>>"
-EDIT_TYPE = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("pre", pa.list_(pa.int64())), ("post", pa.list_(pa.int64()))]))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -58,16 +56,20 @@ class Winnower:
         return out ^ (out >> np.uint64(29))
 
     def pick(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and positions of the window minima; in a stretch of equal hashes one of every `window`."""
+        """Hashes and positions of the window minima.
+
+        A repeating text has the same minimum over and over: of such a chain one in every half window is kept, so a window
+        still holds one.
+        """
         if len(words) < self.k:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
         line = self.lines(word_hashes(words))
         w = min(self.w, len(line))
         at = np.unique(np.arange(len(line) - w + 1) + np.lib.stride_tricks.sliding_window_view(line, w).argmin(axis=1))
-        follows = np.concatenate(([False], (np.diff(at) == 1) & (line[at[1:]] == line[at[:-1]])))
-        place = np.arange(len(at))
-        since = place - np.maximum.accumulate(np.where(follows, 0, place))
-        at = at[since % self.w == 0]
+        follows = np.concatenate(([False], (np.diff(at) < self.w) & (line[at[1:]] == line[at[:-1]])))
+        chain = np.maximum.accumulate(np.where(follows, -1, at))
+        stretch = (at - chain) // max(1, self.w // 2)
+        at = at[~follows | np.concatenate(([True], np.diff(stretch) > 0))]
         return line[at].view(np.int64), at.astype(np.int32)
 
 
@@ -133,8 +135,8 @@ def surroundings(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
     return near.mapInArrow(look, "d0 long, th0 long, s0 int, e0 int, pre array<long>, post array<long>")
 
 
-def shorten(text: bytes, edits: list[dict], min_words: int) -> tuple[bytes, int, int]:
-    """The text without the words of the extended runs, and its words in all and removed."""
+def shorten(text: bytes, edits: list[dict], min_words: int) -> tuple[bytes, int]:
+    """The text without the words of the extended runs, and how many those are."""
     at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
     n, h = len(at), {}
 
@@ -162,29 +164,29 @@ def shorten(text: bytes, edits: list[dict], min_words: int) -> tuple[bytes, int,
         out.append(text[last : at[s][0]])
         last = at[e][0] if e < n else len(text)
     kept = b"".join([*out, text[last:]])
-    return (kept.rstrip() if len(edge) and edge[-1] == n else kept), n, int(gone.sum())
+    return (kept.rstrip() if len(edge) and edge[-1] == n else kept), int(gone.sum())
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 26, window: int = 26, min_words: int = 50) -> DataFrame:
-    """The columns of docs, the text without later repeated runs, and the struct `repeats` (n_words, n_removed)."""
+    """The columns of docs, the text without later repeated runs, and `__removed`: how many of its words went."""
     rows = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
     runs = cut(repeated_runs(rows, line_words, window).withColumn("s0", F.col("s") - F.col("delta")).withColumn("e0", F.col("e") - F.col("delta")))
     around = surroundings(rows, runs.select("d0", "th0", "s0", "e0").distinct(), line_words + window)
     edits = runs.join(around, ["d0", "th0", "s0", "e0"]).groupBy("d", "th").agg(F.collect_list(F.struct("s", "e", "pre", "post")).alias("edits"))
     edits = cut(edits)
 
-    @F.arrow_udf("struct<text:string,n_words:bigint,n_removed:bigint>")
+    @F.arrow_udf("struct<text:string,n_removed:bigint>")
     def edit(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, found in rows:
             out = []
             for t, x in zip(texts.cast(pa.binary()).to_pylist(), found.to_pylist(), strict=True):
-                kept, n, k = shorten(t, x, min_words) if t and x else (t, len((t or b"").split()), 0)
-                out.append({"text": None if kept is None else kept.decode(), "n_words": n, "n_removed": k})
-            yield pa.array(out, type=pa.struct([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())]))
+                kept, k = shorten(t, x, min_words) if t and x else (t, 0)
+                out.append({"text": None if kept is None else kept.decode(), "n_removed": k})
+            yield pa.array(out, type=pa.struct([("text", pa.string()), ("n_removed", pa.int64())]))
 
     rows = likely(rows, edits.select("d", "th"))
-    touched = rows.where("__hit").join(edits, (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th")), "left").select("__row", "__text", "edits")
-    plain = rows.where("NOT __hit").select("__row", "__text", F.lit(None).cast(EDIT).alias("edits"))
-    done = touched.unionByName(plain).withColumn("__new", edit("__text", "edits"))
+    touched = rows.where("__hit").join(edits, (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th")), "left").select("__row", edit("__text", "edits").alias("__new"))
+    plain = rows.where("NOT __hit").select("__row", F.struct(F.col("__text").alias("text"), F.lit(0).cast("long").alias("n_removed")).alias("__new"))
+    done = touched.unionByName(plain)
     cells = [F.col("__new.text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*cells, F.struct("__new.n_words", "__new.n_removed").alias("repeats"))
+    return done.select(*cells, F.col("__new.n_removed").alias("__removed"))

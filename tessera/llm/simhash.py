@@ -43,7 +43,7 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th independent 64 bits of the hashes; the 0-th are the hashes themselves."""
     if k == 0:
         return h
-    z = h + GOLDEN * np.uint64(k)
+    z = h + np.uint64(int(GOLDEN) * k % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
