@@ -126,45 +126,42 @@ def surroundings(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
         for batch in batches:
             rows = []
             for d, th, t, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                h = word_hashes((t or b"").split()).view(np.int64)
+                h = word_hashes((t or b"").split())
                 for r in ranges:
                     s, e = r["s0"], r["e0"]
-                    rows.append({"d0": d, "th0": th, "s0": s, "e0": e, "pre": h[max(0, s - reach) : s][::-1].tolist(), "post": h[e : e + reach].tolist()})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("d0", pa.int64()), ("th0", pa.int64()), ("s0", pa.int32()), ("e0", pa.int32()), ("pre", pa.list_(pa.int64())), ("post", pa.list_(pa.int64()))]))
+                    rows.append((d, th, s, e, h[max(0, s - reach) : s][::-1].tobytes(), h[e : e + reach].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["d0", "th0", "s0", "e0", "pre", "post"])
 
-    return near.mapInArrow(look, "d0 long, th0 long, s0 int, e0 int, pre array<long>, post array<long>")
+    return near.mapInArrow(look, "d0 long, th0 long, s0 int, e0 int, pre binary, post binary")
 
 
 def shorten(text: bytes, edits: list[dict], min_words: int) -> tuple[bytes, int]:
     """The text without the words of the extended runs, and how many those are."""
-    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
-    n, h = len(at), {}
-
-    def hash_of(p: int) -> int:
-        if p not in h:
-            h[p] = int(word_hashes([text[slice(*at[p])]]).view(np.int64)[0])
-        return h[p]
-
-    gone = np.zeros(n, dtype=bool)
+    words, size = text.split(), 8
+    gone = np.zeros(len(words), dtype=bool)
     for x in edits:
-        s, e = x["s"], x["e"]
-        for want in x["pre"]:
-            if s == 0 or hash_of(s - 1) != want:
+        s, e, pre, post = x["s"], x["e"], x["pre"], x["post"]
+        for k in range(0, len(pre), size):
+            if s == 0 or xxhash.xxh64_digest(words[s - 1]) != pre[k : k + size]:
                 break
             s -= 1
-        for want in x["post"]:
-            if e == n or hash_of(e) != want:
+        for k in range(0, len(post), size):
+            if e == len(words) or xxhash.xxh64_digest(words[e]) != post[k : k + size]:
                 break
             e += 1
         if e - s >= min_words:
             gone[s:e] = True
+    if not gone.any():
+        return text, 0
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
     out, last = [], 0
     for s, e in zip(edge[::2], edge[1::2], strict=True):
         out.append(text[last : at[s][0]])
-        last = at[e][0] if e < n else len(text)
+        last = at[e][0] if e < len(at) else len(text)
     kept = b"".join([*out, text[last:]])
-    return (kept.rstrip() if len(edge) and edge[-1] == n else kept), int(gone.sum())
+    return (kept.rstrip() if edge[-1] == len(at) else kept), int(gone.sum())
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 26, window: int = 26, min_words: int = 50) -> DataFrame:
