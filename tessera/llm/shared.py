@@ -42,7 +42,7 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def prefix_sums(df: DataFrame, part: list[str], order: list[str], value: str, out: str, per_task: int = 20_000) -> DataFrame:
+def prefix_sums(df: DataFrame, part: list[str], order: list[str], value: str, out: str, per_task: int = 2_000) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same `part` before this one, by `order`.
 
     Two levels, so that no task holds a whole part: rows fall into buckets by the leading order column (a number spread
