@@ -32,7 +32,7 @@ BASE = {
     "card": (r"[0-9]++(?:[ -][0-9]++)*+", r"[0-9](?:[ -]?[0-9]){11}"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]"),
 }
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 GENERATORS = {
     "email": (r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}|@) ?[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]++)++", r"(?i)@|[(\[{]at[)\]}]"),
     "ip": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}|(?<![0-9])[0-9]++(?:\[?\.\]?[0-9]++){3}", r"[0-9A-Fa-f]:[0-9A-Fa-f]|[0-9]\]?\.\]?[0-9]"),

@@ -1,0 +1,201 @@
+"""The training-data operators on hand-made rows: nulls, empties, ties, repeats, clashing columns; and against brute force."""
+
+import hashlib
+import math
+import re
+import uuid
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, embeddings, language_model, line_dedup, mixing, pii, queries, secrets, simhash, toxicity, warc
+from tessera.llm.shared import components
+
+DATA = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, source string, spans string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, a null id, a repeated row, one very long word and text, and a column with a name of ours."""
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, None, None, "x"), (2, "", "a", "x"), (3, "one two", "a", None), (3, "one two", "a", None), (None, "one two three", "b", "x"), (4, "x" * 200_000, "b", "x"), (5, long, "a", "x"), (6, long, "a", "x")]
+    return spark.createDataFrame(rows, DOC)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def empty(df):
+    return df.where("1 = 0")
+
+
+def test_pii_base_and_edges(spark, odd):
+    text = "mail a.b@c.example or +1 (555) 555-0100 x 4111 1111 1111 1111, 10.0.0.300 é 10.0.0.1"
+    out = pii.pii_report(pii.find_pii(spark.createDataFrame([(1, text, "s", "q")], DOC))).first()
+    spans = [("email", m.span()) for m in re.finditer(r"a\.b@c\.example", text)] + [("ip", m.span()) for m in re.finditer(r"10\.0\.0\.1$", text)] + [("card", m.span()) for m in re.finditer("4111 1111 1111 1111", text)] + [("phone", m.span()) for m in re.finditer(r"\+1 \(555\) 555-0100", text)]
+    want = ",".join(f"{k}:{s}:{e}" for k, (s, e) in sorted(spans, key=lambda x: x[1]))
+    assert out["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert (out["n_email"], out["n_ip"], out["n_card"], out["n_phone"]) == (1, 1, 1, 1)
+    assert pii.pii_report(pii.find_pii(odd)).count() == 8
+    assert pii.pii_report(pii.find_pii(empty(odd))).count() == 0
+
+
+def test_secrets_by_ownership(spark, odd):
+    live, copied = "ghp_" + "a1B2" * 6, "ghp_" + "z9Y8" * 6
+    rows = [(1, f"key {live} end", "r1", "")] + [(k, f"key {copied} end", f"r{k}", "") for k in range(2, 6)] + [(9, "token:token:abcdefgh12", "r1", "")]
+    out = {r["doc_id"]: r for r in secrets.secret_report(secrets.find_secrets(spark.createDataFrame(rows, DOC))).collect()}
+    assert out[1]["spans"] == f"key:4:{4 + len(live)}" and out[2]["spans"] == "" and out[2]["n_copied"] == 1
+    assert out[9]["n_assign"] == 0  # the first match is too short, and there is no second try
+    assert secrets.secret_report(secrets.find_secrets(odd)).count() == 8
+    assert secrets.secret_report(secrets.find_secrets(empty(odd))).count() == 0
+
+
+def test_decontamination(spark, odd):
+    item = " ".join(f"b{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, item), (2, "Solo"), (3, None), (4, "")], "item_id long, text string")
+    rows = [(1, "q " + " ".join(f"B{k}" for k in range(5, 19)) + " q", "", ""), (2, "a solo b", "", ""), (3, None, "", "")]
+    for size in (16_000_000, 40):
+        out = {r["doc_id"]: r["hits"] for r in decontaminate.contamination(spark.createDataFrame(rows, DOC), bench, block_bytes=size).collect()}
+        assert (out[1]["n_words"], out[1]["n_hit"], list(out[1]["items"])) == (16, 14, [1])
+        assert (out[2]["n_hit"], list(out[2]["items"])) == (1, [2]) and out[3]["n_words"] == 0
+    assert decontaminate.contamination(odd, empty(bench)).count() == 8
+    assert decontaminate.contamination(empty(odd), bench).count() == 0
+
+
+def test_mixing_targets(spark, odd):
+    out = mixing.mix(odd).collect()
+    assert len(out) == 8
+    sizes = Counter()
+    for r in out:
+        sizes[r["src"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    for r in out:
+        assert abs(sizes[r["src"]] - r["target"]) <= 1
+    assert sorted(map(tuple, mixing.mix(odd).collect()), key=str) == sorted(map(tuple, out), key=str)
+    assert mixing.mix(empty(odd)).count() == 0
+
+
+def test_line_dedup(spark, odd):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"start here {passage} end", "", "x"), (2, f"another\nbegin {passage}\nlast words", "", "x"), (3, "short line", "", "x"), (4, "short line", "", "x"), (5, "a " * 500, "", "x")]
+    out = {r["doc_id"]: r for r in line_dedup.drop_repeats(spark.createDataFrame(rows, DOC)).collect()}
+    assert out[1]["text"] == rows[0][1] and out[2]["text"] == "another\nbegin last words" and out[2]["__removed"] == 60
+    assert out[3]["text"] == out[4]["text"] == "short line" and len(out[5]["text"].split()) < 100 and out[2]["spans"] == "x"
+    edge = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeats(odd).collect()}
+    assert edge[1] is None and edge[2] == "" and edge[6] == "" and edge[5].startswith("w0 w1")
+    assert line_dedup.drop_repeats(empty(odd)).count() == 0
+
+
+def test_line_dedup_leaves_no_repeated_passage(docs):
+    out, seen = {r["doc_id"]: (r["text"] or "").split() for r in line_dedup.drop_repeats(docs).collect()}, {}
+    for i in sorted(out):
+        for p in range(len(out[i]) - 50):
+            assert seen.setdefault(tuple(out[i][p : p + 51]), i) == i
+
+
+def test_toxicity(spark, odd):
+    rows = [(k, "you are a grumblefitz and a grumblefitz" if k % 3 == 0 else "a calm note", "", "") for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, DOC)
+    got = df.select("doc_id", toxicity.fit(df, labels).score(df).alias("s")).collect()
+    assert all((r["s"] >= 0.5) == (r["doc_id"] % 3 == 0) for r in got)
+    model = toxicity.fit(odd, empty(labels))
+    assert all(0 <= r["s"] < 0.5 for r in odd.select(model.score(odd).alias("s")).collect())
+    g = toxicity.Grammar({b"idiot": 4.0})
+    assert g.weight(b"you idiot") > g.weight(b"an idiot") > g.weight(b"not an idiot") and g.weight(b"he said idiot") < g.weight(b"he idiot")
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(1, "http://a", "same é"), (2, "http://b", "same é"), (3, None, None), (4, "u", ""), (5, "u", "own"), (5, "u", "own"), (None, "n", "lone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    arch = warc.write_archives(pages, f"file://{tmp_path}/{uuid.uuid4().hex}", archive_bytes=300)
+    out = warc.read_archives(arch, payloads=True).collect()
+    by = {r["page_id"]: r for r in out}
+    assert len(out) == 7 and by[1]["record_type"] == "revisit" and by[1]["refers_to"] == 2 and by[1]["payload_bytes"] == 7
+    assert by[2]["payload"].decode() == "same é" and by[3]["refers_to"] == 4 and by[5]["record_type"] == "response" and by[None]["record_type"] == "response"
+    assert warc.read_archives(warc.write_archives(empty(pages), f"file://{tmp_path}/none")).count() == 0
+
+
+def test_embedding_groups_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(40, 16))
+    rows = [(k, (base[k % 40] + rng.normal(size=16) * 0.08).tolist(), k % 3) for k in range(300)] + [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, base[0].tolist(), None), (304, base[1].tolist(), 1), (305, base[1].tolist(), 1)]
+    out = {r["id"]: r for r in embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=64).collect()}
+    fit = [(i, np.array(v) / np.linalg.norm(v), y) for i, v, y in rows if i < 300 or i > 303]
+    links = {i: {j for j, w, z in fit if z == y and j != i and v @ w >= 0.98} for i, v, y in fit}
+    assert all(out[i]["n_links"] == len(links.get(i, ())) for i in range(306))
+    for i in links:
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [j for j in links[todo.pop()] if j not in seen and not seen.add(j)]
+        assert out[i]["component"] == min(seen)
+
+
+def test_bit_sliced_pairs_against_brute_force():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 2**63, size=(200, 1), dtype=np.uint64)
+    fps[100:] = fps[:100] ^ (np.uint64(1) << rng.integers(0, 64, size=(100, 1), dtype=np.uint64))
+    group = np.sort(rng.integers(0, 3, size=200))
+    for radius in (1, 2, 5, 30):
+        i, j = simhash.close_pairs(group, fps, radius)
+        want = {(a, b) for a in range(200) for b in range(a + 1, 200) if group[a] == group[b] and int(np.bitwise_count(fps[a] ^ fps[b])[0]) <= radius}
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_simhash_edges(spark, odd, docs):
+    out = simhash.simhash_groups(odd).collect()
+    assert len(out) == 8 and {r["component"] for r in out if r["id"] in (1, 2)} == {1}
+    assert {r["component"] for r in out if r["id"] in (5, 6)} == {5}
+    assert simhash.simhash_groups(empty(odd)).count() == 0
+    kept = simhash.drop_near_copies(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5]
+    text = docs.orderBy("doc_id").first()["text"]
+    sh = [b" ".join(x) for x in zip(*(text.encode().lower().split()[k:] for k in range(3)), strict=False)]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    want = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+    assert simhash.simhash_groups(docs).where("id = 0").first()["fp"] % 2**64 == want
+
+
+def test_language_model(spark, docs, odd):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    toks = {i: [*t.encode().lower().split(), b"\n"] for i, t in rows}
+    c = Counter(w for i in toks if zlib.crc32(str(i).encode()) % 7 != 2 for w in toks[i])
+    n, v = sum(c.values()), len(c)
+    out = {r["doc_id"]: r for r in queries.op10_lm(spark, DATA).collect()}
+    for i, t in toks.items():
+        assert out[i]["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), abs=1e-6)
+        assert out[i]["n_known"] == sum(w in c for w in t) and out[i]["train_tokens"] == n
+    held = [r for r in out.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert language_model.score(odd, odd.select("text")).count() == 8
+    assert language_model.score(odd, empty(odd.select("text"))).agg(F.sum("train_tokens")).first()[0] == 0
+
+
+def test_tree_states_sum_to_one(spark):
+    rng = np.random.default_rng(3)
+    text = [" ".join(rng.choice(["a b", "a c", "b a", "c d"], size=40, p=[0.6, 0.1, 0.2, 0.1])) for _ in range(50)]
+    train = spark.createDataFrame([(t,) for t in text], "text string")
+    words = language_model.count_words(train).cache()
+    n = words.agg(F.sum("c")).first()[0]
+    tree = language_model.fit(train, words, n, words.count(), least=1e-3)
+    assert len(tree.one[0]) and len(tree.two[0])
+    for context in ([], ["a"], ["b", "a"], ["c"]):
+        total = 0.0
+        for w in [*(tree.ids[x.encode()] for x in "abcd"), tree.end, -1]:
+            ids = np.array([*(tree.ids[x.encode()] for x in context), w])
+            p = 10 ** tree.log10(ids, np.zeros(len(ids), dtype=int))[-1]
+            total += p if w >= 0 else p / (n + words.count() + 1)  # an unknown word: the state's share of the root's
+        assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7)], "a long, b long")
+    out = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert len({out[k] for k in range(201)}) == 1 and out[500] == out[501] != out[0]
