@@ -159,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, folds: int =
     share = max_rows / max(1, y.count())
     if share < 1:
         y = y.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(y, "id").select("text", "toxic")
+    # The sample's ids are few by its bound, so they go to the texts and not the texts to them.
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(F.broadcast(y), "id").select("text", "toxic")
     insults = learn_insults(rows)
     bins = rows.select("toxic", F.round(weigh(rows, insults), 2).alias("x")).groupBy("toxic", "x").count().collect()
     if len({r["toxic"] for r in bins}) < 2:
