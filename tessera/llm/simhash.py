@@ -132,8 +132,9 @@ def links(prints: DataFrame, radius: int, bands: list[tuple[int, int, int]], til
     """Edges (a, b) that connect the rows of prints (node, fp) as all links would; bands are (lane, shift, width <= 32)."""
     keys = [(F.shiftrightunsigned(F.col("fp")[lane], shift).bitwiseAND((1 << width) - 1)) + F.lit(k << 32) for k, (lane, shift, width) in enumerate(bands)]
     rows = prints.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
-    full = stored(rows.groupBy("key").count().where(F.col("count") > 1), "buckets")
-    rows = rows.join(full, "key").withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
+    # Few keys pass the size of a tile, so the planner can broadcast them by their stored size; where there are many it joins.
+    hot = stored(rows.groupBy("key").count().where(F.col("count") > tile), "buckets")
+    rows = rows.join(hot, "key", "left").withColumn("tiles", F.coalesce(F.ceil(F.col("count") / tile), F.lit(1)).cast("int"))
     mine = F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "fp")
