@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,20 +140,26 @@ def weigh(docs: DataFrame, insults: dict[bytes, float], text_col: str = "text"):
 
 
 class ToxicityModel:
-    """insults: weights of the arcs; slope, offset: the logistic curve over log(1 + weight)."""
+    """insults: weights of the arcs; curve: of the logistic curve over log(1 + weight), log(1 + length), and its offset."""
 
-    def __init__(self, insults: dict[bytes, float], slope: float, offset: float):
-        self.insults, self.slope, self.offset = insults, slope, offset
+    def __init__(self, insults: dict[bytes, float], curve: tuple[float, float, float]):
+        self.insults, self.curve = insults, curve
 
     def score(self, docs: DataFrame, text_col: str = "text"):
-        return 1 / (1 + F.exp(-(self.slope * weigh(docs, self.insults, text_col) + self.offset)))
+        a, b, c = self.curve
+        return 1 / (1 + F.exp(-(a * weigh(docs, self.insults, text_col) + b * length(text_col) + c)))
+
+
+def length(text_col: str = "text"):
+    """Chance matches grow with the text, so the curve knows its length."""
+    return F.log(1.0 + F.coalesce(F.length(text_col), F.lit(0)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, folds: int = 5, held_out: int = 0) -> ToxicityModel:
     """Learns from the labelled rows of docs (doc_id, text) outside the held-out fold, at most about `max_rows` of them.
 
-    The rows of the sample are chosen by a hash of the id. The curve is fitted to a histogram of the weights, of at most
-    a thousand bins, with a small ridge as separable labels would send it to infinity.
+    The rows of the sample are chosen by a hash of the id. The curve is fitted to a histogram of weights and lengths, of
+    some thousand bins, with a small ridge as separable labels would send it to infinity.
     """
     y = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").where(crc_bucket(F.col("id"), folds) != held_out)
     y = y.groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -162,27 +169,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, folds: int =
     # The sample's ids are few by its bound, so they go to the texts and not the texts to them.
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(F.broadcast(y), "id").select("text", "toxic")
     insults = learn_insults(rows)
-    bins = rows.select("toxic", F.round(weigh(rows, insults), 2).alias("x")).groupBy("toxic", "x").count().collect()
+    bins = rows.select("toxic", F.round(weigh(rows, insults), 2).alias("x"), F.round(length(), 0).alias("n")).groupBy("toxic", "x", "n").count().collect()
     if len({r["toxic"] for r in bins}) < 2:
-        return ToxicityModel(insults, 2.0, -4.0)
-    return ToxicityModel(insults, *logistic([(r["x"], r["toxic"], r["count"]) for r in bins]))
+        return ToxicityModel(insults, (2.0, 0.0, -4.0))
+    return ToxicityModel(insults, logistic(np.array([(r["x"], r["n"], r["toxic"], r["count"]) for r in bins], dtype=float)))
 
 
-def logistic(bins: list[tuple[float, int, int]], ridge: float = 0.5, rounds: int = 60) -> tuple[float, float]:
-    """Slope and offset by Newton's method over (x, label, count), each label's rows weighing the same in all."""
-    total = {y: sum(n for _, z, n in bins if z == y) for y in (0, 1)}
-    a, b = 0.0, 0.0
+def logistic(bins: np.ndarray, ridge: float = 0.05, rounds: int = 100) -> tuple[float, float, float]:
+    """The curve by damped Newton steps over rows (x, length, label, count), with a ridge on both slopes."""
+    x, y, n = np.column_stack([bins[:, :2], np.ones(len(bins))]), bins[:, 2], bins[:, 3]
+    beta, keep = np.zeros(3), np.diag([ridge, ridge, 1e-6])
     for _ in range(rounds):
-        ga, gb, haa, hab, hbb = ridge * a / 100, 0.0, ridge / 100, 0.0, 1e-9
-        for x, y, n in bins:
-            w, p = 100 * n / total[y], 1 / (1 + math.exp(-max(-40.0, min(40.0, a * x + b))))
-            ga, gb = ga + w * (p - y) * x, gb + w * (p - y)
-            v = w * p * (1 - p)
-            haa, hab, hbb = haa + v * x * x, hab + v * x, hbb + v
-        det = haa * hbb - hab * hab
-        if det < 1e-12:
-            break
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        size = max(1.0, abs(da) / 2, abs(db) / 4)
-        a, b = a - da / size, b - db / size
-    return a, b
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
+        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + keep, x.T @ (n * (p - y)) + keep @ beta)
+        beta = beta - step / max(1.0, np.abs(step).max() / 2)
+    return tuple(beta.tolist())
