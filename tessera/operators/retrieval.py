@@ -58,9 +58,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (length > 0), dot(a, b) / length).otherwise(F.lit(0.0))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
-    """(query_id, id, score, rank): exact search; queries are a stated set, small enough for every task to hold."""
-    both = vectors.crossJoin(F.broadcast(queries.withColumnRenamed("vector", "q")))
+def dense(vectors: DataFrame, queries: DataFrame, limit: int = 40, most_broadcast: int = 20_000) -> DataFrame:
+    """(query_id, id, score, rank): exact search of a stated query set against all vectors.
+
+    Up to `most_broadcast` counted queries go to every task. More of them are compared in blocks, a partition of the queries with
+    a partition of the vectors in each task. Only the first `limit` of a query leave a task, before the ranks are shuffled.
+    """
+    q = queries.withColumnRenamed("vector", "q")
+    few = q.limit(most_broadcast + 1).count() <= most_broadcast
+    both = vectors.crossJoin(F.broadcast(q)) if few else vectors.crossJoin(q.repartition(queries.sparkSession.sparkContext.defaultParallelism).hint("shuffle_replicate_nl"))
     return ranked(both.select("query_id", "id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score")), limit)
 
 

@@ -61,3 +61,10 @@ def test_stream_drops_replays_and_counts_windows(spark, tmp_path):
     q = w.writeStream.outputMode("complete").format("memory").queryName("win").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.table("win").collect()) == [4, 6]
+
+
+def test_dense_in_blocks_equals_broadcast(spark):
+    v = spark.range(40).select("id", F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("vector"))
+    q = v.where("id % 7 = 0").select(F.col("id").alias("query_id"), "vector")
+    rows = lambda most: sorted(map(tuple, ret.dense(v, q, 5, most).collect()))
+    assert rows(100) == rows(2) and len(rows(2)) == 30
