@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut, stored
+from tessera.llm.shared import cut, likely, stored
 
 NO_ID = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -79,22 +79,6 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("__d", F.coalesce(i, F.lit(NO_ID))).withColumn("__th", F.xxhash64(F.col(text_col), i.isNull()))
 
 
-def likely(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs with __hit: false only where (__d, __th) is surely none of keys (d, th).
-
-    A bitmap of the keys' hashes, 16 bits a key and at most 2**26 bits: a broadcast of at most two million small rows. Beyond
-    that it lets more documents through, which the join behind it sorts out all the same.
-    """
-    n = keys.count()
-    bits = 1 << min(26, max(10, (16 * n).bit_length()))
-    place = lambda d, th: F.pmod(F.xxhash64(d, th), F.lit(bits))
-    words = keys.select(place("d", "th").alias("b")).groupBy(F.floor(F.col("b") / 32).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("__bits"))
-    docs = docs.withColumn("__b", place("__d", "__th")).withColumn("__w", F.floor(F.col("__b") / 32))
-    docs = docs.join(F.broadcast(words), "__w", "left")
-    hit = F.expr("coalesce(shiftrightunsigned(__bits, cast(__b % 32 as int)) & 1L, 0L) = 1L")
-    return docs.withColumn("__hit", hit).drop("__b", "__w", "__bits")
-
-
 def repeated_runs(docs: DataFrame, line_words: int, window: int) -> DataFrame:
     """(d, th, s, e, d0, th0, delta): words s to e of (d, th) are those of the first place (d0, th0), delta words before."""
 

@@ -163,6 +163,30 @@ def test_simhash_edges(spark, odd, docs):
     assert simhash.simhash_groups(docs).where("id = 0").first()["fp"] % 2**64 == want
 
 
+def test_near_copies_against_brute_force(spark):
+    """A large group of edited copies, pairs around the limit, and strangers: no component of similarity 0.8 is lost, and few are split.
+
+    Most similarities in the group are just above or below the limit, where a copy has one link or two: the hardest case.
+    """
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 5000, size=n)]
+    base, rows = word(200), []
+    for k in range(400):
+        w = list(base) if k < 250 else word(150) if k % 2 or k < 252 else rows[-1][1].split()
+        for at in rng.integers(0, len(w), size=rng.integers(0, 6)):
+            w[at] = f"edit{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(w), "", ""))
+    sets = [{tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for _, t, _, _ in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            m = len(sets[a] & sets[b])
+            if m >= 0.8 * (len(sets[a]) + len(sets[b]) - m) and root[a] != root[b]:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(rows, DOC)).collect()}
+    assert set(root) <= kept and len(kept) <= len(set(root)) + 8
+
+
 def test_language_model(spark, docs, odd):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     toks = {i: [*t.encode().lower().split(), b"\n"] for i, t in rows}
