@@ -6,6 +6,9 @@ of line_words + window - 1 words that two places share leaves a fingerprint in b
 place that has them (by id, nulls last, then text hash, then position), neighbouring ones of one alignment become runs, runs
 are extended word by word both ways, and those of `min_words` words or more are deleted; the first place stays.
 
+The first place of a fingerprint may share less around it than later places do with one another. So the windows around joined
+fingerprints that no long run holds whole are joined by a hash of all their words, and deleted at every place but the first.
+
 Null text stays null; an empty one stays empty. Rows with equal id and text are one document, and each gets its result: the
 first of them does not delete the others. Self-repeating texts keep their first round. Other columns stay as they are, whatever
 their names. Words are separated by ASCII white space and compared as they are.
@@ -120,10 +123,9 @@ def surroundings(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
     return near.mapInArrow(look, "d0 long, th0 long, s0 int, e0 int, pre binary, post binary")
 
 
-def shorten(text: bytes, edits: list[dict], min_words: int) -> tuple[bytes, int]:
-    """The text without the words of the extended runs, and how many those are."""
-    words, size = text.split(), 8
-    gone = np.zeros(len(words), dtype=bool)
+def extended(words: list[bytes], edits: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """The runs of `min_words` words or more, after extension word by word both ways."""
+    out, size = [], 8
     for x in edits:
         s, e, pre, post = x["s"], x["e"], x["pre"], x["post"]
         for k in range(0, len(pre), size):
@@ -135,7 +137,53 @@ def shorten(text: bytes, edits: list[dict], min_words: int) -> tuple[bytes, int]
                 break
             e += 1
         if e - s >= min_words:
-            gone[s:e] = True
+            out.append((s, e))
+    return out
+
+
+def open_windows(docs: DataFrame, edits: DataFrame, line_words: int, n: int, min_words: int) -> DataFrame:
+    """(d, th, gone, q, w) for each document with edits: its long runs, and starts and hashes of the windows they leave open.
+
+    A window of n words that stands at two places has a fingerprint in both, which the first place of that fingerprint need not
+    surround alike. So windows around a joined fingerprint, none of the long runs over them whole, are to be compared themselves.
+    """
+    near = likely(docs, edits.select("d", "th")).where("__hit").select("__d", "__th", "__text").join(edits, (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th")))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        win = Winnower(n, 1)
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            for t, found in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                words = (t or b"").split()
+                gone, wanted = extended(words, found, min_words), np.zeros(max(0, len(words) - n + 1), dtype=bool)
+                for x in found:
+                    wanted[max(0, x["s"] + line_words - n) : max(0, x["e"] - line_words + 1)] = True
+                for s, e in gone:
+                    wanted[s : max(s, e - n + 1)] = False
+                q = np.flatnonzero(wanted)
+                w = win.lines(word_hashes(words[q[0] : q[-1] + n]))[q - q[0]].view(np.int64) if len(q) else q
+                for c, v in zip(cols, ([{"s": s, "e": e} for s, e in gone], q.astype(np.int32), w), strict=True):
+                    c.append(v)
+            kinds = (pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]], ["d", "th", "gone", "q", "w"])
+
+    seen = near.select("d", "th", "__text", "edits").mapInArrow(look, "d long, th long, gone array<struct<s:int,e:int>>, q array<int>, w array<long>")
+    return stored(seen, "windows")
+
+
+def later_windows(seen: DataFrame) -> DataFrame:
+    """(d, th, later): starts of the open windows that an earlier place has too."""
+    each = seen.select("d", "th", F.explode(F.arrays_zip("q", "w")).alias("x")).select("d", "th", F.col("x.q").alias("q"), F.col("x.w").alias("w"))
+    first = each.groupBy("w").agg(F.min(F.struct("d", "th", "q")).alias("f"), F.max(F.struct("d", "th", "q")).alias("l")).where("f <> l").select("w", "f")
+    return each.join(first, "w").where(F.struct("d", "th", "q") != F.col("f")).groupBy("d", "th").agg(F.collect_set("q").alias("later"))
+
+
+def shorten(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The text without the words of the ranges, and how many those are."""
+    words = text.split()
+    gone = np.zeros(len(words), dtype=bool)
+    for s, e in ranges:
+        gone[s:e] = True
     if not gone.any():
         return text, 0
     at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
@@ -154,14 +202,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = cut(repeated_runs(rows, line_words, window).withColumn("s0", F.col("s") - F.col("delta")).withColumn("e0", F.col("e") - F.col("delta")))
     around = surroundings(rows, runs.select("d0", "th0", "s0", "e0").distinct(), line_words + window)
     edits = runs.join(around, ["d0", "th0", "s0", "e0"]).groupBy("d", "th").agg(F.collect_list(F.struct("s", "e", "pre", "post")).alias("edits"))
-    edits = cut(edits)
+    n = max(line_words + window - 1, min_words)
+    seen = open_windows(rows, cut(edits), line_words, n, min_words)
+    edits = seen.select("d", "th", "gone").distinct().join(later_windows(seen), ["d", "th"], "left").where("size(gone) > 0 OR later IS NOT NULL")
+    edits = cut(edits.select("d", "th", F.struct("gone", "later").alias("edits")))
 
     @F.arrow_udf("struct<text:string,n_removed:bigint>")
     def edit(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, found in rows:
             out = []
             for t, x in zip(texts.cast(pa.binary()).to_pylist(), found.to_pylist(), strict=True):
-                kept, k = shorten(t, x, min_words) if t and x else (t, 0)
+                kept, k = shorten(t, [*((g["s"], g["e"]) for g in x["gone"]), *((q, q + n) for q in x["later"] or ())]) if t and x else (t, 0)
                 out.append({"text": None if kept is None else kept.decode(), "n_removed": k})
             yield pa.array(out, type=pa.struct([("text", pa.string()), ("n_removed", pa.int64())]))
 

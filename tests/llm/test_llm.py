@@ -100,6 +100,22 @@ def test_line_dedup_leaves_no_repeated_passage(docs):
             assert seen.setdefault(tuple(out[i][p : p + 51]), i) == i
 
 
+def test_line_dedup_of_passages_around_a_shorter_one(spark):
+    """Later places that share more with one another than with the first place of their fingerprints; against brute force."""
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, size=n)]
+    docs = []
+    for _ in range(40):
+        q = word(40)
+        p = word(10) + q + word(10)
+        docs += [word(20) + q + word(20), word(20) + p + word(20), word(20) + p + word(20), word(5) + p[:55] + word(20)]
+    seen = {n: {} for n in (50, 51)}
+    got = {r["doc_id"]: r["__removed"] for r in line_dedup.drop_repeats(spark.createDataFrame([(k, " ".join(w), "", "") for k, w in enumerate(docs)], DOC)).collect()}
+    for k, w in enumerate(docs):
+        gone = {n: {x for p in range(len(w) - n + 1) if seen[n].setdefault(tuple(w[p : p + n]), (k, p)) != (k, p) for x in range(p, p + n)} for n in seen}
+        assert len(gone[51]) <= got[k] <= len(gone[50])
+
+
 def test_toxicity(spark, odd):
     rows = [(k, "you are a grumblefitz and a grumblefitz" if k % 3 == 0 else "a calm note", "", "") for k in range(300)]
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
