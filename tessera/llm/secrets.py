@@ -1,9 +1,11 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Certain spans come from assignments, access keys and long hex strings. Beside them generators propose further
-candidates: keys with known prefixes, private-key headers, web tokens and long mixed-case strings in quotes. Every
+candidates: keys with known prefixes, private keys, web tokens and long mixed-case strings in quotes. Every
 candidate's value is hashed, and the corpus is asked how many distinct repositories and owners hold it: a value that
-stays with one owner looks live, one that many have is a copied example. Candidates that look live are added.
+stays with one owner looks live, one that many have is a copied example. Candidates that look live are added. A private key's
+value is its body, without header, END line and line breaks (a header with no body stands for itself); a certain span inside
+a key doesn't hide it, while other candidates cross no certain span.
 
 Null text: as the empty text. A null repository or owner counts as one of its own. Repeated rows count once, as their
 repository and owner are the same. Rows with equal id and text get equal results. Offsets are code points. Other columns are
@@ -27,9 +29,11 @@ BASE = {
 # The prefixes of common access tokens.
 PREFIXED = r"(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|glpat-|xox[abpr]-|sk-|sk_live_|rk_live_|AIza|ya29\.|npm_|pypi-)[A-Za-z0-9_-]{16,}"
 HEADER = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+# A private key: up to its END line with no other dashes of five between, or the base64 behind its header.
+PRIVATE = rf"{HEADER}(?:[^-]*+(?:-{{1,4}}+(?!-)[^-]*+)*+-----END [A-Z ]{{0,24}}PRIVATE KEY-----|(?:(?:\s|\\[nrt])*+[A-Za-z0-9+/]{{16,}}+=*+)*+)"
 WEB_TOKEN = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
-QUOTED = r"(?<=[\"'=])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{24,200}(?=[\"'=\s]|$)"
-GENERATOR = f"{PREFIXED}|{HEADER}|{WEB_TOKEN}|{QUOTED}"
+QUOTED = r"(?<=[\"'=])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{24,}+(?=[\"'=\s]|$)"
+GENERATOR = f"{PREFIXED}|{PRIVATE}|{WEB_TOKEN}|{QUOTED}"
 GATE = r"gh[pousr]_|github_pat_|glpat-|xox|sk[-_]|rk_live|AIza|ya29|npm_|pypi-|PRIVATE KEY|eyJ|[\"'=][A-Za-z0-9+/_-]{24}"
 
 
@@ -39,6 +43,12 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(found, lambda x: F.length(F.regexp_extract(x["m"], f"^{ASSIGN}$", 1)) >= 8) if kind == "assign" else found
 
 
+def secret_value(m: Column) -> Column:
+    """What of a candidate is the secret itself."""
+    body = F.regexp_replace(m, r"-----[^-]*+-----|\\[nrt]|\s", "")
+    return F.when(m.startswith("-----BEGIN") & (body != ""), body).otherwise(m)
+
+
 def ownership(values: DataFrame, max_owners: int) -> DataFrame:
     """(h, repos, owners, live) for each value hash of values (h, repo, owner).
 
@@ -61,8 +71,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     further = spans(F.col("text"), GENERATOR, F.col("text").rlike(GATE))
     rows = rows.select("id", "repo", "owner", F.xxhash64("text").alias("th"), *[base_spans(F.col("text"), k).alias(k) for k in BASE], further.alias("further"))
     rows = rows.withColumn("sure", F.concat(*[kind_spans(k, F.col(kind)) for k, kind in enumerate(BASE)]))
-    value = lambda k, c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.sha2(F.when(F.lit(k) == 0, F.regexp_extract(x["m"], f"^{ASSIGN}$", 1)).otherwise(x["m"]), 256).alias("h")))
-    more = F.filter("further", lambda x: ~crosses(x, F.col("sure")))
+    value = lambda k, c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.sha2(F.when(F.lit(k) == 0, F.regexp_extract(x["m"], f"^{ASSIGN}$", 1)).otherwise(secret_value(x["m"]) if k == 3 else x["m"]), 256).alias("h")))
+    within = lambda x: F.exists("sure", lambda o: (o["s"] <= x["s"]) & (x["e"] <= o["e"]))
+    more = F.filter("further", lambda x: F.when(x["m"].startswith("-----BEGIN"), ~within(x)).otherwise(~crosses(x, F.col("sure"))))
     each = rows.select("id", "th", "repo", "owner", F.explode(F.concat(*[value(k, F.col(kind)) for k, kind in enumerate(BASE)], value(3, more))).alias("c")).select("id", "th", "repo", "owner", "c.*")
     known = each.join(ownership(each.select("h", "repo", "owner"), max_owners), "h")
     known = known.groupBy("id", "th").agg(

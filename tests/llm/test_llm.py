@@ -57,6 +57,19 @@ def test_secrets_by_ownership(spark, odd):
     assert secrets.secret_report(secrets.find_secrets(empty(odd))).count() == 0
 
 
+def test_private_keys_and_long_quotes_by_their_value(spark):
+    body = lambda c, n=30: "\n".join([f"MIIE{c}x7/" * 8] * n)
+    pem = lambda b, end="-----END RSA PRIVATE KEY-----": f"-----BEGIN RSA PRIVATE KEY-----\n{b}\n{end}"
+    quoted = "aB3" * 100
+    hexed = pem(body("e", 1) + "\nDEK: " + "0f" * 16 + "\n" + body("e", 1))
+    texts = [("a", pem(body("a"))), ("b", pem(body("b"))), ("c", pem(body("c"))), ("d", pem(body("c").replace("\n", "\\n"))), ("e", pem(body("d"), "")), ("f", f'k = "{quoted}"'), ("g", "-----BEGIN PRIVATE KEY----- is a header"), ("h", hexed), ("i", pem(body("z", 5000)))]
+    rows = [(k, f"see {t} end", s, "") for k, (s, t) in enumerate(texts)]
+    out = {r["id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, DOC)).collect()}
+    added = {k: [rows[k][1][x["s"] : x["e"]] for x in r["added"]] for k, r in out.items()}
+    assert all(added[k] == [texts[k][1]] for k in (0, 1, 7, 8)) and added[4] == [texts[4][1].rstrip()] and added[5] == [quoted]
+    assert added[2] == added[3] == [] and out[2]["n_copied"] == out[3]["n_copied"] == 1 and added[6] == ["-----BEGIN PRIVATE KEY-----"]
+
+
 def test_decontamination(spark, odd):
     item = " ".join(f"b{k}" for k in range(20))
     bench = spark.createDataFrame([(1, item), (2, "Solo"), (3, None), (4, "")], "item_id long, text string")
