@@ -1,242 +1,283 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Tokens are the words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, and one end token. The root of the tree is the
-add-one unigram distribution over all training tokens. A context of one or two words before a token is a state of the
-tree if following symbols differ enough from what its parent (the context without its oldest word) predicts: a symbol
-stays in the state where the two together are at least the share `least` of the training tokens, and count times the log
-ratio passes the `divergence` test. Kept symbols are discounted, and the rest of the mass goes to the parent's
-distribution over the other symbols, so that each state sums to one. A token is scored in the longest suffix state.
-
-What is broadcast is bounded by the method: words and symbols of at least the share `least_word` or `least` of the tokens,
-so at most 1 / least_word and 2 / least of them however large the corpus. The rest, the long tail of the
-vocabulary, is joined: a token outside the broadcast words leaves its document's row number, word and count.
-
-Null or empty text: the end token alone. Null ids hash as the empty text and train or not by that. Rows are separate even if
-equal. With no training rows N and V are 0, so every token has probability 1 / 1. Other columns are not used.
+add-one unigram distribution over all training tokens. A context of 1 to `depth` words before a token is a state of the tree
+if some symbol behind it, seen `least` times or more, differs enough from what the state's parent (the context without its
+oldest word) predicts: count times the log ratio has to pass the `divergence` test. Such symbols stay in the state with a
+discount, and the rest of the mass goes to the parent's distribution over the other symbols, so that each state sums to one.
+A token is scored in the longest suffix state.
+
+Counts of contexts, the tests and the states are tables that grow with the corpus. As a token's probability is the root's
+times one ratio for each state on the way to the longest one, a text's score is a sum over its word sequences of 1 to
+depth + 1 words: of the logarithms `v` that the table of factors has for their hashes. The most frequent factors, at most
+`most_held` of them, are broadcast to save their join; all others are joined by hash, so the choice changes no result.
+A bitmap of at most 2**27 bits keeps sequences that surely have no factor out of the join.
+
+Words and sequences are known by 64-bit hashes. Null or empty text: the end token alone. A null in `learns` is false. Rows are
+separate even if equal. With no training rows N and V are 0, so every token has probability 1 / 1. Other columns are not used.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import stored
 
-END = b"\n"  # no word holds white space
 
+class WordHashes(dict):
+    """Signed XXH64 of words, remembered for as long as they are few."""
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), END]
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 7) - (1 << 63)
+        return h
 
 
-def pieces(texts: list[bytes | None], most: int = 2_000_000) -> Iterator[list[bytes | None]]:
-    """Consecutive texts, of about `most` bytes together."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or b"")
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+END = WordHashes()[b"\n"]  # no word holds white space
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """(word binary, c) over all training texts; every task adds up what it has read before it passes it on."""
+def tokenised(text: Column) -> Column:
+    """array<bigint>: the hashes of the words, then of the end."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
-        for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                c.update(tokens(t))
-            if len(c) > 400_000:
-                yield out()
-                c.clear()
-        yield out()
+    @F.arrow_udf("array<bigint>")
+    def hashes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = WordHashes()
+        of = known.__getitem__
+        for batch in texts:
+            lists = [[*map(of, (t or b"").lower().split()), END] for t in batch.cast(pa.binary()).to_pylist()]
+            yield pa.array(lists, pa.list_(pa.int64()))
 
-    return train.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return hashes(text)
 
 
-class Tree:
-    """Ids of the broadcast words by falling count, and the states of the tree as sorted codes.
+def pieces(lists: pa.ListArray, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(texts, tokens, the text of each token) for consecutive whole texts of about `most` tokens together."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), ends
+    a = 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+        yield b - a, flat[ends[a] : ends[b]].view(np.uint64), np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+        a = b
 
-    A first-order symbol has the code context * k + symbol, k being the number of words that can be in a context; a
-    second-order one has pair * k + symbol, pair being the rank of the context's own code among `pairs`.
-    """
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, k: int, total: int, distinct: int):
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.counts, self.k, self.total = counts, k, total
-        self.root = np.log10((counts + 1.0) / (total + distinct + 1.0)) if len(counts) else np.zeros(0)
-        self.end = self.ids.get(END, -1)
-        self.pairs = np.zeros(0, dtype=np.int64)
-        self.one = self.two = (np.zeros(0, dtype=np.int64), np.zeros(0))
-        self.rest_one, self.rest_two = np.full(max(k, 1), np.nan), np.zeros(0)
-
-    def lists(self, texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-        """Tokens of each text, ids of all tokens (-1: not broadcast), and each token's text."""
-        toks, get = [tokens(t) for t in texts], self.ids.get
-        ids = np.fromiter((get(w, -1) for t in toks for w in t), dtype=np.int64)
-        return toks, ids, np.repeat(np.arange(len(toks)), [len(t) for t in toks])
-
-    def before(self, ids: np.ndarray, doc: np.ndarray, back: int) -> np.ndarray:
-        """The id `back` tokens before in the same text, -1 if there is none that can be in a context."""
-        out = np.full(len(ids), -1, dtype=np.int64)
-        if back < len(ids):
-            same = doc[back:] == doc[:-back]
-            out[back:] = np.where(same & (ids[:-back] < self.k), ids[:-back], -1)
-        return out
-
-    def codes(self, ids: np.ndarray, doc: np.ndarray, order: int) -> np.ndarray:
-        """The code of every token of the given order, -1 where the context or the symbol is none of the tree's."""
-        one, symbol = self.before(ids, doc, 1), (ids >= 0) & (ids < self.k)
-        if order == 1:
-            return np.where(symbol & (one >= 0), one * self.k + ids, -1)
-        pair = self.pair(one, self.before(ids, doc, 2))
-        return np.where(symbol & (pair >= 0), pair * self.k + ids, -1)
-
-    def pair(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return find(self.pairs, np.where((one >= 0) & (two >= 0), two * self.k + one, -1))
-
-    def log10(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Each token's log10 probability, without the root's share for a token that isn't broadcast."""
-        if not len(self.root):
-            return np.zeros(len(ids))
-        p = np.where(ids >= 0, self.root[np.maximum(ids, 0)], 0.0)
-        one = self.before(ids, doc, 1)
-        p = step(p, self.one, self.codes(ids, doc, 1), np.where(one >= 0, self.rest_one[np.maximum(one, 0)], np.nan))
-        if len(self.pairs):
-            pair = self.pair(one, self.before(ids, doc, 2))
-            p = step(p, self.two, self.codes(ids, doc, 2), np.where(pair >= 0, self.rest_two[np.maximum(pair, 0)], np.nan))
-        return p
-
-
-def find(ordered: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The place of each code in `ordered`, -1 if it isn't there."""
-    if not len(ordered):
-        return np.full(len(codes), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(ordered, codes), len(ordered) - 1)
-    return np.where(ordered[at] == codes, at, -1)
-
-
-def step(parent: np.ndarray, symbols: tuple[np.ndarray, np.ndarray], codes: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """From a parent's log probabilities to a state's: kept symbols have their own, others the parent's share of the rest."""
-    at = find(symbols[0], codes)
-    own = symbols[1][np.maximum(at, 0)] if len(symbols[0]) else np.zeros(len(codes))
-    return np.where(at >= 0, own, np.where(np.isnan(rest), parent, parent + rest))
-
-
-def count_codes(train: DataFrame, tree: Tree, order: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the given order seen `least` times or more, sorted, with their counts: at most N / least of them."""
-    model = train.sparkSession.sparkContext.broadcast(tree)
+def longer(before: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n tokens from each place on, from those of n - 1 tokens; places too near to the end are left out."""
+    z = before[: len(tokens) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + tokens[n - 1 :]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def sequences(tokens: np.ndarray, n: int) -> list[np.ndarray]:
+    """Hashes of the sequences of 1 to n tokens."""
+    out = [tokens]
+    for k in range(2, n + 1):
+        out.append(longer(out[-1], tokens, k) if len(tokens) >= k else np.zeros(0, dtype=np.uint64))
+    return out
+
+
+class Bitmap:
+    """Surely absent, or perhaps there: the lowest bits of hashes."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.mask = words, np.uint64((1 << bits) - 1)
+
+    @staticmethod
+    def of(hashes: DataFrame, most_bits: int = 27) -> Bitmap:
+        """16 bits for each of the hashes (h), 2**most_bits at most; beyond that more pass that aren't there."""
+        bits = min(most_bits, max(10, (16 * hashes.count()).bit_length()))
+        word = F.shiftrightunsigned(F.col("h").bitwiseAND((1 << bits) - 1), 6).alias("w")
+        got = hashes.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
+        words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        words[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+        return Bitmap(words, bits)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        return (self.words[((h & self.mask) >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def count_sequences(texts: DataFrame, n: int, known: Bitmap | None, most: int = 1_500_000) -> DataFrame:
+    """(h, ctx, sfx, c) of the n-token sequences of texts (seq) whose first and last n - 1 tokens may be in `known`.
+
+    Every task adds up what it has read before it passes it on. ctx and sfx are the hashes of the first and last n - 1 tokens.
+    """
+    spark = texts.sparkSession
+    model = spark.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            h, ctx, sfx, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+            return u, ctx[at], sfx[at], np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)
 
         def out() -> pa.RecordBatch:
-            code, inverse = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate([m for _, m in held]), minlength=len(code)).astype(np.int64)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in merged()], ["h", "ctx", "sfx", "c"])
 
         for batch in batches:
-            for part in pieces(batch.column(0).cast(pa.binary()).to_pylist()):
-                _, ids, doc = model.value.lists(part)
-                codes = model.value.codes(ids, doc, order)
-                held.append(np.unique(codes[codes >= 0], return_counts=True))
-                size += len(held[-1][0])
-                if size > 2_000_000:
-                    yield out()
-                    size = 0
+            for _, tokens, doc in pieces(batch.column(0)):
+                if len(tokens) < n:
+                    continue
+                *_, short, h = [tokens, *sequences(tokens, n)]
+                ctx, sfx = (short[: len(h)], short[1 : len(h) + 1]) if n > 1 else (h, h)
+                keep = doc[: len(h)] == doc[n - 1 :]
+                if model.value is not None:
+                    keep &= model.value.has(ctx) & model.value.has(sfx)
+                h, ctx, sfx = h[keep], ctx[keep], sfx[keep]
+                u, at, c = np.unique(h, return_index=True, return_counts=True)
+                held.append((u, ctx[at], sfx[at], c))
+                if sum(len(x[0]) for x in held) > most:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > most // 2:
+                        yield out()
+                        held.clear()
         if held:
             yield out()
 
-    kept = train.select("text").mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    got = np.array([(r["code"], r["c"]) for r in kept.toLocalIterator()], dtype=np.int64).reshape(-1, 2)
-    got = got[np.argsort(got[:, 0])]
-    model.destroy()
-    return got[:, 0], got[:, 1]
+    rows = texts.select("seq").mapInArrow(count, "h long, ctx long, sfx long, c long")
+    return rows.groupBy("h").agg(F.min("ctx").alias("ctx"), F.min("sfx").alias("sfx"), F.sum("c").alias("c"))
 
 
-def grow(parent: np.ndarray, codes: np.ndarray, counts: np.ndarray, context: np.ndarray, context_counts: np.ndarray, divergence: float, discount: float) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """The symbols that pass the divergence test with their log10 probabilities, and every context's log10 share of the rest.
+def states(texts: DataFrame, words: DataFrame, depth: int, least: int, divergence: float, discount: float) -> DataFrame:
+    """(h, v, c): the factors of the tree over texts (seq), from its words (h, c, lp); c is the sequence's count.
 
-    parent: the parent's log10 probability of each code's symbol; context: the code's context. NaN: no state of its own.
+    A symbol kept in a state has, under the hash of context and symbol, the ratio of its probability to its parent's, less the
+    state's own factor; that is the ratio by which all other symbols' probabilities change, under the hash of the context.
     """
-    ratio = np.log(counts / context_counts[context]) - parent * np.log(10)
-    keep = counts * np.abs(ratio) >= divergence
-    codes, counts, context, parent = codes[keep], counts[keep], context[keep], parent[keep]
-    p = (counts - discount) / context_counts[context]
-    held = np.bincount(context, weights=p, minlength=len(context_counts))
-    lost = np.bincount(context, weights=10.0**parent, minlength=len(context_counts))
-    rest = np.where(np.bincount(context, minlength=len(context_counts)) > 0, np.log10(np.maximum(1 - held, 1e-12) / np.maximum(1 - lost, 1e-12)), np.nan)
-    return (codes, np.log10(p)), rest
-
-
-def fit(train: DataFrame, words: DataFrame, total: int, distinct: int, least: float = 1e-5, least_word: float = 1e-6, divergence: float = 12.0, discount: float = 0.5) -> Tree:
-    """The tree from (text) and the counts of all its tokens (word, c)."""
-    common = [(bytes(r["word"]), r["c"]) for r in words.where(F.col("c") >= max(1.0, least_word * total)).toLocalIterator()] if total else []
-    common.sort(key=lambda x: (-x[1], x[0]))
-    counts = np.array([c for _, c in common], dtype=np.float64)
-    floor = max(4.0, least * total)
-    tree = Tree([w for w, _ in common], counts, int((counts >= floor).sum()), total, distinct)
-    k = tree.k
-    if not k:
-        return tree
-    codes, seen = count_codes(train, tree, 1, floor)
-    contexts = np.maximum(counts[:k], 1.0)
-    tree.one, tree.rest_one = grow(tree.root[codes % k], codes, seen, codes // k, contexts, divergence, discount)
-    ends = codes % k == tree.end
-    tree.pairs, pair_counts = codes[~ends], seen[~ends].astype(np.float64)
-    if len(tree.pairs):
-        two, seen = count_codes(train, tree, 2, floor)
-        # The parent of (a, b) -> w is b -> w.
-        b, w = tree.pairs[two // k] % k, two % k
-        parent = step(tree.root[w], tree.one, b * k + w, tree.rest_one[b])
-        tree.two, tree.rest_two = grow(parent, two, seen, two // k, pair_counts, divergence, discount)
-    return tree
-
-
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: float) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; train has a column text."""
+    known, found = stored(words.where(F.col("c") >= least).select("h", "c", "lp"), "sequences"), []
+    for n in range(2, depth + 2):
+        grams = stored(count_sequences(texts, n, Bitmap.of(known.select("h"))).where(F.col("c") >= least), "counts")
+        if grams.isEmpty():
+            break
+        g = grams.join(known.select(F.col("h").alias("sfx"), F.col("lp").alias("parent")), "sfx").join(known.select(F.col("h").alias("ctx"), F.col("c").alias("all")), "ctx")
+        ratio = F.log(F.col("c") / F.col("all")) - F.col("parent") * F.lit(float(np.log(10)))
+        g = g.withColumn("kept", F.col("c") * F.abs(ratio) >= divergence).withColumn("p", (F.col("c") - discount) / F.col("all"))
+        g = stored(g, "tested")
+        left = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
+        rest = g.where("kept").groupBy("ctx").agg(F.log10(left(F.col("p")) / left(F.pow(F.lit(10.0), "parent"))).alias("rest"), F.max("all").alias("n"))
+        rest = stored(rest, "states")
+        g = g.join(rest.drop("n"), "ctx", "left")
+        found += [rest.select(F.col("ctx").alias("h"), F.col("rest").alias("v"), F.col("n").alias("c")), g.where("kept").select("h", (F.log10("p") - F.col("parent") - F.col("rest")).alias("v"), "c")]
+        lp = F.when(F.col("kept"), F.log10("p")).otherwise(F.col("parent") + F.coalesce("rest", F.lit(0.0)))
+        known = stored(g.select("h", "c", lp.alias("lp")), "sequences")
+    out = words.select("h", F.lit(0.0).alias("v"), "c").limit(0)
+    for f in found:
+        out = out.unionByName(f)
+    return out
+
+
+def most_frequent(factors: DataFrame, most: int) -> float:
+    """The least count from which on there are at most `most` factors, found by a histogram of the counts' logarithms."""
+    bins = {r["b"]: r["n"] for r in factors.groupBy(F.ceil(F.log2("c") * 8).alias("b")).agg(F.count("*").alias("n")).collect()}
+    held, at = 0, float("inf")
+    for b in sorted(bins, reverse=True):
+        held += bins[b]
+        if held > most:
+            break
+        at = 2.0 ** ((b - 1) / 8) * (1 + 1e-9)
+    return at
+
+
+class Held:
+    """The broadcast factors, sorted by hash, and the bitmap of all others."""
+
+    def __init__(self, rows: pa.Table, others: Bitmap, unknown: float):
+        h = rows.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        self.h, self.others, self.unknown = h[order], others, unknown
+        self.v, self.root, self.word = (rows.column(c).to_numpy()[order] for c in ("v", "root", "word"))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, at, -1)
+
+
+TAIL = pa.struct([("h", pa.int64()), ("one", pa.bool_()), ("n", pa.int64())])
+
+
+def summed(model: Held, n: int, tokens: np.ndarray, doc: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """known, base, score of n texts from the broadcast factors, and (doc, h, one) of the sequences to be joined."""
+    known, base, score = np.zeros(n), np.zeros(n), np.zeros(n)
+    tails = []
+    for k, h in enumerate(sequences(tokens, depth + 1), 1):
+        d = doc[: len(h)]
+        if k > 1:
+            whole = d == doc[k - 1 :]
+            h, d = h[whole], d[whole]
+        at = model.find(h)
+        hit, maybe = at >= 0, (at < 0) & model.others.has(h)
+        tails.append((d[maybe], h[maybe], np.full(int(maybe.sum()), k == 1)))
+        at, d1 = at[hit], d[hit]
+        score += np.bincount(d1, weights=model.v[at], minlength=n)
+        if k == 1:
+            known += np.bincount(d1, weights=model.word[at], minlength=n)
+            # What can't be a word of the training texts is known to be new at once.
+            new = np.bincount(d[~hit & ~maybe], minlength=n) * model.unknown
+            base += np.bincount(d1, weights=model.root[at], minlength=n) + new
+            score += new
+    return known, base, score, *(np.concatenate(x) for x in zip(*tails, strict=True))
+
+
+def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 4, divergence: float = 12.0, discount: float = 0.5, most_held: int = 500_000) -> DataFrame:
+    """(id, learnt, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; the model learns from the rows where `learns` holds."""
     spark = docs.sparkSession
-    words = stored(count_words(train), "words")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learnt"), F.monotonically_increasing_id().alias("row"), tokenised(F.col(text_col)).alias("seq"))
+    rows = stored(rows, "tokens")
+    train = rows.where("learnt").select("seq")
+    words = stored(count_sequences(train, 1, None).select("h", "c"), "words")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
-    model = spark.sparkContext.broadcast(fit(train, words, total, distinct, **params))
-    least = float(model.value.counts.min()) if len(model.value.counts) else float("inf")
-    kind = "struct<n_tokens:bigint,n_known:bigint,base:double,score:double,tail:array<struct<word:binary,n:bigint>>>"
-
-    @F.arrow_udf(kind)
-    def read(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tree = model.value
-        for batch in texts:
-            rows = []
-            for part in pieces(batch.cast(pa.binary()).to_pylist()):
-                toks, ids, doc = tree.lists(part)
-                n, got = len(part), ids >= 0
-                base = np.bincount(doc, weights=np.where(got, tree.root[np.maximum(ids, 0)], 0.0) if len(tree.root) else None, minlength=n)
-                base = base if len(tree.root) else np.zeros(n)
-                value = np.bincount(doc, weights=tree.log10(ids, doc), minlength=n)
-                known = np.bincount(doc, weights=got, minlength=n)
-                starts = np.concatenate(([0], np.cumsum([len(t) for t in toks])))
-                for k, t in enumerate(toks):
-                    tail = Counter(t[i] for i in np.flatnonzero(~got[starts[k] : starts[k + 1]]))
-                    rows.append({"n_tokens": len(t), "n_known": int(known[k]), "base": base[k], "score": value[k], "tail": [{"word": w, "n": c} for w, c in tail.items()]})
-            yield pa.array(rows, type=pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))]))
-
-    heads = stored(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), read(F.col(text_col)).alias("r")), "scores")
-    tail = heads.select("row", F.explode("r.tail").alias("t")).select("row", "t.word", "t.n")
-    rare = words.where(F.col("c") < F.lit(least))
-    each = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    tails = tail.join(rare, "word", "left").groupBy("row").agg(F.sum(each).alias("tail_score"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"))
-    out = heads.drop("tail").join(tails, "row", "left")
+    unknown = float(-np.log10(total + distinct + 1.0))
+    words = words.withColumn("lp", F.log10(F.col("c") + 1) + F.lit(unknown))
+    roots = words.select("h", F.col("lp").alias("v"), "c", F.col("lp").alias("root"), F.lit(True).alias("word"))
+    tree = states(train, words, depth, least, divergence, discount)
+    tree = tree.withColumn("root", F.lit(0.0)).withColumn("word", F.lit(False))
+    factors = roots.unionByName(tree).groupBy("h").agg(F.sum("v").alias("v"), F.max("c").alias("c"), F.sum("root").alias("root"), F.bool_or("word").alias("word"))
+    factors = stored(factors, "factors")
+    at = most_frequent(factors, most_held)
+    others = factors.where(F.col("c") < at).select("h", "v", "root", "word")
+    model = spark.sparkContext.broadcast(Held(factors.where(F.col("c") >= at).toArrow(), Bitmap.of(others.select("h")), unknown))
+
+    @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base:double,score:double,tail:array<struct<h:bigint,one:boolean,n:bigint>>>")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(4)]
+            tail: list[list] = [[np.zeros(1, dtype=np.int64)], [], [], []]
+            for n, tokens, doc in pieces(batch):
+                known, base, value, d, h, one = summed(model.value, n, tokens, doc, depth)
+                for c, x in zip(cols, (np.bincount(doc, minlength=n), known.astype(np.int64), base, value), strict=True):
+                    c.append(x)
+                order = np.lexsort((h, d))
+                d, h, one = d[order], h[order], one[order]
+                first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])))) if len(d) else np.zeros(0, dtype=np.int64)
+                tail[0].append(tail[0][-1][-1] + np.cumsum(np.bincount(d[first], minlength=n)))
+                for c, x in zip(tail[1:], (h[first].view(np.int64), one[first], np.diff(np.append(first, len(d)))), strict=True):
+                    c.append(x)
+            join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+            items = pa.StructArray.from_arrays([join(c, f.type) for c, f in zip(tail[1:], TAIL, strict=True)], fields=list(TAIL))
+            done = [join(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            yield pa.StructArray.from_arrays([*done, pa.ListArray.from_arrays(join(tail[0], pa.int32()), items)], ["n_tokens", "n_known", "base", "score", "tail"])
+
+    heads = stored(rows.select("id", "learnt", "row", read("seq").alias("r")), "scores")
+    model.destroy()
+    tail = heads.select("row", F.explode("r.tail").alias("t")).select("row", "t.h", "t.one", "t.n")
+    new = F.when(F.col("one"), F.lit(unknown)).otherwise(F.lit(0.0))
+    met = tail.join(others, "h", "left").groupBy("row").agg(
+        F.sum(F.col("n") * F.coalesce("v", new)).alias("tail_score"),
+        F.sum(F.when(F.col("one"), F.col("n") * F.coalesce("root", new)).otherwise(F.lit(0.0))).alias("tail_base"),
+        F.sum(F.when(F.col("one") & F.col("word"), F.col("n")).otherwise(0)).alias("tail_known"),
+    )
+    out = heads.join(met, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select("id", F.col("r.n_tokens").alias("n_tokens"), (F.col("r.n_known") + zero("tail_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("r.base") + zero("tail_score")).alias("base_score"), (F.col("r.score") + zero("tail_score")).alias("score"))
+    return out.select("id", "learnt", F.col("r.n_tokens").alias("n_tokens"), (F.col("r.n_known") + zero("tail_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("r.base") + zero("tail_base")).alias("base_score"), (F.col("r.score") + zero("tail_score")).alias("score"))

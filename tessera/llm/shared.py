@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session names it; a local test session that doesn't gets a fresh one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. The session names it; only a session on one machine may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        base = known or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -227,25 +227,42 @@ def test_language_model(spark, docs, odd):
         assert out[i]["n_known"] == sum(w in c for w in t) and out[i]["train_tokens"] == n
     held = [r for r in out.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    assert language_model.score(odd, odd.select("text")).count() == 8
-    assert language_model.score(odd, empty(odd.select("text"))).agg(F.sum("train_tokens")).first()[0] == 0
+    edge = {(r["id"], r["n_tokens"]): r for r in language_model.score(odd, F.lit(True)).collect()}
+    n, v = 1 + 1 + 2 * 3 + 4 + 2 + 2 * 30_001, 30_000 + 3 + 1 + 1
+    assert len(edge) == 7 and edge[None, 4]["train_tokens"] == n and edge[None, 4]["n_known"] == 4
+    assert edge[1, 1]["base_score"] == edge[2, 1]["base_score"] == pytest.approx(math.log10(9 / (n + v + 1)))
+    assert edge[3, 3]["base_score"] == pytest.approx((math.log10(4) * 2 + math.log10(9)) - 3 * math.log10(n + v + 1))
+    none = language_model.score(odd, F.lit(None).cast("boolean")).agg(F.sum("train_tokens"), F.sum("score"), F.sum("n_known")).first()
+    assert tuple(none) == (0, 0.0, 0) and language_model.score(empty(odd), F.lit(True)).count() == 0
 
 
-def test_tree_states_sum_to_one(spark):
+def test_tree_states_sum_to_one_and_score_texts(spark):
+    """The broadcast size changes no score, and the ratios over the states make distributions, to a depth of three words."""
     rng = np.random.default_rng(3)
-    text = [" ".join(rng.choice(["a b", "a c", "b a", "c d"], size=40, p=[0.6, 0.1, 0.2, 0.1])) for _ in range(50)]
-    train = spark.createDataFrame([(t,) for t in text], "text string")
-    words = language_model.count_words(train).cache()
-    n = words.agg(F.sum("c")).first()[0]
-    tree = language_model.fit(train, words, n, words.count(), least=1e-3)
-    assert len(tree.one[0]) and len(tree.two[0])
-    for context in ([], ["a"], ["b", "a"], ["c"]):
-        total = 0.0
-        for w in [*(tree.ids[x.encode()] for x in "abcd"), tree.end, -1]:
-            ids = np.array([*(tree.ids[x.encode()] for x in context), w])
-            p = 10 ** tree.log10(ids, np.zeros(len(ids), dtype=int))[-1]
-            total += p if w >= 0 else p / (n + words.count() + 1)  # an unknown word: the state's share of the root's
-        assert total == pytest.approx(1, abs=1e-9)
+    texts = [" ".join(rng.choice(["a b", "a c", "b a", "c d", "a b c d"], size=40, p=[0.5, 0.1, 0.2, 0.1, 0.1])) for _ in range(50)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = [{r["id"]: r["score"] for r in language_model.score(df, F.col("doc_id") < 40, most_held=m).collect()} for m in (100_000, 3, 0)]
+    assert all(got[0][k] == pytest.approx(g[k], abs=1e-9) for g in got for k in got[0])
+    seqs = df.select(language_model.tokenised(F.col("text")).alias("seq"))
+    words = language_model.count_sequences(seqs, 1, None).select("h", "c")
+    n, v = words.agg(F.sum("c")).first()[0], words.count()
+    words = words.withColumn("lp", F.log10((F.col("c") + 1) / F.lit(n + v + 1.0)))
+    root = {r["h"]: r["lp"] for r in words.collect()}
+    factors = Counter()
+    for r in language_model.states(seqs, words, 3, 4, 2.0, 0.5).collect():
+        factors[r["h"]] += r["v"]
+    h = language_model.WordHashes()
+
+    def lp(context, w):
+        seq = np.array([*(h[x.encode()] for x in context), w], dtype=np.int64).view(np.uint64)
+        runs = [(k, s) for k, s in enumerate(language_model.sequences(seq, 4), 1)]
+        value = root.get(w, math.log10(1 / (n + v + 1)))
+        # The token's own sequences end with it; those of its context end one before, and have at most three words.
+        return value + sum(factors[int(s[len(seq) - k].view(np.int64))] for k, s in runs if 1 < k <= len(seq)) + sum(factors[int(s[len(seq) - 1 - k].view(np.int64))] for k, s in runs if k <= min(3, len(seq) - 1))
+
+    assert len(factors) > 20
+    for context in ([], ["a"], ["b", "a"], ["c"], ["a", "b", "c"], ["b", "c", "d"]):
+        assert sum(10 ** lp(context, w) for w in [*root, 12345]) == pytest.approx(1, abs=1e-9)
 
 
 def test_components_of_a_long_chain(spark):
