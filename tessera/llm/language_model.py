@@ -20,6 +20,7 @@ separate even if equal. With no training rows N and V are 0, so every token has
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -147,8 +148,8 @@ def count_sequences(texts: DataFrame, n: int, known: Bitmap | None, most: int =
     return rows.groupBy("h").agg(F.min("ctx").alias("ctx"), F.min("sfx").alias("sfx"), F.sum("c").alias("c"))
 
 
-def states(texts: DataFrame, words: DataFrame, depth: int, least: int, divergence: float, discount: float) -> DataFrame:
-    """(h, v, c): the factors of the tree over texts (seq), from its words (h, c, lp); c is the sequence's count.
+def states(texts: DataFrame, words: DataFrame, depth: int, least: int, divergence: float, discount: float) -> tuple[DataFrame, DataFrame]:
+    """(h, v, c) of contexts and (h, v, c) of contexts with a symbol: the factors of the tree over texts (seq), from its words (h, c, lp); c is the sequence's count.
 
     A symbol kept in a state has, under the hash of context and symbol, the ratio of its probability to its parent's, less the
     state's own factor; that is the ratio by which all other symbols' probabilities change, under the hash of the context.
@@ -166,13 +167,11 @@ def states(texts: DataFrame, words: DataFrame, depth: int, least: int, divergenc
         rest = g.where("kept").groupBy("ctx").agg(F.log10(left(F.col("p")) / left(F.pow(F.lit(10.0), "parent"))).alias("rest"), F.max("all").alias("n"))
         rest = stored(rest, "states")
         g = g.join(rest.drop("n"), "ctx", "left")
-        found += [rest.select(F.col("ctx").alias("h"), F.col("rest").alias("v"), F.col("n").alias("c")), g.where("kept").select("h", (F.log10("p") - F.col("parent") - F.col("rest")).alias("v"), "c")]
+        found.append((rest.select(F.col("ctx").alias("h"), F.col("rest").alias("v"), F.col("n").alias("c")), g.where("kept").select("h", (F.log10("p") - F.col("parent") - F.col("rest")).alias("v"), "c")))
         lp = F.when(F.col("kept"), F.log10("p")).otherwise(F.col("parent") + F.coalesce("rest", F.lit(0.0)))
         known = stored(g.select("h", "c", lp.alias("lp")), "sequences")
-    out = words.select("h", F.lit(0.0).alias("v"), "c").limit(0)
-    for f in found:
-        out = out.unionByName(f)
-    return out
+    none = words.select("h", F.lit(0.0).alias("v"), "c").where("1 = 0")
+    return tuple(reduce(DataFrame.unionByName, side, none) for side in (zip(*found, strict=True) if found else ((), ())))
 
 
 def most_frequent(factors: DataFrame, most: int) -> float:
@@ -241,8 +240,8 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     unknown = float(-np.log10(total + distinct + 1.0))
     words = words.withColumn("lp", F.log10(F.col("c") + 1) + F.lit(unknown))
     roots = words.select("h", F.col("lp").alias("v"), "c", F.col("lp").alias("root"), F.lit(True).alias("word"))
-    tree = states(train, words, depth, least, divergence, discount)
-    tree = tree.withColumn("root", F.lit(0.0)).withColumn("word", F.lit(False))
+    contexts, symbols = states(train, words, depth, least, divergence, discount)
+    tree = contexts.unionByName(symbols).withColumn("root", F.lit(0.0)).withColumn("word", F.lit(False))
     factors = roots.unionByName(tree).groupBy("h").agg(F.sum("v").alias("v"), F.max("c").alias("c"), F.sum("root").alias("root"), F.bool_or("word").alias("word"))
     factors = stored(factors, "factors")
     at = most_frequent(factors, most_held)

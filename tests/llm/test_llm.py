@@ -248,19 +248,17 @@ def test_tree_states_sum_to_one_and_score_texts(spark):
     n, v = words.agg(F.sum("c")).first()[0], words.count()
     words = words.withColumn("lp", F.log10((F.col("c") + 1) / F.lit(n + v + 1.0)))
     root = {r["h"]: r["lp"] for r in words.collect()}
-    factors = Counter()
-    for r in language_model.states(seqs, words, 3, 4, 2.0, 0.5).collect():
-        factors[r["h"]] += r["v"]
+    contexts, symbols = ({r["h"]: r["v"] for r in f.collect()} for f in language_model.states(seqs, words, 3, 4, 2.0, 0.5))
     h = language_model.WordHashes()
 
     def lp(context, w):
         seq = np.array([*(h[x.encode()] for x in context), w], dtype=np.int64).view(np.uint64)
         runs = [(k, s) for k, s in enumerate(language_model.sequences(seq, 4), 1)]
         value = root.get(w, math.log10(1 / (n + v + 1)))
-        # The token's own sequences end with it; those of its context end one before, and have at most three words.
-        return value + sum(factors[int(s[len(seq) - k].view(np.int64))] for k, s in runs if 1 < k <= len(seq)) + sum(factors[int(s[len(seq) - 1 - k].view(np.int64))] for k, s in runs if k <= min(3, len(seq) - 1))
+        value += sum(symbols.get(int(s[len(seq) - k].view(np.int64)), 0) for k, s in runs if 1 < k <= len(seq))
+        return value + sum(contexts.get(int(s[len(seq) - 1 - k].view(np.int64)), 0) for k, s in runs if k <= min(3, len(seq) - 1))
 
-    assert len(factors) > 20
+    assert len(contexts) > 5 and len(symbols) > 20
     for context in ([], ["a"], ["b", "a"], ["c"], ["a", "b", "c"], ["b", "c", "d"]):
         assert sum(10 ** lp(context, w) for w in [*root, 12345]) == pytest.approx(1, abs=1e-9)
 
