@@ -3,11 +3,11 @@
 A fingerprint bit is set where it is set in over half the shingle hashes. Fingerprints that differ in at most `radius` bits
 link, and documents reach one another over links.
 
-Candidates: fingerprints are split into bands, and rows that share a band meet in a bucket. With radius + 1 bands that
-cover the fingerprint every link shares a band, so none is lost. A bucket over `tile` rows is dealt out over pairs of
-tiles, each pair a unit of work of its own. Within a stretch of bucket-sorted rows the bit planes are stored vertically, as
-integers with a bit for every row: a shift by s and an XOR compares all rows with those s further on, carry-save
-counters that overflow beyond the radius add the planes up, and the shift is abandoned once no pair is left.
+Candidates: rows meet in the buckets of their keys. A fingerprint that is cut into radius + 3 blocks has one key for every
+choice of three of them; two fingerprints within the radius agree on three blocks at least, so no link is lost. A bucket over `tile`
+rows is dealt out over pairs of tiles, each pair a unit of work of its own. Within a stretch of bucket-sorted rows the bit planes
+are stored vertically, as integers with a bit for every row: a shift by s and an XOR compares all rows with those s further
+on, carry-save counters that overflow beyond the radius add the planes up, and the shift is abandoned once no pair is left.
 
 Null or empty texts have the fingerprint zero, linked like any other; a text with fewer words than a shingle is one
 shingle. Equal fingerprints meet as one node, so a group of copies costs one comparison. Null ids take part, and count as
@@ -17,6 +17,7 @@ no id in the least id of a component. Empty input: empty result. Other columns a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -49,17 +50,17 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def majority(h: np.ndarray) -> int:
-    """Signed 64 bits: those set in over half of the hashes."""
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
     counts = np.zeros(64, dtype=np.int64)
     for a in range(0, len(h), 65_536):
         part = h[a : a + 65_536]
         counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
+    return counts
 
 
-def fingerprint(text: Column, words: int = 3, lanes: int = 1) -> Column:
-    """array<bigint> of `lanes` times 64 fingerprint bits."""
+def fingerprint(text: Column, words: int = 3) -> Column:
+    """array<bigint> of one: 64 fingerprint bits of the shingles, repeats included."""
 
     @F.arrow_udf("array<bigint>")
     def prints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -67,12 +68,57 @@ def fingerprint(text: Column, words: int = 3, lanes: int = 1) -> Column:
             rows = []
             for x in t.cast(pa.binary()).to_pylist():
                 h = shingle_hashes(x, words)
-                rows.append([majority(remixed(h, k)) for k in range(lanes)])
+                rows.append([int(np.packbits(2 * bit_counts(h) > len(h), bitorder="little").view("<i8")[0])])
             yield pa.array(rows, pa.list_(pa.int64()))
 
     return prints(text)
 
 
+def probes(counts: np.ndarray, n: int, bands: int, width: int) -> np.ndarray:
+    """Keys of `bands` bands of `width` bits: each band's bits, and those with its two least sure bits turned over.
+
+    A bit that a few shingles decide is the one that a near copy has otherwise, so a band meets far more near copies by its four
+    keys than by one.
+    """
+    at = (np.arange(bands) * 7 % (len(counts) // 16) * 16)[:, None] + np.arange(width)
+    margin, bits = np.abs(2 * counts[at] - n), (2 * counts[at] > n).astype(np.int64)
+    unsure = np.argpartition(margin, 1, axis=1)[:, :2]
+    value, (one, two) = (bits << np.arange(width)).sum(axis=1), (1 << unsure).T
+    keys = np.stack([value, value ^ one, value ^ two, value ^ one ^ two], axis=1)
+    return (keys + (np.arange(bands) << 32)[:, None]).ravel()
+
+
+def sketch(text: Column, words: int, lanes: int, bands: int, width: int, few: int = 16) -> Column:
+    """struct<node, fp, keys>: a hash of the set of shingles, lanes * 64 fingerprint bits of it, and the keys of its buckets.
+
+    The bits of a set of `few` shingles or fewer say little, so it has as further keys the hashes of the set itself and of the set
+    without each one of its shingles: sets that differ in one of them, by insertion or exchange, meet for certain.
+    """
+
+    @F.arrow_udf("struct<node:bigint,fp:array<bigint>,keys:array<bigint>>")
+    def sketches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            node, fps, keys = [], [], []
+            for x in t.cast(pa.binary()).to_pylist():
+                h = np.unique(shingle_hashes(x, words))
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), 3) - (1 << 63))
+                if not len(h):
+                    fps.append([0] * lanes)
+                    keys.append([])
+                    continue
+                counts = np.concatenate([bit_counts(remixed(h, k)) for k in range(lanes)])
+                fps.append(np.packbits(2 * counts > len(h), bitorder="little").view("<i8"))
+                found = probes(counts, len(h), bands, width)
+                if len(h) <= few:
+                    each = remixed(h, lanes)
+                    found = np.concatenate((found, np.append(each.sum(dtype=np.uint64) - each, each.sum(dtype=np.uint64)).view(np.int64)))
+                keys.append(found)
+            lists = pa.list_(pa.int64())
+            yield pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(fps, lists), pa.array(keys, lists)], ["node", "fp", "keys"])
+
+    return sketches(text)
+
+
 def planes_of(fps: np.ndarray) -> list[int]:
     """The bit planes of (n, lanes) fingerprints: integers whose bit r is the bit of row r."""
     bits = np.unpackbits(np.ascontiguousarray(fps.astype("<u8")).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
@@ -128,10 +174,9 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def dealt(prints: DataFrame, bands: list[tuple[int, int, int]], tile: int) -> DataFrame:
-    """(key, i, j, node, fp) of prints (node, fp), sorted into units: a bucket's pair of tiles. Bands are (lane, shift, width <= 32)."""
-    keys = [(F.shiftrightunsigned(F.col("fp")[lane], shift).bitwiseAND((1 << width) - 1)) + F.lit(k << 32) for k, (lane, shift, width) in enumerate(bands)]
-    rows = prints.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
+def dealt(prints: DataFrame, tile: int) -> DataFrame:
+    """(key, i, j, node, fp) of prints (node, fp, keys), sorted into units: a bucket's pair of tiles."""
+    rows = prints.select("node", "fp", F.explode("keys").alias("key"))
     # Few keys pass the size of a tile, so the planner can broadcast them by their stored size; where there are many it joins.
     hot = stored(rows.groupBy("key").count().where(F.col("count") > tile), "buckets")
     rows = rows.join(hot, "key", "left").withColumn("tiles", F.coalesce(F.ceil(F.col("count") / tile), F.lit(1)).cast("int"))
@@ -168,58 +213,15 @@ def compared(rows: DataFrame, found: Callable[[np.ndarray, np.ndarray, np.ndarra
     return rows.mapInArrow(compare, schema)
 
 
-def links(prints: DataFrame, radius: int, bands: list[tuple[int, int, int]], tile: int = 1024) -> DataFrame:
-    """Edges (a, b) that connect the rows of prints (node, fp) as all links would."""
+def links(prints: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
+    """Edges (a, b) that connect the rows of prints (node, fp, keys) as all links within `radius` bits would."""
 
     def connected(group: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         label = stars(len(node), *close_pairs(group, fps, radius))
-        moved = np.flatnonzero(label != np.arange(len(node)))
+        moved = np.flatnonzero(node != node[label])
         return pa.RecordBatch.from_arrays([pa.array(node[moved], pa.int64()), pa.array(node[label[moved]], pa.int64())], ["a", "b"])
 
-    return compared(dealt(prints, bands, tile), connected, "a long, b long").distinct()
-
-
-def chosen(node: np.ndarray, fps: np.ndarray, i: np.ndarray, j: np.ndarray, sure: int) -> tuple[np.ndarray, ...]:
-    """(row, partner, bits, degree): of each row's partners over the pairs the nearest, the most central, and the least within `sure` bits.
-
-    The degree of a partner is its number of pairs within the bits that a similarity of 0.8 has on average.
-    """
-    n, middle = len(node), 78 * fps.shape[1] // 8
-    bits = np.concatenate([np.bitwise_count(fps[i[k : k + 65_536]] ^ fps[j[k : k + 65_536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 65_536)])
-    order = np.argsort(node, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    inner = bits <= middle
-    degree = np.bincount(i[inner], minlength=n) + np.bincount(j[inner], minlength=n)
-    none = np.iinfo(np.int64).max
-    best = [np.full(n, none) for _ in range(3)]
-    for x, y in ((i, j), (j, i)):
-        for b, value, of in zip(best, (bits, n - degree[y], 0 * bits), (bits >= 0, bits >= 0, bits <= sure), strict=True):
-            np.minimum.at(b, x[of], ((value * n + rank[y]) * 4096 + bits)[of])
-    row = [np.flatnonzero(b < none) for b in best]
-    value = np.concatenate([b[r] for b, r in zip(best, row, strict=True)])
-    other = order[value // 4096 % n]
-    return np.concatenate(row), other, value % 4096, degree[other]
-
-
-def candidate_links(prints: DataFrame, radius: int, sure: int, bands: list[tuple[int, int, int]], tile: int = 1024, spread: int = 4) -> DataFrame:
-    """At most spread + 2 candidate edges (a, b) a node of prints (node, fp) within `radius` bits.
-
-    Of a node's partners: the nearest of each of `spread` shares, the one with most partners of its own, and the least one within
-    `sure` bits. So a large group of near copies leaves a few edges a node and not all its pairs, and its members still meet,
-    at the text that most of them are near to.
-    """
-
-    def picked(group: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        i, j = close_pairs(group, fps, radius)
-        row, other, bits, degree = chosen(node, fps, i, j, sure) if len(i) else (i, i, i, i)
-        return pa.RecordBatch.from_arrays([pa.array(node[row], pa.int64()), pa.array(node[other], pa.int64()), pa.array(bits, pa.int64()), pa.array(degree, pa.int64())], ["a", "b", "bits", "degree"])
-
-    met = compared(dealt(prints, bands, tile), picked, "a long, b long, bits long, degree long").where("a <> b")
-    near = [F.min(F.when(F.pmod("b", F.lit(spread)) == k, F.struct("bits", "b"))).alias(f"n{k}") for k in range(spread)]
-    best = met.groupBy("a").agg(*near, F.max(F.struct("degree", "b")).alias("hub"), F.min(F.when(F.col("bits") <= sure, F.col("b"))).alias("safe"))
-    each = best.select("a", F.explode(F.array_compact(F.array(*[f"n{k}.b" for k in range(spread)], "hub.b", "safe"))).alias("b"))
-    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return compared(dealt(prints, tile), connected, "a long, b long").distinct()
 
 
 def shingle_set(text: Column, words: int) -> Column:
@@ -233,12 +235,69 @@ def shingle_set(text: Column, words: int) -> Column:
     return sets(text)
 
 
-def verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The edges (a, b) whose sets of sets (node, set) have a Jaccard similarity of `least` or more."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
-    both = edges.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+def similar(flat: np.ndarray, ends: np.ndarray, least: float) -> np.ndarray:
+    """Labels of the sets flat[ends[k]:ends[k + 1]], none empty: equal where links of Jaccard similarity `least` or more connect them.
+
+    A set is compared with all sets of other labels at once. Sets of the largest label need no turn of their own, as each of
+    the others is compared with them; so a group whose members soon meet costs a few turns and not one for each pair.
+    """
+    n, size = len(ends) - 1, np.diff(ends)
+    codes = np.unique(flat, return_inverse=True)[1].ravel()
+    mark = np.zeros(codes.max() + 1, dtype=bool)
+    label, seen = np.arange(n), np.zeros(n, dtype=bool)
+    while True:
+        turn = np.flatnonzero(~seen & (label != np.bincount(label, minlength=n).argmax()))
+        if not len(turn):
+            return label
+        p = turn[0]
+        seen[p] = mark[codes[ends[p] : ends[p + 1]]] = True
+        shared = np.add.reduceat(mark[codes], ends[:-1], dtype=np.int64)
+        mark[codes[ends[p] : ends[p + 1]]] = False
+        near = (shared + 1e-9 >= least * (size + size[p] - shared)) & (label != label[p])
+        if near.any():
+            label[np.isin(label, label[near])] = label[p]
+
+
+def verified(sets: DataFrame, least: float, tile: int = 1024, tile_items: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) that connect the rows of sets (root, node, set) of equal root as all their links of `least` or more would.
+
+    All members of a root are compared, none of them skipped: a root with more than `tile` members, or with long sets, is dealt out
+    over pairs of tiles. What leaves a unit is one edge for each member that has a link, however many links it has.
+    """
+    size = sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum(F.size("set")) / tile_items)).cast("int").alias("tiles")).where("tiles > 1")
+    rows = sets.join(stored(size, "roots"), "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "set")
+    rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(part: pa.Table) -> pa.RecordBatch:
+            node, lists = part.column("node").to_numpy(), part.column("set").combine_chunks()
+            flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            unit = np.column_stack([part.column(c).to_numpy().astype(np.int64) for c in ("root", "i", "j")])
+            at = np.concatenate(([0], np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1, [len(unit)]))
+            a, b = [], []
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                label = similar(flat[ends[s] : ends[e]], ends[s : e + 1] - ends[s], least)
+                a.append(node[s:e])
+                b.append(node[s:e][label])
+            a, b = np.concatenate(a), np.concatenate(b)
+            return pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], ["a", "b"])
+
+        rest = None
+        for batch in batches:
+            got = pa.Table.from_batches([batch])
+            got = pa.concat_tables([rest, got]) if rest is not None else got
+            unit = np.column_stack([got.column(c).to_numpy().astype(np.int64) for c in ("root", "i", "j")])
+            last = np.flatnonzero((unit != unit[-1:]).any(axis=1))
+            end = int(last[-1]) + 1 if len(last) else 0
+            if end:
+                yield edges(got.slice(0, end))
+            rest = got.slice(end)
+        if rest is not None and rest.num_rows:
+            yield edges(rest)
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def slices(unit: np.ndarray, most: int = 8192) -> Iterator[slice]:
@@ -251,60 +310,55 @@ def slices(unit: np.ndarray, most: int = 8192) -> Iterator[slice]:
             start = e
 
 
-def exact_bands(radius: int) -> list[tuple[int, int, int]]:
-    """radius + 1 bands of one 64-bit lane."""
-    at = [64 * k // (radius + 1) for k in range(radius + 2)]
-    if at[1] > 32:
-        raise ValueError("a band holds 32 bits at most: the radius must be 1 or more")
-    return [(0, a, b - a) for a, b in zip(at, at[1:], strict=False)]
-
-
-def near_nodes(prints: DataFrame, single: bool) -> DataFrame:
-    """(node, fp, least): one node for each distinct fp of prints (id, fp), with the least id that has it."""
-    node = F.col("fp")[0] if single else F.xxhash64("fp")
-    return cut(prints.groupBy("fp").agg(F.min("id").alias("least")).select(node.alias("node"), "fp", "least"))
+def block_keys(fp: Column, radius: int) -> Column:
+    """The keys of a 64-bit fingerprint: every choice of three of its radius + 3 blocks, hashed with the choice."""
+    at = [64 * k // (radius + 3) for k in range(radius + 4)]
+    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(at, at[1:], strict=False)]
+    masks = [x | y | z for x, y, z in combinations(block, 3)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.xxhash64(fp.bitwiseAND(F.lit(m)), F.lit(k)) for k, m in enumerate(signed)])
 
 
 def grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, component): the least id reachable over edges, for each row of nodes."""
+    """(node, component): the least id reachable over edges, for each row of nodes (node, least)."""
     joined = nodes.join(components(edges), "node", "left")
-    joined = joined.select("fp", "least", F.coalesce("root", "node").alias("root"))
+    joined = joined.select("node", "least", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    return joined.join(least, "root").select("fp", "component")
+    return joined.join(least, "root").select("node", "component")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component) for each row of docs: 64-bit fingerprints linked exactly at `radius` bits."""
-    prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")))
-    nodes = near_nodes(prints, single=True)
-    groups = grouped(nodes, links(nodes.select("node", "fp"), radius, exact_bands(radius)))
-    return prints.join(groups, "fp", "left").select("id", F.col("fp")[0].alias("fp"), "component")
+    prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")).select("id", F.col("fp")[0].alias("node")))
+    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least")))
+    keyed = nodes.select("node", F.array("node").alias("fp"), block_keys(F.col("node"), radius).alias("keys"))
+    groups = grouped(nodes, links(keyed, radius))
+    return prints.join(groups, "node", "left").select("id", F.col("node").alias("fp"), "component")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, lanes: int = 8, radius: int = 98, sure: int = 64, width: int = 14) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, lanes: int = 8, radius: int = 128, bands: int = 10, width: int = 16) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the least id (nulls last), then the least text hash.
 
-    512 fingerprint bits find the candidates, and the Jaccard similarity of the shingle sets decides: every link is one of
-    `least` or more. Shingle sets of similarity 0.8 differ in 15 % of the bits, 78 on average with a deviation of 8, so the
-    radius holds 99 in 100 of them. Candidates are sought among rows that share one of the 32 bands of `width` bits, which at
-    0.8 misses about one pair in thirty by itself and at 0.85 about one in a hundred. Texts with equal fingerprints, and rows
-    with equal id and text, are one document.
+    A document is its set of shingles, equal sets being one node. Nodes that share a bucket and differ in `radius` of the lanes * 64
+    fingerprint bits at most are candidates, and candidates that reach one another form a cluster. Within a cluster all members
+    are compared by the Jaccard similarity of their sets, and those that links of `least` or more connect are one group: no
+    link between members of a cluster is lost, and none is below the limit. Shingle sets of similarity 0.8 differ in about 77
+    bits with a deviation of 8, so the radius holds them all but for chance; ten bands of four keys miss about one pair in a
+    hundred at exactly 0.8, and far fewer above. Buckets grow with the corpus: `width` may go up to 16 and `bands` to
+    lanes * 4. Rows with equal id and text are one document. Null and empty texts are one node.
     """
     th = F.xxhash64(F.col(text_col)).alias("th")
-    prints = cut(docs.select(F.col(id_col).alias("doc"), th, fingerprint(F.col(text_col), words, lanes).alias("fp")))
+    made = docs.select(F.col(id_col).alias("doc"), th, sketch(F.col(text_col), words, lanes, bands, width).alias("s"))
     key = F.struct(F.col("doc").isNull().alias("null"), F.col("doc").alias("doc"), F.col("th").alias("th"))
-    bands = [(lane, shift, width) for lane in range(lanes) for shift in range(0, 64, 16)]
-    keyed = prints.select(key.alias("id"), "fp")
-    nodes = near_nodes(keyed, single=False)
-    edges = cut(candidate_links(nodes.select("node", "fp"), radius, sure, bands))
-    # The texts of the candidates alone: one for each node, found by the hashes of its least id and text.
-    met = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
-    met = cut(met.select("node", F.xxhash64("least.doc").alias("d"), F.col("least.th").alias("th")))
+    prints = stored(made.select(key.alias("id"), "s.node", "s.fp", "s.keys"), "sketches")
+    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    clusters = components(links(nodes.select("node", "fp", "keys"), radius))
+    # The texts of the clusters alone: one for each node, found by the hashes of its least id and text.
+    met = cut(clusters.join(nodes.select("node", "least"), "node").select("root", "node", F.xxhash64("least.doc").alias("d"), F.col("least.th").alias("th")))
     texts = likely(docs.select(F.xxhash64(id_col).alias("__d"), F.xxhash64(F.col(text_col)).alias("__th"), F.col(text_col).alias("__text")), met.select("d", "th")).where("__hit")
-    texts = texts.join(met, (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th"))).select("node", shingle_set(F.col("__text"), words).alias("set"))
+    texts = texts.join(met, (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th"))).select("root", "node", shingle_set(F.col("__text"), words).alias("set"))
     sets = stored(texts.dropDuplicates(["node"]), "shingles")
-    kept = keyed.join(grouped(nodes, verified(edges, sets, least)), "fp").where(F.col("id") == F.col("component")).select(F.col("id.doc").alias("__doc"), F.col("id.th").alias("__th"))
-    kept = kept.distinct()
+    kept = grouped(nodes.select("node", "least"), cut(verified(sets, least))).select(F.col("component.doc").alias("__doc"), F.col("component.th").alias("__th")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), th.alias("__h"))
     rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__th")), "left_semi")
     return rows.groupBy("__id", "__h").agg(F.first("__row").alias("__row")).select("__row.*")
