@@ -35,7 +35,7 @@ class WordHashes(dict):
     """Signed XXH64 of words, remembered for as long as they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 7) - (1 << 63)
         return h
@@ -50,15 +50,18 @@ def tokenised(text: Column) -> Column:
     @F.arrow_udf("array<bigint>")
     def hashes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = WordHashes()
-        of = known.__getitem__
         for batch in texts:
-            lists = [[*map(of, (t or b"").lower().split()), END] for t in batch.cast(pa.binary()).to_pylist()]
-            yield pa.array(lists, pa.list_(pa.int64()))
+            lists = [np.zeros(0, dtype=np.int64)]
+            for t in batch.cast(pa.binary()).to_pylist():
+                words = (t or b"").lower().split()
+                lists.append(np.fromiter(map(known.__getitem__, [*words, b"\n"]), np.int64, len(words) + 1))
+            ends = np.cumsum([len(x) for x in lists])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))
 
     return hashes(text)
 
 
-def pieces(lists: pa.ListArray, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(lists: pa.ListArray, most: int = 400_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(texts, tokens, the text of each token) for consecutive whole texts of about `most` tokens together."""
     ends = lists.offsets.to_numpy().astype(np.int64)
     flat, ends = lists.values.to_numpy(zero_copy_only=False), ends
@@ -105,47 +108,57 @@ class Bitmap:
         return (self.words[((h & self.mask) >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def count_sequences(texts: DataFrame, n: int, known: Bitmap | None, most: int = 1_500_000) -> DataFrame:
-    """(h, ctx, sfx, c) of the n-token sequences of texts (seq) whose first and last n - 1 tokens may be in `known`.
+def runs(batches: Iterator[pa.RecordBatch], n: int, parts: Bitmap | None, whole: Bitmap | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Hashes of n-token sequences of the texts (seq), and of their first and last n - 1 tokens.
 
-    Every task adds up what it has read before it passes it on. ctx and sfx are the hashes of the first and last n - 1 tokens.
+    Left out are those whose parts surely aren't among `parts`, or that surely aren't among `whole`.
     """
-    spark = texts.sparkSession
-    model = spark.sparkContext.broadcast(known)
+    for batch in batches:
+        for _, tokens, doc in pieces(batch.column(0)):
+            if len(tokens) < n:
+                continue
+            *_, short, h = [tokens, *sequences(tokens, n)]
+            ctx, sfx = (short[: len(h)], short[1 : len(h) + 1]) if n > 1 else (h, h)
+            keep = doc[: len(h)] == doc[n - 1 :]
+            if whole:
+                keep &= whole.has(h)
+            if parts:
+                keep &= parts.has(ctx) & parts.has(sfx)
+            yield h[keep], ctx[keep], sfx[keep]
+
+
+def count_sequences(texts: DataFrame, n: int, parts: Bitmap | None, most: int = 600_000) -> DataFrame:
+    """(h, c): counts of n-token sequences of texts (seq). Every task adds up what it has read before it passes it on."""
+    model = texts.sparkSession.sparkContext.broadcast(parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        h, c = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for found, _, _ in runs(batches, n, model.value, None):
+            u, k = np.unique(found, return_counts=True)
+            h, at = np.unique(np.concatenate((h, u)), return_inverse=True)
+            c = np.bincount(at, weights=np.concatenate((c, k)), minlength=len(h)).astype(np.int64)
+            if len(h) > most:
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+                h, c = h[:0], c[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-        def merged() -> tuple[np.ndarray, ...]:
-            h, ctx, sfx, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-            return u, ctx[at], sfx[at], np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)
+    return texts.select("seq").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in merged()], ["h", "ctx", "sfx", "c"])
 
-        for batch in batches:
-            for _, tokens, doc in pieces(batch.column(0)):
-                if len(tokens) < n:
-                    continue
-                *_, short, h = [tokens, *sequences(tokens, n)]
-                ctx, sfx = (short[: len(h)], short[1 : len(h) + 1]) if n > 1 else (h, h)
-                keep = doc[: len(h)] == doc[n - 1 :]
-                if model.value is not None:
-                    keep &= model.value.has(ctx) & model.value.has(sfx)
-                h, ctx, sfx = h[keep], ctx[keep], sfx[keep]
-                u, at, c = np.unique(h, return_index=True, return_counts=True)
-                held.append((u, ctx[at], sfx[at], c))
-                if sum(len(x[0]) for x in held) > most:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > most // 2:
-                        yield out()
-                        held.clear()
-        if held:
-            yield out()
-
-    rows = texts.select("seq").mapInArrow(count, "h long, ctx long, sfx long, c long")
-    return rows.groupBy("h").agg(F.min("ctx").alias("ctx"), F.min("sfx").alias("sfx"), F.sum("c").alias("c"))
+def spelled(texts: DataFrame, n: int, whole: Bitmap, most: int = 600_000) -> DataFrame:
+    """(h, ctx, sfx) of the sequences that `whole` may have: hashes of their first and last n - 1 tokens."""
+    model = texts.sparkSession.sparkContext.broadcast(whole)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = np.zeros(0, dtype=np.uint64)
+        for h, ctx, sfx in runs(batches, n, None, model.value):
+            u, at = np.unique(h, return_index=True)
+            new = ~np.isin(u, done, assume_unique=True)
+            u, at = u[new], at[new]
+            done = np.concatenate((done, u)) if len(done) < most else u
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, ctx[at], sfx[at])], ["h", "ctx", "sfx"])
+
+    return texts.select("seq").mapInArrow(spell, "h long, ctx long, sfx long").groupBy("h").agg(F.min("ctx").alias("ctx"), F.min("sfx").alias("sfx"))
 
 
 def states(texts: DataFrame, words: DataFrame, depth: int, least: int, divergence: float, discount: float) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +172,8 @@ def states(texts: DataFrame, words: DataFrame, depth: int, least: int, divergenc
         grams = stored(count_sequences(texts, n, Bitmap.of(known.select("h"))).where(F.col("c") >= least), "counts")
         if grams.isEmpty():
             break
-        g = grams.join(known.select(F.col("h").alias("sfx"), F.col("lp").alias("parent")), "sfx").join(known.select(F.col("h").alias("ctx"), F.col("c").alias("all")), "ctx")
+        g = grams.join(spelled(texts, n, Bitmap.of(grams.select("h"))), "h")
+        g = g.join(known.select(F.col("h").alias("sfx"), F.col("lp").alias("parent")), "sfx").join(known.select(F.col("h").alias("ctx"), F.col("c").alias("all")), "ctx")
         ratio = F.log(F.col("c") / F.col("all")) - F.col("parent") * F.lit(float(np.log(10)))
         g = g.withColumn("kept", F.col("c") * F.abs(ratio) >= divergence).withColumn("p", (F.col("c") - discount) / F.col("all"))
         g = stored(g, "tested")
@@ -234,7 +248,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learnt"), F.monotonically_increasing_id().alias("row"), tokenised(F.col(text_col)).alias("seq"))
     rows = stored(rows, "tokens")
     train = rows.where("learnt").select("seq")
-    words = stored(count_sequences(train, 1, None).select("h", "c"), "words")
+    words = stored(count_sequences(train, 1, None), "words")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
     unknown = float(-np.log10(total + distinct + 1.0))

@@ -286,7 +286,7 @@ def test_tree_states_sum_to_one_and_score_texts(spark):
     got = [{r["id"]: r["score"] for r in language_model.score(df, F.col("doc_id") < 40, most_held=m).collect()} for m in (100_000, 3, 0)]
     assert all(got[0][k] == pytest.approx(g[k], abs=1e-9) for g in got for k in got[0])
     seqs = df.select(language_model.tokenised(F.col("text")).alias("seq"))
-    words = language_model.count_sequences(seqs, 1, None).select("h", "c")
+    words = language_model.count_sequences(seqs, 1, None)
     n, v = words.agg(F.sum("c")).first()[0], words.count()
     words = words.withColumn("lp", F.log10((F.col("c") + 1) / F.lit(n + v + 1.0)))
     root = {r["h"]: r["lp"] for r in words.collect()}
