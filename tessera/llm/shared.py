@@ -59,6 +59,22 @@ def likely(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.withColumn("__hit", hit).drop("__b", "__w", "__bits")
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], uses: str, spread: list[str], how: str = "inner", per_task: int = 4_096) -> DataFrame:
+    """left joined with right, which has one row a key and in `uses` how many rows of left have that key.
+
+    A key with more than `per_task` rows is salted: its rows are dealt over several parts by a hash of the columns `spread`, and
+    right's row goes to each of them. Hot keys are broadcast; as one holds more than a 50,000th of all rows, they are at most 50,000.
+    """
+    right = stored(right, "keys")
+    total = right.agg(F.coalesce(F.sum(uses), F.lit(0)).alias("n")).first()["n"]
+    per = max(per_task, total // 50_000)
+    hot = stored(right.where(F.col(uses) > per).select(*keys, F.ceil(F.col(uses) / per).cast("int").alias("__n")), "hot")
+    one = F.coalesce("__n", F.lit(1))
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("__s", F.pmod(F.xxhash64(*spread), one).cast("int")).drop("__n")
+    right = right.join(F.broadcast(hot), keys, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), one - 1))).drop("__n", uses)
+    return left.join(right, [*keys, "__s"], how).drop("__s")
+
+
 def prefix_sums(df: DataFrame, part: list[str], order: list[str], value: str, out: str, per_task: int = 2_000) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same `part` before this one, by `order`.
 

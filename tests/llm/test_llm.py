@@ -47,6 +47,70 @@ def test_pii_base_and_edges(spark, odd):
     assert pii.pii_report(pii.find_pii(empty(odd))).count() == 0
 
 
+PLANTED = [
+    ("email", "mail jane.roe (at) mail3 (dot) example (dot) org now", "jane.roe (at) mail3 (dot) example (dot) org"),
+    ("email", "x jim[at]example.net y", "jim[at]example.net"),
+    ("ip", "host 10[.]20[.]30[.]40 down", "10[.]20[.]30[.]40"),
+    ("ip", "address: 2001:db8:0:0:0:0:0a14:1e28 up", "2001:db8:0:0:0:0:0a14:1e28"),
+    ("phone", "call 1 (415) 555-0142 today", "1 (415) 555-0142"),
+    ("card", "card: 4111.1111.1111.1111 ok", "4111.1111.1111.1111"),
+]
+PLAIN = ["order 1234 5678 9012 3456 items", "years 2001 2002 2003 2004 2005 in a row", "score 12 34 56 78 90", "at 10:20:30:40 and 12:30", "card: 4111.1111.1111.1112 fails its check", "meet (at) noon", "v1[.]2 and 3.4.5"]
+
+
+def test_pii_adds_disguised_data_and_no_plain_numbers(spark):
+    rng = np.random.default_rng(11)
+    digit = lambda n: "".join(map(str, rng.integers(0, 10, size=n)))
+
+    def card():
+        d = "4" + digit(14)
+        total = sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(d)))
+        return d + str(-total % 10)
+
+    known = [f"write to u{k}.{digit(2)}@mail{k % 7}.example.com or ring +1 ({digit(3)}) 555-{digit(4)} from 10.{k % 200}.3.{k % 250} with {card()} x" for k in range(240)]
+    noise = [f"row {digit(4)} {digit(4)} {digit(4)} {digit(4)} and {digit(2)} {digit(3)} {digit(3)} end" for k in range(300)]
+    texts = [*known, *noise, *PLAIN, *(t for _, t, _ in PLANTED)]
+    docs = spark.createDataFrame([(k, t, "s", "") for k, t in enumerate(texts)], DOC)
+    found = pii.find_pii(docs)
+    out = {r["id"]: [(pii.KINDS[x["k"]], texts[r["id"]][x["s"] : x["e"]]) for x in r["added"]] for r in found.collect()}
+    first = len(texts) - len(PLANTED)
+    assert [out[first + k] for k in range(len(PLANTED))] == [[(kind, span)] for kind, _, span in PLANTED]
+    assert not any(out[k] for k in range(first))
+    clean = {r["id"]: r["text"] for r in pii.redact(found, docs).collect()}
+    assert clean[first] == "mail [EMAIL] now" and clean[0] == "write to [EMAIL] or ring [PHONE] from [IP] with [CARD] x" and clean[first - 1] == PLAIN[-1]
+
+
+def python_spans(text, kind):
+    """The contract's base rule by Python's re."""
+    t = text or ""
+    luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    pattern, ok = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+        "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    }[kind]
+    return [m.span() for m in re.finditer(pattern, t) if ok(m)]
+
+
+@pytest.mark.parametrize(("query", "kinds"), [(queries.op1_pii, ("email", "ip", "card", "phone")), (queries.op3_secrets, ("assign", "access", "hex"))])
+def test_base_spans_of_whole_tables_against_plain_regular_expressions(spark, query, kinds):
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    out = query(spark, folder).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        want = {k: python_spans(texts[r["doc_id"]], k) for k in kinds}
+        spans = sorted((s, k, e) for k, kind in enumerate(kinds) for s, e in want[kind])
+        written = ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)
+        assert [r[f"n_{k}"] for k in kinds] == [len(want[k]) for k in kinds]
+        assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest() and set(filter(None, written.split(","))) <= set(r["spans"].split(","))
+
+
 def test_secrets_by_ownership(spark, odd):
     live, copied = "ghp_" + "a1B2" * 6, "ghp_" + "z9Y8" * 6
     rows = [(1, f"key {live} end", "r1", "")] + [(k, f"key {copied} end", f"r{k}", "") for k in range(2, 6)] + [(9, "token:token:abcdefgh12", "r1", "")]
