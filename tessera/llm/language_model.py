@@ -89,22 +89,23 @@ def sequences(tokens: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 class Bitmap:
-    """Surely absent, or perhaps there: the lowest bits of hashes."""
+    """Surely absent, or perhaps there: the lowest bits of hashes, once they are shifted."""
 
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.mask = words, np.uint64((1 << bits) - 1)
+    def __init__(self, words: np.ndarray, bits: int, shift: int):
+        self.words, self.mask, self.shift = words, np.uint64((1 << bits) - 1), np.uint64(shift)
 
     @staticmethod
-    def of(hashes: DataFrame, most_bits: int = 27) -> Bitmap:
+    def of(hashes: DataFrame, most_bits: int = 27, shift: int = 0) -> Bitmap:
         """16 bits for each of the hashes (h), 2**most_bits at most; beyond that more pass that aren't there."""
         bits = min(most_bits, max(10, (16 * hashes.count()).bit_length()))
         word = F.shiftrightunsigned(F.col("h").bitwiseAND((1 << bits) - 1), 6).alias("w")
         got = hashes.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
         words = np.zeros(1 << (bits - 6), dtype=np.uint64)
         words[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
-        return Bitmap(words, bits)
+        return Bitmap(words, bits, shift)
 
     def has(self, h: np.ndarray) -> np.ndarray:
+        h = h >> self.shift
         return (self.words[((h & self.mask) >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -122,58 +123,96 @@ def runs(batches: Iterator[pa.RecordBatch], n: int, parts: Bitmap | None, whole:
             keep = doc[: len(h)] == doc[n - 1 :]
             if whole:
                 keep &= whole.has(h)
-            if parts:
+            elif parts:
                 keep &= parts.has(ctx) & parts.has(sfx)
             yield h[keep], ctx[keep], sfx[keep]
 
 
-def count_sequences(texts: DataFrame, n: int, parts: Bitmap | None, most: int = 600_000) -> DataFrame:
-    """(h, c): counts of n-token sequences of texts (seq). Every task adds up what it has read before it passes it on."""
+def repeated(texts: DataFrame, n: int, parts: Bitmap, least: int, tokens: int, bucket: int = 2_000_000) -> Bitmap:
+    """The sequences of n tokens that the texts (seq) may have `least` times or more.
+
+    They are counted by the highest bits of their hashes: those of a bucket and 32 more. Nearly all sequences of a corpus are there but once or twice, so what is shuffled is 32 bits for each in arrays, and a
+    sequence that a task has seen often counts `least` times.
+    """
     model = texts.sparkSession.sparkContext.broadcast(parts)
+    bits = max(4, (tokens // bucket).bit_length())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            u = np.repeat(u, np.minimum(c, least))
+            at = np.searchsorted(u >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            low = (u >> np.uint64(32 - bits)).astype(np.uint32).view(np.int32)
+            full = np.flatnonzero(np.diff(at))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at[full], len(u)), pa.int32()), pa.array(low))
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), lists], ["b", "low"])
+
+        for h, _, _ in runs(batches, n, model.value, None):
+            held.append(h)
+            size += len(h)
+            if size > bucket:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            ends = batch.column(1).offsets.to_numpy()
+            flat = batch.column(1).values.to_numpy()
+            for k, b in enumerate(batch.column(0).to_pylist()):
+                held.setdefault(b, []).append(flat[ends[k] : ends[k + 1]].copy())
+        for b in list(held):
+            u, c = np.unique(np.concatenate(held.pop(b)).view(np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((b << 32) + u[c >= least].astype(np.int64))], ["h"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        for found, _, _ in runs(batches, n, model.value, None):
-            u, k = np.unique(found, return_counts=True)
-            h, at = np.unique(np.concatenate((h, u)), return_inverse=True)
-            c = np.bincount(at, weights=np.concatenate((c, k)), minlength=len(h)).astype(np.int64)
-            if len(h) > most:
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
-                h, c = h[:0], c[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+    dealt = texts.select("seq").mapInArrow(deal, "b int, low array<int>").repartition("b")
+    return Bitmap.of(stored(dealt.mapInArrow(merge, "h long"), "repeated"), shift=32 - bits)
 
-    return texts.select("seq").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
+def count_sequences(texts: DataFrame, n: int, whole: Bitmap | None, most: int = 400_000) -> DataFrame:
+    """(h, c), and from two tokens on (h, ctx, sfx, c): counts of n-token sequences of texts (seq) that `whole` may have.
 
-def spelled(texts: DataFrame, n: int, whole: Bitmap, most: int = 600_000) -> DataFrame:
-    """(h, ctx, sfx) of the sequences that `whole` may have: hashes of their first and last n - 1 tokens."""
+    Every task adds up what it has read before it passes it on. ctx and sfx are the hashes of the first and last n - 1 tokens.
+    """
     model = texts.sparkSession.sparkContext.broadcast(whole)
+    names = ["h", "ctx", "sfx", "c"] if n > 1 else ["h", "c"]
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = np.zeros(0, dtype=np.uint64)
-        for h, ctx, sfx in runs(batches, n, None, model.value):
-            u, at = np.unique(h, return_index=True)
-            new = ~np.isin(u, done, assume_unique=True)
-            u, at = u[new], at[new]
-            done = np.concatenate((done, u)) if len(done) < most else u
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, ctx[at], sfx[at])], ["h", "ctx", "sfx"])
-
-    return texts.select("seq").mapInArrow(spell, "h long, ctx long, sfx long").groupBy("h").agg(F.min("ctx").alias("ctx"), F.min("sfx").alias("sfx"))
-
-
-def states(texts: DataFrame, words: DataFrame, depth: int, least: int, divergence: float, discount: float) -> tuple[DataFrame, DataFrame]:
-    """(h, v, c) of contexts and (h, v, c) of contexts with a symbol: the factors of the tree over texts (seq), from its words (h, c, lp); c is the sequence's count.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.uint64)
+        held, c = [none] * (len(names) - 1), np.zeros(0, dtype=np.int64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (*held, c)], names)
+        for found in runs(batches, n, None, model.value):
+            u, at, k = np.unique(found[0], return_index=True, return_counts=True)
+            rows = [np.concatenate((old, new[at])) for old, new in zip(held, found, strict=False)]
+            u, at, inverse = np.unique(rows[0], return_index=True, return_inverse=True)
+            c = np.bincount(inverse, weights=np.concatenate((c, k)), minlength=len(u)).astype(np.int64)
+            held = [x[at] for x in rows]
+            if len(u) > most:
+                yield out()
+                held, c = [none] * len(held), c[:0]
+        yield out()
+
+    rows = texts.select("seq").mapInArrow(count, ", ".join(f"{x} long" for x in names))
+    return rows.groupBy("h").agg(*[F.min(x).alias(x) for x in names[1:-1]], F.sum("c").alias("c"))
+
+
+def states(texts: DataFrame, words: DataFrame, tokens: int, depth: int, least: int, divergence: float, discount: float) -> tuple[DataFrame, DataFrame]:
+    """(h, v, c) of contexts and (h, v, c) of contexts with a symbol: the factors of the tree over texts (seq), from its words (h, c, lp) and their number; c is the sequence's count.
 
     A symbol kept in a state has, under the hash of context and symbol, the ratio of its probability to its parent's, less the
     state's own factor; that is the ratio by which all other symbols' probabilities change, under the hash of the context.
     """
     known, found = stored(words.where(F.col("c") >= least).select("h", "c", "lp"), "sequences"), []
     for n in range(2, depth + 2):
-        grams = stored(count_sequences(texts, n, Bitmap.of(known.select("h"))).where(F.col("c") >= least), "counts")
+        often = repeated(texts, n, Bitmap.of(known.select("h")), least, tokens)
+        grams = stored(count_sequences(texts, n, often).where(F.col("c") >= least), "counts")
         if grams.isEmpty():
             break
-        g = grams.join(spelled(texts, n, Bitmap.of(grams.select("h"))), "h")
-        g = g.join(known.select(F.col("h").alias("sfx"), F.col("lp").alias("parent")), "sfx").join(known.select(F.col("h").alias("ctx"), F.col("c").alias("all")), "ctx")
+        g = grams.join(known.select(F.col("h").alias("sfx"), F.col("lp").alias("parent")), "sfx").join(known.select(F.col("h").alias("ctx"), F.col("c").alias("all")), "ctx")
         ratio = F.log(F.col("c") / F.col("all")) - F.col("parent") * F.lit(float(np.log(10)))
         g = g.withColumn("kept", F.col("c") * F.abs(ratio) >= divergence).withColumn("p", (F.col("c") - discount) / F.col("all"))
         g = stored(g, "tested")
@@ -242,7 +281,7 @@ def summed(model: Held, n: int, tokens: np.ndarray, doc: np.ndarray, depth: int)
     return known, base, score, *(np.concatenate(x) for x in zip(*tails, strict=True))
 
 
-def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 4, divergence: float = 12.0, discount: float = 0.5, most_held: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 8, divergence: float = 12.0, discount: float = 0.5, most_held: int = 500_000) -> DataFrame:
     """(id, learnt, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; the model learns from the rows where `learns` holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learnt"), F.monotonically_increasing_id().alias("row"), tokenised(F.col(text_col)).alias("seq"))
@@ -254,7 +293,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     unknown = float(-np.log10(total + distinct + 1.0))
     words = words.withColumn("lp", F.log10(F.col("c") + 1) + F.lit(unknown))
     roots = words.select("h", F.col("lp").alias("v"), "c", F.col("lp").alias("root"), F.lit(True).alias("word"))
-    contexts, symbols = states(train, words, depth, least, divergence, discount)
+    contexts, symbols = states(train, words, total, depth, least, divergence, discount)
     tree = contexts.unionByName(symbols).withColumn("root", F.lit(0.0)).withColumn("word", F.lit(False))
     factors = roots.unionByName(tree).groupBy("h").agg(F.sum("v").alias("v"), F.max("c").alias("c"), F.sum("root").alias("root"), F.bool_or("word").alias("word"))
     factors = stored(factors, "factors")

@@ -354,7 +354,7 @@ def test_tree_states_sum_to_one_and_score_texts(spark):
     n, v = words.agg(F.sum("c")).first()[0], words.count()
     words = words.withColumn("lp", F.log10((F.col("c") + 1) / F.lit(n + v + 1.0)))
     root = {r["h"]: r["lp"] for r in words.collect()}
-    contexts, symbols = ({r["h"]: r["v"] for r in f.collect()} for f in language_model.states(seqs, words, 3, 4, 2.0, 0.5))
+    contexts, symbols = ({r["h"]: r["v"] for r in f.collect()} for f in language_model.states(seqs, words, n, 3, 4, 2.0, 0.5))
     h = language_model.WordHashes()
 
     def lp(context, w):
