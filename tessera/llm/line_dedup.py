@@ -1,17 +1,20 @@
 """Line dedup by winnowing.
 
-The hashed unit is a soft line: a run of `line_words` words, begun at every word, so that a passage is found wherever it
-starts and however its text is wrapped. Of every `window` consecutive line hashes the least is a fingerprint, so any run
-of line_words + window - 1 words that two places share leaves a fingerprint in both. Fingerprints are joined with the first
-place that has them (by id, nulls last, then text hash, then position), neighbouring ones of one alignment become runs, runs
-are extended word by word both ways, and those of `min_words` words or more are deleted; the first place stays.
+Two kinds of lines are hashed. A physical line of `min_line_words` words or more is a fingerprint itself. And as passages begin
+and end inside physical lines, soft lines are winnowed: runs of `line_words` words, begun at every word. Of every
+`window` consecutive soft-line hashes the least is a fingerprint, so any run of line_words + window - 1 words that two places
+share leaves a fingerprint in both. Fingerprints are joined with the first place that has them (by id, nulls last, then text
+hash, then position), neighbouring ones of one alignment become runs, and runs are extended word by word both ways. A run of
+`min_words` words or more is deleted, and of a shorter one the whole physical lines in it, where they have `min_line_words` words
+or more together; the first place stays.
 
 The first place of a fingerprint may share less around it than later places do with one another. So the windows around joined
-fingerprints that no long run holds whole are joined by a hash of all their words, and deleted at every place but the first.
+soft fingerprints that no long run holds whole are joined by a hash of all their words, and deleted at every place but the first.
 
 Null text stays null; an empty one stays empty. Rows with equal id and text are one document, and each gets its result: the
 first of them does not delete the others. Self-repeating texts keep their first round. Other columns stay as they are, whatever
-their names. Words are separated by ASCII white space and compared as they are.
+their names; one called as the column for the count of removed words is replaced. Words are separated by ASCII white space and
+compared as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut, likely, stored
+from tessera.llm.shared import cut, dealt_join, likely, stored
 
 NO_ID = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -36,6 +39,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(w) for w in words]), dtype="<u8")
 
 
+def lines_of(text: bytes | None) -> tuple[list[bytes], np.ndarray]:
+    """The words, and the words' numbers at which physical lines begin, the end included."""
+    parts = [x.split() for x in (text or b"").split(b"\n")]
+    return [w for p in parts for w in p], np.cumsum([0, *map(len, parts)])
+
+
 class Winnower:
     def __init__(self, line_words: int, window: int):
         self.k, self.w = line_words, window
@@ -49,24 +58,34 @@ class Winnower:
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
-    def lines(self, h: np.ndarray) -> np.ndarray:
-        """A hash of the k words from each word on."""
-        n = len(h) - self.k + 1
+    def runs(self, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """A hash of the words from s to e, for arrays of both."""
         self.powers(len(h))
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * self.down[: len(h)], dtype=np.uint64)))
-        out = (sums[self.k :] - sums[:-self.k]) * self.up[:n]
+        out = (sums[e] - sums[s]) * self.up[s] + (e - s).astype(np.uint64)
         out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(29))
 
-    def pick(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and positions of the window minima.
+    def lines(self, h: np.ndarray) -> np.ndarray:
+        """A hash of the k words from each word on."""
+        s = np.arange(len(h) - self.k + 1)
+        return self.runs(h, s, s + self.k)
+
+    def physical(self, h: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, positions and lengths of the physical lines of `least` words or more."""
+        s, e = starts[:-1], starts[1:]
+        s, e = s[e - s >= least], e[e - s >= least]
+        return ~self.runs(h, s, e).view(np.int64), s.astype(np.int32), (e - s).astype(np.int32)
+
+    def pick(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and positions of the soft lines that are window minima.
 
         A repeating text has the same minimum over and over: of such a chain one in every half window is kept, so a window
         still holds one.
         """
-        if len(words) < self.k:
+        if len(h) < self.k:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-        line = self.lines(word_hashes(words))
+        line = self.lines(h)
         w = min(self.w, len(line))
         at = np.unique(np.arange(len(line) - w + 1) + np.lib.stride_tricks.sliding_window_view(line, w).argmin(axis=1))
         follows = np.concatenate(([False], (np.diff(at) < self.w) & (line[at[1:]] == line[at[:-1]])))
@@ -82,25 +101,33 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("__d", F.coalesce(i, F.lit(NO_ID))).withColumn("__th", F.xxhash64(F.col(text_col), i.isNull()))
 
 
-def repeated_runs(docs: DataFrame, line_words: int, window: int) -> DataFrame:
-    """(d, th, s, e, d0, th0, delta): words s to e of (d, th) are those of the first place (d0, th0), delta words before."""
+def repeated_runs(docs: DataFrame, line_words: int, window: int, min_line_words: int) -> DataFrame:
+    """(d, th, s, e, d0, th0, delta, soft): words s to e of (d, th) are those of the first place (d0, th0), delta words before."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         win = Winnower(line_words, window)
         for batch in batches:
-            picked = [win.pick((t or b"").split()) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(h) for h, _ in picked]))).astype(np.int32)
-            h = pa.array(np.concatenate([h for h, _ in picked]) if picked else [], pa.int64())
-            p = pa.array(np.concatenate([p for _, p in picked]) if picked else [], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, h), pa.ListArray.from_arrays(ends, p)], ["d", "th", "h", "p"])
-
-    prints = stored(docs.select("__d", "__th", "__text").mapInArrow(pick, "d long, th long, h array<long>, p array<int>"), "fingerprints")
-    each = prints.select("d", "th", F.explode(F.arrays_zip("h", "p")).alias("x")).select("d", "th", F.col("x.h").alias("h"), F.col("x.p").alias("p"))
-    first = each.groupBy("h").agg(F.min(F.struct("d", "th", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.d").alias("d0"), F.col("f.th").alias("th0"), F.col("f.p").alias("p0"))
-    met = each.join(first, "h").where("NOT (d = d0 AND th = th0 AND p = p0)").select("d", "th", "p", "d0", "th0", (F.col("p") - F.col("p0")).alias("delta")).distinct()
-    line = Window.partitionBy("d", "th", "d0", "th0", "delta").orderBy("p")
-    met = met.withColumn("new", F.coalesce((F.col("p") - F.lag("p").over(line) > line_words).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(line))
-    return met.groupBy("d", "th", "d0", "th0", "delta", "run").agg(F.min("p").alias("s"), (F.max("p") + line_words).alias("e")).drop("run")
+            ends, cols = [0], [[np.zeros(0, dtype=t)] for t in (np.int64, np.int32, np.int32)]
+            for t in batch.column(2).cast(pa.binary()).to_pylist():
+                words, starts = lines_of(t)
+                h = word_hashes(words)
+                (soft, at), (hard, begin, n) = win.pick(h), win.physical(h, starts, min_line_words)
+                for c, x in zip(cols, ((soft, hard), (at, begin), (np.zeros(len(at), dtype=np.int32), n)), strict=True):
+                    c.extend(x)
+                ends.append(ends[-1] + len(soft) + len(hard))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(c))) for c in cols]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["d", "th", "h", "p", "n"])
+
+    # n is the length of a physical line, and 0 for a soft one.
+    prints = stored(docs.select("__d", "__th", "__text").mapInArrow(pick, "d long, th long, h array<long>, p array<int>, n array<int>"), "fingerprints")
+    each = prints.select("d", "th", F.explode(F.arrays_zip("h", "p", "n")).alias("x")).select("d", "th", "x.h", "x.p", "x.n")
+    first = each.groupBy("h").agg(F.min(F.struct("d", "th", "p")).alias("f"), F.count("*").alias("uses")).where("uses > 1").select("h", "uses", F.col("f.d").alias("d0"), F.col("f.th").alias("th0"), F.col("f.p").alias("p0"))
+    met = dealt_join(each, first, ["h"], "uses", ["d", "th", "p"]).where("NOT (d = d0 AND th = th0 AND p = p0)")
+    met = met.select("d", "th", "p", (F.col("p") + F.when(F.col("n") > 0, F.col("n")).otherwise(line_words)).alias("e"), (F.col("n") == 0).alias("soft"), "d0", "th0", (F.col("p") - F.col("p0")).alias("delta")).distinct()
+    line = Window.partitionBy("d", "th", "d0", "th0", "delta").orderBy("p", "e")
+    before = F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    met = met.withColumn("new", F.coalesce((F.col("p") > before).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return met.groupBy("d", "th", "d0", "th0", "delta", "run").agg(F.min("p").alias("s"), F.max("e").alias("e"), F.bool_or("soft").alias("soft")).drop("run")
 
 
 def surroundings(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
@@ -123,8 +150,8 @@ def surroundings(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
     return near.mapInArrow(look, "d0 long, th0 long, s0 int, e0 int, pre binary, post binary")
 
 
-def extended(words: list[bytes], edits: list[dict], min_words: int) -> list[tuple[int, int]]:
-    """The runs of `min_words` words or more, after extension word by word both ways."""
+def extended(words: list[bytes], starts: np.ndarray, edits: list[dict], min_words: int, min_line_words: int) -> list[tuple[int, int]]:
+    """What is to go of the runs after extension word by word both ways: long ones, and the whole lines of others."""
     out, size = [], 8
     for x in edits:
         s, e, pre, post = x["s"], x["e"], x["pre"], x["post"]
@@ -136,13 +163,15 @@ def extended(words: list[bytes], edits: list[dict], min_words: int) -> list[tupl
             if e == len(words) or xxhash.xxh64_digest(words[e]) != post[k : k + size]:
                 break
             e += 1
-        if e - s >= min_words:
+        if e - s < min_words:
+            s, e = int(starts[np.searchsorted(starts, s)]), int(starts[np.searchsorted(starts, e, side="right") - 1])
+        if e - s >= min(min_words, min_line_words):
             out.append((s, e))
     return out
 
 
-def open_windows(docs: DataFrame, edits: DataFrame, line_words: int, n: int, min_words: int) -> DataFrame:
-    """(d, th, gone, q, w) for each document with edits: its long runs, and starts and hashes of the windows they leave open.
+def open_windows(docs: DataFrame, edits: DataFrame, line_words: int, n: int, min_words: int, min_line_words: int) -> DataFrame:
+    """(d, th, gone, q, w) for each document with edits: what is to go, and starts and hashes of the windows they leave open.
 
     A window of n words that stands at two places has a fingerprint in both, which the first place of that fingerprint need not
     surround alike. So windows around a joined fingerprint, none of the long runs over them whole, are to be compared themselves.
@@ -154,9 +183,9 @@ def open_windows(docs: DataFrame, edits: DataFrame, line_words: int, n: int, min
         for batch in batches:
             cols: list[list] = [[], [], []]
             for t, found in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = (t or b"").split()
-                gone, wanted = extended(words, found, min_words), np.zeros(max(0, len(words) - n + 1), dtype=bool)
-                for x in found:
+                words, starts = lines_of(t)
+                gone, wanted = extended(words, starts, found, min_words, min_line_words), np.zeros(max(0, len(words) - n + 1), dtype=bool)
+                for x in filter(lambda x: x["soft"], found):
                     wanted[max(0, x["s"] + line_words - n) : max(0, x["e"] - line_words + 1)] = True
                 for s, e in gone:
                     wanted[s : max(s, e - n + 1)] = False
@@ -196,29 +225,29 @@ def shorten(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return (kept.rstrip() if edge[-1] == len(at) else kept), int(gone.sum())
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 26, window: int = 26, min_words: int = 50) -> DataFrame:
-    """The columns of docs, the text without later repeated runs, and `__removed`: how many of its words went."""
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 26, window: int = 26, min_words: int = 50, min_line_words: int = 8, out: str = "__removed") -> DataFrame:
+    """The columns of docs, the text without later repeated runs, and `out`: how many of its words went."""
     rows = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
-    runs = cut(repeated_runs(rows, line_words, window).withColumn("s0", F.col("s") - F.col("delta")).withColumn("e0", F.col("e") - F.col("delta")))
+    runs = cut(repeated_runs(rows, line_words, window, min_line_words).withColumn("s0", F.col("s") - F.col("delta")).withColumn("e0", F.col("e") - F.col("delta")))
     around = surroundings(rows, runs.select("d0", "th0", "s0", "e0").distinct(), line_words + window)
-    edits = runs.join(around, ["d0", "th0", "s0", "e0"]).groupBy("d", "th").agg(F.collect_list(F.struct("s", "e", "pre", "post")).alias("edits"))
+    edits = runs.join(around, ["d0", "th0", "s0", "e0"]).groupBy("d", "th").agg(F.collect_list(F.struct("s", "e", "pre", "post", "soft")).alias("edits"))
     n = max(line_words + window - 1, min_words)
-    seen = open_windows(rows, cut(edits), line_words, n, min_words)
+    seen = open_windows(rows, cut(edits), line_words, n, min_words, min_line_words)
     edits = seen.select("d", "th", "gone").distinct().join(later_windows(seen), ["d", "th"], "left").where("size(gone) > 0 OR later IS NOT NULL")
     edits = cut(edits.select("d", "th", F.struct("gone", "later").alias("edits")))
 
     @F.arrow_udf("struct<text:string,n_removed:bigint>")
     def edit(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, found in rows:
-            out = []
+            done = []
             for t, x in zip(texts.cast(pa.binary()).to_pylist(), found.to_pylist(), strict=True):
                 kept, k = shorten(t, [*((g["s"], g["e"]) for g in x["gone"]), *((q, q + n) for q in x["later"] or ())]) if t and x else (t, 0)
-                out.append({"text": None if kept is None else kept.decode(), "n_removed": k})
-            yield pa.array(out, type=pa.struct([("text", pa.string()), ("n_removed", pa.int64())]))
+                done.append({"text": None if kept is None else kept.decode(), "n_removed": k})
+            yield pa.array(done, type=pa.struct([("text", pa.string()), ("n_removed", pa.int64())]))
 
     rows = likely(rows, edits.select("d", "th"))
     touched = rows.where("__hit").join(edits, (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th")), "left").select("__row", edit("__text", "edits").alias("__new"))
     plain = rows.where("NOT __hit").select("__row", F.struct(F.col("__text").alias("text"), F.lit(0).cast("long").alias("n_removed")).alias("__new"))
     done = touched.unionByName(plain)
-    cells = [F.col("__new.text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*cells, F.col("__new.n_removed").alias("__removed"))
+    cells = [F.col("__new.text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c != out]
+    return done.select(*cells, F.col("__new.n_removed").alias(out))

@@ -39,8 +39,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("__removed").alias("n_removed"))
+    out = line_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), out="n_removed")
+    return out.select("doc_id", "text", "n_removed")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,6 +210,41 @@ def test_line_dedup_of_passages_around_a_shorter_one(spark):
         assert len(gone[51]) <= got[k] <= len(gone[50])
 
 
+def test_repeated_lines_go_and_nothing_else_does(spark):
+    """Against brute force: a word may go only in a run of 50 or in whole lines of 8 words together that an earlier place has."""
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10**9, size=n))
+    shared, short, pair = [word(n) for n in (8, 9, 12, 30)], [word(n) for n in (3, 7)], [word(5), word(6)]
+    texts = []
+    for k in range(60):
+        parts = [word(6), str(rng.choice(shared)), word(9), str(rng.choice(short)), word(4)]
+        parts[1:1] = pair if k % 7 == 0 else []
+        texts.append("\n".join(parts))
+    texts += ["", "\n\n", shared[0], f"  {shared[1]}  \n\n{short[0]}", shared[2] + " " + word(3)]
+    rows = [(k, t, "", "") for k, t in enumerate(texts)]
+    out = {r["doc_id"]: r for r in line_dedup.drop_repeats(spark.createDataFrame(rows, DOC)).collect()}
+    seen = set()
+    for k, t in enumerate(texts):
+        lines = [" ".join(x.split()) for x in t.split("\n")]
+        gone = {x for x in lines if len(x.split()) >= 8 and x in seen}
+        seen |= set(lines)
+        # Short neighbours of a repeated line that go with it, and pairs of short lines: no other text goes.
+        left = [" ".join(x.split()) for x in out[k]["text"].split("\n")]
+        assert not gone & set(left)
+        lost = [x for x in lines if x and x not in left]
+        assert all(x in gone or x in short or x in pair for x in lost) and out[k]["__removed"] == sum(len(x.split()) for x in lost)
+        assert set(lost) >= gone and (k == 0 or k % 7 or k >= 60 or not gone or out[k]["__removed"] >= 8)
+    assert out[62]["text"] == "" and out[63]["text"].split() == short[0].split() and out[64]["text"] == texts[64]
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h", 7, "x"), (2, "a b c d e f g h", 8, None)], "doc_id long, text string, __removed long, `e.d` string")
+    out = line_dedup.drop_repeats(docs, out="gone")
+    assert out.columns == ["doc_id", "text", "__removed", "e.d", "gone"]
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "a b c d e f g h", 7, "x", 0), (2, "", 8, None, 8)]
+    assert line_dedup.drop_repeats(docs).columns == ["doc_id", "text", "e.d", "__removed"]
+
+
 def test_toxicity(spark, odd):
     rows = [(k, "you are a grumblefitz and a grumblefitz" if k % 3 == 0 else "a calm note", "", "") for k in range(300)]
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
