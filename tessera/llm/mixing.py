@@ -3,7 +3,8 @@
 Each source's documents are shuffled by a hash and laid end to end; the stream, read up to `max_epochs` times, is cut
 into blocks of `block_words`. Slot t of the schedule draws the van der Corput point of t, the cumulative weights map the
 point to a source, and the slots of a source are ranked: the r-th takes the source's block r. The last block of a source
-is cut where its target is met, so that the words taken come within one word of every target.
+is cut where its target is met, so that the words taken come within one word of every target. The pieces of documents in the
+blocks, in slot order, are the mix; what it takes of a document is the sum of its pieces.
 
 Null source: a source of its own, the last one. Null or empty text: size 0, nothing taken. Rows equal in all of id,
 source and size are separate rows, each with its own place. Empty input: empty result. Columns other than id, text and
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut, prefix_sums
+from tessera.llm.shared import cut, prefix_sums, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -46,7 +47,7 @@ def van_der_corput(t: str, bits: int = 40):
     return F.conv(F.reverse(F.lpad(F.bin(F.col(t)), bits, "0")), 2, 10).cast("double") / F.lit(float(1 << bits))
 
 
-def schedule(targets: DataFrame, block_words: int, cells: int = 4096) -> DataFrame:
+def schedule(targets: DataFrame, block_words: int, cells: int = 4096, stretch: int = 65_536) -> DataFrame:
     """(src, r): the slots each source is due, ranked in schedule order as r, with the slot's number t.
 
     A slot whose source has had its last block stays empty. A source that the drawn slots leave short (its slots are
@@ -65,7 +66,6 @@ def schedule(targets: DataFrame, block_words: int, cells: int = 4096) -> DataFra
     drawn = spark.range(slots).withColumn("u", van_der_corput("id")).withColumn("cell", F.floor(F.col("u") * cells))
     drawn = drawn.join(ranges, "cell").where("u >= lo_u AND u < hi_u").select("src", "due", F.col("id").alias("t"))
     # Rank of a slot within its source: counts per stretch of the schedule first, then within a stretch.
-    stretch = max(1, slots // 64)
     drawn = drawn.withColumn("s", F.floor(F.col("t") / stretch))
     base = drawn.groupBy("src", "s").count().withColumn("base", F.coalesce(F.sum("count").over(Window.partitionBy("src").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("src", "s").orderBy("t")) - 1)
@@ -77,28 +77,37 @@ def schedule(targets: DataFrame, block_words: int, cells: int = 4096) -> DataFra
     return ranked.unionByName(late)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = 2048, seed: int = 17) -> DataFrame:
-    """One row per row of docs: (id, src, size, source_size, target, taken). See the module's text for the method."""
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(row, id, src, size, th) for each row of docs, kept in the shared folder."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), words.alias("size"), F.xxhash64(text_col).alias("th"))
-    sized = cut(sized)
-    targets = cut(source_targets(sized, weights, share, max_epochs))
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("src"), words.alias("size"), F.xxhash64(text_col).alias("th")), "sizes")
+
+
+def pieces(sized: DataFrame, targets: DataFrame, max_epochs: int, block_words: int, seed: int) -> DataFrame:
+    """The mix: (t, row, src, epoch, first, words), words of a document from its word `first` on in slot t of the schedule."""
     slots = schedule(targets, block_words)
     laid = sized.where("size > 0").withColumn("u", place_of(seed))
     laid = prefix_sums(laid.withColumn("k", F.coalesce(F.col("src"), F.lit(""))).withColumn("n", F.col("src").isNull()), ["k", "n"], ["u", "id", "th"], "size", "start")
     same = F.col("d.src").eqNullSafe(F.col("x.src"))
-    laid = laid.alias("d").join(targets.alias("x"), same).select("d.id", "d.src", "d.size", "d.start", "x.source_size", "x.target")
+    laid = laid.alias("d").join(targets.alias("x"), same).select("d.row", "d.src", "d.size", "d.start", "x.source_size", "x.target")
     # The document's places in the stream read max_epochs times, cut where blocks end.
-    laid = laid.withColumn("lo", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: F.col("start") + e * F.col("source_size"))))
-    laid = laid.withColumn("hi", F.col("lo") + F.col("size"))
-    pieces = laid.withColumn("r", F.explode(F.sequence(F.floor(F.col("lo") / block_words), F.floor((F.col("hi") - 1) / block_words))))
-    met = pieces.alias("d").join(slots.alias("x"), same & (F.col("d.r") == F.col("x.r")), "left")
-    end = F.least(F.col("hi"), (F.col("d.r") + 1) * block_words, F.round("target").cast("long"))
-    got = F.when(F.col("x.t").isNotNull(), F.greatest(end - F.greatest(F.col("lo"), F.col("d.r") * block_words), F.lit(0))).otherwise(0)
-    taken = met.select(F.col("d.id").alias("id"), F.col("d.src").alias("src"), "size", "start", "source_size", "target", got.alias("got"))
-    taken = taken.groupBy("id", "src", "size", "start", "source_size", "target").agg(F.sum("got").cast("long").alias("taken")).drop("start")
-    none = sized.where("size = 0").alias("d").join(targets.alias("x"), same).select("d.id", "d.src", "d.size", "x.source_size", "x.target", F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none)
+    laid = laid.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
+    laid = laid.withColumn("lo", F.col("start") + F.col("epoch") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.round("target").cast("long")))
+    cut_at = F.sequence(F.floor(F.col("lo") / block_words), F.floor((F.col("hi") - 1) / block_words))
+    parts = laid.where("hi > lo").withColumn("r", F.explode(cut_at))
+    met = parts.alias("d").join(slots.alias("x"), same & (F.col("d.r") == F.col("x.r")))
+    begin, end = F.greatest(F.col("lo"), F.col("d.r") * block_words), F.least(F.col("hi"), (F.col("d.r") + 1) * block_words)
+    return met.select("x.t", "d.row", F.col("d.src").alias("src"), "epoch", (begin - F.col("lo")).alias("first"), (end - begin).alias("words"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = 2048, seed: int = 17) -> DataFrame:
+    """One row per row of docs: (id, src, size, source_size, target, taken). See the module's text for the method."""
+    sized = sizes(docs, id_col, text_col, source_col)
+    targets = cut(source_targets(sized, weights, share, max_epochs))
+    taken = pieces(sized, targets, max_epochs, block_words, seed).groupBy("row").agg(F.sum("words").alias("taken"))
+    same = F.col("d.src").eqNullSafe(F.col("x.src"))
+    out = sized.alias("d").join(targets.alias("x"), same).join(taken, "row", "left")
+    return out.select("d.id", "d.src", "d.size", "x.source_size", "x.target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def place_of(seed: int):

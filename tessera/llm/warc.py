@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import shared_dir, stored
+from tessera.llm.shared import dealt_join, shared_dir, stored
 
 # Fixed values of the file formats.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -113,9 +113,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes archives under the folder and returns their list (uri, records, bytes)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    # A hash join: the payloads themselves needn't be sorted, and Spark splits the partition of a digest that many pages have.
-    first = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("response")).hint("shuffle_hash")
-    rows = rows.join(first, ["digest", "size"], "left").select("page_id", "url", "html", "response", F.coalesce(~F.col("page_id").eqNullSafe(F.col("response")) & F.col("response").isNotNull(), F.lit(False)).alias("revisit"))
+    first = rows.groupBy("digest", "size").agg(F.max(F.when(F.col("size") >= least_bytes, F.col("page_id"))).alias("response"), F.count("*").alias("uses"))
+    # A payload that many pages have is dealt over several parts by the page.
+    rows = dealt_join(rows, first, ["digest", "size"], "uses", ["page_id", "url"])
+    revisit = ~F.col("page_id").eqNullSafe(F.col("response")) & F.col("response").isNotNull()
+    rows = rows.select("page_id", "url", "html", "response", F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, archive, done = TaskContext.get().taskAttemptId(), None, []
@@ -176,8 +178,20 @@ def directory(file: pa.NativeFile) -> dict[str, tuple[int, int]]:
     return out
 
 
-def read_archives(archives: DataFrame, stretch: int = 1000, payloads: bool = False) -> DataFrame:
-    """The records of the archives (uri): page_id, url, payload_bytes, payload_digest, record_type, refers_to, with payload if asked for."""
+def stretches(lengths: list[int], most: int) -> list[tuple[int, int]]:
+    """Consecutive records of about `most` bytes together, as ranges of their numbers."""
+    ends, size = [0], 0
+    for k, n in enumerate(lengths):
+        if size and size + n > most:
+            ends.append(k)
+            size = 0
+        size += n
+    ends.append(len(lengths))
+    return [(a, b) for a, b in zip(ends, ends[1:], strict=False) if b > a]
+
+
+def read_archives(archives: DataFrame, stretch_bytes: int = 1_000_000, payloads: bool = False) -> DataFrame:
+    """The records of the archives (uri, records, bytes), read in stretches of about `stretch_bytes`: page_id, url, payload_bytes, payload_digest, record_type, refers_to, with payload if asked for."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("uri", pa.string()), ("at", pa.int64()), ("lengths", pa.list_(pa.int64()))])
@@ -188,7 +202,8 @@ def read_archives(archives: DataFrame, stretch: int = 1000, payloads: bool = Fal
                     members = directory(f)
                     at, n = members[INDEX]
                     lines = [tuple(map(int, x.split())) for x in f.read_at(n, at).decode().splitlines()]
-                rows = [{"uri": uri, "at": members[RECORDS][0] + lines[k][0], "lengths": [n for _, n in lines[k : k + stretch]]} for k in range(0, len(lines), stretch)]
+                sizes = [n for _, n in lines]
+                rows = [{"uri": uri, "at": members[RECORDS][0] + lines[a][0], "lengths": sizes[a:b]} for a, b in stretches(sizes, stretch_bytes)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payloads
@@ -207,7 +222,9 @@ def read_archives(archives: DataFrame, stretch: int = 1000, payloads: bool = Fal
 
     kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     found = archives.select("uri").mapInArrow(locate, "uri string, at long, lengths array<long>")
-    return found.repartition("uri", "at").mapInArrow(read, kind)
+    total = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    tasks = min(100_000, max(1, -(-total // (4 * stretch_bytes))))
+    return found.repartition(tasks, "uri", "at").mapInArrow(read, kind)
 
 
 def archive_folder(spark: SparkSession, name: str) -> str:
