@@ -24,24 +24,50 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.shared import stored
 
 
-class WordHashes(dict):
-    """Signed XXH64 of words, remembered for as long as they are few."""
+BASE = 0x9E3779B97F4A7C15 | 1
+END = np.uint64(0xE2D0E2D0E2D0E2D1)  # the end of a text: no word's hash but by chance
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 7) - (1 << 63)
-        return h
 
+def mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+class Tokeniser:
+    """Hashes of the words of many texts at once, by running sums over their bytes."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def powers(self, n: int) -> None:
+        if len(self.up) < n:
+            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+                p = np.full(2 * n, base, dtype=np.uint64)
+                p[0] = 1
+                setattr(self, name, np.multiply.accumulate(p))
 
-END = WordHashes()[b"\n"]  # no word holds white space
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the texts on end, and how many each has: its words with A-Z lower-cased, and the end."""
+        data = np.frombuffer(b"\n".join([*texts, b""]).lower(), dtype=np.uint8)
+        self.powers(len(data))
+        edge = np.diff(np.concatenate(([False], ~WHITE[data], [False])).astype(np.int8))
+        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((data + np.uint64(1)) * self.down[: len(data)], dtype=np.uint64)))
+        words = mixed((sums[e] - sums[s]) * self.up[s] + (e - s).astype(np.uint64))
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), s, side="right")
+        out = np.full(len(words) + len(texts), END)
+        out[np.arange(len(words)) + text] = words
+        return out, np.bincount(text, minlength=len(texts)) + 1
 
 
 def tokenised(text: Column) -> Column:
@@ -49,14 +75,18 @@ def tokenised(text: Column) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def hashes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = WordHashes()
+        made = Tokeniser()
         for batch in texts:
-            lists = [np.zeros(0, dtype=np.int64)]
-            for t in batch.cast(pa.binary()).to_pylist():
-                words = (t or b"").lower().split()
-                lists.append(np.fromiter(map(known.__getitem__, [*words, b"\n"]), np.int64, len(words) + 1))
-            ends = np.cumsum([len(x) for x in lists])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))
+            found, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
+            part, size = [], 0
+            for k, t in enumerate(batch.cast(pa.binary()).to_pylist()):
+                part.append(t or b"")
+                size += len(part[-1])
+                if size > 500_000 or k == len(batch) - 1:
+                    for c, x in zip((found, counts), made.tokens(part), strict=True):
+                        c.append(x)
+                    part, size = [], 0
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
 
     return hashes(text)
 
@@ -74,10 +104,7 @@ def pieces(lists: pa.ListArray, most: int = 400_000) -> Iterator[tuple[int, np.n
 
 def longer(before: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n tokens from each place on, from those of n - 1 tokens; places too near to the end are left out."""
-    z = before[: len(tokens) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + tokens[n - 1 :]
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    return mixed(before[: len(tokens) - n + 1] * np.uint64(BASE) + tokens[n - 1 :])
 
 
 def sequences(tokens: np.ndarray, n: int) -> list[np.ndarray]:
@@ -240,12 +267,12 @@ def most_frequent(factors: DataFrame, most: int) -> float:
 
 
 class Held:
-    """The broadcast factors, sorted by hash, and the bitmap of all others."""
+    """The broadcast factors, sorted by hash, and the bitmap of all factors."""
 
-    def __init__(self, rows: pa.Table, others: Bitmap, unknown: float):
+    def __init__(self, rows: pa.Table, every: Bitmap, unknown: float):
         h = rows.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
-        self.h, self.others, self.unknown = h[order], others, unknown
+        self.h, self.every, self.unknown = h[order], every, unknown
         self.v, self.root, self.word = (rows.column(c).to_numpy()[order] for c in ("v", "root", "word"))
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -263,25 +290,27 @@ def summed(model: Held, n: int, tokens: np.ndarray, doc: np.ndarray, depth: int)
     known, base, score = np.zeros(n), np.zeros(n), np.zeros(n)
     tails = []
     for k, h in enumerate(sequences(tokens, depth + 1), 1):
-        d = doc[: len(h)]
-        if k > 1:
-            whole = d == doc[k - 1 :]
-            h, d = h[whole], d[whole]
-        at = model.find(h)
-        hit, maybe = at >= 0, (at < 0) & model.others.has(h)
-        tails.append((d[maybe], h[maybe], np.full(int(maybe.sum()), k == 1)))
-        at, d1 = at[hit], d[hit]
-        score += np.bincount(d1, weights=model.v[at], minlength=n)
+        d, maybe = doc[: len(h)], model.every.has(h)
         if k == 1:
-            known += np.bincount(d1, weights=model.word[at], minlength=n)
             # What can't be a word of the training texts is known to be new at once.
-            new = np.bincount(d[~hit & ~maybe], minlength=n) * model.unknown
-            base += np.bincount(d1, weights=model.root[at], minlength=n) + new
+            new = np.bincount(d[~maybe], minlength=n) * model.unknown
+            base += new
             score += new
+        else:
+            maybe &= d == doc[k - 1 :]
+        h, d = h[maybe], d[maybe]
+        at = model.find(h)
+        hit = at >= 0
+        tails.append((d[~hit], h[~hit], np.full(int((~hit).sum()), k == 1)))
+        at, d = at[hit], d[hit]
+        score += np.bincount(d, weights=model.v[at], minlength=n)
+        if k == 1:
+            known += np.bincount(d, weights=model.word[at], minlength=n)
+            base += np.bincount(d, weights=model.root[at], minlength=n)
     return known, base, score, *(np.concatenate(x) for x in zip(*tails, strict=True))
 
 
-def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 8, divergence: float = 12.0, discount: float = 0.5, most_held: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 16, divergence: float = 12.0, discount: float = 0.5, most_held: int = 1_000_000) -> DataFrame:
     """(id, learnt, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; the model learns from the rows where `learns` holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learnt"), F.monotonically_increasing_id().alias("row"), tokenised(F.col(text_col)).alias("seq"))
@@ -299,37 +328,35 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     factors = stored(factors, "factors")
     at = most_frequent(factors, most_held)
     others = factors.where(F.col("c") < at).select("h", "v", "root", "word")
-    model = spark.sparkContext.broadcast(Held(factors.where(F.col("c") >= at).toArrow(), Bitmap.of(others.select("h")), unknown))
+    model = spark.sparkContext.broadcast(Held(factors.where(F.col("c") >= at).toArrow(), Bitmap.of(factors.select("h")), unknown))
+    kind = StructType([rows.schema["id"], *StructType.fromDDL("learnt boolean, row long, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,one:boolean,n:long>>")])
 
-    @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base:double,score:double,tail:array<struct<h:bigint,one:boolean,n:bigint>>>")
-    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(4)]
-            tail: list[list] = [[np.zeros(1, dtype=np.int64)], [], [], []]
-            for n, tokens, doc in pieces(batch):
+            a = 0
+            for n, tokens, doc in pieces(batch.column(3)):
                 known, base, value, d, h, one = summed(model.value, n, tokens, doc, depth)
-                for c, x in zip(cols, (np.bincount(doc, minlength=n), known.astype(np.int64), base, value), strict=True):
-                    c.append(x)
                 order = np.lexsort((h, d))
                 d, h, one = d[order], h[order], one[order]
                 first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])))) if len(d) else np.zeros(0, dtype=np.int64)
-                tail[0].append(tail[0][-1][-1] + np.cumsum(np.bincount(d[first], minlength=n)))
-                for c, x in zip(tail[1:], (h[first].view(np.int64), one[first], np.diff(np.append(first, len(d)))), strict=True):
-                    c.append(x)
-            join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-            items = pa.StructArray.from_arrays([join(c, f.type) for c, f in zip(tail[1:], TAIL, strict=True)], fields=list(TAIL))
-            done = [join(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.StructArray.from_arrays([*done, pa.ListArray.from_arrays(join(tail[0], pa.int32()), items)], ["n_tokens", "n_known", "base", "score", "tail"])
-
-    heads = stored(rows.select("id", "learnt", "row", read("seq").alias("r")), "scores")
+                ends = np.concatenate(([0], np.cumsum(np.bincount(d[first], minlength=n))))
+                cells = (h[first].view(np.int64), one[first], np.diff(np.append(first, len(d))))
+                items = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(cells, TAIL, strict=True)], fields=list(TAIL))
+                tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+                given = [batch.column(k).slice(a, n) for k in range(3)]
+                made = [pa.array(np.bincount(doc, minlength=n)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(value)]
+                yield pa.RecordBatch.from_arrays([*given, *made, tail], kind.names)
+                a += n
+
+    heads = stored(rows.select("id", "learnt", "row", "seq").mapInArrow(read, kind), "scores")
     model.destroy()
-    tail = heads.select("row", F.explode("r.tail").alias("t")).select("row", "t.h", "t.one", "t.n")
+    tail = heads.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.one", "t.n")
     new = F.when(F.col("one"), F.lit(unknown)).otherwise(F.lit(0.0))
     met = tail.join(others, "h", "left").groupBy("row").agg(
         F.sum(F.col("n") * F.coalesce("v", new)).alias("tail_score"),
         F.sum(F.when(F.col("one"), F.col("n") * F.coalesce("root", new)).otherwise(F.lit(0.0))).alias("tail_base"),
         F.sum(F.when(F.col("one") & F.col("word"), F.col("n")).otherwise(0)).alias("tail_known"),
     )
-    out = heads.join(met, "row", "left")
+    out = heads.drop("tail").join(met, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select("id", "learnt", F.col("r.n_tokens").alias("n_tokens"), (F.col("r.n_known") + zero("tail_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("r.base") + zero("tail_base")).alias("base_score"), (F.col("r.score") + zero("tail_score")).alias("score"))
+    return out.select("id", "learnt", "n_tokens", (F.col("n_known") + zero("tail_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + zero("tail_base")).alias("base_score"), (F.col("score") + zero("tail_score")).alias("score"))

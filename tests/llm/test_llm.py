@@ -176,6 +176,63 @@ def test_mixing_targets(spark, odd):
     assert mixing.mix(empty(odd)).count() == 0
 
 
+def targets_of(sizes: dict, weights=(3, 1, 2)) -> dict:
+    """The contract's targets by plain sharing again and again: sources by code point, null last, capped at twice their size."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    w = {s: weights[k % 3] for k, s in enumerate(order)}
+    target, open_, words = {}, set(order), 1.5 * sum(sizes.values())
+    while open_:
+        level = (words - sum(target.values())) / sum(w[s] for s in open_)
+        over = {s for s in open_ if level * w[s] > 2 * sizes[s]}
+        if not over:
+            return target | {s: level * w[s] for s in open_}
+        target |= {s: 2.0 * sizes[s] for s in over}
+        open_ -= over
+    return target
+
+
+def test_mix_of_whole_tables_against_plain_sharing(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    out = queries.op4_mixing(spark, folder).collect()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for i, r in docs.items()}
+    sizes = Counter()
+    for i, r in docs.items():
+        sizes[r["source"]] += size[i]
+    want, taken = targets_of(sizes), Counter()
+    assert len(out) == len(docs)
+    for r in out:
+        s = docs[r["doc_id"]]["source"]
+        taken[s] += r["taken"]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], sizes[s]) and r["target"] == pytest.approx(want[s]) and 0 <= r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
+def test_pieces_make_the_mix_in_schedule_order(spark):
+    """Every prefix of the slots has each source near its share, no word is taken more often than there are epochs, blocks are equal."""
+    rows = [(k, "w " * (3 + k % 50), f"s{k % 4}", "") for k in range(2000)]
+    sized = mixing.sizes(spark.createDataFrame(rows, DOC), "doc_id", "text", "source")
+    targets = mixing.source_targets(sized, (3.0, 1.0, 2.0), 1.0, 2)
+    got = mixing.pieces(sized, targets, 2, 64, 17).collect()
+    target = {r["src"]: r["target"] for r in targets.collect()}
+    total, words = sum(target.values()), Counter()
+    for t in range(0, max(r["t"] for r in got), 100):
+        part = Counter()
+        for r in got:
+            if r["t"] <= t:
+                part[r["src"]] += r["words"]
+        if (t + 1) * 64 < total:
+            assert all(abs(part[s] - target[s] / total * (t + 1) * 64) <= 64 * 12 for s in target)
+    for r in got:
+        for k in range(r["first"], r["first"] + r["words"]):
+            words[r["row"], r["epoch"], k] += 1
+    assert max(words.values()) == 1
+    blocks = Counter()
+    for r in got:
+        blocks[r["t"]] += r["words"]
+    assert sorted(Counter(blocks.values()).items())[-1][0] == 64 and sum(n < 64 for n in blocks.values()) <= 4
+
+
 def test_line_dedup(spark, odd):
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [(1, f"start here {passage} end", "", "x"), (2, f"another\nbegin {passage}\nlast words", "", "x"), (3, "short line", "", "x"), (4, "short line", "", "x"), (5, "a " * 500, "", "x")]
@@ -265,6 +322,9 @@ def test_warc_round_trip(spark, tmp_path):
     by = {r["page_id"]: r for r in out}
     assert len(out) == 7 and by[1]["record_type"] == "revisit" and by[1]["refers_to"] == 2 and by[1]["payload_bytes"] == 7
     assert by[2]["payload"].decode() == "same é" and by[3]["refers_to"] == 4 and by[5]["record_type"] == "response" and by[None]["record_type"] == "response"
+    assert warc.stretches([5, 5, 5, 20, 1], 10) == [(0, 2), (2, 3), (3, 4), (4, 5)] and warc.stretches([], 10) == []
+    small = {r["page_id"]: r for r in warc.read_archives(arch, stretch_bytes=1).collect()}
+    assert {k: r["payload_digest"] for k, r in small.items()} == {k: r["payload_digest"] for k, r in by.items()}
     assert warc.read_archives(warc.write_archives(empty(pages), f"file://{tmp_path}/none")).count() == 0
 
 
@@ -394,6 +454,15 @@ def test_language_model(spark, docs, odd):
     assert tuple(none) == (0, 0.0, 0) and language_model.score(empty(odd), F.lit(True)).count() == 0
 
 
+def test_tokens_are_words_of_white_space():
+    texts = [b"", b"  A b\x0b\tC ", "É é\u00a0é".encode(), b"x", b"\n\n"]
+    got, counts = language_model.Tokeniser().tokens(texts)
+    words = [w for t in texts for w in [*t.lower().split(), None]]
+    assert counts.tolist() == [1, 4, 3, 2, 1] and len(got) == len(words)
+    names = dict(zip(words, got.tolist(), strict=True))
+    assert all(names[w] == g for w, g in zip(words, got.tolist(), strict=True)) and len(set(names.values())) == len(names)
+
+
 def test_tree_states_sum_to_one_and_score_texts(spark):
     """The broadcast size changes no score, and the ratios over the states make distributions, to a depth of three words."""
     rng = np.random.default_rng(3)
@@ -407,10 +476,11 @@ def test_tree_states_sum_to_one_and_score_texts(spark):
     words = words.withColumn("lp", F.log10((F.col("c") + 1) / F.lit(n + v + 1.0)))
     root = {r["h"]: r["lp"] for r in words.collect()}
     contexts, symbols = ({r["h"]: r["v"] for r in f.collect()} for f in language_model.states(seqs, words, n, 3, 4, 2.0, 0.5))
-    h = language_model.WordHashes()
+    of = language_model.Tokeniser()
+    h = {x: int(of.tokens([x.encode()])[0][0].view(np.int64)) for x in "abcd"}
 
     def lp(context, w):
-        seq = np.array([*(h[x.encode()] for x in context), w], dtype=np.int64).view(np.uint64)
+        seq = np.array([*(h[x] for x in context), w], dtype=np.int64).view(np.uint64)
         runs = [(k, s) for k, s in enumerate(language_model.sequences(seq, 4), 1)]
         value = root.get(w, math.log10(1 / (n + v + 1)))
         value += sum(symbols.get(int(s[len(seq) - k].view(np.int64)), 0) for k, s in runs if 1 < k <= len(seq))
