@@ -310,8 +310,54 @@ def test_toxicity(spark, odd):
     assert all((r["s"] >= 0.5) == (r["doc_id"] % 3 == 0) for r in got)
     model = toxicity.fit(odd, empty(labels))
     assert all(0 <= r["s"] < 0.5 for r in odd.select(model.score(odd).alias("s")).collect())
-    g = toxicity.Grammar({b"idiot": 4.0})
-    assert g.weight(b"you idiot") > g.weight(b"an idiot") > g.weight(b"not an idiot") and g.weight(b"he said idiot") < g.weight(b"he idiot")
+
+
+def test_composed_transducers_find_the_best_path():
+    """Against all paths by brute force; and each context moves the sum to its own arc."""
+    g = toxicity.Grammar({b"idiot": 4.0, b"grumb*": 2.0})
+    arc = lambda t, **k: {a: round(v, 6) for a, v in zip(toxicity.ARCS, toxicity.Grammar(g.insults, **k).sums(t.encode()), strict=True) if v}
+    assert arc("an idiot") == {"i": 4.0} and arc("idiot, you") == arc("you idiot") == {"id": 4.0} and arc("You. Idiot") == {"i": 4.0}
+    assert arc("not an idiot") == {"in": 4.0} and arc("not one two three an idiot") == {"i": 4.0} and arc("he said idiot") == {"ird": 4.0}
+    assert arc("kill time") == {} and arc("i will kill you") == {"hd": 4.0} and arc("do not kill them") == {"hnd": 4.0}
+    assert arc("not an idiot", without=("negation",)) == {"i": 4.0} and arc("") == arc("grumb") == {} and arc("grumbler") == {"i": 2.0}
+    rng = np.random.default_rng(8)
+    words = {"idiot": "I", "kill": "H", "you": "T", "not": "N", "said": "R", "x": "o"}
+    for _ in range(200):
+        text = rng.choice(list(words), size=rng.integers(1, 7)).tolist()
+        paths = [((0,) * 5, 0.0)]
+        for w in text:
+            weight = 4.0 if w in ("idiot", "kill") else 0.0
+            paths = [(to, v + weight * toxicity.ARCS.get(m, 0.0)) for s, v in paths for to, m in g.table[s, words[w]]]
+        best = max(v for s, v in paths if s[4] != toxicity.OWED)
+        assert sum(v * w for v, w in zip(g.sums(" ".join(text).encode()), toxicity.ARCS.values(), strict=True)) == pytest.approx(best)
+
+
+def test_stems_have_to_tell_more_than_their_words():
+    found = [(b"pathetic", 5.0, 100.0), (b"pathe*", 5.0, 101.0), (b"frobbing", 4.0, 30.0), (b"frobbed", 4.0, 31.0), (b"frobb*", 4.5, 60.0), (b"frobbi*", 4.0, 30.0)]
+    assert set(toxicity.telling(found, 1.2)) == {b"pathetic", b"frobbing", b"frobbed", b"frobb*"}
+
+
+def test_context_changes_predictions(spark):
+    """Labels say that negated and reported insults are harmless: the model learns it, and without those machines it fails."""
+    rng = np.random.default_rng(6)
+    fill = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, size=n))
+    form = ["you are an idiot", "what a moron", "you are not an idiot", "he said that idiot", "a calm note"]
+    rows = [(k, f"{fill(8)}. {form[k % 5]}. {fill(8)}", "", "") for k in range(1500)]
+    labels = spark.createDataFrame([(k, int(k % 5 < 2)) for k in range(1500)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, DOC)
+    model = toxicity.fit(df, labels)
+    got = df.select("doc_id", model.score(df).alias("s"), model.score(df, without=("negation",)).alias("n"), model.score(df, without=("report",)).alias("r")).collect()
+    assert all((r["s"] >= 0.5) == (r["doc_id"] % 5 < 2) for r in got)
+    assert all(r["n"] >= 0.5 for r in got if r["doc_id"] % 5 == 2) and all(r["r"] >= 0.5 for r in got if r["doc_id"] % 5 == 3)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    out = queries.op6_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    found = sum(r["predicted"] for r in out if r["toxic"] == 1) / sum(r["toxic"] for r in out)
+    false = sum(r["predicted"] for r in out if r["toxic"] == 0)
+    print("held-out", found, false, len(out))
+    assert found >= 0.9 and false <= 10
 
 
 def test_warc_round_trip(spark, tmp_path):
