@@ -1,147 +1,128 @@
-"""Text cut into passages, sentences and similar neighbours. Offsets are code points; the ranges of a text cover it without gaps."""
+"""Text cut into passages, sentences and similar neighbours, as Columns. Offsets are code points; the ranges of a text cover it without gaps."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import Counter
-
-import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# What ends a sentence or a paragraph.
+# What ends a sentence or a paragraph, and the sizes of passages.
 STOP = r"[.!?。！？][\"”’)\]]*(?:\s+|$)"
-ENDS = re.compile(STOP + r"|\n[ \t]*\n")
-SENTENCE_ENDS = re.compile(STOP)
-BETWEEN = re.compile(r"(?<=[。！？])|(?<=[.!?])\s+(?=[A-Z㐀-鿿])")
-
-Range = tuple[int, int, bool]
-
-
-def passages(text: str, goal: int = 2400, most: int = 6000) -> list[Range]:
-    """(start, end, hard): each ends at the first boundary that is `goal` characters on; a hard cut at `most` where there is none."""
-    out: list[Range] = []
-    while (at := out[-1][1] if out else 0) < len(text):
-        last = min(at + most, len(text))
-        # Two characters more than a passage may have: a match cut short by the piece's own end lies behind `last`.
-        ends = (m.end() + at for m in ENDS.finditer(text[at : last + 2]))
-        end = next((e for e in ends if e >= min(at + goal, len(text))), last + 1)
-        out.append((at, end, False) if end <= last else (at, last, last < len(text)))
-    return out
-
-
-def sections(text: str, heads: list[int]) -> list[Range]:
-    """Passages that never cross one of the offsets `heads`."""
-    cuts = sorted({0, len(text), *(h for h in heads if 0 < h < len(text))})
-    return [(a + s, a + e, hard) for a, b in zip(cuts, cuts[1:]) for s, e, hard in passages(text[a:b])]
-
-
-def sentences(text: str, most: int = 1200) -> list[str]:
-    """Sentences, neighbours joined by a space while they fit into `most`; a longer one stays whole."""
-    out: list[str] = []
-    for part in filter(str.strip, BETWEEN.split(text)):
-        joined = f"{out[-1]} {part}".strip() if out else ""
-        if out and len(joined) <= most:
-            out[-1] = joined
-        else:
-            out.append(part.strip())
-    return out
-
-
-def units(text: str, least: int = 400, most: int = 6000) -> list[tuple[int, int]]:
-    """Runs of sentences of `least` characters or more, cut at `most`; what is left over is the last one."""
-    cuts, start = [0], 0
-    ends = [m.end() for m in SENTENCE_ENDS.finditer(text)] + [len(text)]
-    for k, end in enumerate(ends):
-        if end - start >= least or k == len(ends) - 1:
-            cuts += [*range(start + most, end, most), end]
-            start = end
-    cuts = sorted(set(cuts))
-    return list(zip(cuts, cuts[1:]))
-
-
-def hashed(text: str, dim: int = 384) -> Counter:
-    """Signed hash counts of the words."""
-    v: Counter = Counter()
-    for w in re.findall(r"\w+", text.lower()):
-        h = hashlib.sha256(w.encode()).digest()
-        v[int.from_bytes(h[:4], "big") % dim] += 1 - 2 * (h[4] & 1)
-    return v
-
-
-def likeness(a: Counter, b: Counter) -> float:
-    size = (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
-    return sum(x * b[k] for k, x in a.items()) / size if size else 0.0
-
-
-def similar_ranges(text: str, near: int = 1200, goal: int = 2400, far: int = 3600, most: int = 6000) -> list[tuple[int, int]]:
-    """Units joined up to the least similar neighbours between `near` and `far` characters on, ties to the one nearest to `goal`."""
-    u = units(text, most=most)
-    vectors = [hashed(text[a:b]) for a, b in u]
-    alike = [likeness(a, b) for a, b in zip(vectors, vectors[1:])]
-    out, k = [], 0
-    while k < len(u):
-        size = lambda j: u[j][1] - u[k][0]  # noqa: B023, E731
-        open_to, j = [], k
-        while j + 1 < len(u) and size(j) <= far:
-            open_to += [j] if size(j) >= near else []
-            j += 1
-        if open_to:
-            end = min(open_to, key=lambda i: (alike[i], abs(size(i) - goal), i))
-        else:
-            end = k
-            while end + 1 < len(u) and size(end + 1) <= most:
-                end += 1
-        out.append((u[k][0], u[end][1]))
-        k = end + 1
-    return out
-
-
-def paragraph_chunks(text: str, most: int = 1200) -> list[tuple[int, int]]:
-    """Neighbouring paragraphs (lines) joined while they fit into `most`; a line without letters is left out and parts its neighbours."""
-    out: list[tuple[int, int]] = []
-    at, joins = 0, False
-    for line in text.split("\n"):
-        start, end = at, at + len(line)
-        at = end + 1
-        if line.strip() and not any(map(str.isalpha, line)):
-            joins = False
-        elif line.strip():
-            if joins and end - out[-1][0] <= most:
-                out[-1] = (out[-1][0], end)
-            else:
-                out.append((start, end))
-            joins = True
-    return out
-
-
-INT = T.IntegerType()
-SPAN = T.StructType([T.StructField("start", INT), T.StructField("end", INT)])
-CUT = T.StructType([*SPAN.fields, T.StructField("hard", T.BooleanType())])
-
-
-def _rows(fn, kind: T.StructType):
-    """A pandas function of texts (null: none) that gives each one's list of `kind` structs."""
-
-    @F.pandas_udf(T.ArrayType(kind))
-    def f(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: [dict(zip(kind.names, row)) for row in fn(x or "")])
-
-    return f
-
-
-passage_ranges = _rows(passages, CUT)
-similar_passages = _rows(similar_ranges, SPAN)
-paragraph_ranges = _rows(paragraph_chunks, SPAN)
-
-
-@F.pandas_udf(T.ArrayType(CUT))
-def section_ranges(texts: pd.Series, heads: pd.Series) -> pd.Series:
-    rows = lambda x, h: [dict(zip(CUT.names, r)) for r in sections(x or "", [] if h is None else [int(k) for k in h])]
-    return pd.Series([rows(x, h) for x, h in zip(texts, heads)])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sentence_list(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: sentences(x or ""))
+ENDS = STOP + r"|\n[ \t]*\n"
+BETWEEN = r"(?<=[。！？])|(?<=[.!?])\s+(?=[A-Z㐀-鿿])"
+GOAL, MOST = 2400, 6000
+NEAR, FAR, UNIT, CHUNK = 1200, 3600, 400, 1200
+
+RANGES = "array<struct<start:int,end:int,hard:boolean>>"
+
+
+def match_ends(text: Column, pattern: str) -> Column:
+    """array<int>: the ends of a pattern's matches, from the lengths of the pieces between them."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+    add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    return F.aggregate(steps, start, add, lambda acc: acc["ends"])
+
+
+def cut(text: Column, ends: Column, heads: Column, goal: int = GOAL, most: int = MOST) -> Column:
+    """Ranges that end at the first of `ends` that is `goal` characters on, at each of `heads`, and hard at `most` where neither is near.
+
+    One pass over the sorted ends: what is too long since the last cut is cut hard, then the end is taken or left.
+    """
+    n = F.length(text)
+    stops = F.transform(ends, lambda e: F.struct(e.alias("e"), F.lit(False).alias("must")))
+    must = F.transform(F.concat(heads, F.array(n)), lambda h: F.struct(h.cast("int").alias("e"), F.lit(True).alias("must")))
+    stops = F.array_sort(F.filter(F.concat(stops, must), lambda x: (x["e"] > 0) & (x["e"] <= n)))
+
+    def step(acc: Column, x: Column) -> Column:
+        hard = F.greatest(F.ceil((x["e"] - acc["at"]) / F.lit(most)).cast("int") - 1, F.lit(0))
+        pieces = F.when(hard > 0, F.transform(F.sequence(F.lit(1), F.greatest(hard, F.lit(1))), lambda k: F.struct((acc["at"] + (k - 1) * most).alias("start"), (acc["at"] + k * most).alias("end"), F.lit(True).alias("hard"))))
+        at = acc["at"] + hard * most
+        take = (x["e"] > at) & (x["must"] | (x["e"] - at >= goal))
+        last = F.when(take, F.array(F.struct(at.alias("start"), x["e"].alias("end"), F.lit(False).alias("hard"))))
+        none = F.array().cast(RANGES)
+        out = F.concat(acc["out"], F.coalesce(pieces.cast(RANGES), none), F.coalesce(last.cast(RANGES), none))
+        return F.struct(F.when(take, x["e"]).otherwise(at).cast("int").alias("at"), out.alias("out"))
+
+    return F.coalesce(F.aggregate(stops, F.struct(F.lit(0).alias("at"), F.array().cast(RANGES).alias("out")), step, lambda acc: acc["out"]), F.array().cast(RANGES))
+
+
+def passage_ranges(text: Column, heads: Column | None = None) -> Column:
+    """Passages, none of them across one of the offsets `heads`."""
+    none = F.array().cast("array<int>")
+    return cut(text, match_ends(text, ENDS), F.coalesce(heads, none) if heads is not None else none)
+
+
+def joined_while_short(parts: Column, most: int) -> Column:
+    """Neighbouring strings joined by a space while they fit into `most` characters; a longer one stays whole."""
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        both = F.concat_ws(" ", last, x)
+        return F.when((F.size(out) > 0) & (F.length(both) <= most), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(both))).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def sentence_list(text: Column, most: int = CHUNK) -> Column:
+    parts = F.transform(F.split(text, BETWEEN, -1), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return joined_while_short(F.filter(parts, lambda p: p != ""), most)
+
+
+def paragraph_ranges(text: Column, most: int = CHUNK) -> Column:
+    """array<struct<start, end>>: neighbouring lines joined while they fit; one without letters is left out and parts its neighbours."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def step(acc: Column, line: Column) -> Column:
+        s, e = acc["at"], acc["at"] + F.length(line)
+        last = F.try_element_at(acc["out"], F.lit(-1))
+        fits = acc["joins"] & (e - last["start"] <= most)
+        start = F.when(F.coalesce(fits, F.lit(False)), last["start"]).otherwise(s)
+        kept = F.when(F.coalesce(fits, F.lit(False)), F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1)).otherwise(acc["out"])
+        blank, wordless = ~line.rlike(r"\S"), ~line.rlike(r"\p{L}")
+        out = F.when(blank | wordless, acc["out"]).otherwise(F.concat(kept, F.array(F.struct(start.alias("start"), e.alias("end"))).cast(kind)))
+        joins = F.when(blank, acc["joins"]).otherwise(~wordless)
+        return F.struct((e + 1).alias("at"), joins.alias("joins"), out.alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("joins"), F.array().cast(kind).alias("out"))
+    return F.aggregate(F.split(text, "\n"), first, step, lambda acc: acc["out"])
+
+
+def neighbour_similarity(units: DataFrame, dim: int = 384) -> DataFrame:
+    """(id, k, alike): cosine of unit k's and unit k + 1's signed hash counts of words, of units (id, k, text)."""
+    h = F.sha2("word", 256)
+    idx = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("idx")
+    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    words = units.select("id", "k", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))
+    v = words.select("id", "k", idx, sign.alias("s")).groupBy("id", "k", "idx").agg(F.sum("s").alias("s"))
+    norms = v.groupBy("id", "k").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("size"))
+    after = v.select("id", (F.col("k") - 1).alias("k"), "idx", F.col("s").alias("t"))
+    dots = v.join(after, ["id", "k", "idx"]).groupBy("id", "k").agg(F.sum(F.col("s") * F.col("t")).alias("dot"))
+    size = F.col("size") * F.lead("size").over(Window.partitionBy("id").orderBy("k"))
+    both = norms.select("id", "k", size.alias("size")).join(dots, ["id", "k"], "left")
+    return both.select("id", "k", F.when(F.col("size") > 0, F.coalesce("dot", F.lit(0)) / F.col("size")).otherwise(0.0).alias("alike"))
+
+
+def similar_ranges(docs: DataFrame) -> DataFrame:
+    """(id, start, end) of docs (id, text): units of sentences, joined up to the least similar neighbours at a fitting distance."""
+    units = docs.select("id", "text", F.posexplode(cut(F.col("text"), match_ends(F.col("text"), STOP), F.array().cast("array<int>"), UNIT)).alias("k", "r"))
+    units = units.select("id", "k", "r.start", "r.end", F.substring("text", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("text"))
+    alike = neighbour_similarity(units.select("id", "k", "text"))
+    rows = units.drop("text").join(alike, ["id", "k"], "left")
+    per = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("end", F.round(F.coalesce("alike", F.lit(0.0)), 12).alias("alike")))).alias("u"))
+    n = F.element_at("u", -1)["end"]
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"]
+        fitting = F.filter("u", lambda x: (x["end"] - at).between(NEAR, FAR) & (x["end"] < n))
+        least = F.array_min(F.transform(fitting, lambda x: F.struct(x["alike"].alias("a"), F.abs(x["end"] - at - GOAL).alias("d"), x["end"].alias("e"))))["e"]
+        longest = F.array_max(F.transform(F.filter("u", lambda x: (x["end"] > at) & (x["end"] - at <= MOST)), lambda x: x["end"]))
+        following = F.array_min(F.transform(F.filter("u", lambda x: x["end"] > at), lambda x: x["end"]))
+        end = F.coalesce(least, longest, following)
+        one = F.array(F.struct(at.alias("start"), end.alias("end"))).cast("array<struct<start:int,end:int>>")
+        return F.when(at >= n, acc).otherwise(F.struct(end.cast("int").alias("at"), F.concat(acc["out"], one).alias("out")))
+
+    # A range has NEAR characters at least, but for the last one; so many turns suffice.
+    turns = F.sequence(F.lit(0), F.ceil(n / NEAR).cast("int"))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    return per.select("id", F.explode(F.aggregate(turns, first, step, lambda acc: acc["out"])).alias("r")).select("id", "r.*")

@@ -1,149 +1,142 @@
-"""Quotes found again in extracted text, and the numbers of a statement checked against its quotes."""
+"""Quotes found again in extracted text, and the numbers of a statement checked against its quotes, as Columns.
 
-from __future__ import annotations
+A quote isn't searched in a folded copy of the text: it becomes a regular expression that lets pass what layout may have
+done between its characters, so the match's place in the text is the place itself. Numbers are what a tokeniser of one pattern
+leaves when names, citations and references have been read as tokens of their own.
+"""
 
-import re
-import unicodedata
-from decimal import Decimal
-from fractions import Fraction
-from itertools import permutations
-from math import floor
+from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters that layout adds, and the plain forms of quotes and dashes.
-INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff"
-INVISIBLE_STRICT = "\u00ad\u200b\ufeff"
-PLAIN = str.maketrans({**dict.fromkeys("‘’‚′", "'"), **dict.fromkeys("“”„″", '"'), **dict.fromkeys("‐‑‒–—―−", "-")})
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-TYPOGRAPHIC = str.maketrans({**{chr(k): v for k, v in PLAIN.items() if chr(k) not in "′″−"}, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, **dict(zip("｡｢｣､･", "。「」、・")), **LIGATURES})
-SOFT = "\ue000"  # stands for a hyphen that may only be a line break's
-
-
-def breaks_word(text: str, k: int, drop: str) -> bool:
-    """Whether the hyphen at k stands between a letter and white space behind which a small letter comes."""
-    if k == 0 or not text[k - 1].isalpha() or not text[k + 1 : k + 2].isspace():
-        return False
-    after = (text[i] for i in range(k + 1, len(text)))
-    return next((c for c in after if not c.isspace() and c not in drop), "").islower()
-
-
-def plain(text: str, strict: bool = False) -> tuple[str, list[int]]:
-    """The text without layout and the offset that each character left comes from; hyphens before a line break become SOFT."""
-    drop = INVISIBLE_STRICT if strict else INVISIBLE
-    chars, origin = [], []
-    for k, c in enumerate(text):
-        if c in drop or c.isspace():
-            continue
-        for f in c.translate(TYPOGRAPHIC) if strict else unicodedata.normalize("NFKC", c).casefold().translate(PLAIN):
-            if not f.isspace():
-                chars.append(SOFT if f == "-" and breaks_word(text, k, drop) else f)
-                origin.append(k)
-    return "".join(chars), origin
-
-
-def locate(quote: str, text: str, strict: bool = False) -> tuple[int, int] | None:
-    """[start, end) of the first place of the quote but for layout; strict keeps case and scientific symbols."""
-    needle = plain(quote, strict)[0].replace(SOFT, "-")
-    if not needle:
-        return None
-    hay, origin = plain(text, strict)
-    start = hay.replace(SOFT, "-").find(needle)
-    end = start + len(needle)
-    if start < 0:
-        m = SOFT in hay and re.search(f"{SOFT}?".join(f"[-{SOFT}]" if c == "-" else re.escape(c) for c in needle), hay)
-        if not m:
-            return None
-        start, end = m.span()
-    return origin[start], origin[end - 1] + 1
-
-
-@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-def quote_span(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
-    found = [(locate(q, x) if isinstance(q, str) and isinstance(x, str) else None) or (None, None) for q, x in zip(quotes, texts)]
-    return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
+# Characters that layout adds; the forms of quotes, dashes, ligatures and half-width marks; plain full-width forms are a rule.
+INVISIBLE = "­​‌‍﻿"
+INVISIBLE_STRICT = "­​﻿"
+APOSTROPHES, QUOTES, DASHES = "‘’‚", "“”„", "‐‑‒–—―"
+SCIENTIFIC = {"'": "′", '"': "″", "-": "−"}
+LIGATURES = {"ffi": "ﬃ", "ffl": "ﬄ", "ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ", "st": "ﬆﬅ"}
+HALF_WIDTH, FULL_MARKS = "｡｢｣､･", "。「」、・"
+PLAIN = "".join(map(chr, range(0x21, 0x7F)))
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in PLAIN)
+
+
+def variants(strict: bool) -> dict[str, str]:
+    """The plain character and its other forms, for those that have any."""
+    out = {"'": APOSTROPHES, '"': QUOTES, "-": DASHES}
+    return out if strict else {k: v + SCIENTIFIC[k] for k, v in out.items()}
+
+
+def folded(x: Column, strict: bool = False) -> Column:
+    """The text with one form for each character, without white space and what layout adds."""
+    own = variants(strict)
+    source = "".join(own.values()) + WIDE + HALF_WIDTH
+    target = "".join(k * len(v) for k, v in own.items()) + PLAIN + FULL_MARKS
+    for plain, forms in LIGATURES.items():
+        for form in forms:
+            x = F.replace(x, F.lit(form), F.lit(plain))
+    x = F.regexp_replace(F.translate(x, source, target), rf"[\s\p{{Z}}{INVISIBLE_STRICT if strict else INVISIBLE}]+", "")
+    return x if strict else F.lower(x)
+
+
+def quote_pattern(quote: Column, strict: bool = False) -> Column:
+    """A regular expression for the quote: every form of its characters, and between them white space and hyphens at line breaks."""
+    noise = rf"[\s\p{{Z}}{INVISIBLE_STRICT if strict else INVISIBLE}]"
+    broken = rf"(?:{noise}|(?<=\p{{L}})-(?=\s{noise}*+\p{{Ll}}))*+"
+    own = variants(strict)
+
+    def one(c: Column) -> Column:
+        forms = F.concat(c, F.translate(c, PLAIN + FULL_MARKS, WIDE + HALF_WIDTH))
+        for plain, more in own.items():
+            forms = F.when(c == plain, F.concat(forms, F.lit(more))).otherwise(forms)
+        # A hyphen of the quote itself may not be taken for one of the text's line breaks.
+        return F.concat(F.when(c == "-", F.lit(f"{noise}*+")).otherwise(F.lit(broken)), F.lit("["), F.regexp_replace(forms, r"([\[\]\\^&-])", r"\\$1"), F.lit("]"))
+
+    chars = F.filter(F.split(folded(quote, strict), ""), lambda c: c != "")
+    pattern = F.array_join(F.transform(chars, one), "")
+    for plain, forms in LIGATURES.items():
+        spelt = F.array_join(F.array(*[one(F.lit(c)) for c in plain]), "")
+        # The gap before a ligature's first letter stays before the choice.
+        head = F.lit(broken)
+        body = F.substring(spelt, F.length(head) + 1, F.length(spelt))
+        pattern = F.replace(pattern, body, F.concat(F.lit("(?:"), body, F.lit("|["), F.lit(forms), F.lit("])")))
+    pattern = F.substring(pattern, F.when(chars[0] == "-", F.lit(len(noise) + 2)).otherwise(F.lit(len(broken))) + 1, F.length(pattern))
+    return F.when(F.size(chars) > 0, pattern if strict else F.concat(F.lit("(?iu)"), pattern))
+
+
+def quote_span(quote: Column, text: Column, strict: bool = False) -> Column:
+    """struct<start, end> of the first place of the quote but for layout; null where there is none. `strict` keeps case and scientific marks."""
+    pattern = quote_pattern(quote, strict)
+    match = F.regexp_substr(text, pattern)
+    start = F.length(F.split(text, pattern, 2)[0])
+    return F.when(match.isNotNull(), F.struct(start.alias("start"), (start + F.length(match)).alias("end")))
 
 
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    """The one normal form that Spark has no function for."""
+    return texts.str.normalize("NFKC")
 
 
-# What a number looks like, and what is a reference rather than a quantity.
-NUMBER = re.compile(r"[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?|[+-]?\.[0-9]+")
-NAME = re.compile(r"[A-Za-z0-9_@]+(?:[.\-/][A-Za-z0-9_@]+)*")
-PART = r"(?:表|图|第|公式|式|章|节|页|附录|算法|\b(?:Tables?|Fig(?:ure)?s?\.?|Sections?|Eq(?:uation)?s?\.?|Appendix|Algorithm))"
+# What a number looks like, its units, and what is a reference or a name rather than a quantity.
+NUMBER = r"(?:(?<![0-9%])[+-])?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?|(?:(?<![0-9%])[+-])?\.[0-9]+"
+UNITS = {"percent": "%", "points": r"(?:个\s*)?百分点"}
 SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
-SPELT = rf"\b(?:{'|'.join(SMALL)})\b"
-REFERENCES = re.compile(
-    rf"{PART}\s*\(?[A-Z]?[0-9]+(?:\.[0-9]+)*(?:[a-z])?\)?|\[\s*[0-9]+(?:\s*[,;\-–]\s*[0-9]+)*\s*\]"
-    rf"|\(\s*(?:19|20)[0-9]{{2}}[a-z]?\s*\)|\bet\s+al\.,?\s*\(?\s*(?:19|20)[0-9]{{2}}[a-z]?|{PART}\s+{SPELT}",
-    re.IGNORECASE,
+PARTS = r"(?:[表图第式章节页]|公式|附录|算法|\b(?:tables?|fig(?:ure)?s?\.?|sections?|eq(?:uation)?s?\.?|appendix|algorithm))"
+SPELT = rf"(?<![\w@-])(?:{'|'.join(SMALL)})(?![\w@-])"
+SKIPPED = (
+    rf"{PARTS}\s*\(?[a-z]?[0-9]+(?:\.[0-9]+)*[a-z]?\)?",
+    rf"{PARTS}\s+(?:{'|'.join(SMALL)})\b",
+    r"\[\s*[0-9]+(?:\s*[,;-]\s*[0-9]+)*\s*\]",
+    r"\(\s*(?:19|20)[0-9]{2}[a-z]?\s*\)",
+    r"\bet\s+al\.,?\s*\(?\s*(?:19|20)[0-9]{2}[a-z]?",
+    r"(?=[\w@./-]*[a-z@])(?![a-z]+(?![\w@./-]))[\w@]+(?:[./-][\w@]+)*",
 )
-WORD = re.compile(rf"(?<![-@_]){SPELT}(?![-@_])", re.IGNORECASE)
-
-
-def quantities(text: str, spelt: bool = False) -> list[tuple[str, Decimal, str]]:
-    """(text, value, unit) of each number that isn't part of a name, citation, year or reference; words too if `spelt`."""
-    text = unicodedata.normalize("NFKC", text).replace("−", "-").replace("–", "-")
-    taken = bytearray(len(text))
-    spans = [m.span() for m in REFERENCES.finditer(text)]
-    for a, b in spans:
-        taken[a:b] = b"\x01" * (b - a)
-    refs = bytes(taken)
-    for m in NAME.finditer(text):
-        if re.search("[A-Za-z@]", m[0]):
-            taken[m.start() : m.end()] = b"\x01" * len(m[0])
-    out = []
-    for m in NUMBER.finditer(text):
-        if 1 in taken[m.start() : m.end()]:
-            continue
-        unit = re.compile(r"\s*(?:(%)|(?:个\s*)?百分点)").match(text, m.end())
-        inner = m[0][0] == "-" and m.start() > 0 and text[m.start() - 1] in "0123456789%"
-        shown = m[0][inner:]
-        out.append((shown, Decimal(shown.replace(",", "")), "" if not unit else "percent" if unit[1] else "points"))
-    if spelt:
-        out += [(m[0], Decimal(SMALL.index(m[0].lower())), "") for m in WORD.finditer(text) if 1 not in refs[m.start() : m.end()]]
-    return out
-
-
-def shown_as(x: Fraction, like: Decimal) -> bool:
-    """Whether x, rounded half away from zero to the places that `like` shows, is `like`."""
-    places = Fraction(10) ** -like.as_tuple().exponent
-    size = Fraction(floor(abs(x) * places + Fraction(1, 2))) / places
-    return (size if x >= 0 else -size) == Fraction(like)
-
-
-def derived(a: Fraction, b: Fraction, unit: str):
-    """What a statement may say of two supported numbers."""
-    yield a - b
-    yield a + b
-    if b:
-        yield a / b
-        if unit == "percent":
-            yield (a - b) / b * 100
-    if unit == "points" and 0 <= a <= 1 and 0 <= b <= 1:
-        yield (a - b) * 100
-
-
-def unsupported(statement: str, quotes: list[str]) -> list[tuple[str, str]]:
-    """(text, unit) of the statement's numbers that neither stand in the quotes nor follow from two that do."""
-    known = {Fraction(v) for q in quotes for _, v, _ in quantities(q, spelt=True)}
-    held, open_ = [], []
-    for shown, value, unit in quantities(statement):
-        v = Fraction(value)
-        (held if v in known or unit and v / 100 in known else open_).append((shown, value, unit))
-    pairs = list(permutations([Fraction(v) for _, v, _ in held], 2))
-    return [(s, u) for s, v, u in open_ if not any(shown_as(x, v) for a, b in pairs for x in derived(a, b, u))]
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "value", "unit")])))
-def number_list(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: [{"text": s, "value": str(v), "unit": u} for s, v, u in quantities(x or "")])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def unsupported_numbers(statements: pd.Series, quotes: pd.Series) -> pd.Series:
-    return pd.Series([[s for s, _ in unsupported(x or "", [q or ""])] for x, q in zip(statements, quotes)])
+
+
+def quantities(x: Column, spelt: bool = False) -> Column:
+    """array<struct<text, value, unit>>: each number that isn't part of a name, citation, year or reference; words too if `spelt`."""
+    plain = F.translate(x, WIDE + "−–", PLAIN + "--")
+    units = rf"(?:\s*(?:{'|'.join(UNITS.values())}))?"
+    counted = f"{SPELT}|(?:{NUMBER}){units}" if spelt else f"(?:{NUMBER}){units}"
+    # A skipped token of words alone would hide a spelt number; the last of the patterns only takes words with digits or marks.
+    tokens = F.regexp_extract_all(plain, F.lit(f"(?i)(?:{'|'.join(SKIPPED)})|{counted}"), F.lit(0))
+    tokens = F.filter(tokens, lambda t: t.rlike(f"(?i)^(?:{counted})$") & ~t.rlike(f"(?i)^(?:{'|'.join(SKIPPED)})$"))
+
+    def read(t: Column) -> Column:
+        text = F.regexp_extract(t, f"^(?:{NUMBER})", 0)
+        word = F.array_position(F.array(*map(F.lit, SMALL)), F.lower(t)) - 1
+        unit = F.when(t.endswith("%"), "percent").when(t.endswith("百分点"), "points").otherwise("")
+        value = F.coalesce(F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(38,12)"), word.cast("decimal(38,12)"))
+        return F.struct(F.when(text == "", t).otherwise(text).alias("text"), value.alias("value"), unit.alias("unit"))
+
+    return F.transform(tokens, read)
+
+
+def shown_as(x: Column, value: Column, text: Column) -> Column:
+    """Whether x, rounded half away from zero to the places that a number's text shows, is the number."""
+    scale = F.pow(F.lit(10.0), F.length(F.regexp_extract(text, r"\.([0-9]+)$", 1)))
+    near = lambda v: F.signum(v) * F.floor(F.abs(v) * scale + 0.5 + 1e-9)
+    return near(x) == near(value.cast("double"))
+
+
+def unsupported(statement: Column, quotes: Column) -> Column:
+    """array<struct<text, value, unit>>: the statement's numbers that neither stand in the quotes nor follow from two that do."""
+    known = F.transform(F.flatten(F.transform(quotes, lambda q: quantities(q, spelt=True))), lambda n: n["value"])
+    stands = lambda n: F.array_contains(known, n["value"]) | ((n["unit"] != "") & F.array_contains(known, (n["value"] / 100).cast("decimal(38,12)")))
+    stated = quantities(statement)
+    held = F.transform(F.filter(stated, stands), lambda n: n["value"].cast("double"))
+
+    def follows(n: Column) -> Column:
+        def of_two(a: Column, b: Column) -> Column:
+            is_it = lambda x: shown_as(x, n["value"], n["text"])
+            share = lambda v: (v >= 0) & (v <= 1)
+            ratio = (b != 0) & (is_it(a / F.nullif(b, F.lit(0.0))) | ((n["unit"] == "percent") & is_it((a - b) / F.nullif(b, F.lit(0.0)) * 100)))
+            return is_it(a - b) | is_it(a + b) | ratio | ((n["unit"] == "points") & share(a) & share(b) & is_it((a - b) * 100))
+
+        places = F.transform(held, lambda v, k: F.struct(v.alias("v"), k.alias("k")))
+        return F.exists(places, lambda a: F.exists(places, lambda b: (a["k"] != b["k"]) & F.coalesce(of_two(a["v"], b["v"]), F.lit(False))))
+
+    return F.filter(stated, lambda n: ~stands(n) & ~follows(n))

@@ -13,24 +13,24 @@ from tessera.registry import query
 C = F.col
 
 
-def _pieces(df, ranges):
-    r = df.withColumn("r", F.explode(ranges)).select("doc_id", "r.*", "text")
+def _pieces(df, ranges=None):
+    r = df if ranges is None else df.withColumn("r", F.explode(ranges)).select("doc_id", "r.*", "text")
     return r.withColumn("h", F.md5(F.substring(C("text"), C("start") + 1, C("end") - C("start")))).drop("text")
 
 
 @query("c2_lossless_passages")
 def _(t):
-    return _pieces(t("documents").select("doc_id", "text"), ps.passage_ranges("text"))
+    return _pieces(t("documents").select("doc_id", "text"), ps.passage_ranges(C("text")))
 
 
 @query("c3_paragraph_chunks")
 def _(t):
-    return _pieces(t("documents").select("doc_id", "text"), ps.paragraph_ranges("text"))
+    return _pieces(t("documents").select("doc_id", "text"), ps.paragraph_ranges(C("text")))
 
 
 @query("c4_sentences")
 def _(t):
-    return t("documents").select("doc_id", F.posexplode(ps.sentence_list("text")).alias("k", "sentence")).withColumn("sentence", F.md5("sentence"))
+    return t("documents").select("doc_id", F.posexplode(ps.sentence_list(C("text"))).alias("k", "sentence")).withColumn("sentence", F.md5("sentence"))
 
 
 @query("c5_structure_ranges")
@@ -39,13 +39,14 @@ def _(t):
     # A line of 60 characters or fewer that doesn't end like a sentence is taken for a heading.
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
     start = F.sum(F.length("x") + 1).over(W.partitionBy("doc_id").orderBy("i")) - F.length("x") - 1
-    heads = lines.withColumn("at", start).where("length(x) BETWEEN 1 AND 60 AND NOT x RLIKE '[.!?,;:]$'").groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("heads"))
-    return _pieces(d.join(heads, "doc_id", "left"), ps.section_ranges("text", "heads"))
+    heads = lines.withColumn("at", start).where("length(x) BETWEEN 1 AND 60 AND NOT x RLIKE '[.!?,;:]$'").groupBy("doc_id").agg(F.array_sort(F.collect_list(C("at").cast("int"))).alias("heads"))
+    return _pieces(d.join(heads, "doc_id", "left"), ps.passage_ranges(C("text"), C("heads")))
 
 
 @query("c6_similarity_ranges")
 def _(t):
-    return _pieces(t("documents").select("doc_id", "text"), ps.similar_passages("text"))
+    d = t("documents").select(C("doc_id").alias("id"), "text")
+    return _pieces(ps.similar_ranges(d).join(d, "id").withColumnRenamed("id", "doc_id"))
 
 
 @query("c10_label_expansion", "SELECT doc_id, k AS line, CASE WHEN k % 10 = 0 THEN 'head' ELSE 'body' END AS label FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents)")
@@ -58,7 +59,7 @@ def _(t):
 
 @query("c12_contiguous_cover", "SELECT doc_id, true AS contiguous, length(text) AS covered FROM documents WHERE length(text) > 0")
 def _(t):
-    p = t("documents").where("length(text) > 0").select("doc_id", F.length("text").alias("n"), F.explode(ps.passage_ranges("text")).alias("r"))
+    p = t("documents").where("length(text) > 0").select("doc_id", F.length("text").alias("n"), F.explode(ps.passage_ranges(C("text"))).alias("r"))
     before = F.lag("r.end", 1, 0).over(W.partitionBy("doc_id").orderBy("r.start"))
     p = p.select("doc_id", "n", C("r.end").alias("end"), (C("r.start") == before).alias("follows"))
     whole = F.bool_and("follows") & (F.max("end") == F.first("n"))
@@ -70,20 +71,23 @@ def _(t):
     return t("documents").select("doc_id", F.md5(qt.nfkc("text")).alias("h"))
 
 
-@query("f19_quote_location", "SELECT doc_id, true AS same FROM documents WHERE length(regexp_replace(substr(text, n_chars // 3 + 1, 200), '[ \\n\\r\\t\\f\\v]+', '', 'g')) > 0")
+BARE = "regexp_replace(lower({0}), '[ \\n\\r\\t\\f\\v]+', '', 'g')"
+
+
+@query("f19_quote_location", f"WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN 'q7q ' ELSE '' END || substr(text, n_chars // 3 + 1, 60) AS q FROM documents), p AS (SELECT doc_id, q, strpos({BARE.format('text')}, {BARE.format('q')}) AS at FROM q WHERE {BARE.format('q')} <> '') SELECT doc_id, at > 0 AS found, CASE WHEN at > 0 THEN at - 1 END AS chars_before, CASE WHEN at > 0 THEN length({BARE.format('q')}) END AS chars FROM p")
 def _(t):
-    # The quote is a stretch of the text set anew: white space gone, letters raised. Its place has to read the same.
+    # The quote is a stretch of the text set anew: white space runs made one, letters raised. Every tenth begins otherwise, and isn't there.
     bare = lambda x: F.lower(F.regexp_replace(x, r"[ \n\r\t\f\x0B]+", ""))
-    q = F.regexp_replace(F.substring(C("text"), F.floor(C("n_chars") / 3).cast("int") + 1, F.lit(200)), r"[ \n\r\t\f\x0B]+", " ")
-    d = t("documents").where("text IS NOT NULL").select("doc_id", "text", q.alias("q")).where(F.trim("q") != "")
-    d = d.withColumn("s", qt.quote_span(F.upper("q"), "text"))
-    found = F.substring(C("text"), C("s.start") + 1, C("s.end") - C("s.start"))
-    return d.select("doc_id", (F.length(bare(found)) == F.length(bare(C("q")))).alias("same"))
+    q = F.concat(F.when(C("doc_id") % 10 == 0, "q7q ").otherwise(""), F.substring(C("text"), F.floor(C("n_chars") / 3).cast("int") + 1, F.lit(60)))
+    d = t("documents").where("text IS NOT NULL").select("doc_id", "text", q.alias("q")).where(bare(C("q")) != "")
+    d = d.withColumn("s", qt.quote_span(F.upper(F.regexp_replace("q", r"[ \n\r\t\f\x0B]+", "  ")), C("text")))
+    before, match = F.substring("text", F.lit(1), C("s.start")), F.substring(C("text"), C("s.start") + 1, C("s.end") - C("s.start"))
+    return d.select("doc_id", C("s").isNotNull().alias("found"), F.length(bare(before)).cast("long").alias("chars_before"), F.length(bare(match)).cast("long").alias("chars"))
 
 
 @query("f23_numbers")
 def _(t):
-    n = t("documents").select("doc_id", F.explode(qt.number_list("text")).alias("n"))
+    n = t("documents").select("doc_id", F.explode(qt.quantities(C("text"))).alias("n"))
     return n.groupBy("doc_id", "n.unit").agg(F.count("*").alias("n"), F.max(F.length("n.text")).alias("longest"))
 
 
@@ -91,10 +95,10 @@ def _(t):
 def _(t):
     first = F.substring_index("text", "\n", 1)
     rest = F.substring(C("text"), F.length(first) + 1, F.length("text"))
-    return t("documents").select("doc_id", F.array_join(qt.unsupported_numbers(first, rest), " ").alias("unsupported"))
+    return t("documents").select("doc_id", F.array_join(F.transform(qt.unsupported(first, F.array(rest)), lambda n: n["text"]), " ").alias("unsupported"))
 
 
-@query("f26_cjk_gaps")
+@query("f26_cjk_gaps", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([㐀-鿿])[ \\t\\f\\v]+([㐀-鿿])', '\\1\\2', 'g'), '([㐀-鿿])[ \\t\\f\\v]+([㐀-鿿])', '\\1\\2', 'g')) AS h FROM documents")
 def _(t):
     return t("documents").select("doc_id", F.md5(F.regexp_replace("text", r"(?<=[\x{3400}-\x{9FFF}])[^\S\r\n]+(?=[\x{3400}-\x{9FFF}])", "")).alias("h"))
 
