@@ -282,7 +282,8 @@ class Held:
         return np.where(self.h[at] == h, at, -1)
 
 
-TAIL = pa.struct([("h", pa.int64()), ("one", pa.bool_()), ("n", pa.int64())])
+#: A sequence to be joined: its hash, and how often it is there; less than zero for a single word.
+TAIL = pa.struct([("h", pa.int64()), ("n", pa.int32())])
 
 
 def summed(model: Held, n: int, tokens: np.ndarray, doc: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
@@ -310,7 +311,7 @@ def summed(model: Held, n: int, tokens: np.ndarray, doc: np.ndarray, depth: int)
     return known, base, score, *(np.concatenate(x) for x in zip(*tails, strict=True))
 
 
-def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 16, divergence: float = 12.0, discount: float = 0.5, most_held: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 24, divergence: float = 12.0, discount: float = 0.5, most_held: int = 1_000_000) -> DataFrame:
     """(id, learnt, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; the model learns from the rows where `learns` holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learnt"), F.monotonically_increasing_id().alias("row"), tokenised(F.col(text_col)).alias("seq"))
@@ -329,7 +330,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     at = most_frequent(factors, most_held)
     others = factors.where(F.col("c") < at).select("h", "v", "root", "word")
     model = spark.sparkContext.broadcast(Held(factors.where(F.col("c") >= at).toArrow(), Bitmap.of(factors.select("h")), unknown))
-    kind = StructType([rows.schema["id"], *StructType.fromDDL("learnt boolean, row long, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,one:boolean,n:long>>")])
+    kind = StructType([rows.schema["id"], *StructType.fromDDL("learnt boolean, row long, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,n:int>>")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +341,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
                 d, h, one = d[order], h[order], one[order]
                 first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])))) if len(d) else np.zeros(0, dtype=np.int64)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(d[first], minlength=n))))
-                cells = (h[first].view(np.int64), one[first], np.diff(np.append(first, len(d))))
+                cells = (h[first].view(np.int64), np.diff(np.append(first, len(d))) * np.where(one[first], -1, 1))
                 items = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(cells, TAIL, strict=True)], fields=list(TAIL))
                 tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
                 given = [batch.column(k).slice(a, n) for k in range(3)]
@@ -350,7 +351,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
 
     heads = stored(rows.select("id", "learnt", "row", "seq").mapInArrow(read, kind), "scores")
     model.destroy()
-    tail = heads.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.one", "t.n")
+    tail = heads.select("row", F.explode("tail").alias("t")).select("row", "t.h", (F.col("t.n") < 0).alias("one"), F.abs("t.n").alias("n"))
     new = F.when(F.col("one"), F.lit(unknown)).otherwise(F.lit(0.0))
     met = tail.join(others, "h", "left").groupBy("row").agg(
         F.sum(F.col("n") * F.coalesce("v", new)).alias("tail_score"),
