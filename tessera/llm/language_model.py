@@ -29,45 +29,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.llm.shared import stored
+from tessera.llm.words import BASE, Powers, Words, batches_of, mixed
 
 
-BASE = 0x9E3779B97F4A7C15 | 1
 END = np.uint64(0xE2D0E2D0E2D0E2D1)  # the end of a text: no word's hash but by chance
-WHITE = np.zeros(256, dtype=bool)
-WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def mixed(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-class Tokeniser:
-    """Hashes of the words of many texts at once, by running sums over their bytes."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                p = np.full(2 * n, base, dtype=np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-
-    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of the texts on end, and how many each has: its words with A-Z lower-cased, and the end."""
-        data = np.frombuffer(b"\n".join([*texts, b""]).lower(), dtype=np.uint8)
-        self.powers(len(data))
-        edge = np.diff(np.concatenate(([False], ~WHITE[data], [False])).astype(np.int8))
-        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((data + np.uint64(1)) * self.down[: len(data)], dtype=np.uint64)))
-        words = mixed((sums[e] - sums[s]) * self.up[s] + (e - s).astype(np.uint64))
-        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), s, side="right")
-        out = np.full(len(words) + len(texts), END)
-        out[np.arange(len(words)) + text] = words
-        return out, np.bincount(text, minlength=len(texts)) + 1
+def tokens_of(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the texts on end, and how many each has: its words with A-Z lower-cased, and the end."""
+    words = Words(texts, powers, lower=True)
+    counts = np.diff(words.at)
+    out = np.full(len(words.h) + len(texts), END)
+    out[np.arange(len(words.h)) + np.repeat(np.arange(len(texts)), counts)] = words.h
+    return out, counts + 1
 
 
 def tokenised(text: Column) -> Column:
@@ -75,17 +49,12 @@ def tokenised(text: Column) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def hashes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        made = Tokeniser()
+        powers = Powers()
         for batch in texts:
             found, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
-            part, size = [], 0
-            for k, t in enumerate(batch.cast(pa.binary()).to_pylist()):
-                part.append(t or b"")
-                size += len(part[-1])
-                if size > 500_000 or k == len(batch) - 1:
-                    for c, x in zip((found, counts), made.tokens(part), strict=True):
-                        c.append(x)
-                    part, size = [], 0
+            for _, part in batches_of(batch.cast(pa.binary()).to_pylist()):
+                for c, x in zip((found, counts), tokens_of(part, powers), strict=True):
+                    c.append(x)
             yield pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
 
     return hashes(text)

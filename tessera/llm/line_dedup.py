@@ -24,75 +24,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import cut, dealt_join, likely, stored
+from tessera.llm.words import Powers, Words, batches_of, mixed
 
 NO_ID = (1 << 63) - 1
-BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(w) for w in words]), dtype="<u8")
-
-
-def lines_of(text: bytes | None) -> tuple[list[bytes], np.ndarray]:
-    """The words, and the words' numbers at which physical lines begin, the end included."""
-    parts = [x.split() for x in (text or b"").split(b"\n")]
-    return [w for p in parts for w in p], np.cumsum([0, *map(len, parts)])
-
-
-class Winnower:
-    def __init__(self, line_words: int, window: int):
-        self.k, self.w = line_words, window
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size = 2 * n
-            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                p = np.full(size, base, dtype=np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-
-    def runs(self, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """A hash of the words from s to e, for arrays of both."""
-        self.powers(len(h))
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * self.down[: len(h)], dtype=np.uint64)))
-        out = (sums[e] - sums[s]) * self.up[s] + (e - s).astype(np.uint64)
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ (out >> np.uint64(29))
-
-    def lines(self, h: np.ndarray) -> np.ndarray:
-        """A hash of the k words from each word on."""
-        s = np.arange(len(h) - self.k + 1)
-        return self.runs(h, s, s + self.k)
-
-    def physical(self, h: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, positions and lengths of the physical lines of `least` words or more."""
-        s, e = starts[:-1], starts[1:]
-        s, e = s[e - s >= least], e[e - s >= least]
-        return ~self.runs(h, s, e).view(np.int64), s.astype(np.int32), (e - s).astype(np.int32)
-
-    def pick(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and positions of the soft lines that are window minima.
-
-        A repeating text has the same minimum over and over: of such a chain one in every half window is kept, so a window
-        still holds one.
-        """
-        if len(h) < self.k:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-        line = self.lines(h)
-        w = min(self.w, len(line))
-        at = np.unique(np.arange(len(line) - w + 1) + np.lib.stride_tricks.sliding_window_view(line, w).argmin(axis=1))
-        follows = np.concatenate(([False], (np.diff(at) < self.w) & (line[at[1:]] == line[at[:-1]])))
+
+
+def runs_of(h: np.ndarray, s: np.ndarray, e: np.ndarray, powers: Powers) -> np.ndarray:
+    """A hash of the words from s to e, for arrays of both, from the words' hashes."""
+    up, down = powers.of(len(h) + 1)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * down[: len(h)], dtype=np.uint64)))
+    return mixed((sums[e] - sums[s]) * up[s] + (e - s).astype(np.uint64))
+
+
+def window_minima(line: np.ndarray, w: int) -> np.ndarray:
+    """Places of the least of every w consecutive hashes, the first of equal ones.
+
+    The hash's highest bits and the place make one number, whose least in a window is that of a block's end or of the next one's
+    beginning: running minima over blocks of w from both sides.
+    """
+    n, place = len(line), np.arange(len(line), dtype=np.uint64)
+    if n >= 1 << 24:
+        return np.unique(np.arange(n - w + 1) + np.lib.stride_tricks.sliding_window_view(line >> np.uint64(24), w).argmin(axis=1))
+    key = line >> np.uint64(24) << np.uint64(24) | place
+    blocks = np.concatenate((key, np.full(-n % w, np.iinfo(np.uint64).max))).reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()[w - 1 : n]
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[: n - w + 1]
+    least = np.minimum(ahead, behind) & np.uint64((1 << 24) - 1)
+    return least[np.concatenate(([True], least[1:] != least[:-1]))].astype(np.int64)
+
+
+def soft_lines(h: np.ndarray, k: int, w: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the soft lines of k words that are minima of a window of w.
+
+    A repeating text has the same minimum over and over: of such a chain one in every half window is kept, so a window
+    still holds one.
+    """
+    if len(h) < k:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+    s = np.arange(len(h) - k + 1)
+    line = runs_of(h, s, s + k, powers)
+    at = window_minima(line, min(w, len(line)))
+    follows = np.concatenate(([False], (np.diff(at) < w) & (line[at[1:]] == line[at[:-1]])))
+    if follows.any():
         chain = np.maximum.accumulate(np.where(follows, -1, at))
-        stretch = (at - chain) // max(1, self.w // 2)
+        stretch = (at - chain) // max(1, w // 2)
         at = at[~follows | np.concatenate(([True], np.diff(stretch) > 0))]
-        return line[at].view(np.int64), at.astype(np.int32)
+    return line[at].view(np.int64), at.astype(np.int32)
+
+
+def physical_lines(h: np.ndarray, starts: np.ndarray, least: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, places and lengths of the physical lines of `least` words or more."""
+    long = np.diff(starts) >= least
+    s, e = starts[:-1][long], starts[1:][long]
+    return ~runs_of(h, s, e, powers).view(np.int64), s.astype(np.int32), (e - s).astype(np.int32)
+
+
+def parted(texts: list[bytes | None], powers: Powers) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of the words and the starts of the lines of each text."""
+    for _, part in batches_of(texts):
+        words = Words(part, powers)
+        for starts, a, b in zip(words.line_starts(), words.at[:-1], words.at[1:], strict=True):
+            yield words.h[a:b], starts
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,13 +101,11 @@ def repeated_runs(docs: DataFrame, line_words: int, window: int, min_line_words:
     """(d, th, s, e, d0, th0, delta, soft): words s to e of (d, th) are those of the first place (d0, th0), delta words before."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        win = Winnower(line_words, window)
+        powers = Powers()
         for batch in batches:
             ends, cols = [0], [[np.zeros(0, dtype=t)] for t in (np.int64, np.int32, np.int32)]
-            for t in batch.column(2).cast(pa.binary()).to_pylist():
-                words, starts = lines_of(t)
-                h = word_hashes(words)
-                (soft, at), (hard, begin, n) = win.pick(h), win.physical(h, starts, min_line_words)
+            for h, starts in parted(batch.column(2).cast(pa.binary()).to_pylist(), powers):
+                (soft, at), (hard, begin, n) = soft_lines(h, line_words, window, powers), physical_lines(h, starts, min_line_words, powers)
                 for c, x in zip(cols, ((soft, hard), (at, begin), (np.zeros(len(at), dtype=np.int32), n)), strict=True):
                     c.extend(x)
                 ends.append(ends[-1] + len(soft) + len(hard))
@@ -137,10 +131,11 @@ def surroundings(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
     near = near.select("__d", "__th", "__text").join(wanted, (F.col("__d") == F.col("d0")) & (F.col("__th") == F.col("th0"))).groupBy("d0", "th0").agg(F.first("__text").alias("t"), F.first("ranges").alias("ranges"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch in batches:
             rows = []
-            for d, th, t, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                h = word_hashes((t or b"").split())
+            found = parted(batch.column(2).cast(pa.binary()).to_pylist(), powers)
+            for d, th, (h, _), ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found, batch.column(3).to_pylist(), strict=True):
                 for r in ranges:
                     s, e = r["s0"], r["e0"]
                     rows.append((d, th, s, e, h[max(0, s - reach) : s][::-1].tobytes(), h[e : e + reach].tobytes()))
@@ -150,19 +145,19 @@ def surroundings(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
     return near.mapInArrow(look, "d0 long, th0 long, s0 int, e0 int, pre binary, post binary")
 
 
-def extended(words: list[bytes], starts: np.ndarray, edits: list[dict], min_words: int, min_line_words: int) -> list[tuple[int, int]]:
+def alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the first are equal."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def extended(h: np.ndarray, starts: np.ndarray, edits: list[dict], min_words: int, min_line_words: int) -> list[tuple[int, int]]:
     """What is to go of the runs after extension word by word both ways: long ones, and the whole lines of others."""
-    out, size = [], 8
+    out = []
     for x in edits:
-        s, e, pre, post = x["s"], x["e"], x["pre"], x["post"]
-        for k in range(0, len(pre), size):
-            if s == 0 or xxhash.xxh64_digest(words[s - 1]) != pre[k : k + size]:
-                break
-            s -= 1
-        for k in range(0, len(post), size):
-            if e == len(words) or xxhash.xxh64_digest(words[e]) != post[k : k + size]:
-                break
-            e += 1
+        pre, post = (np.frombuffer(x[c], dtype=np.uint64) for c in ("pre", "post"))
+        s, e = x["s"] - alike(h[: x["s"]][::-1], pre), x["e"] + alike(h[x["e"] :], post)
         if e - s < min_words:
             s, e = int(starts[np.searchsorted(starts, s)]), int(starts[np.searchsorted(starts, e, side="right") - 1])
         if e - s >= min(min_words, min_line_words):
@@ -179,18 +174,17 @@ def open_windows(docs: DataFrame, edits: DataFrame, line_words: int, n: int, min
     near = likely(docs, edits.select("d", "th")).where("__hit").select("__d", "__th", "__text").join(edits, (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th")))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        win = Winnower(n, 1)
+        powers = Powers()
         for batch in batches:
             cols: list[list] = [[], [], []]
-            for t, found in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words, starts = lines_of(t)
-                gone, wanted = extended(words, starts, found, min_words, min_line_words), np.zeros(max(0, len(words) - n + 1), dtype=bool)
+            for (h, starts), found in zip(parted(batch.column(2).cast(pa.binary()).to_pylist(), powers), batch.column(3).to_pylist(), strict=True):
+                gone, wanted = extended(h, starts, found, min_words, min_line_words), np.zeros(max(0, len(h) - n + 1), dtype=bool)
                 for x in filter(lambda x: x["soft"], found):
                     wanted[max(0, x["s"] + line_words - n) : max(0, x["e"] - line_words + 1)] = True
                 for s, e in gone:
                     wanted[s : max(s, e - n + 1)] = False
                 q = np.flatnonzero(wanted)
-                w = win.lines(word_hashes(words[q[0] : q[-1] + n]))[q - q[0]].view(np.int64) if len(q) else q
+                w = runs_of(h, q, q + n, powers).view(np.int64) if len(q) else q
                 for c, v in zip(cols, ([{"s": s, "e": e} for s, e in gone], q.astype(np.int32), w), strict=True):
                     c.append(v)
             kinds = (pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.list_(pa.int32()), pa.list_(pa.int64()))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, embeddings, language_model, line_dedup, mixing, pii, queries, secrets, simhash, toxicity, warc
 from tessera.llm.shared import components
+from tessera.llm.words import Powers, Words
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, source string, spans string"
@@ -519,11 +520,13 @@ def test_language_model(spark, docs, odd):
 
 def test_tokens_are_words_of_white_space():
     texts = [b"", b"  A b\x0b\tC ", "É é\u00a0é".encode(), b"x", b"\n\n"]
-    got, counts = language_model.Tokeniser().tokens(texts)
+    got, counts = language_model.tokens_of(texts, Powers())
     words = [w for t in texts for w in [*t.lower().split(), None]]
     assert counts.tolist() == [1, 4, 3, 2, 1] and len(got) == len(words)
     names = dict(zip(words, got.tolist(), strict=True))
     assert all(names[w] == g for w, g in zip(words, got.tolist(), strict=True)) and len(set(names.values())) == len(names)
+    starts = Words([b"a b\n\n c", b"", b"\n", b"x"], Powers()).line_starts()
+    assert [x.tolist() for x in starts] == [[0, 2, 2, 3], [0, 0], [0, 0, 0], [0, 1]]
 
 
 def test_tree_states_sum_to_one_and_score_texts(spark):
@@ -539,8 +542,7 @@ def test_tree_states_sum_to_one_and_score_texts(spark):
     words = words.withColumn("lp", F.log10((F.col("c") + 1) / F.lit(n + v + 1.0)))
     root = {r["h"]: r["lp"] for r in words.collect()}
     contexts, symbols = ({r["h"]: r["v"] for r in f.collect()} for f in language_model.states(seqs, words, n, 3, 4, 2.0, 0.5))
-    of = language_model.Tokeniser()
-    h = {x: int(of.tokens([x.encode()])[0][0].view(np.int64)) for x in "abcd"}
+    h = {x: int(language_model.tokens_of([x.encode()], Powers())[0][0].view(np.int64)) for x in "abcd"}
 
     def lp(context, w):
         seq = np.array([*(h[x] for x in context), w], dtype=np.int64).view(np.uint64)
