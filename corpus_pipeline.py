@@ -11,6 +11,13 @@ from tessera.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from tessera.llm.shared import shared_dir, table
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """The name, or a longer one that no column has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the model scores below a half."""
     score = toxicity.fit(docs, table(spark, sf_dir, "labels")).score(docs)
@@ -19,10 +26,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 50 words or more that an earlier place has."""
-    out = line_dedup.drop_repeats(docs)
-    cut = F.col("__removed") > 0
-    n = F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", n).select(*docs.columns)
+    gone = unused("removed", docs)
+    out = line_dedup.drop_repeats(docs, out=gone)
+    n = F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", n).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +39,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't contaminated by the benchmark."""
-    hits = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), out="__hits")
-    return hits.where(~decontaminate.contaminated(F.col("__hits"))).select(*docs.columns)
+    hits = unused("hits", docs)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), out=hits)
+    return found.where(~decontaminate.contaminated(F.col(hits))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
