@@ -29,12 +29,17 @@ def variants(strict: bool) -> dict[str, str]:
     return out if strict else {k: v + SCIENTIFIC[k] for k, v in out.items()}
 
 
+def ligatures(strict: bool) -> dict[str, str]:
+    """Letters written together, longer ones first; without case, sharp s is one of them."""
+    return LIGATURES if strict else LIGATURES | {"ss": "ßẞ"}
+
+
 def folded(x: Column, strict: bool = False) -> Column:
     """The text with one form for each character, without white space and what layout adds."""
     own = variants(strict)
     source = "".join(own.values()) + WIDE + HALF_WIDTH
     target = "".join(k * len(v) for k, v in own.items()) + PLAIN + FULL_MARKS
-    for plain, forms in LIGATURES.items():
+    for plain, forms in ligatures(strict).items():
         for form in forms:
             x = F.replace(x, F.lit(form), F.lit(plain))
     x = F.regexp_replace(F.translate(x, source, target), rf"[\s\p{{Z}}{INVISIBLE_STRICT if strict else INVISIBLE}]+", "")
@@ -56,7 +61,7 @@ def quote_pattern(quote: Column, strict: bool = False) -> Column:
 
     chars = F.filter(F.split(folded(quote, strict), ""), lambda c: c != "")
     pattern = F.array_join(F.transform(chars, one), "")
-    for plain, forms in LIGATURES.items():
+    for plain, forms in ligatures(strict).items():
         spelt = F.array_join(F.array(*[one(F.lit(c)) for c in plain]), "")
         # The gap before a ligature's first letter stays before the choice.
         head = F.lit(broken)

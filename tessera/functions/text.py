@@ -71,7 +71,7 @@ def token_estimate(payload: Column) -> Column:
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Canonical URL: lower-case scheme and host, default port and fragment dropped, query kept; and its host."""
     head = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
-    rest = F.regexp_replace(F.substring(url, F.length(head) + 1, F.lit(1 << 20)), "#.*$", "")
+    rest = F.regexp_replace(F.substring(url, F.length(head) + 1, F.length(url)), "#.*$", "")
     head = F.regexp_replace(F.regexp_replace(head, "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
     return F.concat(head, rest), F.regexp_replace(head, "^[a-z0-9+.-]+://", "")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,25 +86,38 @@ def neighbours(df: DataFrame, keys: list[str], ident: str, start: str, end: str,
     return me.select(ident).join(before, ident, "left").join(after, ident, "left")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df read back from a checkpoint in the folder that the session names; only a session on one machine may do without a name."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
+    return df.checkpoint()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over the undirected edges (a, b).
 
-    Every round each node takes the least label around it and then its label's label; the rounds stop when nothing changes. Each
-    round is checkpointed to the session's folder, so the plan stays short.
+    Every round merges each node with the neighbour of least hash, itself included, and carries the edges over to what is left: a
+    constant share of the nodes goes each time, so the rounds grow with the logarithm of the graph, chains and hubs alike. A hub's
+    edges meet in a minimum only. Each round is checkpointed, so the plan stays short.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    e = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
-    labels = e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).select(F.col("a").alias("node"), "l").checkpoint()
-    while True:
-        near = e.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("n"))
-        new = labels.join(near, "node").select("node", "l", F.least("l", "n").alias("n"))
-        jump = labels.select(F.col("node").alias("n"), F.col("l").alias("j"))
-        new = new.join(jump, "n").select("node", "l", F.least("n", "j").alias("n")).checkpoint()
-        done = new.where("n <> l").isEmpty()
-        labels = new.select("node", F.col("n").alias("l"))
-        if done:
-            return labels.withColumnRenamed("l", "component")
+    pairs = edges.select("a", "b").where("a <> b")
+    pairs = settled(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    chosen: list[DataFrame] = []
+    while not pairs.isEmpty():
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(len(chosen)), F.col(c)), F.col(c).alias("v"))
+        into = settled(pairs.groupBy("a").agg(F.least(F.min(drawn("b")), F.first(drawn("a")))["v"].alias("to")))
+        chosen.append(into)
+        moved = pairs.join(into, "a").select(F.col("to").alias("x"), "b").join(into.withColumnRenamed("a", "b"), "b").select(F.col("x").alias("a"), F.col("to").alias("b"))
+        pairs = settled(moved.where("a <> b").distinct())
+    if not chosen:
+        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    final = chosen[-1].select(F.col("a").alias("node"), "to")
+    for into in reversed(chosen[:-1]):
+        final = into.select(F.col("a").alias("node"), F.col("to").alias("mid")).join(final.select(F.col("node").alias("mid"), "to"), "mid", "left").select("node", F.coalesce("to", "mid").alias("to"))
+    final = settled(final)
+    least = final.groupBy("to").agg(F.min("node").alias("component"))
+    return final.join(least, "to").select("node", "component")

@@ -6,24 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import identifiers
+from tessera.operators.relational import settled
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, most: int = 2_000) -> DataFrame:
+    """(id, len, hits array<struct<term, tf>>) of docs (id, text): token count, and how often each of terms (term) is among them.
+
+    Up to `most` counted terms go along as a literal and are counted within the row, so nothing is shuffled; more of them are joined.
+    """
+    tokens = docs.select("id", identifiers(F.col("text")).alias("t"))
+    few = terms.limit(most + 1).collect()
+    if len(few) <= most:
+        wanted = F.array(*[F.lit(r["term"]) for r in few]) if few else F.array().cast("array<string>")
+        count = lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).cast("long").alias("tf"))
+        return tokens.select("id", F.size("t").alias("len"), F.transform(F.array_intersect("t", wanted), count).alias("hits"))
+    each = tokens.select("id", F.explode("t").alias("term")).join(terms, "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    hits = each.groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("hits"))
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return tokens.select("id", F.size("t").alias("len")).join(hits, "id", "left").select("id", "len", F.coalesce("hits", none).alias("hits"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, limit: int = 40) -> DataFrame:
     """(query_id, id, score, rank) of docs (id, text) for queries (query_id, text): distinct query tokens, positive scores.
 
-    Only postings of query tokens leave the scan's stage: the tokens of the queries are joined before the terms are counted.
+    The texts are read once: of each stay its length and the counts of query tokens.
     """
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 must not be negative, and b lies between 0 and 1")
-    tokens = docs.select("id", identifiers(F.col("text")).alias("t"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(identifiers(F.col("text")))).alias("term"))
-    posts = tokens.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term")
-    posts = posts.groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    found = settled(term_counts(docs, wanted.select("term").distinct()))
+    stats = found.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    posts = found.where("size(hits) > 0").select("id", "len", F.explode("hits").alias("h")).select("id", "len", "h.term", "h.tf")
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    # Few rows: a term of a query with how many texts have it, and one row of the corpus.
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = wanted.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avg")
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scored = posts.join(df, "term").crossJoin(F.broadcast(stats)).join(wanted, "term").groupBy("query_id", "id").agg(F.round(F.sum(idf * tf), 6).alias("score"))
+    scored = posts.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * tf), 6).alias("score"))
     return ranked(scored.where("score > 0"), limit)
 
 
@@ -41,35 +60,63 @@ def fused(channels: DataFrame, k: int = 60) -> DataFrame:
 
 
 def hash_embedding(docs: DataFrame, dim: int = 384) -> DataFrame:
-    """(id, idx, value): tokens hashed to signed coordinates by sha256, scaled to length one."""
-    h = F.sha2("token", 256)
-    t = docs.select("id", F.explode(identifiers(F.col("text"))).alias("token"))
-    idx = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    v = t.select("id", idx.alias("idx"), sign.alias("s")).groupBy("id", "idx").agg(F.sum("s").alias("s")).where("s <> 0")
-    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("id")))
-    return v.select("id", "idx", F.round(F.col("s") / norm, 6).alias("value"))
+    """(id, idx, value): tokens hashed to signed coordinates by sha256, scaled to length one.
+
+    All within the row: the coordinates are sorted, and one pass sums up those that are equal.
+    """
+
+    def signed(w: Column) -> Column:
+        h = F.sha2(w, 256)
+        return F.struct((F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("idx"), (1 - 2 * (F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2)).alias("s"))
+
+    kind = "array<struct<idx:int,s:int>>"
+
+    def add(acc: Column, x: Column) -> Column:
+        same = x["idx"] == acc["idx"]
+        full = F.when(same | (acc["s"] == 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["idx"].alias("idx"), acc["s"].alias("s"))).cast(kind)))
+        return F.struct(x["idx"].alias("idx"), F.when(same, acc["s"] + x["s"]).otherwise(x["s"]).alias("s"), full.alias("out"))
+
+    # A last coordinate that no token has closes the sums.
+    sorted_ = F.concat(F.array_sort(F.transform(identifiers(F.col("text")), signed)), F.array(F.struct(F.lit(dim).alias("idx"), F.lit(0).alias("s"))))
+    start = F.struct(F.lit(-1).alias("idx"), F.lit(0).alias("s"), F.array().cast(kind).alias("out"))
+    v = docs.select("id", F.aggregate(sorted_, start, add, lambda acc: acc["out"]).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0).cast("long"), lambda n, x: n + x["s"] * x["s"]))
+    v = v.select("id", norm.alias("norm"), F.explode("v").alias("x"))
+    return v.select("id", F.col("x.idx").alias("idx"), F.round(F.col("x.s") / F.col("norm"), 6).alias("value"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+
+
+def normalised(v: Column) -> Column:
+    """The vector in double precision at length one; zeros stay."""
+    v = F.transform(v, lambda x: x.cast("double"))
+    size = F.sqrt(dot(v, v))
+    return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision; 0 for different lengths or a zero vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (length > 0), dot(a, b) / length).otherwise(F.lit(0.0))
+    return F.when(F.size(a) == F.size(b), dot(normalised(a), normalised(b))).otherwise(F.lit(0.0))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, limit: int = 40, most_broadcast: int = 20_000) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, limit: int = 40, most_bytes: int = 64 << 20) -> DataFrame:
     """(query_id, id, score, rank): exact search of a stated query set against all vectors.
 
-    Up to `most_broadcast` counted queries go to every task. More of them are compared in blocks, a partition of the queries with
-    a partition of the vectors in each task. Only the first `limit` of a query leave a task, before the ranks are shuffled.
+    Vectors are brought to length one before they meet. Queries of up to `most_bytes` counted bytes go to every task. More of them
+    are compared in blocks, a partition of the queries with a partition of the vectors in each task. Only the first `limit` of a query
+    leave a task, before the ranks are shuffled.
     """
-    q = queries.withColumnRenamed("vector", "q")
-    few = q.limit(most_broadcast + 1).count() <= most_broadcast
-    both = vectors.crossJoin(F.broadcast(q)) if few else vectors.crossJoin(q.repartition(queries.sparkSession.sparkContext.defaultParallelism).hint("shuffle_replicate_nl"))
-    return ranked(both.select("query_id", "id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score")), limit)
+    v = vectors.select("id", normalised(F.col("vector")).alias("v"))
+    q = settled(queries.select("query_id", normalised(F.col("vector")).alias("q")))
+    size = q.agg(F.coalesce(F.sum(F.size("q") * 8 + 32), F.lit(0)).alias("n")).first()["n"]
+    both = v.crossJoin(F.broadcast(q)) if size <= most_bytes else v.crossJoin(q.repartition(-(-size // most_bytes)).hint("shuffle_replicate_nl"))
+    score = F.when(F.size("v") == F.size("q"), dot(F.col("v"), F.col("q"))).otherwise(F.lit(0.0))
+    return ranked(both.select("query_id", "id", F.round(score, 6).alias("score")), limit)
 
 
+# The weights of the ranking's parts.
 def weighted(lexical: Column, semantic: Column, entity: Column, graph: Column, confidence: Column, evidence: Column) -> Column:
     """The weighted ranking of a bundle, capped at 1; 0 where no channel but the graph found it."""
     unit = lambda c: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))

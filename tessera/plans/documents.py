@@ -17,9 +17,10 @@ def _(t):
     return t("documents").select("doc_id", F.md5(tx.collapsed(C("text"))).alias("h"))
 
 
-@query("f4_query_terms", "SELECT page_id, array_to_string(list_distinct(['x']), '') AS one, len(list_distinct(regexp_extract_all(lower(url), '[a-z0-9_-]{3,}'))) AS n FROM pages")
+@query("f4_query_terms", "SELECT page_id, array_to_string(list_distinct(regexp_extract_all(lower(url), '[a-z0-9_-]{3,}')), ' ') = '' AS none, len(list_distinct(regexp_extract_all(lower(url), '[a-z0-9_-]{3,}'))) AS n, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(url), '[a-z0-9_-]{3,}'))), ' ') AS terms FROM pages")
 def _(t):
-    return t("pages").select("page_id", F.lit("x").alias("one"), F.size(tx.query_terms(C("url"), 1000)).cast("long").alias("n"))
+    terms = tx.query_terms(C("url"), 1000)
+    return t("pages").select("page_id", (F.size(terms) == 0).alias("none"), F.size(terms).cast("long").alias("n"), F.array_join(F.array_sort(terms), " ").alias("terms"))
 
 
 @query("f8_content_hash", "SELECT doc_id, sha256(text) AS h FROM documents")
@@ -87,10 +88,13 @@ def _(t):
     return lines.select("doc_id", "line", F.coalesce(F.sum(C("n") + 1).over(w), F.lit(0)).alias("start_at"), "n")
 
 
-@query("c13_interval_verification", "SELECT doc_id, substr(text, 11, 20) = substr(substr(text, 1, 40), 11, 20) AND length(text) = n_chars AS ok FROM documents")
+@query("c13_interval_verification", "WITH c AS (SELECT doc_id, text, unnest(range(0, 1 + length(text) // 1000)) AS k FROM documents), x AS (SELECT doc_id, k, text, substr(text, 1000 * k + 1, 1000) AS chunk FROM c) SELECT doc_id, k, CASE WHEN (doc_id + k) % 10 = 0 THEN chunk || '.' ELSE chunk END = substr(text, 1000 * k + 1, 1000) AS ok FROM x WHERE chunk <> ''")
 def _(t):
-    same = F.substring("text", 11, 20) == F.substring(F.substring("text", 1, 40), 11, 20)
-    return t("documents").select("doc_id", (same & (F.length("text") == C("n_chars"))).alias("ok"))
+    # Chunks are kept with their intervals; every tenth was changed afterwards, and its interval reads otherwise.
+    at = lambda k: F.substring("text", (1000 * k + 1).cast("int"), F.lit(1000))
+    c = t("documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("text") / 1000))).alias("k")).where(at(C("k")) != "")
+    chunk = F.when((C("doc_id") + C("k")) % 10 == 0, F.concat(at(C("k")), F.lit("."))).otherwise(at(C("k")))
+    return c.withColumn("chunk", chunk).select("doc_id", "k", (C("chunk") == at(C("k"))).alias("ok"))
 
 
 @query("d2_duplicate_groups", "WITH RECURSIVE e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND a.doc_id <> b.doc_id), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a")

@@ -176,10 +176,33 @@ def _(t):
     return both.where("o_orderkey IS NULL OR l_orderkey IS NULL").agg((F.count("*") == 0).alias("equal"), F.count("o_orderkey").alias("unmatched_orders"), F.count("l_orderkey").alias("unmatched_lines"))
 
 
-@query("f5_f6_f14_f21_f22_text_fields", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(url, '[a-zA-Z][a-zA-Z0-9_-]*'))), ' ') AS anchors, substr(trim(regexp_replace(url, '[<>:\"/\\\\|?*\\n\\r\\t]+', '_', 'g')), 1, 100) AS file_name, len(regexp_extract_all(html, '<h[12][ >]')) AS headings FROM pages")
+@query("f5_term_coverage", "WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_-]{3,}')) AS terms FROM benchmark WHERE item_id % 20 = 0) SELECT item_id, page_id, round(len(list_filter(terms, lambda x: contains(replace(lower(html), 'ß', 'ss'), x))) / len(terms), 9) AS coverage FROM pages, q WHERE len(terms) > 0")
 def _(t):
-    anchors = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("url", F.lit("[a-zA-Z][a-zA-Z0-9_-]*"), F.lit(0)))), " ")
-    return t("pages").select("page_id", anchors.alias("anchors"), tx.file_name(C("url")).alias("file_name"), F.regexp_count("html", F.lit("<h[12][ >]")).cast("long").alias("headings"))
+    q = t("benchmark").where("item_id % 20 = 0").select("item_id", tx.query_terms(C("text"), 100_000).alias("terms")).where("size(terms) > 0")
+    return t("pages").crossJoin(q).select("item_id", "page_id", F.round(tx.coverage(C("terms"), C("html")), 9).alias("coverage"))
+
+
+@query("f6_latin_anchors", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '[a-zA-Z][a-zA-Z0-9_-]*'))), ' ') AS anchors FROM pages")
+def _(t):
+    return t("pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("[a-zA-Z][a-zA-Z0-9_-]*"), F.lit(0)))), " ").alias("anchors"))
+
+
+@query("f14_file_names", "SELECT page_id, substr(trim(regexp_replace(url, '[<>:\"/\\\\|?*\\n\\r\\t]+', '_', 'g')), 1, 100) AS file_name FROM pages")
+def _(t):
+    return t("pages").select("page_id", tx.file_name(C("url")).alias("file_name"))
+
+
+@query("f21_citations", "WITH d AS (SELECT conv_id, turn, 'As [E' || turn || '] and [cite:' || role || '] say, ' || text || ' [E' || (conv_id % 7) || '] [E]' AS x FROM conversations) SELECT conv_id, turn, array_to_string(regexp_extract_all(x, '\\[(E[0-9]+)\\]', 1), ' ') AS numbered, array_to_string(regexp_extract_all(x, '\\[cite:([^\\]]+)\\]', 1), ' ') AS named FROM d")
+def _(t):
+    x = F.concat(F.lit("As [E"), C("turn").cast("string"), F.lit("] and [cite:"), "role", F.lit("] say, "), "text", F.lit(" [E"), (C("conv_id") % 7).cast("string"), F.lit("] [E]"))
+    found = lambda p: F.array_join(F.regexp_extract_all("x", F.lit(p), F.lit(1)), " ")
+    return t("conversations").select("conv_id", "turn", x.alias("x")).select("conv_id", "turn", found(r"\[(E[0-9]+)\]").alias("numbered"), found(r"\[cite:([^\]]+)\]").alias("named"))
+
+
+@query("f22_heading_count", "WITH d AS (SELECT page_id, regexp_replace(regexp_replace(html, '<h1[^>]*>', chr(10) || '# ', 'g'), '<h2[^>]*>', chr(10) || '## ', 'g') AS x FROM pages) SELECT page_id, len(regexp_extract_all(x, '(?m)^##?[ \\t\\n\\f\\r]+[^ \\t\\n\\f\\r]+')) AS headings FROM d")
+def _(t):
+    x = F.regexp_replace(F.regexp_replace("html", "<h1[^>]*>", "\n# "), "<h2[^>]*>", "\n## ")
+    return t("pages").select("page_id", F.regexp_count(x, F.lit(r"(?m)^##?[ \t\n\f\r]+[^ \t\n\f\r]+")).cast("long").alias("headings"))
 
 
 @query("f9_newline_digest", "SELECT doc_id, sha256(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS h FROM documents")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.plans.retrieval import TOKENS
 from tessera.registry import query
 
 C = F.col
@@ -101,15 +102,16 @@ def _(t):
 @query("sk5_markdown_export", "SELECT s_suppkey, sha256('# ' || s_name || chr(10) || chr(10) || '* nation: ' || n_name || chr(10) || '* balance: ' || s_acctbal::BIGINT || chr(10) || chr(10) || '<!-- manual -->' || chr(10)) AS h FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def _(t):
     x = t("supplier").join(t("nation"), C("n_nationkey") == C("s_nationkey"))
-    page = F.concat(F.lit("# "), "s_name", F.lit("\n\n* nation: "), "n_name", F.lit("\n* balance: "), F.round("s_acctbal").cast("long").cast("string"), F.lit("\n\n<!-- manual -->\n"))
+    page = F.concat(F.lit("# "), "s_name", F.lit("\n\n* nation: "), "n_name", F.lit("\n* balance: "), F.rint("s_acctbal").cast("long").cast("string"), F.lit("\n\n<!-- manual -->\n"))
     return x.select("s_suppkey", F.sha2(page, 256).alias("h"))
 
 
-@query("sk6_content_address", "SELECT sha256(doc_id || ':' || lang || ':' || source || ':' || text) AS address, n_chars, true AS verified FROM documents")
+@query("sk6_content_address", "WITH a AS (SELECT doc_id, sha256(lang || ':' || source || ':' || text) AS address, CASE WHEN doc_id % 10 = 0 THEN text || ' ' ELSE text END AS stored, lang, source FROM documents) SELECT doc_id, address, sha256(lang || ':' || source || ':' || stored) = address AS verified FROM a")
 def _(t):
-    body = F.concat_ws(":", C("doc_id").cast("string"), "lang", "source", "text")
-    rows = t("documents").select(F.sha2(body, 256).alias("address"), body.alias("body"), "n_chars")
-    return rows.select("address", "n_chars", (F.sha2("body", 256) == C("address")).alias("verified"))
+    # Every tenth stored text has been changed since its address was made, and has to fail the check.
+    address = lambda text: F.sha2(F.concat_ws(":", "lang", "source", text), 256)
+    d = t("documents").select("doc_id", "lang", "source", address("text").alias("address"), F.when(C("doc_id") % 10 == 0, F.concat("text", F.lit(" "))).otherwise(C("text")).alias("stored"))
+    return d.select("doc_id", "address", (address("stored") == C("address")).alias("verified"))
 
 
 @query("sk9_projection_counts", "SELECT (SELECT count(*) FROM part) AS entities, (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) AS relations, (SELECT count(DISTINCT source) FROM documents) AS topics")
@@ -125,7 +127,9 @@ def _(t):
     return g.select("lang", F.sha2(F.concat(F.lit("## "), "lang", F.lit("\n"), C("n").cast("string"), F.lit(" documents, "), C("c").cast("string"), F.lit(" characters")), 256).alias("h"))
 
 
-@query("f3_f7_tokens", "SELECT conv_id, turn, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM conversations WHERE NOT regexp_matches(text, '[a-zA-Z0-9][-_][a-zA-Z0-9]')")
+@query("f3_f7_tokens", f"SELECT doc_id, len({TOKENS.format('text')}) AS n, md5(array_to_string(list_sort({TOKENS.format('text')}), ' ')) AS h FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -page_id - 1, url FROM pages)")
 def _(t):
-    c = t("conversations").where(~C("text").rlike("[a-zA-Z0-9][-_][a-zA-Z0-9]"))
-    return c.select("conv_id", "turn", F.size(tx.identifiers(C("text"))).cast("long").alias("n"))
+    # URLs have joined identifiers, which give their parts and the whole.
+    both = t("documents").select("doc_id", "text").unionByName(t("pages").select((-C("page_id") - 1).alias("doc_id"), C("url").alias("text")))
+    tokens = tx.identifiers(C("text"))
+    return both.select("doc_id", F.size(tokens).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(tokens), " ")).alias("h"))

@@ -49,21 +49,23 @@ def _(t):
     return _pieces(ps.similar_ranges(d).join(d, "id").withColumnRenamed("id", "doc_id"))
 
 
-@query("c10_label_expansion", "SELECT doc_id, k AS line, CASE WHEN k % 10 = 0 THEN 'head' ELSE 'body' END AS label FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents)")
+@query("c10_label_expansion", "SELECT doc_id, i - 1 AS line, CASE WHEN length(string_split(text, chr(10))[i]) < 60 THEN 'head' ELSE 'body' END AS label FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
 def _(t):
-    n = t("documents").select("doc_id", (F.size(F.split("text", "\n")) - 1).alias("last")).where("last >= 0")
-    lines = n.select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("line"))
-    spans = n.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(C("last") / 10).cast("int"))).alias("s")).select("doc_id", (C("s") * 10).alias("line"), F.lit("head").alias("given"))
-    return lines.join(spans, ["doc_id", "line"], "left").select("doc_id", C("line").cast("long").alias("line"), F.coalesce("given", F.lit("body")).alias("label"))
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x")).select("doc_id", "line", F.when(F.length("x") < 60, "head").otherwise("body").alias("label"))
+    # Compact spans (first, last, label) of equal neighbours, as an annotator writes them, and expanded again.
+    w = W.partitionBy("doc_id").orderBy("line")
+    run = F.sum(F.coalesce((C("label") != F.lag("label").over(w)).cast("int"), F.lit(0))).over(w)
+    spans = lines.withColumn("run", run).groupBy("doc_id", "run", "label").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    return spans.select("doc_id", F.explode(F.sequence(C("first").cast("long"), C("last").cast("long"))).alias("line"), "label")
 
 
-@query("c12_contiguous_cover", "SELECT doc_id, true AS contiguous, length(text) AS covered FROM documents WHERE length(text) > 0")
+@query("c12_contiguous_cover", "WITH p AS (SELECT doc_id, length(text) AS n, unnest(range(0, (length(text) + 999) // 1000)) AS k FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, n, 1000 * k AS s, least(n, 1000 * k + 1000) AS e FROM p WHERE NOT (doc_id % 10 = 0 AND k = 1)) SELECT doc_id, bool_and(f) AND max(e) = any_value(n) AS contiguous, sum(e - s)::BIGINT AS covered FROM (SELECT *, s = coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS f FROM c) GROUP BY doc_id")
 def _(t):
-    p = t("documents").where("length(text) > 0").select("doc_id", F.length("text").alias("n"), F.explode(ps.passage_ranges(C("text"))).alias("r"))
-    before = F.lag("r.end", 1, 0).over(W.partitionBy("doc_id").orderBy("r.start"))
-    p = p.select("doc_id", "n", C("r.end").alias("end"), (C("r.start") == before).alias("follows"))
-    whole = F.bool_and("follows") & (F.max("end") == F.first("n"))
-    return p.groupBy("doc_id").agg(whole.alias("contiguous"), F.max("end").cast("long").alias("covered"))
+    # Pages of 1000 characters; every tenth document has lost its second one, so its cover has a gap.
+    p = t("documents").where("length(text) > 0").select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1000).cast("int"))).alias("k"))
+    p = p.where("NOT (doc_id % 10 = 0 AND k = 1)").select("doc_id", "n", (C("k") * 1000).alias("s"), F.least("n", C("k") * 1000 + 1000).alias("e"))
+    p = p.withColumn("follows", C("s") == F.lag("e", 1, 0).over(W.partitionBy("doc_id").orderBy("s")))
+    return p.groupBy("doc_id").agg((F.bool_and("follows") & (F.max("e") == F.first("n"))).alias("contiguous"), F.sum(C("e") - C("s")).cast("long").alias("covered"))
 
 
 @query("f2_nfkc")
@@ -74,7 +76,7 @@ def _(t):
 BARE = "regexp_replace(lower({0}), '[ \\n\\r\\t\\f\\v]+', '', 'g')"
 
 
-@query("f19_quote_location", f"WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN 'q7q ' ELSE '' END || substr(text, n_chars // 3 + 1, 60) AS q FROM documents), p AS (SELECT doc_id, q, strpos({BARE.format('text')}, {BARE.format('q')}) AS at FROM q WHERE {BARE.format('q')} <> '') SELECT doc_id, at > 0 AS found, CASE WHEN at > 0 THEN at - 1 END AS chars_before, CASE WHEN at > 0 THEN length({BARE.format('q')}) END AS chars FROM p")
+@query("f19_quote_location", f"WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN 'q7q ' ELSE '' END || substr(text, n_chars // 3 + 1, 60) AS q FROM documents), p AS (SELECT doc_id, q, strpos({BARE.format('text')}, {BARE.format('q')}) AS pos FROM q WHERE {BARE.format('q')} <> '') SELECT doc_id, pos > 0 AS found, CASE WHEN pos > 0 THEN pos - 1 END AS chars_before, CASE WHEN pos > 0 THEN length({BARE.format('q')}) END AS chars FROM p")
 def _(t):
     # The quote is a stretch of the text set anew: white space runs made one, letters raised. Every tenth begins otherwise, and isn't there.
     bare = lambda x: F.lower(F.regexp_replace(x, r"[ \n\r\t\f\x0B]+", ""))

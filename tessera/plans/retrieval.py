@@ -61,10 +61,14 @@ def _(t):
     return _dense(t).select("query_id", "id", "score", C("rank").cast("long").alias("rank"))
 
 
-@query("r6_weighted_ranking", "SELECT s_suppkey, round(CASE WHEN greatest(least(greatest(s_acctbal / 10000, 0), 1), 0.0) > 0 THEN least(0.35 * least(greatest(s_acctbal / 10000, 0), 1) + 0.10 * 0.5 + 0.10 * least(1.0, s_nationkey / 2), 1) ELSE 0 END, 6) AS score FROM supplier")
+R6 = "least(greatest({0}, 0), 1)"
+
+
+@query("r6_weighted_ranking", f"WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 - 0.2 AS lex, CASE WHEN l_linenumber % 3 <> 0 THEN l_discount * 10 END AS sem, l_tax * 10 AS ent, CASE WHEN l_returnflag = 'R' THEN 0.9 ELSE 0.0 END AS gra, CASE WHEN l_linestatus = 'O' THEN l_discount * 9 END AS con, l_linenumber AS evi FROM lineitem) SELECT l_orderkey, l_linenumber, round(CASE WHEN greatest({R6.format('lex')}, {R6.format('coalesce(sem, 0)')}, {R6.format('ent')}) > 0 THEN least(1.0, 0.35 * {R6.format('lex')} + 0.25 * {R6.format('coalesce(sem, 0)')} + 0.2 * greatest({R6.format('ent')}, gra) + 0.1 * coalesce(con, 0.5) + 0.1 * least(1.0, evi / 2)) ELSE 0 END, 6) AS score FROM c")
 def _(t):
-    none = F.lit(None).cast("double")
-    return t("supplier").select("s_suppkey", F.round(ret.weighted(C("s_acctbal") / 10000, none, none, none, none, C("s_nationkey")), 6).alias("score"))
+    # Six channels, two of them with nulls, out of range values on both sides.
+    channels = (C("l_quantity") / 50 - 0.2, F.when(C("l_linenumber") % 3 != 0, C("l_discount") * 10), C("l_tax") * 10, F.when(C("l_returnflag") == "R", 0.9).otherwise(0.0), F.when(C("l_linestatus") == "O", C("l_discount") * 9), C("l_linenumber"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(ret.weighted(*channels), 6).alias("score"))
 
 
 @query("r7_hybrid_retrieval", f"WITH {BM25}, {DENSE}, {FUSED}, ca AS (SELECT query_id, id, source, score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS k FROM fu JOIN documents ON doc_id = id) SELECT query_id, id, source, score FROM ca WHERE k <= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
@@ -74,11 +78,16 @@ def _(t):
     return ops.first_per(ops.first_per(x, ["query_id", "source"], order, 2), ["query_id"], order, 10).select("query_id", "id", "source", "score")
 
 
-@query("r9_evidence_selection", "WITH q AS (SELECT list_distinct(['the', 'und', 'des']) AS terms), s AS (SELECT doc_id, source, len(list_filter(terms, lambda x: contains(replace(lower(text), 'ß', 'ss'), x))) / 3 AS cov FROM documents, q WHERE NOT regexp_matches(text, '(?i)^\\s*(references|bibliography)')) SELECT doc_id, source, round(0.25 * cov, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY cov DESC, doc_id) <= 2")
+TERMS = "list_slice(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_-]{3,}')), 1, 100000)"
+
+
+@query("r9_evidence_selection", f"WITH q AS (SELECT item_id, {TERMS} AS terms FROM benchmark WHERE item_id % 20 = 0), s AS (SELECT item_id, doc_id, source, len(list_filter(terms, lambda x: contains(replace(lower(d.text), 'ß', 'ss'), x))) / len(terms) AS cov FROM (SELECT * FROM documents WHERE NOT regexp_matches(text, '(?i)^\\s*(references|bibliography)')) d, q WHERE len(terms) > 0) SELECT item_id, doc_id, source, round(0.25 * cov, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id, source ORDER BY round(0.25 * cov, 6) DESC, doc_id) <= 2")
 def _(t):
+    q = t("benchmark").where("item_id % 20 = 0").select("item_id", tx.query_terms(C("text"), 100_000).alias("terms")).where("size(terms) > 0")
     d = t("documents").where(~C("text").rlike(r"(?i)^\s*(references|bibliography)"))
-    s = d.select("doc_id", "source", F.round(0.25 * tx.coverage(F.lit(["the", "und", "des"]), C("text")), 6).alias("score"))
-    return ops.first_per(s, ["source"], [C("score").desc(), C("doc_id")], 2)
+    # A stated query set against all rows; the planner broadcasts it by its size.
+    s = d.crossJoin(q).select("item_id", "doc_id", "source", F.round(0.25 * tx.coverage(C("terms"), C("text")), 6).alias("score"))
+    return ops.first_per(s, ["item_id", "source"], [C("score").desc(), C("doc_id")], 2)
 
 
 @query("r11_budget_trim", "SELECT doc_id, source, used FROM (SELECT doc_id, source, sum(greatest(1, (n_chars + 3) // 4)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 20000")
@@ -87,10 +96,14 @@ def _(t):
     return t("documents").select("doc_id", "source", F.sum(F.greatest(F.lit(1), F.floor((C("n_chars") + 3) / 4))).over(w).cast("long").alias("used")).where("used <= 20000")
 
 
-@query("r17_coverage_label", "SELECT lang, CASE WHEN count(*) = 0 THEN 'empty_core' WHEN sum(CASE WHEN contains(text, 'License') THEN 1 ELSE 0 END) = 0 THEN 'no_relevant_claims' ELSE 'available' END AS label FROM documents GROUP BY lang")
+@query("r17_coverage_label", "WITH w AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]{4,}')) AS word FROM benchmark WHERE item_id % 10 = 0), l AS (SELECT DISTINCT lang FROM documents UNION ALL SELECT 'none') SELECT word, l.lang, CASE WHEN count(doc_id) = 0 THEN 'empty_core' WHEN sum(CASE WHEN contains(lower(text), word) THEN 1 ELSE 0 END) = 0 THEN 'no_relevant_claims' ELSE 'available' END AS label FROM l LEFT JOIN documents d ON d.lang = l.lang, w GROUP BY ALL")
 def _(t):
-    hits = F.count_if(F.contains("text", F.lit("License")))
-    return t("documents").groupBy("lang").agg(F.when(F.count("*") == 0, "empty_core").when(hits == 0, "no_relevant_claims").otherwise("available").alias("label"))
+    # Probes from the stated queries in each language's documents, and in a scope without any.
+    words = t("benchmark").where("item_id % 10 = 0").select(F.lower(F.regexp_extract("text", "[A-Za-z]{4,}", 0)).alias("word")).distinct()
+    hits = t("documents").crossJoin(words).groupBy("word", "lang").agg(F.count_if(F.contains(F.lower("text"), C("word"))).alias("hits"))
+    scopes = t("documents").select("lang").distinct().unionByName(t("documents").sparkSession.range(1).select(F.lit("none").alias("lang"))).crossJoin(words)
+    label = F.when(C("hits").isNull(), "empty_core").when(C("hits") == 0, "no_relevant_claims").otherwise("available")
+    return scopes.join(hits, ["word", "lang"], "left").select("word", "lang", label.alias("label"))
 
 
 @query("r19_read_guard", "WITH a AS (SELECT source, doc_id // 1000 AS b, sha256(string_agg(doc_id::VARCHAR || ':' || sha256(text), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2), m AS (SELECT source, b // 1000 AS c, sha256(string_agg(h, ',' ORDER BY b)) AS h FROM a GROUP BY 1, 2) SELECT source, sha256(string_agg(h, ',' ORDER BY c)) AS fingerprint FROM m GROUP BY 1")

@@ -76,6 +76,8 @@ def test_quotes(spark):
         ("a.[b]^c\\d&&e", "xa.[b]^c\\d&&e", False, (1, 13)),
         ("it's", "it’s", False, (0, 4)),
         ("5′", "5'", True, None),
+        ("STRASSE", "die Straße", False, (4, 10)),
+        ("Maß", "a MASS b", False, (2, 6)),
     ]
     for strict in (False, True):
         some = [c for c in cases if c[2] == strict]
