@@ -30,8 +30,8 @@ def variants(strict: bool) -> dict[str, str]:
 
 
 def ligatures(strict: bool) -> dict[str, str]:
-    """Letters written together, longer ones first; without case, sharp s is one of them."""
-    return LIGATURES if strict else LIGATURES | {"ss": "ßẞ"}
+    """Letters written together; without case, sharp s is the first of them, as it is far more frequent than a ligature behind an s."""
+    return LIGATURES if strict else {"ss": "ßẞ"} | LIGATURES
 
 
 def folded(x: Column, strict: bool = False) -> Column:
