@@ -8,7 +8,7 @@ document word inside an occurrence is hit.
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. Null or empty texts have no words, and
 so no hits; items without words have no windows. Repeated items count under their own ids each; rows with a null
 item_id or null doc_id are searched like others (a null item_id is left out of the list of items). Empty tables: no
-hits, or no rows. Other columns of the documents are kept as they are.
+hits, or no rows. Other columns of the documents are kept as they are, but for one that has the name of the result.
 """
 
 from __future__ import annotations

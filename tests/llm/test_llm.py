@@ -161,6 +161,12 @@ def test_decontamination(spark, odd):
         assert (out[1]["n_words"], out[1]["n_hit"], list(out[1]["items"])) == (16, 14, [1])
         assert (out[2]["n_hit"], list(out[2]["items"])) == (1, [2]) and out[3]["n_words"] == 0
     assert decontaminate.contamination(odd, empty(bench)).count() == 8
+    clash = spark.createDataFrame([(None, "solo", 5)], "doc_id long, text string, hits int")
+    assert decontaminate.contamination(clash, bench).select("hits.n_hit").first()[0] == 1
+    kept = decontaminate.contamination(clash, bench, out="found").first()
+    assert kept["hits"] == 5 and kept["doc_id"] is None and list(kept["found"]["items"]) == [2]
+    nameless = decontaminate.contamination(clash, spark.createDataFrame([(None, "solo")], "item_id long, text string")).first()["hits"]
+    assert (nameless["n_hit"], list(nameless["items"])) == (1, [])
     assert decontaminate.contamination(empty(odd), bench).count() == 0
 
 
@@ -239,6 +245,9 @@ def test_line_dedup(spark, odd):
     rows = [(1, f"start here {passage} end", "", "x"), (2, f"another\nbegin {passage}\nlast words", "", "x"), (3, "short line", "", "x"), (4, "short line", "", "x"), (5, "a " * 500, "", "x")]
     out = {r["doc_id"]: r for r in line_dedup.drop_repeats(spark.createDataFrame(rows, DOC)).collect()}
     assert out[1]["text"] == rows[0][1] and out[2]["text"] == "another\nbegin last words" and out[2]["__removed"] == 60
+    ties = spark.createDataFrame([(4, passage, "", ""), (4, f"{passage} z", "", ""), (None, passage, "", ""), (4, passage, "", "")], DOC)
+    got = sorted((r["doc_id"] or 9, r["text"]) for r in line_dedup.drop_repeats(ties).collect())
+    assert got in ([(4, ""), (4, ""), (4, f"{passage} z"), (9, "")], [(4, passage), (4, passage), (4, "z"), (9, "")])
     assert out[3]["text"] == out[4]["text"] == "short line" and len(out[5]["text"].split()) < 100 and out[2]["spans"] == "x"
     edge = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeats(odd).collect()}
     assert edge[1] is None and edge[2] == "" and edge[6] == "" and edge[5].startswith("w0 w1")
@@ -423,6 +432,8 @@ def test_simhash_edges(spark, odd, docs):
     assert len(out) == 8 and {r["component"] for r in out if r["id"] in (1, 2)} == {1}
     assert {r["component"] for r in out if r["id"] in (5, 6)} == {5}
     assert simhash.simhash_groups(empty(odd)).count() == 0
+    ties = spark.createDataFrame([(None, "x y"), (7, "x y"), (None, "z")], "doc_id long, text string")
+    assert sorted((r["id"] or 0, r["component"] or 0) for r in simhash.simhash_groups(ties).collect()) == [(0, 0), (0, 7), (7, 7)]
     kept = simhash.drop_near_copies(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5]
     text = docs.orderBy("doc_id").first()["text"]
