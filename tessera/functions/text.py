@@ -45,7 +45,7 @@ def redacted(x: Column, most: int = 4000) -> Column:
     """Credentials in URLs, headers and assignments replaced, then cut to `most` characters."""
     x = F.regexp_replace(x, r"(https?://)[^/@ ]+@", "$1[redacted]@")
     x = F.regexp_replace(x, r"(Bearer )[A-Za-z0-9._-]+", "$1[redacted]")
-    x = F.regexp_replace(x, r'((?:token|password|api_key|secret)"? *[=:] *"?)[A-Za-z0-9_./+-]{8,}', "$1[redacted]")
+    x = F.regexp_replace(x, r"""((?i:token|password|passwd|api[_-]?key|access[_-]?key|secret|authorization)["']? *[=:] *["']?)[A-Za-z0-9_./+-]{8,}""", "$1[redacted]")
     return F.substring(F.regexp_replace(x, r"sk-[A-Za-z0-9_-]{8,}", "[redacted]"), 1, most)
 
 

@@ -52,6 +52,20 @@ def interval_union(df: DataFrame, keys: list[str], start: str, end: str) -> Data
     return df.groupBy(*keys, "__i").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__i")
 
 
+def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
+    """Adds `out`: the sum of value over the rows of the same keys up to this one, by bucket and then by order.
+
+    The bucket has to rise with the order. A key's rows are summed bucket by bucket, and only the buckets' totals meet in one window, so no
+    task holds a hot key whole.
+    """
+    df = df.withColumn("__b", bucket).withColumn("__v", value)
+    totals = df.groupBy(*keys, "__b").agg(F.sum("__v").alias("__t"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
+    inner = F.sum("__v").over(Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("__in", inner).join(totals, [*keys, "__b"]).withColumn(out, F.col("__base") + F.col("__in")).drop("__b", "__v", "__base", "__in")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span: int) -> DataFrame:
     """Pairs with the same keys whose half-open intervals (ls, le) and (rs, re) overlap.
 

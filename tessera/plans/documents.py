@@ -44,7 +44,7 @@ def _(t):
     return t("part").select("p_partkey", tx.slug(C("p_name")).alias("slug"))
 
 
-@query("f16_redaction", "SELECT doc_id, md5(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(https?://)[^/@ ]+@', '\\1[redacted]@', 'g'), '(Bearer )[A-Za-z0-9._-]+', '\\1[redacted]', 'g'), '((?:token|password|api_key|secret)\"? *[=:] *\"?)[A-Za-z0-9_./+-]{8,}', '\\1[redacted]', 'g'), 'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), 1, 4000)) AS h FROM documents")
+@query("f16_redaction", "SELECT doc_id, md5(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(https?://)[^/@ ]+@', '\\1[redacted]@', 'g'), '(Bearer )[A-Za-z0-9._-]+', '\\1[redacted]', 'g'), '((?i:token|password|passwd|api[_-]?key|access[_-]?key|secret|authorization)[\"'']? *[=:] *[\"'']?)[A-Za-z0-9_./+-]{8,}', '\\1[redacted]', 'g'), 'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), 1, 4000)) AS h FROM documents")
 def _(t):
     return t("documents").select("doc_id", F.md5(tx.redacted(C("text"))).alias("h"))
 
@@ -121,11 +121,16 @@ def _(t):
     return t("orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("version"), F.lag("o_orderkey").over(w).alias("supersedes"))
 
 
-@query("g1_knowledge_map", "WITH e AS (SELECT l_partkey AS p, l_suppkey AS s, count(DISTINCT l_orderkey) AS w FROM lineitem GROUP BY 1, 2), d AS (SELECT id, count(*) AS degree, sum(w)::BIGINT AS weight FROM (SELECT 'p' || p AS id, w FROM e UNION ALL SELECT 's' || s, w FROM e) GROUP BY 1) SELECT id, degree, weight FROM d ORDER BY weight DESC, degree DESC, id LIMIT 50")
+@query("g1_knowledge_map", "WITH e AS (SELECT l_partkey AS p, l_suppkey AS s, count(DISTINCT l_orderkey) AS w FROM lineitem JOIN part ON p_partkey = l_partkey WHERE contains(lower(p_name), 'ring') GROUP BY 1, 2), d AS (SELECT id, count(*) AS degree, sum(w)::BIGINT AS weight FROM (SELECT 'p' || p AS id, w FROM e UNION ALL SELECT 's' || s, w FROM e) GROUP BY 1), n AS (SELECT count(*) AS total FROM d) SELECT id, degree, weight, total, total > 50 AS truncated FROM d, n ORDER BY weight DESC, degree DESC, id LIMIT 50")
 def _(t):
-    e = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.countDistinct("l_orderkey").alias("w"))
+    # Nodes whose name answers the question with their neighbours, the heaviest fifty of them, and how many there are.
+    asked = t("part").where(F.contains(F.lower("p_name"), F.lit("ring"))).select(C("p_partkey").alias("l_partkey"))
+    e = t("lineitem").join(asked, "l_partkey", "left_semi").groupBy("l_partkey", "l_suppkey").agg(F.countDistinct("l_orderkey").alias("w"))
     ends = e.select(F.concat(F.lit("p"), "l_partkey").alias("id"), "w").union(e.select(F.concat(F.lit("s"), "l_suppkey"), "w"))
-    return ends.groupBy("id").agg(F.count("*").alias("degree"), F.sum("w").alias("weight")).orderBy(C("weight").desc(), C("degree").desc(), "id").limit(50)
+    nodes = ops.settled(ends.groupBy("id").agg(F.count("*").alias("degree"), F.sum("w").alias("weight")))
+    total = nodes.agg(F.count("*").alias("total"))  # one row
+    top = nodes.orderBy(C("weight").desc(), C("degree").desc(), "id").limit(50)
+    return top.crossJoin(F.broadcast(total)).select("id", "degree", "weight", "total", (C("total") > 50).alias("truncated"))
 
 
 @query("g2_derived_edges", "SELECT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b, count(DISTINCT a.l_orderkey) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import passages as ps
 from tessera.functions import quotes as qt
+from tessera.operators import relational as ops
 from tessera.operators import retrieval as ret
 from tessera.registry import query
 
@@ -131,8 +132,8 @@ def _(t):
 
 @query("r20_retrieval_audit", "SELECT doc_id, CASE WHEN n_chars = 0 THEN 'no_relevance' WHEN sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) > 20000 THEN 'context_budget' ELSE 'selected' END AS reason FROM documents")
 def _(t):
-    used = F.sum("n_chars").over(W.partitionBy("source").orderBy("n_chars", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    return t("documents").select("doc_id", F.when(C("n_chars") == 0, "no_relevance").when(used > 20000, "context_budget").otherwise("selected").alias("reason"))
+    d = ops.running_sum(t("documents").select("doc_id", "source", "n_chars"), ["source"], F.floor(C("n_chars") / 50), [C("n_chars"), C("doc_id")], C("n_chars"), "used")
+    return d.select("doc_id", F.when(C("n_chars") == 0, "no_relevance").when(C("used") > 20000, "context_budget").otherwise("selected").alias("reason"))
 
 
 @query("r21_source_diversity", "SELECT lang, count(DISTINCT source) AS sources, round(avg(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 9) AS relevant FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")

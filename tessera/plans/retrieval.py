@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -92,8 +91,9 @@ def _(t):
 
 @query("r11_budget_trim", "SELECT doc_id, source, used FROM (SELECT doc_id, source, sum(greatest(1, (n_chars + 3) // 4)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 20000")
 def _(t):
-    w = W.partitionBy("source").orderBy(C("n_chars").desc(), "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    return t("documents").select("doc_id", "source", F.sum(F.greatest(F.lit(1), F.floor((C("n_chars") + 3) / 4))).over(w).cast("long").alias("used")).where("used <= 20000")
+    cost = F.greatest(F.lit(1), F.floor((C("n_chars") + 3) / 4)).cast("long")
+    used = ops.running_sum(t("documents").select("doc_id", "source", "n_chars"), ["source"], -F.floor(C("n_chars") / 50), [C("n_chars").desc(), C("doc_id")], cost, "used")
+    return used.where("used <= 20000").select("doc_id", "source", "used")
 
 
 @query("r17_coverage_label", "WITH w AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]{4,}')) AS word FROM benchmark WHERE item_id % 10 = 0), l AS (SELECT DISTINCT lang FROM documents UNION ALL SELECT 'none') SELECT word, l.lang, CASE WHEN count(doc_id) = 0 THEN 'empty_core' WHEN sum(CASE WHEN contains(lower(text), word) THEN 1 ELSE 0 END) = 0 THEN 'no_relevant_claims' ELSE 'available' END AS label FROM l LEFT JOIN documents d ON d.lang = l.lang, w GROUP BY ALL")

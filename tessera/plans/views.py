@@ -196,3 +196,17 @@ def _(t):
 @query("st10_idempotent_commands", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
     return _streamed(t, lambda s: s.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), ["user_id", "event_type"])
+
+
+@query("st7_outbox", "SELECT event_id, value FROM events WHERE event_type = 'purchase'")
+def _(t):
+    # Every batch goes to a folder of its own number, so that a batch that comes again replaces what it wrote.
+    spark, e, folder = t("events").sparkSession, t("events"), _shared(t("events").sparkSession)
+    path = e.inputFiles()[0]
+    rows = spark.readStream.schema(e.schema).option("pathGlobFilter", path.rpartition("/")[2]).parquet(path.rpartition("/")[0])
+
+    def project(batch, number):
+        batch.dropDuplicates(["event_id"]).select("event_id", "value").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    rows.where("event_type = 'purchase'").writeStream.foreachBatch(project).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").dropDuplicates(["event_id"]).select("event_id", "value")
