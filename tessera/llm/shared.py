@@ -75,7 +75,7 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], uses: str, sp
     return left.join(right, [*keys, "__s"], how).drop("__s")
 
 
-def prefix_sums(df: DataFrame, part: list[str], order: list[str], value: str, out: str, per_task: int = 2_000) -> DataFrame:
+def prefix_sums(df: DataFrame, part: list[str], order: list[str], value: str, out: str, per_task: int = 500) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same `part` before this one, by `order`.
 
     Two levels, so that no task holds a whole part: rows fall into buckets by the leading order column (a number spread
