@@ -19,7 +19,6 @@ compared as they are.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,47 +39,54 @@ def runs_of(h: np.ndarray, s: np.ndarray, e: np.ndarray, powers: Powers) -> np.n
     return mixed((sums[e] - sums[s]) * up[s] + (e - s).astype(np.uint64))
 
 
-def window_minima(line: np.ndarray, w: int) -> np.ndarray:
-    """Places of the least of every w consecutive hashes, the first of equal ones.
+#: A window's least is found by a hash's highest bits, and by the place among equal ones; both go into one number.
+PLACE = 28
 
-    The hash's highest bits and the place make one number, whose least in a window is that of a block's end or of the next one's
-    beginning: running minima over blocks of w from both sides.
-    """
-    n, place = len(line), np.arange(len(line), dtype=np.uint64)
-    if n >= 1 << 24:
-        return np.unique(np.arange(n - w + 1) + np.lib.stride_tricks.sliding_window_view(line >> np.uint64(24), w).argmin(axis=1))
-    key = line >> np.uint64(24) << np.uint64(24) | place
-    blocks = np.concatenate((key, np.full(-n % w, np.iinfo(np.uint64).max))).reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()[w - 1 : n]
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[: n - w + 1]
-    least = np.minimum(ahead, behind) & np.uint64((1 << 24) - 1)
-    return least[np.concatenate(([True], least[1:] != least[:-1]))].astype(np.int64)
-
-
-def soft_lines(h: np.ndarray, k: int, w: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the soft lines of k words that are minima of a window of w.
-
-    A repeating text has the same minimum over and over: of such a chain one in every half window is kept, so a window
-    still holds one.
+
+def soft_lines(words: Words, line: np.ndarray, k: int, w: int) -> np.ndarray:
+    """Places of the soft lines of k words that are minima of a window of w, in the texts' words on end; line has the hashes of all k-word runs.
+
+    The least of a window is that of a block's end or of the next one's beginning: running minima over blocks of w from both
+    sides. A text with fewer lines than a window is one window. A repeating text has the same minimum over and over: of such a
+    chain one in every half window is kept, so a window still holds one.
     """
-    if len(h) < k:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-    s = np.arange(len(h) - k + 1)
-    line = runs_of(h, s, s + k, powers)
-    at = window_minima(line, min(w, len(line)))
-    follows = np.concatenate(([False], (np.diff(at) < w) & (line[at[1:]] == line[at[:-1]])))
+    count = np.diff(words.at)
+    text = np.repeat(np.arange(len(count)), count)
+    last = words.at[1:][text] - k  # the last soft line of each word's text
+    key = line >> np.uint64(PLACE) << np.uint64(PLACE) | np.arange(len(line), dtype=np.uint64)
+    most = np.iinfo(np.uint64).max
+    blocks = np.concatenate((key, np.full(-len(key) % w, most))).reshape(-1, w)
+    n = max(0, len(key) - w + 1)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()[w - 1 :][:n]
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+    least = np.minimum(ahead, behind)[np.arange(n) + w - 1 <= last[:n]]
+    short = np.flatnonzero((count >= k) & (count < k + w - 1))
+    ends = np.column_stack((words.at[short], words.at[short] + count[short] - k + 1)).ravel()
+    alone = np.minimum.reduceat(np.append(key, most), ends)[::2] if len(short) else key[:0]
+    at = np.unique(np.concatenate((least, alone)) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+    follows = np.concatenate(([False], (np.diff(at) < w) & (line[at[1:]] == line[at[:-1]]) & (text[at[1:]] == text[at[:-1]])))[: len(at)]
     if follows.any():
         chain = np.maximum.accumulate(np.where(follows, -1, at))
         stretch = (at - chain) // max(1, w // 2)
         at = at[~follows | np.concatenate(([True], np.diff(stretch) > 0))]
-    return line[at].view(np.int64), at.astype(np.int32)
-
-
-def physical_lines(h: np.ndarray, starts: np.ndarray, least: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, places and lengths of the physical lines of `least` words or more."""
-    long = np.diff(starts) >= least
-    s, e = starts[:-1][long], starts[1:][long]
-    return ~runs_of(h, s, e, powers).view(np.int64), s.astype(np.int32), (e - s).astype(np.int32)
+    return at
+
+
+def fingerprints(words: Words, k: int, w: int, least: int, powers: Powers) -> tuple[np.ndarray, ...]:
+    """(text, h, p, n) of all texts' fingerprints by text: physical lines of `least` words or more with their length n, and soft ones with 0."""
+    starts = words.line_starts()
+    s = np.concatenate([x[:-1] + a for x, a in zip(starts, words.at, strict=False)])
+    e = np.concatenate([x[1:] + a for x, a in zip(starts, words.at, strict=False)])
+    s, e = s[e - s >= least], e[e - s >= least]
+    hard = ~runs_of(words.h, s, e, powers).view(np.int64)
+    every = np.arange(max(0, len(words.h) - k + 1))
+    line = runs_of(words.h, every, every + k, powers)
+    at = soft_lines(words, line, k, w) if len(line) else every
+    place = np.concatenate((at, s))
+    text = np.searchsorted(words.at, place, side="right") - 1
+    order = np.argsort(text, kind="stable")
+    h, n = np.concatenate((line[at].view(np.int64), hard)), np.concatenate((np.zeros(len(at), dtype=np.int64), e - s))
+    return text[order], h[order], (place - words.at[text])[order].astype(np.int32), n[order].astype(np.int32)
 
 
 def parted(texts: list[bytes | None], powers: Powers) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -103,12 +109,13 @@ def repeated_runs(docs: DataFrame, line_words: int, window: int, min_line_words:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            ends, cols = [0], [[np.zeros(0, dtype=t)] for t in (np.int64, np.int32, np.int32)]
-            for h, starts in parted(batch.column(2).cast(pa.binary()).to_pylist(), powers):
-                (soft, at), (hard, begin, n) = soft_lines(h, line_words, window, powers), physical_lines(h, starts, min_line_words, powers)
-                for c, x in zip(cols, ((soft, hard), (at, begin), (np.zeros(len(at), dtype=np.int32), n)), strict=True):
-                    c.extend(x)
-                ends.append(ends[-1] + len(soft) + len(hard))
+            sizes, cols = [np.zeros(1, dtype=np.int64)], [[np.zeros(0, dtype=t)] for t in (np.int64, np.int32, np.int32)]
+            for _, part in batches_of(batch.column(2).cast(pa.binary()).to_pylist()):
+                text, *found = fingerprints(Words(part, powers), line_words, window, min_line_words, powers)
+                sizes.append(np.bincount(text, minlength=len(part)))
+                for c, x in zip(cols, found, strict=True):
+                    c.append(x)
+            ends = np.cumsum(np.concatenate(sizes))
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(c))) for c in cols]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["d", "th", "h", "p", "n"])
 
@@ -201,22 +208,20 @@ def later_windows(seen: DataFrame) -> DataFrame:
     return each.join(first, "w").where(F.struct("d", "th", "q") != F.col("f")).groupBy("d", "th").agg(F.collect_set("q").alias("later"))
 
 
-def shorten(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """The text without the words of the ranges, and how many those are."""
-    words = text.split()
-    gone = np.zeros(len(words), dtype=bool)
+def shorten(text: bytes, begin: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The text without the words of the ranges, and how many those are; begin has the bytes at which its words begin."""
+    gone = np.zeros(len(begin), dtype=bool)
     for s, e in ranges:
         gone[s:e] = True
-    if not gone.any():
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).tolist()
+    if not edge:
         return text, 0
-    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
     out, last = [], 0
     for s, e in zip(edge[::2], edge[1::2], strict=True):
-        out.append(text[last : at[s][0]])
-        last = at[e][0] if e < len(at) else len(text)
+        out.append(text[last : begin[s]])
+        last = int(begin[e]) if e < len(begin) else len(text)
     kept = b"".join([*out, text[last:]])
-    return (kept.rstrip() if edge[-1] == len(at) else kept), int(gone.sum())
+    return (kept.rstrip() if edge[-1] == len(begin) else kept), int(gone.sum())
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 26, window: int = 26, min_words: int = 50, min_line_words: int = 8, out: str = "__removed") -> DataFrame:
@@ -232,11 +237,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.arrow_udf("struct<text:string,n_removed:bigint>")
     def edit(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        powers = Powers()
         for texts, found in rows:
-            done = []
-            for t, x in zip(texts.cast(pa.binary()).to_pylist(), found.to_pylist(), strict=True):
-                kept, k = shorten(t, [*((g["s"], g["e"]) for g in x["gone"]), *((q, q + n) for q in x["later"] or ())]) if t and x else (t, 0)
-                done.append({"text": None if kept is None else kept.decode(), "n_removed": k})
+            texts, found, done = texts.cast(pa.binary()).to_pylist(), found.to_pylist(), []
+            for first, part in batches_of(texts):
+                words = Words(part, powers)
+                for k, t in enumerate(part):
+                    x, begin = found[first + k], words.s[words.at[k] : words.at[k + 1]] - words.begin[k]
+                    kept, n_gone = shorten(t, begin, [*((g["s"], g["e"]) for g in x["gone"]), *((q, q + n) for q in x["later"] or ())]) if x else (t, 0)
+                    done.append({"text": None if texts[first + k] is None else kept.decode(), "n_removed": n_gone})
             yield pa.array(done, type=pa.struct([("text", pa.string()), ("n_removed", pa.int64())]))
 
     rows = likely(rows, edits.select("d", "th"))
