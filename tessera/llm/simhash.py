@@ -129,36 +129,80 @@ def rows_of(mask: int, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little"))
 
 
+def within(alive: int, n: int, radius: int, differ: Iterator[int]) -> int:
+    """Of the n places that `alive` marks, those at which at most `radius` of the given planes have a one.
+
+    Two planes at a time go into carry-save counters that overflow beyond the radius; no plane is read once no place is left.
+    """
+    digits_n, ones = max(1, radius.bit_length()), (1 << n) - 1
+    start = (1 << digits_n) - 1 - radius
+    digits = [ones if start >> d & 1 else 0 for d in range(digits_n)]
+    for a, b in zip(differ, differ, strict=True):
+        u, low = a ^ b, digits[0]
+        digits[0] = u ^ low
+        carry = (a & b | u & low) & alive
+        for d in range(1, digits_n):
+            if not carry:
+                break
+            digits[d], carry = digits[d] ^ carry, digits[d] & carry
+        alive &= ~carry
+        if not alive:
+            break
+    return alive
+
+
+def mask_of(rows: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(rows, bitorder="little").tobytes(), "little")
+
+
 def close_pairs(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of equal group, group-sorted, whose fingerprints differ in at most `radius` bits."""
-    n, planes, digits_n = len(group), planes_of(fps), max(1, radius.bit_length())
-    start = (1 << digits_n) - 1 - radius
-    found: list[tuple[np.ndarray, int]] = []
+    n, planes, found = len(group), planes_of(fps), [(np.zeros(0, dtype=np.int64),) * 2]
     for s in range(1, n):
         same = group[:-s] == group[s:]
         if not same.any():
             break
-        alive = int.from_bytes(np.packbits(same, bitorder="little").tobytes(), "little")
-        ones = (1 << n) - 1
-        digits = [ones if start >> d & 1 else 0 for d in range(digits_n)]
-        for p, q in zip(planes[::2], planes[1::2], strict=True):
-            a, b = p ^ p >> s, q ^ q >> s
-            u, low = a ^ b, digits[0]
-            digits[0] = u ^ low
-            carry = (a & b | u & low) & alive
-            for d in range(1, digits_n):
-                if not carry:
-                    break
-                digits[d], carry = digits[d] ^ carry, digits[d] & carry
-            if carry:
-                alive &= ~carry
-                if not alive:
-                    break
-        if alive:
-            found.append((rows_of(alive, n), s))
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([i for i, _ in found]), np.concatenate([i + s for i, s in found])
+        alive = within(mask_of(same), n, radius, (p ^ p >> s for p in planes))
+        found.append((i := rows_of(alive, n), i + s))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def connected_rows(group: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """For each row the least row that it reaches over pairs of equal group, group-sorted, within the radius.
+
+    Pairs that are connected already aren't compared. Shifts compare rows with those s further on; once fewer rows are outside their
+    group's largest component than shifts are to come, each of these rows is compared with all others instead. So a group of near
+    copies costs a few shifts, however many pairs it has, and a turn for each stranger in it.
+    """
+    n, planes, label = len(group), planes_of(fps), np.arange(len(group))
+    _, number, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    number = number.ravel()
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        new = stars(n, *np.unique(np.stack([label[i], label[j]]), axis=1))
+        label[:] = new[label]
+
+    for s in range(1, int(sizes.max(initial=0))):
+        if s & (s - 1) == 0:
+            count = np.bincount(label, minlength=n)[label]
+            largest = np.zeros(len(sizes), dtype=np.int64)
+            np.maximum.at(largest, number, count * n + label)  # the larger count, then the larger label
+            outside = np.flatnonzero(label != largest[number] % n)
+            if len(outside) <= sizes.max() - s:
+                break
+        alive = mask_of((group[:-s] == group[s:]) & (label[:-s] != label[s:]))
+        i = rows_of(within(alive, n, radius, (p ^ p >> s for p in planes)), n) if alive else label[:0]
+        if len(i):
+            join(i, i + s)
+    else:
+        return label
+    ones = (1 << n) - 1
+    for r in outside.tolist():
+        alive = mask_of((group == group[r]) & (label != label[r]))
+        i = rows_of(within(alive, n, radius, (p ^ ones if p >> r & 1 else p for p in planes)), n) if alive else label[:0]
+        if len(i):
+            join(i, np.full(len(i), r))
+    return label
 
 
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -217,7 +261,7 @@ def links(prints: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
     """Edges (a, b) that connect the rows of prints (node, fp, keys) as all links within `radius` bits would."""
 
     def connected(group: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        label = stars(len(node), *close_pairs(group, fps, radius))
+        label = connected_rows(group, fps, radius)
         moved = np.flatnonzero(node != node[label])
         return pa.RecordBatch.from_arrays([pa.array(node[moved], pa.int64()), pa.array(node[label[moved]], pa.int64())], ["a", "b"])
 
@@ -259,15 +303,16 @@ def similar(flat: np.ndarray, ends: np.ndarray, least: float) -> np.ndarray:
 
 
 def verified(sets: DataFrame, least: float, tile: int = 1024, tile_items: int = 1_000_000) -> DataFrame:
-    """Edges (a, b) that connect the rows of sets (root, node, set) of equal root as all their links of `least` or more would.
+    """Edges (a, b, whole) that connect the rows of sets (root, node, set) of equal root as all their links of `least` or more would.
 
     All members of a root are compared, none of them skipped: a root with more than `tile` members, or with long sets, is dealt out
-    over pairs of tiles. What leaves a unit is one edge for each member that has a link, however many links it has.
+    over pairs of tiles. What leaves a unit is one edge for each member that has a link, however many links it has. Where a root is one
+    unit, `whole`, all members of a group have the edge to the same one.
     """
     size = sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum(F.size("set")) / tile_items)).cast("int").alias("tiles")).where("tiles > 1")
     rows = sets.join(stored(size, "roots"), "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "set")
+    rows = rows.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "set", (F.col("tiles") == 1).alias("whole"))
     rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +326,8 @@ def verified(sets: DataFrame, least: float, tile: int = 1024, tile_items: int =
                 label = similar(flat[ends[s] : ends[e]], ends[s : e + 1] - ends[s], least)
                 a.append(node[s:e])
                 b.append(node[s:e][label])
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], ["a", "b"])
+            a, b, whole = np.concatenate(a), np.concatenate(b), part.column("whole").to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64()), pa.array(whole[a != b])], ["a", "b", "whole"])
 
         rest = None
         for batch in batches:
@@ -297,7 +342,7 @@ def verified(sets: DataFrame, least: float, tile: int = 1024, tile_items: int =
         if rest is not None and rest.num_rows:
             yield edges(rest)
 
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(compare, "a long, b long, whole boolean").distinct()
 
 
 def slices(unit: np.ndarray, most: int = 8192) -> Iterator[slice]:
@@ -319,9 +364,9 @@ def block_keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(fp.bitwiseAND(F.lit(m)), F.lit(k)) for k, m in enumerate(signed)])
 
 
-def grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least id reachable over edges, for each row of nodes (node, least)."""
-    joined = nodes.join(components(edges), "node", "left")
+def grouped(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component): the least id of the nodes that have the same root in roots (node, root), for each row of nodes (node, least)."""
+    joined = nodes.join(roots, "node", "left")
     joined = joined.select("node", "least", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     return joined.join(least, "root").select("node", "component")
@@ -332,7 +377,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")).select("id", F.col("fp")[0].alias("node")))
     nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least")))
     keyed = nodes.select("node", F.array("node").alias("fp"), block_keys(F.col("node"), radius).alias("keys"))
-    groups = grouped(nodes, links(keyed, radius))
+    groups = grouped(nodes, components(links(keyed, radius)))
     return prints.join(groups, "node", "left").select("id", F.col("node").alias("fp"), "component")
 
 
@@ -358,7 +403,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = likely(docs.select(F.xxhash64(id_col).alias("__d"), F.xxhash64(F.col(text_col)).alias("__th"), F.col(text_col).alias("__text")), met.select("d", "th")).where("__hit")
     texts = texts.join(met, (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th"))).select("root", "node", shingle_set(F.col("__text"), words).alias("set"))
     sets = stored(texts.dropDuplicates(["node"]), "shingles")
-    kept = grouped(nodes.select("node", "least"), cut(verified(sets, least))).select(F.col("component.doc").alias("__doc"), F.col("component.th").alias("__th")).distinct()
+    edges = cut(verified(sets, least))
+    roots = edges.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(components(edges.where("NOT whole")))
+    kept = grouped(nodes.select("node", "least"), roots).select(F.col("component.doc").alias("__doc"), F.col("component.th").alias("__th")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), th.alias("__h"))
     rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__th")), "left_semi")
     return rows.groupBy("__id", "__h").agg(F.first("__row").alias("__row")).select("__row.*")

@@ -425,6 +425,7 @@ def test_bit_sliced_pairs_against_brute_force():
         i, j = simhash.close_pairs(group, fps, radius)
         want = {(a, b) for a in range(200) for b in range(a + 1, 200) if group[a] == group[b] and int(np.bitwise_count(fps[a] ^ fps[b])[0]) <= radius}
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+        assert (simhash.connected_rows(group, fps, radius) == simhash.stars(200, i, j)).all()
 
 
 def test_simhash_edges(spark, odd, docs):
