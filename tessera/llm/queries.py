@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, and the SQL that says the same where SQL can."""
+"""The operators as queries over the driver's tables, and the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embeddings, language_model, line_dedup, mixing, pii, secrets, simhash, toxicity, warc
+from tessera.llm import decontaminate, embeddings, filter_audit, language_model, line_dedup, mixing, pii, quality, secrets, simhash, toxicity, vector_codes, warc
 from tessera.llm.shared import crc_bucket, table
 
 
@@ -72,8 +72,22 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), *quality.MEASURES, "base_failed", "kept", "n_removed")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_secrets, op4_mixing, op5_line_dedup, op6_toxicity, op7_warc, op8_embedding_dedup, op9_simhash, op10_lm)}
+    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_secrets, op4_mixing, op5_line_dedup, op6_toxicity, op7_warc, op8_embedding_dedup, op9_simhash, op10_lm, op11_quality, op12_vector_codes, op13_filter_audit)}
 
 
 DECONTAMINATION = r"""
@@ -107,5 +121,54 @@ FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) c ON c.a =
 """
 
 
+QUALITY = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT rid, host, t, x, list_filter(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda s: s <> '') AS lw FROM (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS x FROM d)),
+n AS (SELECT rid, host, t, x, len(lw) AS k, regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS y FROM l WHERE len(lw) > 0),
+dup AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM n GROUP BY rid),
+g AS (SELECT rid, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM w WHERE len(w) > 2)),
+again AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, a, b, c) AS m FROM g) WHERE m > 1),
+rep AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM again) GROUP BY rid),
+lim AS (SELECT host, greatest(5.0::DOUBLE, count(DISTINCT t) * 0.01::DOUBLE) AS most FROM d GROUP BY host),
+bad AS (SELECT host, y FROM (SELECT host, y, count(DISTINCT t) AS m FROM n GROUP BY host, y) JOIN lim USING (host) WHERE m > most),
+gone AS (SELECT rid, sum(k) AS n FROM n SEMI JOIN bad USING (host, y) GROUP BY rid),
+o AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda s: length(s))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed FROM w LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed >= 0.5 * n_words AS kept FROM o
+"""
+
+FILTER_AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT doc_id, max(coalesce((quality = 1)::INT, 0)) AS good, max(coalesce((toxic = 1)::INT, 0)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS fails FROM t LEFT JOIN b USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(range(5)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda i: 'ABCDE'[i + 1]), '') AS filter_order, s AS step, 'ABCDE'[o[s] + 1] AS f, (1 << o[s])::INT AS bit, coalesce(list_sum(list_transform(o[1:s - 1], lambda i: 1 << i)), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS s)),
+r AS (SELECT part, filter_order, step, f, sum(CASE WHEN fails & (bit | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN fails & bit <> 0 AND fails & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
+CODES = ["""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT rid, p, x[p * (len(x) // 16) + 1:(p + 1) * (len(x) // 16)] AS y FROM v, (SELECT unnest(range(16)) AS p)),
+e0 AS (SELECT p, rid - 1 AS e, y FROM s WHERE rid <= 64)"""]
+for _r in range(3):
+    CODES.append(f"""a{_r} AS (SELECT rid, s.p, min({{'d': list_sum(list_transform(list_zip(s.y, b.y), lambda q: (q[1] - q[2]) * (q[1] - q[2])))::BIGINT, 'e': b.e}}) AS m FROM s JOIN e{_r} b ON s.p = b.p GROUP BY rid, s.p)""")
+    if _r < 2:
+        CODES.append(f"""t{_r} AS (SELECT p, e, i, sum(z) AS z, count(*) AS n FROM (SELECT s.p, m.e AS e, unnest(range(1, len(y) + 1)) AS i, unnest(y) AS z FROM s JOIN a{_r} USING (rid, p)) GROUP BY p, e, i),
+n{_r} AS (SELECT p, e, list(((z - ((z % n) + n) % n) // n)::BIGINT ORDER BY i) AS y FROM t{_r} GROUP BY p, e),
+e{_r + 1} AS (SELECT p, e, coalesce(n{_r}.y, e{_r}.y) AS y FROM e{_r} LEFT JOIN n{_r} USING (p, e))""")
+VECTOR_CODES = ",\n".join(CODES) + """,
+r AS (SELECT rid, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM e2) AS codebooks_sha256 FROM r JOIN v USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION, "op7_warc": WARC, "op8_embedding_dedup": EMBEDDINGS}
+    return {"op2_decontamination": DECONTAMINATION, "op7_warc": WARC, "op8_embedding_dedup": EMBEDDINGS, "op11_quality": QUALITY, "op12_vector_codes": VECTOR_CODES, "op13_filter_audit": FILTER_AUDIT}
