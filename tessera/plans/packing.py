@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import relational as ops
 from tessera.operators import retrieval as ret
+from tessera.operators import selection
 from tessera.plans.retrieval import TOKENS
 from tessera.registry import query
 
@@ -171,8 +172,75 @@ def _(t):
     return edges.groupBy("node", "other").agg(F.bool_or("out").alias("out")).select("node", "other", F.when(C("out"), "published").otherwise("pending").alias("state"))
 
 
-@query("g7_edge_selection", "WITH e AS (SELECT l_partkey AS a, l_suppkey AS b, round(avg(l_discount) * 10, 6) AS conf FROM lineitem GROUP BY 1, 2 HAVING round(avg(l_discount) * 10, 6) >= 0.65), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY conf DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY conf DESC, a) AS rb FROM e) SELECT a, b, conf FROM r WHERE ra <= 3 AND rb <= 3")
+def _canvas(t):
+    """Nodes (g, node, type, name, degree) and pairs (g, a, b, conf, pri, id) of a year's orders: parts and suppliers, each line a pair."""
+    line = t("lineitem").select(F.year("l_shipdate").alias("g"), F.concat(F.lit("p"), C("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), C("l_suppkey").cast("string")).alias("b"), F.round(C("l_quantity") / 50, 2).alias("conf"), F.ascii("l_returnflag").alias("pri"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("id"))
+    line = line.groupBy("g", "a", "b", "id").agg(F.max("conf").alias("conf"), F.min("pri").alias("pri"))
+    named = t("part").select(F.concat(F.lit("p"), C("p_partkey").cast("string")).alias("node"), C("p_type").alias("type"), C("p_name").alias("name"))
+    named = named.unionByName(t("supplier").select(F.concat(F.lit("s"), C("s_suppkey").cast("string")).alias("node"), F.lit("SUPPLIER").alias("type"), C("s_name").alias("name")))
+    degree = line.select("g", F.explode(F.array("a", "b")).alias("node")).groupBy("g", "node").agg(F.count("*").alias("degree"))
+    return degree.join(named, "node").select("g", "node", "type", "name", "degree"), line
+
+
+LIMITS, FILL, MOST = {"SUPPLIER": 6, "ECONOMY": 4, "STANDARD": 3}, ["SUPPLIER", "ECONOMY", "STANDARD"], 12
+
+
+def _ranked():
+    return [(-C("conf")).alias("c"), C("pri"), C("id"), C("a"), C("b")]
+
+
+CANVAS = """
+WITH RECURSIVE l AS (SELECT year(l_shipdate) AS g, 'p' || l_partkey AS a, 's' || l_suppkey AS b, l_orderkey * 10 + l_linenumber AS id, max(round(l_quantity / 50, 2)) AS conf, min(ascii(l_returnflag)) AS pri FROM lineitem GROUP BY ALL),
+k AS (SELECT 'p' || p_partkey AS node, p_type AS type, p_name AS name FROM part UNION ALL SELECT 's' || s_suppkey, 'SUPPLIER', s_name FROM supplier),
+n AS (SELECT g, node, type, name, count(*) AS degree FROM (SELECT g, unnest([a, b]) AS node FROM l) JOIN k USING (node) GROUP BY ALL),
+e AS (SELECT l.g, l.a, l.b, x.type AS ta, y.type AS tb, conf, pri, id, row_number() OVER (PARTITION BY l.g ORDER BY conf DESC, pri, id, l.a, l.b) AS o FROM l JOIN k x ON x.node = l.a JOIN k y ON y.node = l.b),
+m AS (SELECT 'SUPPLIER' AS type, 6 AS lim UNION ALL SELECT 'ECONOMY', 4 UNION ALL SELECT 'STANDARD', 3),
+r AS (SELECT DISTINCT g, 0 AS i, []::STRUCT(node VARCHAR, type VARCHAR)[] AS ins FROM l
+UNION ALL SELECT g, i + 1, list_concat(ins, new) FROM (SELECT r.g, i, ins, arg_min(list_filter([{'node': a, 'type': ta}, {'node': b, 'type': tb}], lambda z: NOT list_contains(ins, z)), o) AS new FROM r JOIN e ON e.g = r.g
+  WHERE NOT (list_contains(ins, {'node': a, 'type': ta}) AND list_contains(ins, {'node': b, 'type': tb}))
+    AND len(ins) + (NOT list_contains(ins, {'node': a, 'type': ta}))::INT + (NOT list_contains(ins, {'node': b, 'type': tb}))::INT <= 12
+    AND (list_contains(ins, {'node': a, 'type': ta}) OR len(list_filter(ins, lambda z: z.type = ta)) < CASE ta WHEN 'ECONOMY' THEN 4 WHEN 'STANDARD' THEN 3 ELSE 1 END)
+    AND (list_contains(ins, {'node': b, 'type': tb}) OR len(list_filter(ins, lambda z: z.type = tb)) < 6) GROUP BY r.g, i, ins)),
+s AS (SELECT g, unnest(ins) AS z FROM r QUALIFY row_number() OVER (PARTITION BY g ORDER BY i DESC) = 1),
+p AS (SELECT g, z.node AS node, z.type AS type FROM s),
+f AS (SELECT g, node, type, row_number() OVER (PARTITION BY g, type ORDER BY degree DESC, lower(name), node) AS r FROM n JOIN m USING (type) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.g = n.g AND p.node = n.node)),
+c AS (SELECT g, node, type, 'pair' AS via FROM p UNION ALL SELECT f.g, f.node, f.type, 'fill' FROM f JOIN m USING (type) LEFT JOIN (SELECT g, type, count(*) AS had FROM p GROUP BY ALL) h ON h.g = f.g AND h.type = f.type WHERE r + coalesce(had, 0) <= lim)
+"""
+
+
+@query("g6_canvas_selection", f"{CANVAS} SELECT * FROM c")
+def _(t):
+    nodes, pairs = _canvas(t)
+    return selection.capped_nodes(nodes, pairs, _ranked(), MOST, LIMITS, FILL)
+
+
+@query("g7_canvas_edges", f"""{CANVAS},
+h AS (SELECT e.*, row_number() OVER (PARTITION BY e.g ORDER BY o) AS i FROM e JOIN c x ON x.g = e.g AND x.node = e.a JOIN c y ON y.g = e.g AND y.node = e.b WHERE conf >= 0.65),
+w AS (SELECT DISTINCT g, 0::BIGINT AS i, []::VARCHAR[] AS used, NULL::BIGINT AS id, NULL::VARCHAR AS a, NULL::VARCHAR AS b, false AS ok FROM h
+UNION ALL SELECT w.g, h.i, CASE WHEN t.ok THEN list_concat(used, [h.a, h.b]) ELSE used END, h.id, h.a, h.b, t.ok FROM w JOIN h ON h.g = w.g AND h.i = w.i + 1, LATERAL (SELECT len(list_filter(used, lambda z: z = h.a)) < 3 AND len(list_filter(used, lambda z: z = h.b)) < 3 AS ok) t),
+v AS (SELECT c.g, c.node, 50 + 148 * (row_number() OVER (PARTITION BY c.g, c.type = 'SUPPLIER' ORDER BY degree DESC, lower(name), c.node) - 1) AS y, CASE c.type WHEN 'SUPPLIER' THEN 460 ELSE 0 END AS x FROM c JOIN n USING (g, node)),
+d AS (SELECT w.g, id, w.a, w.b, q.x - p.x AS dx, q.y - p.y AS dy FROM w JOIN v p ON p.g = w.g AND p.node = w.a JOIN v q ON q.g = w.g AND q.node = w.b WHERE ok QUALIFY row_number() OVER (PARTITION BY w.g ORDER BY i) <= 18)
+SELECT g, id, a, b, CASE WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx >= 0 THEN 'right' ELSE 'left' END WHEN dy >= 0 THEN 'bottom' ELSE 'top' END AS from_side, CASE WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx >= 0 THEN 'left' ELSE 'right' END WHEN dy >= 0 THEN 'top' ELSE 'bottom' END AS to_side FROM d
+""")
 def _(t):
+    # Edges among what the canvas shows; parts in one lane, suppliers in the other, by degree from the top.
+    nodes, pairs = _canvas(t)
+    shown = ops.settled(selection.capped_nodes(nodes, pairs, _ranked(), MOST, LIMITS, FILL))
+    among = pairs.where("conf >= 0.65").join(shown.select("g", C("node").alias("a")), ["g", "a"]).join(shown.select("g", C("node").alias("b")), ["g", "b"])
+    edges = selection.first_edges(selection.capped_edges(among, _ranked(), 3), _ranked(), 18)
+    lane = (C("type") == "SUPPLIER").cast("int")
+    at = shown.join(nodes.drop("type"), ["g", "node"]).withColumn("lane", lane)
+    y = F.row_number().over(W.partitionBy("g", "lane").orderBy(C("degree").desc(), F.lower("name"), "node")) * 148
+    at = at.select("g", "node", (C("lane") * 460).alias("x"), y.alias("y"))
+    side = lambda end, x, y: at.select("g", C("node").alias(end), C("x").alias(x), C("y").alias(y))
+    placed = edges.join(side("a", "x0", "y0"), ["g", "a"]).join(side("b", "x1", "y1"), ["g", "b"])
+    return placed.select("g", "id", "a", "b", selection.edge_sides(C("x1") - C("x0"), C("y1") - C("y0")).alias("s")).select("g", "id", "a", "b", "s.*")
+
+
+@query("g7_edge_selection")
+def _(t):
+    # All parts and suppliers as one collection: no node has more than three edges, and the edges are those of the sequential choice.
     e = t("lineitem").groupBy(C("l_partkey").alias("a"), C("l_suppkey").alias("b")).agg(F.round(F.avg("l_discount") * 10, 6).alias("conf")).where("conf >= 0.65")
-    near = lambda me, other: F.row_number().over(W.partitionBy(me).orderBy(C("conf").desc(), other))
-    return e.withColumn("ra", near("a", "b")).withColumn("rb", near("b", "a")).where("ra <= 3 AND rb <= 3").select("a", "b", "conf")
+    e = e.select(F.lit(0).alias("g"), (2 * C("a")).alias("a"), (2 * C("b") + 1).alias("b"), "conf")
+    return selection.capped_edges(e, [(-C("conf")).alias("c"), C("a"), C("b")], 3).select(F.expr("a div 2").alias("a"), F.expr("b div 2").alias("b"), "conf")
+

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import quotes as qt
+from tessera.operators import fuzzy
 from tessera.operators import relational as ops
 from tessera.operators import retrieval as ret
 from tessera.plans.retrieval import DENSE
@@ -15,51 +15,43 @@ from tessera.registry import query
 C = F.col
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """One less the edits in proportion to the longer text."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-
+@query("j16_fuzzy_texts")
+def _(t):
+    # URLs that have lost some digits, found again among all of their language: inside another one, or by matching blocks.
+    p = t("pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]+)/", 1).alias("k"))
+    return fuzzy.unique_matches(p.select(C("page_id").alias("l"), "k", F.regexp_replace("url", "[0-4]", "").alias("x")), p.select(C("page_id").alias("r"), "k", C("url").alias("y")), ["k"])
 
-def fuzzy_matches(left, right, block: list[str], least: float = 0.82):
-    """(l, r, sim) of left (block, l, x) and right (block, r, y): a text in the other counts 1; of a block's texts the best one, none if it isn't alone.
 
-    Lengths that differ by more than the limit allows are out before any edit distance is taken.
-    """
-    near = F.least(F.length("x"), F.length("y")) >= least * F.greatest(F.length("x"), F.length("y"))
-    inside = F.contains("y", C("x")) & (F.length("x") > 0)
-    both = left.join(right, block).where(near | inside)
-    scored = both.select("l", "r", F.round(F.when(inside, 1.0).otherwise(similarity(C("x"), C("y"))), 9).alias("sim")).where(C("sim") >= least)
-    best = scored.groupBy("l").agg(F.max("sim").alias("best"))
-    top = scored.join(best, "l").where("sim = best").groupBy("l", "sim").agg(F.count("*").alias("n"), F.min("r").alias("r"))
-    return top.where("n = 1").select("l", "r", "sim")
+def named(t):
+    """Entities (entity, type, name, labels) of the documents: language, first sentence, and first and second sentence as labels; equal ones are one, of the least id."""
+    part = lambda k: F.trim(F.get(F.split(F.col("text"), r"[.\n]+", 3), F.lit(k)))
+    d = t("documents").select("doc_id", C("lang").alias("type"), part(0).alias("name"), F.nullif(part(1), F.lit("")).alias("alias")).where("name <> ''")
+    d = d.groupBy("type", "name", "alias").agg(F.min("doc_id").alias("entity"))
+    return d.select("entity", "type", "name", F.array_compact(F.array("name", "alias")).alias("labels"))
 
 
-SIM = "CASE WHEN contains(y, x) AND length(x) > 0 THEN 1.0 ELSE round(1 - levenshtein(x, y) / greatest(length(x), length(y), 1), 9) END"
-BEST = "b AS (SELECT l, max(sim) AS sim FROM s GROUP BY 1) SELECT s.l, min(s.r) AS r, s.sim FROM s JOIN b ON s.l = b.l AND s.sim = b.sim GROUP BY s.l, s.sim HAVING count(*) = 1"
+def family():
+    """Types that may merge with one another share a family."""
+    return F.when(C("type").isin("de", "en"), "de|en").otherwise(C("type"))
 
 
-@query("j16_fuzzy_texts", f"WITH a AS (SELECT page_id AS l, substr(url, 1, 9) AS k, regexp_replace(url, '[0-4]', '', 'g') AS x, length(url) // 4 AS z FROM pages), c AS (SELECT page_id AS r, substr(url, 1, 9) AS k, url AS y, length(url) // 4 AS z FROM pages), s AS (SELECT l, r, {SIM} AS sim FROM a JOIN c USING (k, z) WHERE {SIM} >= 0.82), {BEST}")
+@query("j17_d1_merge_suggestions")
 def _(t):
-    # URLs that have lost some digits, found again among those of about their length.
-    p = t("pages").select("page_id", "url", F.substring("url", 1, 9).alias("k"), F.floor(F.length("url") / 4).alias("z"))
-    return fuzzy_matches(p.select(C("page_id").alias("l"), "k", "z", F.regexp_replace("url", "[0-4]", "").alias("x")), p.select(C("page_id").alias("r"), "k", "z", C("url").alias("y")), ["k", "z"])
+    e = named(t)
+    return fuzzy.merge_suggestions(e.select(C("entity").alias("draft"), "type", "labels"), e, family(), others_only=True).select("draft", "entity", "similarity", "match_kind", "type_differs", "place")
 
 
-TITLES = "SELECT doc_id, lang, substr(lower(text), 1, 5) AS k, regexp_replace(lower(substr(text, 1, 40)), '[^ -~]', '', 'g') AS name, source FROM documents"
+FOLD = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[ \\t\\r\\f\\v]+', ' ', 'g'))"
 
 
-@query("j17_d1_merge_suggestions", f"WITH t AS ({TITLES}), p AS (SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN a.name = b.name THEN 1.0 ELSE round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name), 1), 9) END AS sim, a.source <> b.source AS type_differs, b.name AS name FROM t a JOIN t b ON a.k = b.k AND a.lang = b.lang AND a.doc_id <> b.doc_id) SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, type_differs, name, b) AS place FROM p WHERE sim >= 0.82 QUALIFY place <= 3")
+@query("j17_exact_suggestions", f"""
+WITH s AS (SELECT doc_id, lang, list_transform(regexp_split_to_array(text, '[.\\n]+'), lambda x: trim(x, ' ')) AS p FROM documents),
+e AS (SELECT min(doc_id) AS entity, lang, p[1] AS name, CASE WHEN p[2] <> '' THEN p[2] END AS alias FROM (SELECT doc_id, lang, [p[1], CASE WHEN p[2] <> '' THEN p[2] END] AS p FROM s) WHERE p[1] <> '' GROUP BY ALL),
+l AS (SELECT DISTINCT entity, lang, CASE WHEN lang IN ('de', 'en') THEN 'de|en' ELSE lang END AS family, {FOLD.format("x")} AS x FROM (SELECT entity, lang, unnest([name, alias]) AS x FROM e) WHERE x IS NOT NULL)
+SELECT a.entity AS draft, b.entity AS entity, any_value(a.lang <> b.lang) AS type_differs, count(*) AS labels FROM l a JOIN l b USING (family, x) WHERE a.entity <> b.entity GROUP BY ALL
+""")
 def _(t):
-    d = t("documents").select("doc_id", "lang", F.substring(F.lower("text"), 1, 5).alias("k"), F.regexp_replace(F.lower(F.substring("text", 1, 40)), "[^ -~]", "").alias("name"), "source")
-    # Equal names of a block are many rows but one comparison: names meet first, then their rows, of which three stay.
-    names = d.select("lang", "k", "name").distinct()
-    pairs = names.withColumnRenamed("name", "x").join(names.withColumnRenamed("name", "y"), ["lang", "k"]).withColumn("sim", F.round(F.when(C("x") == C("y"), 1.0).otherwise(similarity(C("x"), C("y"))), 9)).where("sim >= 0.82")
-    # Four of each name and source suffice, as one of them may be the row itself.
-    few = ops.first_per(d, ["lang", "k", "name", "source"], [C("doc_id")], 4).select("lang", "k", C("name").alias("y"), C("source").alias("so"), C("doc_id").alias("b"))
-    met = d.select("lang", "k", C("name").alias("x"), "source", C("doc_id").alias("a")).join(pairs, ["lang", "k", "x"]).join(few, ["lang", "k", "y"]).where("a <> b")
-    order = [C("sim").desc(), C("source") != C("so"), C("y"), C("b")]
-    ranked = met.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(*order)).cast("long"))
-    return ranked.where("place <= 3").select("a", "b", "sim", "place")
+    return fuzzy.exact_suggestions(named(t).withColumnRenamed("entity", "draft"), named(t), family()).where("draft <> entity")
 
 
 CANON = "c AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS entity FROM part)"

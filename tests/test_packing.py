@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from tessera import registry
-from tessera.plans import packing, resolution, views
+from tessera.operators import fuzzy
+from tessera.plans import packing, views
 
 
 def test_neighbours_follow_their_anchor_once(spark):
@@ -55,7 +56,7 @@ def test_batches_fill_up_to_the_limit(spark):
 def test_fuzzy_matches_want_one_best(spark):
     left = spark.createDataFrame([(1, 1, "retrieval augmented"), (1, 2, "xyz"), (1, 3, "abcdefghij"), (1, 4, "")], "b int, l int, x string")
     right = spark.createDataFrame([(1, 1, "retrieval augmentd"), (1, 2, "a retrieval augmented text"), (1, 3, "abcdefghiX"), (1, 4, "abcdefghiY")], "b int, r int, y string")
-    assert [tuple(r) for r in resolution.fuzzy_matches(left, right, ["b"]).collect()] == [(1, 2, 1.0)]
+    assert [tuple(r) for r in fuzzy.unique_matches(left, right, ["b"]).collect()] == [(1, 2, 2.0)]
 
 
 def test_bold_lines(spark):
