@@ -7,7 +7,11 @@ leaves when names, citations and references have been read as tokens of their ow
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from fractions import Fraction
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,24 +89,34 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
-# What a number looks like, its units, and what is a reference or a name rather than a quantity.
-NUMBER = r"(?:(?<![0-9%])[+-])?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?|(?:(?<![0-9%])[+-])?\.[0-9]+"
-UNITS = {"percent": "%", "points": r"(?:个\s*)?百分点"}
+# Words that make a number a reference, those that may end in a full stop, spelt numbers from 0 on, units, and citations.
+CJK_REFERENCES = "表 图 第 公式 式 章 节 页 附录 算法".split()
+REFERENCES = "table tables section sections appendix algorithm".split()
+STOPPED_REFERENCES = "fig figs figure figures eq eqs equation equations".split()
 SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
-PARTS = r"(?:[表图第式章节页]|公式|附录|算法|\b(?:tables?|fig(?:ure)?s?\.?|sections?|eq(?:uation)?s?\.?|appendix|algorithm))"
+UNITS = {"percent": "%", "points": r"(?:个\s*)?百分点"}
+CITED = r"\[\s*[0-9]+(?:\s*[,;-]\s*[0-9]+)*\s*\]"
+YEAR = r"(?:19|20)[0-9]{2}[a-z]?"
+
+# A number: digits, alone or in groups of three, with or without a fraction, or a fraction alone; a sign, unless it stands behind a digit or a percent.
+GROUPS, DIGITS, FRACTION, SIGN = "[0-9]{1,3}(?:,[0-9]{3})+", "[0-9]+", r"\.[0-9]+", "(?:(?<![0-9%])[+-])?"
+NUMBER = f"{SIGN}(?:(?:{GROUPS}|{DIGITS})(?:{FRACTION})?|{FRACTION})"
+LABEL = rf"(?:{'|'.join(CJK_REFERENCES)}|\b(?:{'|'.join(REFERENCES)})|\b(?:{'|'.join(STOPPED_REFERENCES)})\.?)"
 SPELT = rf"(?<![\w@-])(?:{'|'.join(SMALL)})(?![\w@-])"
+#: What is read as one token, so that no number is found in it: labels with their number, citations, years of citations, and names with digits or marks.
 SKIPPED = (
-    rf"{PARTS}\s*\(?[a-z]?[0-9]+(?:\.[0-9]+)*[a-z]?\)?",
-    rf"{PARTS}\s+(?:{'|'.join(SMALL)})\b",
-    r"\[\s*[0-9]+(?:\s*[,;-]\s*[0-9]+)*\s*\]",
-    r"\(\s*(?:19|20)[0-9]{2}[a-z]?\s*\)",
-    r"\bet\s+al\.,?\s*\(?\s*(?:19|20)[0-9]{2}[a-z]?",
+    rf"{LABEL}\s*\(?[a-z]?{DIGITS}(?:{FRACTION})*[a-z]?\)?",
+    rf"{LABEL}\s+(?:{'|'.join(SMALL)})\b",
+    CITED,
+    rf"\(\s*{YEAR}\s*\)",
+    rf"\bet\s+al\.,?\s*\(?\s*{YEAR}",
     r"(?=[\w@./-]*[a-z@])(?![a-z]+(?![\w@./-]))[\w@]+(?:[./-][\w@]+)*",
 )
+QUANTITY = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("text", "value", "unit")]))
 
 
 def quantities(x: Column, spelt: bool = False) -> Column:
-    """array<struct<text, value, unit>>: each number that isn't part of a name, citation, year or reference; words too if `spelt`."""
+    """array<struct<text, value, unit>>: each number that isn't part of a name, citation, year or reference; words too if `spelt`. Values are decimal texts of any length."""
     plain = F.translate(x, WIDE + "−–", PLAIN + "--")
     units = rf"(?:\s*(?:{'|'.join(UNITS.values())}))?"
     counted = f"{SPELT}|(?:{NUMBER}){units}" if spelt else f"(?:{NUMBER}){units}"
@@ -114,34 +128,63 @@ def quantities(x: Column, spelt: bool = False) -> Column:
         text = F.regexp_extract(t, f"^(?:{NUMBER})", 0)
         word = F.array_position(F.array(*map(F.lit, SMALL)), F.lower(t)) - 1
         unit = F.when(t.endswith("%"), "percent").when(t.endswith("百分点"), "points").otherwise("")
-        value = F.coalesce(F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(38,12)"), word.cast("decimal(38,12)"))
+        value = F.when(text != "", F.replace(text, F.lit(","), F.lit(""))).when(word >= 0, word.cast("string"))
         return F.struct(F.when(text == "", t).otherwise(text).alias("text"), value.alias("value"), unit.alias("unit"))
 
     return F.transform(tokens, read)
 
 
-def shown_as(x: Column, value: Column, text: Column) -> Column:
-    """Whether x, rounded half away from zero to the places that a number's text shows, is the number."""
-    scale = F.pow(F.lit(10.0), F.length(F.regexp_extract(text, r"\.([0-9]+)$", 1)))
-    near = lambda v: F.signum(v) * F.floor(F.abs(v) * scale + 0.5 + 1e-9)
-    return near(x) == near(value.cast("double"))
+class Operands:
+    """Supported numbers of a statement, in order, and whether two of them lead to another one; all exact."""
+
+    def __init__(self, values: list[Fraction]):
+        self.values = sorted(values)
+
+    def within(self, low: Fraction, high: Fraction, ends: tuple[bool, bool], but: Fraction) -> bool:
+        """Whether one lies between low and high, ends belonging to it or not, besides one occurrence of `but`."""
+        if low > high:
+            low, high, ends = high, low, ends[::-1]
+        i = bisect_left(self.values, low) if ends[0] else bisect_right(self.values, low)
+        j = bisect_right(self.values, high) if ends[1] else bisect_left(self.values, high)
+        own = low < but < high or (but == low and ends[0]) or (but == high and ends[1])
+        return j - i > own
+
+    def lead_to(self, text: str, value: Fraction, unit: str) -> bool:
+        """Whether a - b, a + b, a / b, the change from b to a in percent, or the points between two shares, rounded half away from zero to the places shown, is the number."""
+        half = Fraction(1, 2 * 10 ** len(text.partition(".")[2]))
+        low, high, ends = value - half, value + half, (value > 0, value < 0)
+        for b in dict.fromkeys(self.values):
+            spans = [(low + b, high + b, ends), (low - b, high - b, ends)]
+            if b:
+                flip = ends if b > 0 else ends[::-1]
+                spans.append((min(low * b, high * b), max(low * b, high * b), flip))
+                if unit == "percent":
+                    at = sorted((b + low * b / 100, b + high * b / 100))
+                    spans.append((*at, flip))
+            if any(self.within(*s, b) for s in spans):
+                return True
+            if unit == "points" and 0 <= b <= 1:
+                lo, hi = b + low / 100, b + high / 100
+                inside = Operands([v for v in self.values if 0 <= v <= 1])
+                if inside.within(lo, hi, ends, b):
+                    return True
+        return False
+
+
+@F.arrow_udf(QUANTITY)
+def left_over(stated: pa.Array, known: pa.Array) -> pa.Array:
+    """The stated numbers that neither are known nor follow from two that are."""
+    out = []
+    for numbers, texts in zip(stated.to_pylist(), known.to_pylist(), strict=True):
+        have = {Fraction(t) for t in texts or () if t is not None}
+        read = [(n, Fraction(n["value"])) for n in numbers or ()]
+        stands = [v in have or (n["unit"] != "" and v / 100 in have) for n, v in read]
+        held = Operands([v for (_, v), ok in zip(read, stands, strict=True) if ok])
+        out.append(None if numbers is None else [n for (n, v), ok in zip(read, stands, strict=True) if not ok and not held.lead_to(n["text"], v, n["unit"])])
+    return pa.array(out, pa.list_(pa.struct([(c, pa.string()) for c in ("text", "value", "unit")])))
 
 
 def unsupported(statement: Column, quotes: Column) -> Column:
-    """array<struct<text, value, unit>>: the statement's numbers that neither stand in the quotes nor follow from two that do."""
+    """array<struct<text, value, unit>>: the statement's numbers that neither stand in the quotes nor follow from two that do. Exact for numbers of any length."""
     known = F.transform(F.flatten(F.transform(quotes, lambda q: quantities(q, spelt=True))), lambda n: n["value"])
-    stands = lambda n: F.array_contains(known, n["value"]) | ((n["unit"] != "") & F.array_contains(known, (n["value"] / 100).cast("decimal(38,12)")))
-    stated = quantities(statement)
-    held = F.transform(F.filter(stated, stands), lambda n: n["value"].cast("double"))
-
-    def follows(n: Column) -> Column:
-        def of_two(a: Column, b: Column) -> Column:
-            is_it = lambda x: shown_as(x, n["value"], n["text"])
-            share = lambda v: (v >= 0) & (v <= 1)
-            ratio = (b != 0) & (is_it(a / F.nullif(b, F.lit(0.0))) | ((n["unit"] == "percent") & is_it((a - b) / F.nullif(b, F.lit(0.0)) * 100)))
-            return is_it(a - b) | is_it(a + b) | ratio | ((n["unit"] == "points") & share(a) & share(b) & is_it((a - b) * 100))
-
-        places = F.transform(held, lambda v, k: F.struct(v.alias("v"), k.alias("k")))
-        return F.exists(places, lambda a: F.exists(places, lambda b: (a["k"] != b["k"]) & F.coalesce(of_two(a["v"], b["v"]), F.lit(False))))
-
-    return F.filter(stated, lambda n: ~stands(n) & ~follows(n))
+    return left_over(quantities(statement), known)

@@ -60,29 +60,26 @@ def fused(channels: DataFrame, k: int = 60) -> DataFrame:
 
 
 def hash_embedding(docs: DataFrame, dim: int = 384) -> DataFrame:
-    """(id, idx, value): tokens hashed to signed coordinates by sha256, scaled to length one.
+    """(id, idx, value): tokens hashed to signed coordinates by sha256, scaled to length one. Before any shuffle a task has at most `dim` rows of a text."""
+    h = F.sha2("w", 256)
+    idx = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
+    sign = 1 - 2 * (F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2)
+    # Equal tokens of a text are counted first, so each is hashed once.
+    tokens = docs.select("id", F.explode(identifiers(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    sums = tokens.select("id", idx.alias("idx"), (sign * F.col("n")).alias("s")).groupBy("id", "idx").agg(F.sum("s").alias("s")).where("s <> 0")
+    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("id")))
+    return sums.select("id", "idx", F.round(F.col("s") / norm, 6).alias("value"))
 
-    All within the row: the coordinates are sorted, and one pass sums up those that are equal.
-    """
-
-    def signed(w: Column) -> Column:
-        h = F.sha2(w, 256)
-        return F.struct((F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("idx"), (1 - 2 * (F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2)).alias("s"))
 
-    kind = "array<struct<idx:int,s:int>>"
+def sparse(vectors: DataFrame, queries: DataFrame, limit: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """(query_id, id, score, rank): dot products of vectors (id, idx, value) with queries (query_id, idx, value), positive ones.
 
-    def add(acc: Column, x: Column) -> Column:
-        same = x["idx"] == acc["idx"]
-        full = F.when(same | (acc["s"] == 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["idx"].alias("idx"), acc["s"].alias("s"))).cast(kind)))
-        return F.struct(x["idx"].alias("idx"), F.when(same, acc["s"] + x["s"]).otherwise(x["s"]).alias("s"), full.alias("out"))
-
-    # A last coordinate that no token has closes the sums.
-    sorted_ = F.concat(F.array_sort(F.transform(identifiers(F.col("text")), signed)), F.array(F.struct(F.lit(dim).alias("idx"), F.lit(0).alias("s"))))
-    start = F.struct(F.lit(-1).alias("idx"), F.lit(0).alias("s"), F.array().cast(kind).alias("out"))
-    v = docs.select("id", F.aggregate(sorted_, start, add, lambda acc: acc["out"]).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0).cast("long"), lambda n, x: n + x["s"] * x["s"]))
-    v = v.select("id", norm.alias("norm"), F.explode("v").alias("x"))
-    return v.select("id", F.col("x.idx").alias("idx"), F.round(F.col("x.s") / F.col("norm"), 6).alias("value"))
+    A stated query set: its coordinates go to every task if they are `most_bytes` or less, else both sides are dealt by coordinate.
+    """
+    q = settled(queries.select("query_id", "idx", F.col("value").alias("q")))
+    few = q.count() * 24 <= most_bytes
+    met = vectors.join(F.broadcast(q) if few else q, "idx").groupBy("query_id", "id").agg(F.round(F.sum(F.col("value") * F.col("q")), 6).alias("score"))
+    return ranked(met.where("score > 0"), limit)
 
 
 def dot(a: Column, b: Column) -> Column:

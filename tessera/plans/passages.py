@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions import passages as ps
 from tessera.functions import quotes as qt
 from tessera.operators import relational as ops
-from tessera.operators import retrieval as ret
 from tessera.registry import query
 
 C = F.col
@@ -111,17 +110,6 @@ def _(t):
     return t("documents").select("doc_id", F.md5(F.translate("text", "，。：；！？（）", ",.:;!?()")).alias("h"))
 
 
-SPARSE = "t AS (SELECT doc_id AS id, unnest(list_concat(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-_][a-z0-9]+)*'), lambda w: contains(w, '-') OR contains(w, '_')), lambda w: regexp_replace(w, '[-_]', '', 'g')), flatten(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-_][a-z0-9]+)*'), lambda w: regexp_split_to_array(w, '[-_]'))))) AS w FROM documents), s AS (SELECT id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 384 AS idx, sum(CASE WHEN ('0x' || substr(sha256(w), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS s FROM t GROUP BY 1, 2 HAVING s <> 0), v AS (SELECT id, idx, round(s / sqrt(sum(s * s) OVER (PARTITION BY id)), 6) AS value FROM s)"
-
-
-@query("r5_sparse_search", f"WITH {SPARSE}, p AS (SELECT q.id AS query_id, v.id, round(sum(q.value * v.value), 6) AS score FROM v JOIN v q USING (idx) WHERE q.id % 100 = 0 GROUP BY 1, 2) SELECT query_id, id, score FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
-def _(t):
-    v = ret.hash_embedding(t("documents").select(C("doc_id").alias("id"), "text"))
-    q = v.where("id % 100 = 0").select(C("id").alias("query_id"), "idx", C("value").alias("q"))
-    scored = v.join(q, "idx").groupBy("query_id", "id").agg(F.round(F.sum(C("value") * C("q")), 6).alias("score"))
-    return ret.ranked(scored.where("score > 0"), 10).select("query_id", "id", "score")
-
-
 @query("r16_plan_dedup", "SELECT conv_id, k, first_turn FROM (SELECT conv_id, md5(lower(trim(regexp_replace(text, '[ \\n\\r\\t\\f]+', ' ', 'g')))) AS k, min(turn) AS first_turn FROM conversations GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY first_turn, k) <= 4")
 def _(t):
     key = F.md5(F.lower(F.trim(F.regexp_replace("text", r"[ \n\r\t\f]+", " "))))

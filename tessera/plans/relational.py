@@ -23,9 +23,9 @@ def _(t):
     return ops.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0"), ["user_id"], [C("ts").desc(), C("event_id").desc()]).select("user_id", "event_type", "value")
 
 
-@query("sk2_insert_if_absent", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("sk2_insert_if_absent", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def _(t):
-    return ops.insert_absent(t("orders").select(C("o_custkey").alias("c_custkey")), t("customer"), ["c_custkey"]).select("c_custkey", "c_name")
+    return ops.insert_absent(t("orders").where("o_orderpriority = '1-URGENT'").select(C("o_custkey").alias("c_custkey")), t("customer"), ["c_custkey"]).select("c_custkey", "c_name")
 
 
 @query("sk10_change_only", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_size % 3 = 0")
@@ -174,9 +174,9 @@ def _(t):
     return t("customer").select("c_custkey").join(first, "c_custkey")
 
 
-@query("j22_unambiguous_title", "SELECT l_linenumber, count(*) AS n FROM lineitem JOIN (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) = 1) ON l_partkey = k GROUP BY 1")
+@query("j22_unambiguous_title", "SELECT l_linenumber, count(*) AS n FROM lineitem JOIN (SELECT p_name, p_brand, p_size, min(p_partkey) AS k FROM part GROUP BY p_name, p_brand, p_size HAVING count(DISTINCT p_partkey) = 1) ON l_partkey = k GROUP BY 1")
 def _(t):
-    one = t("part").groupBy("p_name").agg(F.countDistinct("p_partkey").alias("n"), F.min("p_partkey").alias("k")).where("n = 1")
+    one = t("part").groupBy("p_name", "p_brand", "p_size").agg(F.countDistinct("p_partkey").alias("n"), F.min("p_partkey").alias("k")).where("n = 1")
     return t("lineitem").join(one.select("k"), C("l_partkey") == C("k")).groupBy("l_linenumber").agg(F.count("*").alias("n"))
 
 

@@ -22,12 +22,27 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 DENSE = """
 dn AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) <= 40),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dn)"""
+#: Hash embeddings of the documents against those of the questions.
+SPARSE = f"""
+hx AS (SELECT id, kind, unnest(t) AS w FROM (SELECT doc_id AS id, 'd' AS kind, {TOKENS.format("text")} AS t FROM documents UNION ALL SELECT item_id, 'q', {TOKENS.format("text")} FROM benchmark WHERE item_id % 100 = 0)),
+hs AS (SELECT id, kind, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 384 AS idx, sum(CASE WHEN ('0x' || substr(sha256(w), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS s FROM hx GROUP BY 1, 2, 3 HAVING s <> 0),
+hv AS (SELECT id, kind, idx, round(s / sqrt(sum(s * s) OVER (PARTITION BY id, kind)), 6) AS value FROM hs),
+dn AS (SELECT q.id AS query_id, v.id, round(sum(q.value * v.value), 6) AS score FROM hv v JOIN hv q USING (idx) WHERE q.kind = 'q' AND v.kind = 'd' GROUP BY 1, 2),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dn WHERE score > 0 QUALIFY rank <= 40)"""
 FUSED = "fu AS (SELECT query_id, id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM bm UNION ALL SELECT query_id, id, rank FROM dr) GROUP BY 1, 2)"
 
 
+def _questions(t):
+    return t("benchmark").where("item_id % 100 = 0").select(C("item_id").alias("query_id"), "text")
+
+
 def _bm25(t):
-    questions = t("benchmark").where("item_id % 100 = 0").select(C("item_id").alias("query_id"), "text")
-    return ret.bm25(t("documents").select(C("doc_id").alias("id"), "text"), questions)
+    return ret.bm25(t("documents").select(C("doc_id").alias("id"), "text"), _questions(t))
+
+
+def _sparse(t, limit: int):
+    questions = ret.hash_embedding(_questions(t).withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id")
+    return ret.sparse(ret.hash_embedding(t("documents").select(C("doc_id").alias("id"), "text")), questions, limit)
 
 
 def _dense(t):
@@ -36,8 +51,9 @@ def _dense(t):
 
 
 def _fused(t):
+    """Two rankings of the documents for the same questions, by words and by hash embeddings."""
     both = _bm25(t).select("query_id", F.lit("bm25").alias("channel"), C("rank").alias("pos"), "id")
-    return ret.fused(both.unionByName(_dense(t).select("query_id", F.lit("dense").alias("channel"), C("rank").alias("pos"), "id")))
+    return ret.fused(both.unionByName(_sparse(t, 40).select("query_id", F.lit("dense").alias("channel"), C("rank").alias("pos"), "id")))
 
 
 @query("r1_bm25", f"WITH {BM25} SELECT query_id, id, score, rank FROM bm")
@@ -45,7 +61,7 @@ def _(t):
     return _bm25(t).select("query_id", "id", "score", C("rank").cast("long").alias("rank"))
 
 
-@query("r2_reciprocal_rank_fusion", f"WITH {BM25}, {DENSE}, {FUSED} SELECT * FROM fu")
+@query("r2_reciprocal_rank_fusion", f"WITH {BM25}, {SPARSE}, {FUSED} SELECT * FROM fu")
 def _(t):
     return _fused(t)
 
@@ -60,6 +76,11 @@ def _(t):
     return _dense(t).select("query_id", "id", "score", C("rank").cast("long").alias("rank"))
 
 
+@query("r5_sparse_search", f"WITH {SPARSE} SELECT query_id, id, score FROM dr WHERE rank <= 10")
+def _(t):
+    return _sparse(t, 10).select("query_id", "id", "score")
+
+
 R6 = "least(greatest({0}, 0), 1)"
 
 
@@ -70,7 +91,7 @@ def _(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", F.round(ret.weighted(*channels), 6).alias("score"))
 
 
-@query("r7_hybrid_retrieval", f"WITH {BM25}, {DENSE}, {FUSED}, ca AS (SELECT query_id, id, source, score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS k FROM fu JOIN documents ON doc_id = id) SELECT query_id, id, source, score FROM ca WHERE k <= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
+@query("r7_hybrid_retrieval", f"WITH {BM25}, {SPARSE}, {FUSED}, ca AS (SELECT query_id, id, source, score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS k FROM fu JOIN documents ON doc_id = id) SELECT query_id, id, source, score FROM ca WHERE k <= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
 def _(t):
     x = _fused(t).join(t("documents").select(C("doc_id").alias("id"), "source"), "id")
     order = [C("score").desc(), C("id")]

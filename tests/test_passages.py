@@ -2,6 +2,7 @@
 
 import random
 import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,61 @@ def test_numbers(spark):
     assert unsupported("2.5", ["2.50"]) == [] and unsupported("", []) == [] and unsupported("three is 3", ["three"]) == []
 
 
+def plain_left_over(stated, known):
+    """Every ordered pair of supported numbers, one after the other."""
+    have = {Fraction(v) for v in known}
+    stands = [Fraction(v) in have or bool(unit) and Fraction(v) / 100 in have for _, v, unit in stated]
+    held = [Fraction(v) for (_, v, _), ok in zip(stated, stands, strict=True) if ok]
+
+    def shown(x, text):
+        scale = 10 ** len(text.partition(".")[2])
+        return Fraction(int(abs(x) * scale + Fraction(1, 2)) * (1 if x >= 0 else -1), scale)
+
+    out = []
+    for (text, v, unit), ok in zip(stated, stands, strict=True):
+        made = []
+        for i, a in enumerate(held):
+            for j, b in enumerate(held):
+                if i != j:
+                    made += [a - b, a + b] + ([a / b] if b else []) + ([(a - b) / b * 100] if b and unit == "percent" else []) + ([(a - b) * 100] if unit == "points" and 0 <= a <= 1 and 0 <= b <= 1 else [])
+        if not ok and not any(shown(x, text) == Fraction(v) for x in made):
+            out.append(text)
+    return out
+
+
+def test_unsupported_numbers_against_all_pairs(spark):
+    rng = random.Random(7)
+    number = lambda: rng.choice([str(rng.randint(0, 20)), f"{rng.randint(0, 3)}.{rng.randint(0, 99)}", f"-{rng.randint(1, 9)}", f"0.{rng.randint(1, 9)}", f"{rng.randint(1, 10**30)}"]) + rng.choice(["", "", " %", " 百分点"])
+    rows = [(k, " and ".join(number() for _ in range(rng.randint(0, 6))), [" or ".join(number() for _ in range(rng.randint(0, 6))) for _ in range(2)]) for k in range(400)]
+    rows += [(900 + k, f"{x} is " + x, [x + " there"]) for k, x in enumerate(["123456789012345678901234567890", "1,000.50", "seven"])]
+    df = spark.createDataFrame([*rows, (990, None, ["1"]), (991, "5", None)], "k int, s string, q array<string>")
+    got = df.select("k", qt.quantities(F.col("s")).alias("n"), F.flatten(F.transform("q", lambda q: qt.quantities(q, spelt=True))).alias("known"), qt.unsupported(F.col("s"), F.col("q")).alias("u")).collect()
+    for r in got:
+        if r["k"] < 990:
+            assert [u["text"] for u in r["u"]] == plain_left_over([tuple(n) for n in r["n"]], [n["value"] for n in r["known"]]), r["k"]
+    assert sum(bool(r["u"]) for r in got) > 50 and {r["k"]: r["u"] for r in got}[990] is None and [u["text"] for u in {r["k"]: r["u"] for r in got}[991]] == ["5"]
+
+
+def test_long_numbers_support_one_another_only_digit_by_digit(spark):
+    def unsupported(statement, quote):
+        return [r["text"] for r in spark.range(1).select(F.explode(qt.unsupported(F.lit(statement), F.array(F.lit(quote)))).alias("n")).select("n.*").collect()]
+
+    long = "123456789012345678901234567890"
+    assert unsupported(f"is {long} here", f"is {'9' * 30} here") == [long]
+    assert unsupported(f"is {long} here", "is -1 here") == [long]
+    assert unsupported(f"is {long}.0 here", f"is {long} here") == []
+    assert unsupported(f"{long} and 1 make 123456789012345678901234567891", f"{long}, 1") == []
+
+
+def test_unsupported_numbers_of_the_whole_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    first = F.substring_index("text", "\n", 1)
+    rest = F.substring(F.col("text"), F.length(first) + 1, F.length("text"))
+    rows = docs.select("doc_id", qt.quantities(first).alias("n"), qt.quantities(rest, spelt=True).alias("known")).collect()
+    want = {r["doc_id"]: " ".join(plain_left_over([tuple(n) for n in r["n"]], [n["value"] for n in r["known"]])) for r in rows}
+    assert {r["doc_id"]: r["unsupported"] for r in registry.queries()["f24_unsupported_numbers"](spark, DATA).collect()} == want and any(want.values())
+
+
 def test_queries_without_sql_cover_whole_texts(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for name in ("c2_lossless_passages", "c5_structure_ranges", "c6_similarity_ranges"):

@@ -31,4 +31,5 @@ def test_query_equals_sql(spark, duck, name):
     cols = sorted(df.columns)
     cur = duck.execute(registry.oracle_sql()[name])
     at = [[d[0] for d in cur.description].index(c) for c in cols]
-    assert plain(map(tuple, df.select(*cols).collect())) == plain([tuple(r[i] for i in at) for r in cur.fetchall()])
+    want = plain([tuple(r[i] for i in at) for r in cur.fetchall()])
+    assert want and plain(map(tuple, df.select(*cols).collect())) == want
