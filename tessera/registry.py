@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tessera.plans import aggregates, documents, evaluation, filters, lifecycle, packing, passages, relational, resolution, retrieval, streams, views  # noqa: F401
+    from tessera.plans import aggregates, documents, evaluation, filters, lifecycle, packing, passages, relational, resolution, retrieval, stores, streams, views  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
