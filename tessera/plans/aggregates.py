@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import clusters
 from tessera.operators import relational as ops
 from tessera.registry import query
 
@@ -188,6 +189,20 @@ def _(t):
     return e.where((C("k") < 2) | (C("k") >= C("n") - 2) | middle).select("user_id", "event_id")
 
 
+@query("w17_head_clusters", """
+WITH RECURSIVE e AS (SELECT user_id AS k, round(value * 100)::BIGINT AS x FROM events),
+h AS (SELECT k, min(x) AS x FROM e GROUP BY k UNION ALL SELECT h.k, min(e.x) FROM h JOIN e ON e.k = h.k AND e.x > h.x + 600 GROUP BY h.k, h.x),
+c AS (SELECT e.k, (SELECT max(h.x) FROM h WHERE h.k = e.k AND h.x <= e.x) AS head FROM e),
+z AS (SELECT k, head, count(*) AS n FROM c GROUP BY k, head),
+n AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, head) <= 2)
+SELECT k AS user_id, head, n, row_number() OVER (PARTITION BY k ORDER BY head) AS place FROM n
+""")
+def _(t):
+    # A user's values as places of lines: clusters of six sizes of 1.00 from their head, and the two largest as columns from the left.
+    e = t("events").select("user_id", F.round(C("value") * 100).cast("long").alias("x"))
+    return clusters.column_edges(clusters.head_clusters(e, "user_id", "x", 600), "user_id", "head").select("user_id", "head", "n", C("place").cast("long").alias("place"))
+
+
 @query("w18_median_reference", "SELECT doc_id, n_chars < 0.9 * m AS small FROM documents JOIN (SELECT source AS s, median(n_chars) AS m FROM documents GROUP BY 1) ON s IS NOT DISTINCT FROM source")
 def _(t):
     d = t("documents").select("doc_id", "source", "n_chars")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import relational as ops
 from tessera.registry import query
-from tessera.streaming import leases
+from tessera.streaming import leases, queue
 
 C = F.col
 
@@ -65,3 +65,28 @@ def _(t):
     in_pieces(spark, messages(t("events")), "ts", 3, step)
     now = t("events").agg(F.max(F.unix_micros(C("ts").cast("timestamp"))).alias("z")).first()["z"] or 0
     return leases.board(spark.read.schema(leases.LOG).parquet(found["log"]), now, max_crashes=2)
+
+
+@query("st3_lease_sessions", """
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS s, epoch_us(ts) + CASE event_type WHEN 'click' THEN 21600 WHEN 'view' THEN 43200 ELSE 3600 END * 1000000::BIGINT AS u FROM events),
+n AS (SELECT *, coalesce(s > max(u) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS new FROM e),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT user_id, min(s) AS start, max(u) AS until, count(*) AS beats FROM r GROUP BY user_id, run
+""")
+def _(t):
+    # Every event as a heartbeat whose lease hangs on its type. The last piece is a beat of nobody, long after: it lets the open leases run out.
+    spark, e, found = t("events").sparkSession, t("events"), {}
+    seconds = F.when(C("event_type") == "click", 21600).when(C("event_type") == "view", 43200).otherwise(3600)
+    beats = e.select("user_id", C("ts").cast("timestamp").alias("ts"), seconds.alias("lease"))
+    tick = beats.agg((F.max("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts")).select(F.lit(None).cast("long").alias("user_id"), "ts", F.lit(1).alias("lease"))
+
+    def step(folder: str) -> None:
+        stream = spark.readStream.schema("user_id long, ts timestamp, lease int").parquet(f"{folder}/in")
+        # The watermark has to see the tick, so its row has a key of its own.
+        runs = queue.lease_sessions(stream.withColumn("user_id", F.coalesce("user_id", F.lit(-1))), "user_id", C("lease"), "0 seconds")
+        runs.writeStream.format("parquet").option("path", f"{folder}/runs").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        found["runs"] = f"{folder}/runs"
+
+    in_pieces(spark, beats.unionByName(tick), "ts", 3, step)
+    runs = spark.read.schema("user_id long, start timestamp, end timestamp, beats long").parquet(found["runs"])
+    return runs.where("user_id >= 0").select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("until"), "beats")

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import formulas, glyphs
+from tessera.functions import json_views as jv
 from tessera.operators import relational as ops
 from tessera.registry import query
 from tessera.sources import json_files
@@ -104,16 +106,58 @@ def _(t):
     return back.groupBy("id").agg(F.count("*").alias("refs"), F.max(F.length("html")).alias("n"))
 
 
+@query("f35_interned_json", "SELECT page_id, (length(html) >= 80)::INT + (length(url) >= 80 AND url <> html)::INT AS strings, true AS exact FROM pages")
+def _(t):
+    # Nested JSON of each page, its long strings in a table, and put back.
+    whole = F.to_json(F.struct("page_id", F.struct("html", F.array("html", "url").alias("again")).alias("body"), F.struct(C("url").alias("$text")).alias("link")))
+    p = t("pages").select("page_id", whole.alias("x")).select("page_id", "x", jv.interned(C("x")).alias("i"))
+    return p.select("page_id", F.size("i.strings").alias("strings"), (jv.restored(C("i.view"), C("i.strings")) == jv.canonical(C("x"))).alias("exact"))
+
+
+GLYPHS = "regexp_replace({0}, '[\\s]+', '', 'g')"
+BAD = f"(len({GLYPHS}) >= 8 AND len(list_distinct(string_split({GLYPHS}, ''))) >= 4 AND len(regexp_replace({GLYPHS}, '[^\\x{{{{5B00}}}}-\\x{{{{5B7F}}}}]|[{glyphs.COMMON}]', '', 'g')) >= greatest(4, len({GLYPHS}) / 2))"
+
+
+@query("f28_garbled_glyphs", f"""
+WITH d AS (SELECT doc_id, regexp_replace(text, '[^\\x{{20}}-\\x{{7E}}\\n]', '', 'g') AS t FROM documents),
+g AS (SELECT doc_id, t, CASE WHEN doc_id % 3 = 0 THEN translate(t, '{glyphs.PLAIN[1:].replace("'", "''")}', '{glyphs.SHIFTED[1:]}') ELSE t END AS x FROM d),
+p AS (SELECT doc_id, t, x, regexp_extract_all(x, '[\\x{{5A00}}-\\x{{5BFF}}\\s]+|[^\\x{{5A00}}-\\x{{5BFF}}\\s]+') AS p FROM g),
+r AS (SELECT doc_id, t, x, array_to_string(list_transform(p, lambda r: CASE WHEN {BAD.format("r")} THEN translate(r, '{glyphs.SHIFTED}', '{glyphs.PLAIN.replace("'", "''")}') ELSE r END), '') AS y, len(list_filter(p, lambda r: {BAD.format("r")})) > 0 AS garbled FROM p)
+SELECT doc_id, garbled, y = t AS restored, md5(y) AS h FROM r
+""")
+def _(t):
+    # Printable text of all documents, every third one as a font's offset leaves it.
+    clean = F.regexp_replace("text", r"[^\x{20}-\x{7E}\n]", "")
+    broken = F.when(C("doc_id") % 3 == 0, F.translate(clean, glyphs.PLAIN[1:], glyphs.SHIFTED[1:])).otherwise(clean)
+    d = t("documents").select("doc_id", clean.alias("t"), broken.alias("x"))
+    d = d.select("doc_id", "t", glyphs.is_garbled(C("x")).alias("garbled"), glyphs.restored(C("x")).alias("y"))
+    return d.select("doc_id", "garbled", (C("y") == C("t")).alias("restored"), F.md5("y").alias("h"))
+
+
+@query("f41_formulas", """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS d, l_extendedprice AS p, l_partkey % 5 AS k FROM lineitem),
+v AS (SELECT *, CASE k WHEN 0 THEN (q + 2.5::DOUBLE) * -d / (p - 1::DOUBLE) WHEN 1 THEN CASE WHEN d = 0 THEN NULL ELSE q - p / d / 2::DOUBLE END WHEN 2 THEN CASE WHEN abs(p * p * q) > 1e12 THEN NULL ELSE -(-q + p * p * q) END END AS x FROM l)
+SELECT l_orderkey, l_linenumber, k, count(*) AS n, max(round(CASE WHEN abs(x) > 1e6 THEN x / 1e6::DOUBLE WHEN abs(x) < 1 THEN x * 1e6::DOUBLE ELSE x END, 4) + 0) AS greatest, min(CASE WHEN x IS NULL THEN CASE k WHEN 1 THEN 'zero' WHEN 2 THEN 'range' WHEN 3 THEN 'undeclared' ELSE 'unsupported' END END) AS why FROM v GROUP BY ALL
+""")
+def _(t):
+    # Five formulas of each line's own numbers: good ones, one divided by a discount that may be 0, one that may grow too large, and two to refuse.
+    k = (C("l_partkey") % 5).alias("k")
+    text = F.element_at(F.array(*map(F.lit, ("(q + 2.5) * -d / (p - 1)", "q - p / d / 2", "-(-q + p * p * q) ", "q + d + rate * p", "q ** d + p"))), (C("k") + 1).cast("int"))
+    names = F.when(C("k") == 2, F.create_map(F.lit("q"), C("l_quantity"), F.lit("p"), C("l_extendedprice"))).otherwise(F.create_map(F.lit("q"), C("l_quantity"), F.lit("d"), C("l_discount"), F.lit("p"), C("l_extendedprice")))
+    e = t("lineitem").withColumn("k", k).select("l_orderkey", "l_linenumber", "k", formulas.evaluated(text, names).alias("e"))
+    return e.groupBy("l_orderkey", "l_linenumber", "k").agg(F.count("*").alias("n"), F.max(F.round(F.when(F.abs("e.value") > 1e6, C("e.value") / 1e6).when(F.abs("e.value") < 1, C("e.value") * 1e6).otherwise(C("e.value")), 4) + F.lit(0.0)).alias("greatest"), F.min("e.why").alias("why"))
+
+
 @query("f36_reading_view", "SELECT source AS id, count(*) AS refs, count(DISTINCT lang) AS payloads, count(DISTINCT lang) > 1 AS conflict FROM documents GROUP BY 1")
 def _(t):
     return t("documents").groupBy(C("source").alias("id")).agg(F.count("*").alias("refs"), F.countDistinct("lang").alias("payloads")).select("*", (C("payloads") > 1).alias("conflict"))
 
 
-@query("f37_field_stripping", "SELECT o_orderkey, json_object('id', o_orderkey, 'place', json_object('status', o_orderstatus))::VARCHAR AS kept FROM orders")
+@query("f37_field_stripping", "SELECT o_orderkey, json_object('id', o_orderkey, 'place', json_object('status', o_orderstatus, 'lines', json_array(json_object('n', 1), json_array(json_object('status', o_orderstatus)))), 'location', json_object('review', o_orderpriority))::VARCHAR AS kept FROM orders")
 def _(t):
-    whole = F.struct(C("o_orderkey").alias("id"), F.lit("me").alias("admin"), F.struct(C("o_orderstatus").alias("status"), C("o_orderpriority").alias("review")).alias("place"))
-    kept = C("x").dropFields("admin", "place.review")
-    return t("orders").select("o_orderkey", whole.alias("x")).select("o_orderkey", F.to_json(kept).alias("kept"))
+    # Administrative fields go at any depth, in lists of lists too; a location is data and stays whole.
+    whole = F.format_string('{"id":%d,"admin":"me","place":{"status":"%s","review":"%s","lines":[{"n":1,"admin":[1]},[{"review":{},"status":"%s"}]]},"location":{"review":"%s"}}', "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderstatus", "o_orderpriority")
+    return t("orders").select("o_orderkey", jv.stripped(whole, ["admin", "review"], ["location"]).alias("kept"))
 
 
 @query("f38_lease_age", "WITH n AS (SELECT max(ts) AS now FROM events) SELECT event_id, ts + INTERVAL 30 SECOND AS lease_until, epoch(now) - epoch(ts) <= greatest(5, 3 * 600) AS online FROM events, n")
@@ -131,10 +175,11 @@ def _(t):
 
 @query("f43_flattened_content", "SELECT l_orderkey, string_agg(l_returnflag || ' ' || l_linestatus || ' ' || l_partkey, ' ' ORDER BY l_linenumber, l_returnflag, l_linestatus, l_partkey::VARCHAR) AS content FROM lineitem GROUP BY 1")
 def _(t):
-    # An order's few lines, each a list of its own.
-    parts = F.array("l_returnflag", "l_linestatus", C("l_partkey").cast("string"))
-    g = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", parts.alias("parts")))).alias("x"))
-    return g.select("l_orderkey", F.array_join(F.flatten(F.transform("x", lambda r: r["parts"])), " ").alias("content"))
+    # An order's few lines as content of all shapes: text, lists, objects with text or content, numbers.
+    line = F.format_string('{"type":"x","content":["%s",{"text":["%s",[]]},[{"content":%d},null]]}', "l_returnflag", "l_linestatus", "l_partkey")
+    g = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus", C("l_partkey").cast("string").alias("p"), line.alias("line")))).alias("x"))
+    whole = F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["line"]), ","), F.lit("]"))
+    return g.select("l_orderkey", jv.flattened(whole, ["text", "content"]).alias("content"))
 
 
 @query("f45_review_fingerprint", "SELECT o_orderkey, sha256(json_object('id', o_orderkey, 'priority', o_orderpriority, 'status', o_orderstatus)::VARCHAR) AS h FROM orders")
@@ -149,12 +194,12 @@ def _(t):
     return t("pages").select("page_id", part.alias("p")).select("page_id", (C("p").rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$") & ~F.lower("p").isin("con", "prn", "aux", "nul") & ~C("p").isin(".", "..")).alias("allowed"))
 
 
-@query("f48_override_merge", "SELECT event_id, json_object('k', CASE WHEN event_type = 'error' THEN -1 ELSE json_extract(props, '$.k')::BIGINT END, 'type', event_type)::VARCHAR AS merged FROM events")
+@query("f48_override_merge", "SELECT event_id, json_object('k', CASE WHEN event_type = 'error' THEN -1 ELSE json_extract(props, '$.k')::BIGINT END, 'deep', json_object('a', json_object('x', 1, 'y', event_type), 'b', json_array(3)), 'type', event_type)::VARCHAR AS merged FROM events")
 def _(t):
-    base = F.from_json("props", "struct<k:bigint,type:string>")
-    over = F.struct(F.when(C("event_type") == "error", F.lit(-1)).cast("bigint").alias("k"), C("event_type").alias("type"))
-    both = t("events").select("event_id", base.alias("b"), over.alias("o"))
-    return both.select("event_id", F.to_json(F.struct(*[F.coalesce(C(f"o.{f}"), C(f"b.{f}")).alias(f) for f in ("k", "type")])).alias("merged"))
+    base = F.concat(F.regexp_replace("props", "[}]$", ""), F.lit(',"deep":{"a":{"x":1,"y":2},"b":[1,2]}}'))
+    k = F.when(C("event_type") == "error", F.lit('"k":-1,')).otherwise(F.lit(""))
+    over = F.concat(F.lit("{"), k, F.format_string('"deep":{"b":[3],"a":{"y":"%s"}},"type":"%s"}', "event_type", "event_type"))
+    return t("events").select("event_id", jv.merged(base, over).alias("merged"))
 
 
 def _shared(spark) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,3 +28,18 @@ def idempotent(commands: DataFrame, key: str, late: str) -> DataFrame:
 def outbox(rows: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, key: str) -> StreamingQuery:
     """At-least-once projection: every batch's rows, once per key, go to an idempotent upsert."""
     return rows.writeStream.foreachBatch(lambda df, _: apply(df.dropDuplicates([key]))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def lease_sessions(beats: DataFrame, key: str, seconds: Column, late: str) -> DataFrame:
+    """(key, start, end, beats) of the runs of heartbeats (key, ts) in which each comes before the lease of an earlier one has ended; every row has its lease's seconds.
+
+    A run ends when the watermark has passed its last lease, and is given then. Rows without a key make no run.
+    """
+    w = F.session_window("ts", F.concat(seconds.cast("string"), F.lit(" seconds")))
+    out = beats.where(F.col(key).isNotNull()).withWatermark("ts", late).groupBy(w.alias("w"), key).agg(F.count("*").alias("beats"))
+    return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "beats")
+
+
+def renewal_interval(lease_seconds: Column) -> Column:
+    """How often a lease is renewed: a third of it, between 0.05 and 30 seconds."""
+    return F.greatest(F.lit(0.05), F.least(F.lit(30.0), F.greatest(F.lit(1), lease_seconds) / 3))
