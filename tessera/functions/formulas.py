@@ -26,9 +26,15 @@ def evaluated(formula: Column, parameters: Column, most: float = MOST) -> Column
     """struct<value double, why string>: the formula's value under parameters (a map of names to doubles), or the reason that it has none."""
     none = F.array().cast("array<double>")
     get = lambda s, c: s.getField(c)
+    # The value of x, computed once, in f.
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def head(a: Column, n: Column) -> Column:
+        """The array without its last n."""
+        return F.slice(a, F.lit(1), F.greatest(F.size(a) - n, F.lit(0)))
 
     def state(s: Column, **new: Column) -> Column:
-        return F.struct(*[new.get(c, get(s, c)).alias(c) for c in ("values", "ops", "operand", "bad", "why")]).cast(STATE)
+        return F.struct(*[new.get(c, get(s, c)).alias(c) for c in ("values", "ops", "operand", "bad", "why")])
 
     def checked(v: Column) -> Column:
         return F.when(F.isnan(v) | (F.abs(v) > most), "range")
@@ -40,12 +46,12 @@ def evaluated(formula: Column, parameters: Column, most: float = MOST) -> Column
 
     def apply_top(s: Column) -> Column:
         """The top operator applied to the top values."""
-        op, vals = F.element_at(get(s, "ops"), -1), get(s, "values")
-        one, two = F.element_at(vals, -1), F.when(F.size(vals) > 1, F.element_at(vals, -2))
+        op, vals = F.get(get(s, "ops"), F.size(get(s, "ops")) - 1), get(s, "values")
+        one, two = F.get(vals, F.size(vals) - 1), F.get(vals, F.size(vals) - 2)
         unary = op.isin("u+", "u-")
         made = F.when(op == "u-", -one).when(op == "u+", one).when(op == "+", two + one).when(op == "-", two - one).when(op == "*", two * one).when(one != 0, two / F.nullif(one, F.lit(0.0)))
         why = F.when((op == "/") & (one == 0), "zero")
-        rest = state(s, values=F.slice(vals, F.lit(1), F.size(vals) - F.when(unary, 1).otherwise(2)), ops=F.slice(get(s, "ops"), F.lit(1), F.size(get(s, "ops")) - 1))
+        rest = state(s, values=head(vals, F.when(unary, 1).otherwise(2)), ops=head(get(s, "ops"), F.lit(1)))
         return push(rest, made, why)
 
     def reduced(s: Column, least: int) -> Column:
@@ -56,9 +62,8 @@ def evaluated(formula: Column, parameters: Column, most: float = MOST) -> Column
     def step(s: Column, t: Column) -> Column:
         want = get(s, "operand")
         stack = lambda s, op, want: state(s, ops=F.concat(get(s, "ops"), F.array(op)), operand=F.lit(want))
-        closed = reduced(s, 1)
-        opened = F.get(get(closed, "ops"), F.size(get(closed, "ops")) - 1) == "("
-        after = F.when(F.coalesce(opened, F.lit(False)), state(closed, ops=F.slice(get(closed, "ops"), F.lit(1), F.size(get(closed, "ops")) - 1))).otherwise(state(s, bad=F.lit(True)))
+        opened = lambda c: F.coalesce(F.get(get(c, "ops"), F.size(get(c, "ops")) - 1) == "(", F.lit(False))
+        shut = lambda c: F.when(opened(c), state(c, ops=head(get(c, "ops"), F.lit(1)))).otherwise(state(c, bad=F.lit(True)))
         as_operand = (
             F.when(t.rlike(f"^(?:{NUMBER})$"), push(s, t.try_cast("double"), F.lit(None).cast("string"), operand=F.lit(False)))
             .when(t.rlike(f"^{NAME}$"), push(s, F.try_element_at(parameters, t), F.when(~F.map_contains_key(parameters, t), "undeclared"), operand=F.lit(False)))
@@ -66,18 +71,22 @@ def evaluated(formula: Column, parameters: Column, most: float = MOST) -> Column
             .when(t == "(", stack(s, t, True))
             .otherwise(state(s, bad=F.lit(True)))
         )
-        as_operator = F.when(t.isin("*", "/"), stack(reduced(s, 2), t, True)).when(t.isin("+", "-"), stack(reduced(s, 1), t, True)).when(t == ")", after).otherwise(state(s, bad=F.lit(True)))
+        after = lambda least, f: let(reduced(s, least), f)
+        as_operator = F.when(t.isin("*", "/"), after(2, lambda r: stack(r, t, True))).when(t.isin("+", "-"), after(1, lambda r: stack(r, t, True))).when(t == ")", after(1, shut)).otherwise(state(s, bad=F.lit(True)))
         return F.when(get(s, "bad"), s).when(want, as_operand).otherwise(as_operator)
 
     start = F.struct(none.alias("values"), F.array().cast("array<string>").alias("ops"), F.lit(True).alias("operand"), F.lit(False).alias("bad"), F.lit(None).cast("string").alias("why")).cast(STATE)
     found = tokens(formula)
 
     def finish(s: Column) -> Column:
-        end = reduced(s, 1)
-        bad = get(s, "bad") | get(s, "operand") | (F.size(get(end, "ops")) > 0)
         unused = F.exists(F.map_keys(parameters), lambda n: ~F.array_contains(found, n))
-        why = F.when(bad, "unsupported").otherwise(F.coalesce(get(end, "why"), F.when(unused, "unused")))
-        return F.struct(F.when(why.isNull(), F.get(get(end, "values"), F.lit(0))).alias("value"), why.alias("why"))
+
+        def result(end: Column) -> Column:
+            bad = get(end, "bad") | get(end, "operand") | (F.size(get(end, "ops")) > 0)
+            why = F.when(bad, "unsupported").otherwise(F.coalesce(get(end, "why"), F.when(unused, "unused")))
+            return F.struct(F.when(why.isNull(), F.get(get(end, "values"), F.lit(0))).alias("value"), why.alias("why"))
+
+        return let(reduced(s, 1), result)
 
     refused = F.struct(F.lit(None).cast("double").alias("value"), F.lit("unsupported").alias("why"))
     return F.when(found.isNotNull(), F.aggregate(found, start, step, finish)).otherwise(refused)
