@@ -135,3 +135,13 @@ def connected(edges: DataFrame) -> DataFrame:
     final = settled(final)
     least = final.groupBy("to").agg(F.min("node").alias("component"))
     return final.join(least, "to").select("node", "component")
+
+
+def against(rows: DataFrame, queries: DataFrame, size: Column, most_bytes: int = 64 << 20) -> DataFrame:
+    """Every row with every row of a stated query set, whose bytes `size` counts.
+
+    Up to `most_bytes` of queries go to every task. More of them are met in blocks, a partition of the queries with a partition of the rows in each task.
+    """
+    q = settled(queries)
+    n = q.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return rows.crossJoin(F.broadcast(q)) if n <= most_bytes else rows.crossJoin(q.repartition(-(-n // most_bytes)).hint("shuffle_replicate_nl"))

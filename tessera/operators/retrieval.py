@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import identifiers
-from tessera.operators.relational import settled
+from tessera.operators.relational import against, settled
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, most: int = 2_000) -> DataFrame:
@@ -106,9 +106,8 @@ def dense(vectors: DataFrame, queries: DataFrame, limit: int = 40, most_bytes: i
     leave a task, before the ranks are shuffled.
     """
     v = vectors.select("id", normalised(F.col("vector")).alias("v"))
-    q = settled(queries.select("query_id", normalised(F.col("vector")).alias("q")))
-    size = q.agg(F.coalesce(F.sum(F.size("q") * 8 + 32), F.lit(0)).alias("n")).first()["n"]
-    both = v.crossJoin(F.broadcast(q)) if size <= most_bytes else v.crossJoin(q.repartition(-(-size // most_bytes)).hint("shuffle_replicate_nl"))
+    q = queries.select("query_id", normalised(F.col("vector")).alias("q"))
+    both = against(v, q, F.coalesce(F.size("q"), F.lit(0)) * 8 + 32, most_bytes)
     score = F.when(F.size("v") == F.size("q"), dot(F.col("v"), F.col("q"))).otherwise(F.lit(0.0))
     return ranked(both.select("query_id", "id", F.round(score, 6).alias("score")), limit)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import packing as coverage
 from tessera.operators import relational as ops
 from tessera.operators import retrieval as ret
 from tessera.operators import selection
@@ -75,35 +76,29 @@ def _(t):
     return expanded(ranked.select("query_id", "id", C("rank").cast("long").alias("rank"), "before", "after"), "before", "after")
 
 
-def packed(ranked, budget: int):
-    """(query_id, id, step): pins within half the budget first, then the best of each source not yet there, then all others, first fit.
-
-    Ranked is (query_id, id, source, rank, cost, pinned), a bounded list for each query; each candidate is tried once in each round.
-    """
-    rows = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "source", "cost", "pinned"))).alias("r"))
-    kind = "struct<used:bigint,out:array<struct<id:bigint,source:string,step:string>>>"
-
-    def fill(acc: Column, which, step: str, limit: int, once: bool) -> Column:
-        def add(acc: Column, x: Column) -> Column:
-            here = F.exists(acc["out"], lambda o: o["id"] == x["id"])
-            known = F.exists(acc["out"], lambda o: o["source"].eqNullSafe(x["source"])) if once else F.lit(False)
-            fits = which(x) & ~here & ~known & (acc["used"] + x["cost"] <= limit)
-            more = F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), x["source"].alias("source"), F.lit(step).alias("step")))).alias("out")).cast(kind)
-            return F.when(fits, more).otherwise(acc)
-
-        return F.aggregate("r", acc, add)
-
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,source:string,step:string>>").alias("out")).cast(kind)
-    pins = rows.select("*", fill(start, lambda x: x["pinned"], "pin", budget // 2, False).alias("s"))
-    new = pins.select("query_id", "r", fill(C("s"), lambda x: F.lit(True), "source", budget, True).alias("s"))
-    full = new.select("query_id", fill(C("s"), lambda x: F.lit(True), "fill", budget, False).alias("s"))
-    return full.select("query_id", F.posexplode("s.out").alias("place", "o")).select("query_id", C("o.id").alias("id"), C("o.step").alias("step"), C("place").cast("long").alias("place"))
-
-
 @query("r12_r13_packing")
 def _(t):
-    d = t("documents").select(C("doc_id").alias("id"), "source", F.floor((C("n_chars") + 3) / 4).alias("cost"), (C("doc_id") % 11 == 0).alias("pinned"))
-    return packed(ret.bm25(_docs(t), _items(t)).join(d, "id").select("query_id", "id", "source", C("rank").cast("long").alias("rank"), "cost", "pinned"), 4000)
+    # Questions with their sentences as parts. Anchors are the sentence's three best documents; a source counts where the text has the sentence's
+    # first words verbatim. Neighbours of a document's source come with it, the source is a shared entry, and every eleventh candidate is pinned.
+    q = t("benchmark").where("item_id % 20 = 0").select(C("item_id").alias("query_id"), "text")
+    d = t("documents").select(C("doc_id").alias("id"), "source", "n_chars", "text")
+    ranked = ret.bm25(_docs(t), q)
+    sentence = q.select("query_id", F.posexplode(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: x != "")).alias("part", "s"))
+    best = ret.bm25(_docs(t), sentence.select((C("query_id") * 1000 + C("part")).alias("query_id"), C("s").alias("text")), limit=3)
+    best = best.select(F.expr("query_id div 1000").alias("query_id"), (C("query_id") % 1000).cast("int").alias("part"), "id", "rank")
+    anchors = best.join(sentence, ["query_id", "part"]).join(d.select("id", "source", "text"), "id")
+    held = F.contains("text", F.concat_ws(" ", F.slice(F.split("s", " "), 1, 4)))
+    sources = F.when(held, F.array("source")).otherwise(F.array().cast("array<string>"))
+    anchors = ops.settled(anchors.select("query_id", "part", C("rank").cast("int").alias("place"), "id", sources.alias("sources")))
+    entry = F.struct(F.lit("sources").alias("table"), C("source").alias("item"), (F.length("source") + 40).cast("long").alias("chars"))
+    cost = d.select("id", "source", C("n_chars").alias("chars"), F.array(entry).alias("entries"))
+    both = ranked.select("query_id", "id", C("rank").cast("long").alias("rank")).unionByName(anchors.select("query_id", "id", F.lit(1000).cast("long").alias("rank")))
+    candidates = ops.settled(both.groupBy("query_id", "id").agg(F.min("rank").alias("rank")).join(cost, "id"))
+    near = candidates.select("query_id", (C("id") - 1).alias("id"), "source", C("id").alias("next"))
+    groups = candidates.join(near, ["query_id", "id", "source"]).select("query_id", "id", F.array("next").alias("members"))
+    named = anchors.select("query_id", "part", F.explode("sources").alias("source")).distinct().select("query_id", "part", F.lit(0).alias("place"), "source")
+    pins = candidates.where("id % 11 = 0").select("query_id", C("rank").alias("place"), "id")
+    return coverage.reading_order(coverage.pack(candidates.drop("source"), groups, anchors, named, pins, 4000, 100))
 
 
 @query("r14_named_comparison", "WITH d AS (SELECT doc_id, source AS a, lag(source) OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents), x AS (SELECT doc_id, a, b, CASE doc_id % 4 WHEN 0 THEN 'Compare ' || a || ' with ' || b WHEN 1 THEN 'Do not compare ' || a || ' with ' || b WHEN 2 THEN a || ' versus ' || b ELSE a || ' and ' || b END AS q FROM d WHERE b IS NOT NULL) SELECT doc_id, regexp_matches(q, '(?i)\\b(compare|versus|vs)\\b') AND NOT regexp_matches(q, '(?i)\\b(not|never)\\b') AND a <> b AS compares FROM x")

@@ -105,8 +105,7 @@ TERMS = "list_slice(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_-]{3,
 def _(t):
     q = t("benchmark").where("item_id % 20 = 0").select("item_id", tx.query_terms(C("text"), 100_000).alias("terms")).where("size(terms) > 0")
     d = t("documents").where(~C("text").rlike(r"(?i)^\s*(references|bibliography)"))
-    # A stated query set against all rows; the planner broadcasts it by its size.
-    s = d.crossJoin(q).select("item_id", "doc_id", "source", F.round(0.25 * tx.coverage(C("terms"), C("text")), 6).alias("score"))
+    s = ops.against(d, q, F.aggregate("terms", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)).select("item_id", "doc_id", "source", F.round(0.25 * tx.coverage(C("terms"), C("text")), 6).alias("score"))
     return ops.first_per(s, ["item_id", "source"], [C("score").desc(), C("doc_id")], 2)
 
 
@@ -121,8 +120,9 @@ def _(t):
 def _(t):
     # Probes from the stated queries in each language's documents, and in a scope without any.
     words = t("benchmark").where("item_id % 10 = 0").select(F.lower(F.regexp_extract("text", "[A-Za-z]{4,}", 0)).alias("word")).distinct()
-    hits = t("documents").crossJoin(words).groupBy("word", "lang").agg(F.count_if(F.contains(F.lower("text"), C("word"))).alias("hits"))
-    scopes = t("documents").select("lang").distinct().unionByName(t("documents").sparkSession.range(1).select(F.lit("none").alias("lang"))).crossJoin(words)
+    hits = ops.against(t("documents").select("lang", "text"), words, F.octet_length("word") + 16).groupBy("word", "lang").agg(F.count_if(F.contains(F.lower("text"), C("word"))).alias("hits"))
+    scopes = t("documents").select("lang").distinct().unionByName(t("documents").sparkSession.range(1).select(F.lit("none").alias("lang")))
+    scopes = ops.against(scopes, words, F.octet_length("word") + 16)
     label = F.when(C("hits").isNull(), "empty_core").when(C("hits") == 0, "no_relevant_claims").otherwise("available")
     return scopes.join(hits, ["word", "lang"], "left").select("word", "lang", label.alias("label"))
 
