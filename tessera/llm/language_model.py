@@ -155,17 +155,26 @@ def repeated(texts: DataFrame, n: int, parts: Bitmap, least: int, tokens: int, b
             yield out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        """Buckets come in order, so a task holds one of them at a time."""
+        held, now = [], None
+
+        def out() -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate(held).view(np.uint32), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((now << 32) + u[c >= least].astype(np.int64))], ["h"])
+
         for batch in batches:
             ends = batch.column(1).offsets.to_numpy()
             flat = batch.column(1).values.to_numpy()
             for k, b in enumerate(batch.column(0).to_pylist()):
-                held.setdefault(b, []).append(flat[ends[k] : ends[k + 1]].copy())
-        for b in list(held):
-            u, c = np.unique(np.concatenate(held.pop(b)).view(np.uint32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((b << 32) + u[c >= least].astype(np.int64))], ["h"])
+                if b != now and held:
+                    yield out()
+                    held = []
+                now = b
+                held.append(flat[ends[k] : ends[k + 1]].copy())
+        if held:
+            yield out()
 
-    dealt = texts.select("seq").mapInArrow(deal, "b int, low array<int>").repartition("b")
+    dealt = texts.select("seq").mapInArrow(deal, "b int, low array<int>").repartition(1 << bits, "b").sortWithinPartitions("b")
     return Bitmap.of(stored(dealt.mapInArrow(merge, "h long"), "repeated"), shift=32 - bits)
 
 
@@ -280,7 +289,7 @@ def summed(model: Held, n: int, tokens: np.ndarray, doc: np.ndarray, depth: int)
     return known, base, score, *(np.concatenate(x) for x in zip(*tails, strict=True))
 
 
-def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 24, divergence: float = 12.0, discount: float = 0.5, most_held: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 16, divergence: float = 12.0, discount: float = 0.5, most_held: int = 1_000_000) -> DataFrame:
     """(id, learnt, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; the model learns from the rows where `learns` holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learnt"), F.monotonically_increasing_id().alias("row"), tokenised(F.col(text_col)).alias("seq"))
