@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 MARK = "$text"
+COMPACT = StructType([StructField("view", StringType()), StructField("conflict", StringType())])
 INTERNED = StructType([StructField("view", StringType()), StructField("strings", ArrayType(StringType()))])
 
 
@@ -108,6 +109,44 @@ def restored(view: Column, strings: Column) -> Column:
     return F.arrow_udf(back, StringType())(view, strings)
 
 
+def compacted(x: Column, bundles: str, tables: list[str], ident: str = "id") -> Column:
+    """struct<view, conflict>: the lists `tables` of each of the package's `bundles` become lists of ids, and their entries stand once in tables of the package.
+
+    One id with two different entries makes the view null and is named as the conflict, the first one met: which entry a bundle meant would be lost.
+    Entries without an id, and bundles without a table, are left as they are.
+    """
+
+    def view(package):
+        found: dict[str, dict] = {t: {} for t in tables}
+        out = []
+        for bundle in package.get(bundles) or []:
+            new = dict(bundle)
+            for t in tables:
+                if isinstance(bundle.get(t), list) and all(isinstance(e, dict) and isinstance(e.get(ident), str) for e in bundle[t]):
+                    for e in bundle[t]:
+                        if dumps(found[t].setdefault(e[ident], e)) != dumps(e):
+                            return {"view": None, "conflict": f"{t} {e[ident]}"}
+                    new[t] = {"ids": [e[ident] for e in bundle[t]]}
+            out.append(new)
+        return {"view": dumps({**package, bundles: out, "tables": found}), "conflict": None}
+
+    kind = pa.struct([("view", pa.string()), ("conflict", pa.string())])
+    return F.arrow_udf(lambda c: pa.array(each(view, c), kind), COMPACT)(x)
+
+
+def expanded(view: Column, bundles: str) -> Column:
+    """The package that was compacted."""
+
+    def back(package):
+        found = package.pop("tables")
+        whole = lambda t, v: [found[t][i] for i in v["ids"]] if t in found and isinstance(v, dict) and list(v) == ["ids"] else v
+        if bundles in package:
+            package[bundles] = [{t: whole(t, v) for t, v in b.items()} for b in package[bundles]]
+        return dumps(package)
+
+    return F.arrow_udf(lambda c: pa.array(each(back, c), pa.string()), StringType())(view)
+
+
 def canonical(x: Column) -> Column:
     """The JSON as these functions write it."""
     return F.arrow_udf(lambda c: pa.array(each(dumps, c), pa.string()), StringType())(x)

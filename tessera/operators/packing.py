@@ -159,3 +159,10 @@ def pack(ranked: DataFrame, groups: DataFrame, anchors: DataFrame, named: DataFr
 def reading_order(choice: DataFrame) -> DataFrame:
     """(query_id, id, step, place) of what was chosen."""
     return choice.select("query_id", F.posexplode("chosen").alias("place", "o")).select("query_id", F.col("o.id").alias("id"), F.col("o.step").alias("step"), F.col("place").cast("long").alias("place"))
+
+
+def audit(choice: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(query_id, id, rank, selected, reason): every candidate of ranked, with the step that chose it or why it was left out."""
+    into = choice.select("query_id", F.explode("chosen").alias("o")).select("query_id", F.col("o.id").alias("id"), F.lit(True).alias("selected"), F.col("o.step").alias("reason"))
+    left = choice.select("query_id", F.explode("refused").alias("o")).select("query_id", F.col("o.id").alias("id"), F.lit(False).alias("selected"), F.col("o.why").alias("reason"))
+    return ranked.select("query_id", "id", "rank").join(into.unionByName(left), ["query_id", "id"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import mentions
 from tessera.operators import packing as coverage
 from tessera.operators import relational as ops
 from tessera.operators import retrieval as ret
@@ -76,8 +77,8 @@ def _(t):
     return expanded(ranked.select("query_id", "id", C("rank").cast("long").alias("rank"), "before", "after"), "before", "after")
 
 
-@query("r12_r13_packing")
-def _(t):
+def _choice(t):
+    """What is chosen for each question, and its candidates."""
     # Questions with their sentences as parts. Anchors are the sentence's three best documents; a source counts where the text has the sentence's
     # first words verbatim. Neighbours of a document's source come with it, the source is a shared entry, and every eleventh candidate is pinned.
     q = t("benchmark").where("item_id % 20 = 0").select(C("item_id").alias("query_id"), "text")
@@ -98,15 +99,40 @@ def _(t):
     groups = candidates.join(near, ["query_id", "id", "source"]).select("query_id", "id", F.array("next").alias("members"))
     named = anchors.select("query_id", "part", F.explode("sources").alias("source")).distinct().select("query_id", "part", F.lit(0).alias("place"), "source")
     pins = candidates.where("id % 11 = 0").select("query_id", C("rank").alias("place"), "id")
-    return coverage.reading_order(coverage.pack(candidates.drop("source"), groups, anchors, named, pins, 4000, 100))
+    return coverage.pack(candidates.drop("source"), groups, anchors, named, pins, 4000, 100), candidates
+
+
+@query("r12_r13_packing")
+def _(t):
+    return coverage.reading_order(_choice(t)[0])
+
+
+@query("r20_packing_audit")
+def _(t):
+    choice, candidates = _choice(t)
+    return coverage.audit(ops.settled(choice), candidates)
+
+
+#: A document's title is its first sentence; a question compares it with that of the next document of its language, in four ways.
+ASKED = """
+d AS (SELECT doc_id, lang, source, trim(regexp_extract(text, '^[^.\\n]*')) AS title FROM documents),
+n AS (SELECT doc_id, title AS a, lead(title) OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM d),
+q AS (SELECT doc_id, lower(trim(regexp_replace(replace(CASE doc_id % 4 WHEN 0 THEN 'Compare ' || a || ' with ' || b WHEN 1 THEN 'Do not compare ' || a || ' with ' || b WHEN 2 THEN a || ' versus ' || b || ', respectively' ELSE a || ' and ' || b END, 'ß', 'ss'), '[ \\t\\r\\f]+', ' ', 'g'))) AS q FROM n WHERE b IS NOT NULL),
+t AS (SELECT title, min(source) AS source, count(*) AS shared FROM (SELECT DISTINCT lower(trim(regexp_replace(replace(title, 'ß', 'ss'), '[ \\t\\r\\f]+', ' ', 'g'))) AS title, source FROM d) WHERE length(title) >= 4 GROUP BY 1),
+m AS (SELECT doc_id, q, title, source, shared, unnest(range(1, length(q) + 1)) AS p FROM q JOIN t ON contains(q, title) WHERE regexp_matches(q, '\\b(compare|comparison|contrast|versus|vs|differences?|respectively|separately)\\b') AND NOT regexp_matches(q, '\\b(no|not|without)\\b')),
+h AS (SELECT doc_id, p, p + length(title) AS e, source, shared FROM m WHERE substr(q, p, length(title)) = title AND NOT (p > 1 AND regexp_matches(substr(q, p - 1, 2), '^[a-z0-9_]{2}$')) AND NOT regexp_matches(substr(q, p + length(title) - 1, 2), '^[a-z0-9_]{2}$')),
+c AS (SELECT *, p < lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY p, e) AS clash FROM h),
+s AS (SELECT doc_id, source, min(p) AS p, bool_or(clash) AS clash, max(shared) AS shared FROM c GROUP BY 1, 2)"""
 
 
-@query("r14_named_comparison", "WITH d AS (SELECT doc_id, source AS a, lag(source) OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents), x AS (SELECT doc_id, a, b, CASE doc_id % 4 WHEN 0 THEN 'Compare ' || a || ' with ' || b WHEN 1 THEN 'Do not compare ' || a || ' with ' || b WHEN 2 THEN a || ' versus ' || b ELSE a || ' and ' || b END AS q FROM d WHERE b IS NOT NULL) SELECT doc_id, regexp_matches(q, '(?i)\\b(compare|versus|vs)\\b') AND NOT regexp_matches(q, '(?i)\\b(not|never)\\b') AND a <> b AS compares FROM x")
+@query("r14_named_comparison", f"WITH {ASKED} SELECT doc_id, string_agg(source, ',' ORDER BY p) AS sources FROM s GROUP BY 1 HAVING NOT bool_or(clash) AND max(shared) = 1 AND count(*) > 1")
 def _(t):
-    d = t("documents").select("doc_id", C("source").alias("a"), F.lag("source").over(W.partitionBy("lang").orderBy("doc_id")).alias("b")).where("b IS NOT NULL")
-    k = C("doc_id") % 4
-    q = F.when(k == 0, F.concat(F.lit("Compare "), "a", F.lit(" with "), "b")).when(k == 1, F.concat(F.lit("Do not compare "), "a", F.lit(" with "), "b")).when(k == 2, F.concat_ws(" versus ", "a", "b")).otherwise(F.concat_ws(" and ", "a", "b"))
-    return d.withColumn("q", q).select("doc_id", (C("q").rlike(r"(?i)\b(compare|versus|vs)\b") & ~C("q").rlike(r"(?i)\b(not|never)\b") & (C("a") != C("b"))).alias("compares"))
+    d = t("documents").select("doc_id", "lang", "source", F.trim(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("a"))
+    k, b = C("doc_id") % 4, F.lead("a").over(W.partitionBy("lang").orderBy("doc_id"))
+    q = F.when(k == 0, F.concat(F.lit("Compare "), "a", F.lit(" with "), "b")).when(k == 1, F.concat(F.lit("Do not compare "), "a", F.lit(" with "), "b")).when(k == 2, F.concat("a", F.lit(" versus "), "b", F.lit(", respectively"))).otherwise(F.concat_ws(" and ", "a", "b"))
+    asked = d.withColumn("b", b).where("b IS NOT NULL").select(C("doc_id").alias("question"), q.alias("text"))
+    out = mentions.compared_sources(asked, d.select("source", C("a").alias("title")))
+    return out.select(C("question").alias("doc_id"), F.array_join("sources", ",").alias("sources"))
 
 
 @query("r15_coverage_order", f"WITH {bm25_sql(ALL, 'SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0', 3)}, f AS (SELECT id, min((rank, query_id)) AS k FROM bm GROUP BY 1) SELECT id, k[1]::BIGINT AS round, k[2] AS part FROM f")

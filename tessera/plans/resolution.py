@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import quotes as qt
 from tessera.operators import fuzzy
 from tessera.operators import relational as ops
+from tessera.operators import reports as covered
 from tessera.operators import retrieval as ret
 from tessera.plans.retrieval import DENSE
 from tessera.registry import query
@@ -160,6 +161,38 @@ def _(t):
     return t("lineitem").groupBy("l_returnflag").agg(F.count("*").alias("cells"), F.round(F.avg((F.round(unit) == F.round(unit * (1 + C("l_tax")))).cast("int")), 9).alias("accuracy"))
 
 
+@query("e10_covered_reports", """
+WITH c AS (SELECT conv_id, turn, role, text, substr(text, 1, 40) || CASE WHEN (conv_id + turn) % 7 = 0 THEN '⁂' ELSE '' END AS quote, CASE WHEN (conv_id + turn) % 5 = 0 THEN lag(text, 1, '') OVER w ELSE '' END AS gap, row_number() OVER w - 1 AS f FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'complete' ELSE 'partial' END AS status, bool_or(trim(gap) <> '') AS gap FROM c GROUP BY 1),
+v AS (SELECT conv_id, 'part_span' AS code FROM c WHERE conv_id % 11 = 0
+UNION SELECT conv_id, 'part_repeated' FROM c GROUP BY conv_id, lower(text) HAVING count(*) > 1 AND count(DISTINCT text) < count(*)
+UNION SELECT conv_id, 'complete_with_gap' FROM r WHERE status = 'complete' AND gap
+UNION SELECT conv_id, 'partial_without_gap' FROM r WHERE status <> 'complete' AND NOT gap
+UNION SELECT conv_id, 'repeated_assertion' FROM c GROUP BY conv_id, lower(regexp_replace(text, '\\s+', '', 'g')) HAVING count(*) > 1
+UNION SELECT conv_id, 'unanchored' FROM c WHERE conv_id % 13 = 0
+UNION SELECT conv_id, 'unsupported' FROM c WHERE quote LIKE '%⁂')
+SELECT conv_id AS report, coalesce(string_agg(code, ',' ORDER BY code), '') AS broken FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN v USING (conv_id) GROUP BY 1
+""")
+def _(t):
+    # Each conversation as a report: its turns are the parts, the findings and their evidence; some spans, quotes and citations aren't what they should be.
+    order = W.partitionBy("conv_id").orderBy("turn")
+    c = t("conversations").withColumn("f", (F.row_number().over(order) - 1).cast("int")).withColumn("gap", F.when((C("conv_id") + C("turn")) % 5 == 0, F.lag("text", 1, "").over(order)).otherwise(""))
+    c = c.withColumnRenamed("conv_id", "report").withColumn("e", F.concat(F.lit("e"), C("f").cast("string")))
+    asked = c.groupBy("report").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "text"))), lambda x: x["text"]), "\n").alias("question"))
+    status = F.when(C("report") % 2 == 0, "complete").otherwise("partial").alias("status")
+    span = F.when(C("report") % 11 == 0, F.concat("text", F.lit("⁂"))).otherwise(C("text")).alias("span")
+    quote = F.concat(F.substring("text", 1, 40), F.when((C("report") + C("turn")) % 7 == 0, "⁂").otherwise("")).alias("quote")
+    ids = F.when(C("report") % 13 == 0, F.array("e", F.lit("missing"))).otherwise(F.array("e")).alias("evidence_ids")
+    out = covered.violations(
+        asked.select("report", "question", status),
+        c.select("report", C("f").alias("part"), span, F.array("f").alias("findings"), "gap"),
+        c.select("report", C("f").alias("finding"), C("role").alias("bundle"), C("text").alias("assertion"), ids),
+        c.select("report", C("f").alias("finding"), C("e").alias("evidence"), quote),
+        c.select("report", C("role").alias("bundle"), C("e").alias("evidence"), C("text").alias("quote")),
+    )
+    return out.select("report", F.array_join("broken", ",").alias("broken"))
+
+
 @query("e10_report_contract", "SELECT conv_id, count(*) = count(DISTINCT turn) AS unique_parts, min(turn) = 0 AND max(turn) = count(DISTINCT turn) - 1 AS partition, count(*) - count(DISTINCT lower(text)) AS repeated FROM conversations GROUP BY 1")
 def _(t):
     n, parts = F.count("*"), F.countDistinct("turn")

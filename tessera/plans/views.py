@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import formulas, glyphs
 from tessera.functions import json_views as jv
 from tessera.operators import relational as ops
+from tessera.operators import zoning
 from tessera.registry import query
 from tessera.sources import json_files
 
@@ -76,6 +77,24 @@ def _(t):
     return s.groupBy("doc_id", zone.alias("zone")).agg(F.count("*").alias("lines"), F.min("i").alias("first_line"))
 
 
+def paged_lines(t):
+    """The documents' lines on pages of twenty below a running head, with the parts of a paper around them."""
+    d = t("documents").select("doc_id", "source", "lang", F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("x"))
+    front = F.array(F.concat(F.lit("Notes on "), "source"), F.concat(F.lit("Department of "), "lang"), F.lit("Abstract"), F.coalesce(F.get("x", F.lit(0)), F.lit("-")), F.concat(F.lit("Keywords: "), "lang"), F.lit("1 Introduction"))
+    entry = F.concat(F.lit("[1] A. Author, "), "source", F.lit(", on things that texts are made of. 2019. "))
+    back = F.when(C("doc_id") % 3 == 0, F.array(F.lit("References"), entry, F.lit("pp. 1-2"), F.lit("Appendix A"), F.lit("Table 1: n = 2"))).otherwise(F.array(F.lit("References"), F.lit("none")))
+    d = d.select("doc_id", "source", F.posexplode(F.concat(front, "x", back)).alias("p", "text"))
+    rows = d.select(C("doc_id").alias("doc"), F.expr("cast(p div 20 + 1 as int)").alias("page"), (C("p") % 20 + 1).alias("i"), F.trim("text").alias("text"), "source")
+    heads = rows.select("doc", "page", "source").distinct().select("doc", "page", F.lit(0).alias("i"), F.concat(F.lit("Reports of "), "source", F.lit(", page "), C("page").cast("string")).alias("text"))
+    return rows.drop("source").unionByName(heads)
+
+
+@query("c7_block_kinds")
+def _(t):
+    z = zoning.zones(paged_lines(t))
+    return z.groupBy(C("doc").alias("doc_id"), "kind").agg(F.count("*").alias("lines"), F.min(F.struct("page", "i")).alias("f")).select("doc_id", "kind", "lines", C("f.page").alias("page"), C("f.i").alias("i"))
+
+
 @query("e4_zoning_metrics", f"WITH k AS (SELECT {CLASS_SQL} AS kind, CASE WHEN length(x) = 0 THEN 'blank' WHEN contains(lower(x), 'licens') THEN 'license' WHEN right(x, 1) IN ('.', '!', '?') THEN 'sentence' ELSE 'text' END AS gold FROM ({LINES})) SELECT c, count(*) FILTER (kind = c AND gold = c) AS tp, count(*) FILTER (kind = c AND gold <> c) AS fp, count(*) FILTER (kind <> c AND gold = c) AS fn, round(2 * count(*) FILTER (kind = c AND gold = c) / nullif(count(*) FILTER (kind = c) + count(*) FILTER (gold = c), 0), 9) AS f1 FROM k, (SELECT unnest(['blank', 'license', 'sentence', 'text']) AS c) GROUP BY c")
 def _(t):
     gold = F.when(F.length("x") == 0, "blank").when(F.contains(F.lower("x"), F.lit("licens")), "license").when(F.right("x", F.lit(1)).isin(".", "!", "?"), "sentence").otherwise("text")
@@ -148,9 +167,20 @@ def _(t):
     return e.groupBy("l_orderkey", "l_linenumber", "k").agg(F.count("*").alias("n"), F.max(F.round(F.when(F.abs("e.value") > 1e6, C("e.value") / 1e6).when(F.abs("e.value") < 1, C("e.value") * 1e6).otherwise(C("e.value")), 4) + F.lit(0.0)).alias("greatest"), F.min("e.why").alias("why"))
 
 
-@query("f36_reading_view", "SELECT source AS id, count(*) AS refs, count(DISTINCT lang) AS payloads, count(DISTINCT lang) > 1 AS conflict FROM documents GROUP BY 1")
+@query("f36_reading_view", """
+WITH k AS (SELECT l_orderkey, l_suppkey, count(DISTINCT l_tax) > 1 AS clash FROM lineitem GROUP BY ALL), o AS (SELECT l_orderkey, bool_or(clash) AS conflict, count(*) AS sources FROM k GROUP BY 1)
+SELECT l_orderkey, conflict, CASE WHEN NOT conflict THEN count(*) END AS bundles, CASE WHEN NOT conflict THEN count(DISTINCT l_partkey) END AS documents, CASE WHEN NOT conflict THEN any_value(sources) END AS sources, CASE WHEN NOT conflict THEN true END AS exact FROM lineitem JOIN o USING (l_orderkey) GROUP BY l_orderkey, conflict
+""")
 def _(t):
-    return t("documents").groupBy(C("source").alias("id")).agg(F.count("*").alias("refs"), F.countDistinct("lang").alias("payloads")).select("*", (C("payloads") > 1).alias("conflict"))
+    # An order as a package: each line a bundle with its part as document and its supplier, whose entry holds the line's tax, as source.
+    key = lambda c: F.concat(F.lit("k"), C(c).cast("string")).alias("id")
+    bundle = F.struct("l_linenumber", F.array(F.struct(key("l_partkey"))).alias("documents"), F.array(F.struct(key("l_suppkey"), "l_tax")).alias("sources"))
+    package = t("lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(bundle).alias("claim_bundles"))).alias("x"))
+    p = package.select("l_orderkey", "x", jv.compacted(C("x"), "claim_bundles", ["documents", "sources"]).alias("c"))
+    p = p.select("l_orderkey", "x", "c.view", C("c.conflict").isNotNull().alias("conflict"))
+    size = lambda path: F.size(F.json_object_keys(F.get_json_object("view", path))).cast("long")
+    same = jv.expanded(C("view"), "claim_bundles") == jv.canonical(C("x"))
+    return p.select("l_orderkey", "conflict", F.json_array_length(F.get_json_object("view", "$.claim_bundles")).cast("long").alias("bundles"), F.when(C("view").isNotNull(), size("$.tables.documents")).alias("documents"), F.when(C("view").isNotNull(), size("$.tables.sources")).alias("sources"), same.alias("exact"))
 
 
 @query("f37_field_stripping", "SELECT o_orderkey, json_object('id', o_orderkey, 'place', json_object('status', o_orderstatus, 'lines', json_array(json_object('n', 1), json_array(json_object('status', o_orderstatus)))), 'location', json_object('review', o_orderpriority))::VARCHAR AS kept FROM orders")

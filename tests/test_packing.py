@@ -123,6 +123,9 @@ def test_packing_against_a_plain_loop(spark):
         steps |= {s for _, s in chosen}
         reasons |= set(tried.values())
     assert steps == {"pin", "part", "source", "anchor", "fill"} and reasons == {"over_budget", "group_conflict", "no_candidate"}
+    rows = coverage.audit(coverage.pack(*frames.values(), 220, 37), frames["ranked"]).collect()
+    assert len(rows) == len(tables["ranked"]) and all(r["reason"] is not None for r in rows)
+    assert {(r["query_id"], r["id"]) for r in rows if r["selected"]} == {(q, c["id"]) for q, r in got.items() for c in r["chosen"]}
     assert coverage.reading_order(coverage.pack(*(f.where("false") for f in frames.values()), 220)).count() == 0
 
 
@@ -153,5 +156,5 @@ def test_bold_lines(spark):
 
 
 def test_queries_without_sql(spark):
-    for name in ("r10_adjacent_expansion", "r12_r13_packing", "w16_running_batches", "f27_fake_bold", "e11_numeric_gate"):
+    for name in ("r10_adjacent_expansion", "r12_r13_packing", "r20_packing_audit", "w16_running_batches", "f27_fake_bold", "e11_numeric_gate"):
         assert registry.queries()[name](spark, "/root/testdata/sf0.01").count() > 0

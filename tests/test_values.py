@@ -166,6 +166,37 @@ def test_json_views(spark):
     assert one == "a 1.5 c"
 
 
+def test_compact_views_of_packages(spark):
+    rng = random.Random(6)
+    entry = lambda t: {"id": f"{t}{rng.randint(0, 3)}"}
+    packages = []
+    for k in range(60):
+        payload = {f"{t}{i}": {"id": f"{t}{i}", "v": [i, "é", None]} for t in "ds" for i in range(4)}
+        bundle = lambda: {"n": rng.randint(0, 9), "documents": [payload[entry("d")["id"]] for _ in range(rng.randint(0, 3))], **({"sources": [payload[entry("s")["id"]]]} if rng.random() < 0.7 else {}), "other": [{"id": "d0"}]}  # noqa: B023,E731
+        p = {"task": k, "bundles": [bundle() for _ in range(rng.randint(0, 4))], "end": True}
+        if k % 5 == 0 and p["bundles"]:
+            p["bundles"].append({"documents": [{"id": "d1", "v": 0}, {"id": "d1", "v": 1}]})
+        packages.append(p)
+    packages += [{}, {"bundles": None}, {"bundles": [{"documents": [{"no": "id"}]}]}]
+    df = spark.createDataFrame([(k, json.dumps(p)) for k, p in enumerate(packages)] + [(900, None), (901, "[")], "k int, x string")
+    df = df.select("k", "x", jv.compacted(F.col("x"), "bundles", ["documents", "sources"]).alias("c")).select("k", "x", "c", jv.expanded(F.col("c.view"), "bundles").alias("back"))
+    for r in df.collect():
+        if r["k"] >= 900:
+            assert r["c"] is None
+            continue
+        p = packages[r["k"]]
+        seen, clash = {}, None
+        for b in p.get("bundles") or []:
+            for t in ("documents", "sources"):
+                for e in b.get(t, []):
+                    if "id" in e and seen.setdefault((t, e["id"]), e) != e and clash is None:
+                        clash = f"{t} {e['id']}"
+        assert r["c"]["conflict"] == clash and (r["c"]["view"] is None) == (clash is not None)
+        if clash is None:
+            assert json.loads(r["back"]) == {**p, "bundles": p.get("bundles") or []} or json.loads(r["back"]) == p
+            assert {t: set(v) for t, v in json.loads(r["c"]["view"])["tables"].items()} == {t: {i for u, i in seen if u == t} for t in ("documents", "sources")}
+
+
 def test_lease_sessions_of_a_stream(spark, tmp_path):
     rng, zero = random.Random(5), datetime(2024, 1, 1, tzinfo=timezone.utc)
     beats = sorted((zero + timedelta(seconds=rng.random() * 90_000), rng.randint(0, 3), rng.choice([60, 900, 4000])) for _ in range(300))
