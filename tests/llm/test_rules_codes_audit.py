@@ -188,3 +188,28 @@ def test_query_equals_sql(spark, name):
     cur = con.execute(queries.oracle_sql()[name])
     at = [[d[0] for d in cur.description].index(c) for c in df.columns]
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[i] for i in at)) for r in cur.fetchall())
+
+
+def test_directories_with_zip64_records_and_extra_fields(tmp_path, monkeypatch):
+    import zipfile
+
+    import pyarrow.fs as pafs
+
+    from tessera.llm import warc
+
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)  # three members need the ZIP64 end record
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 8)  # sizes and offsets go to extra fields
+    path = tmp_path / "a.zip"
+    members = {"archive/data.warc.gz": b"x" * 5000, "é/index.cdx": b"0 10\n", "empty": b""}
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
+        for name, data in members.items():
+            info = zipfile.ZipInfo(name)
+            info.extra = b"\xfe\xca\x02\x00ab"  # a field of another kind before the ZIP64 one
+            z.writestr(info, data)
+        z.comment = b"a comment with PK\x05 in it"
+    raw = path.read_bytes()
+    assert warc.END64 in raw and warc.LOCATOR64 in raw
+    fs, name = pafs.FileSystem.from_uri(f"file://{path}")
+    with fs.open_input_file(name) as f:
+        found = warc.directory(f)
+        assert {k: raw[at : at + n] for k, (at, n) in found.items()} == members
