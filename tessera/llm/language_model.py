@@ -124,7 +124,7 @@ def runs(batches: Iterator[pa.RecordBatch], n: int, parts: Bitmap | None, whole:
             yield h[keep], ctx[keep], sfx[keep]
 
 
-def repeated(texts: DataFrame, n: int, parts: Bitmap, least: int, tokens: int, bucket: int = 2_000_000) -> Bitmap:
+def repeated(texts: DataFrame, n: int, parts: Bitmap, least: int, tokens: int, bucket: int = 2_000_000, most: int = 1_000_000) -> Bitmap:
     """The sequences of n tokens that the texts (seq) may have `least` times or more.
 
     They are counted by the highest bits of their hashes: those of a bucket and 32 more. Nearly all sequences of a corpus are there but once or twice, so what is shuffled is 32 bits for each in arrays, and a
@@ -148,7 +148,7 @@ def repeated(texts: DataFrame, n: int, parts: Bitmap, least: int, tokens: int, b
         for h, _, _ in runs(batches, n, model.value, None):
             held.append(h)
             size += len(h)
-            if size > bucket:
+            if size > most:
                 yield out()
                 held, size = [], 0
         if size:
@@ -175,11 +175,13 @@ def repeated(texts: DataFrame, n: int, parts: Bitmap, least: int, tokens: int, b
             yield out()
 
     dealt = texts.select("seq").mapInArrow(deal, "b int, low array<int>").repartition(1 << bits, "b").sortWithinPartitions("b")
-    return Bitmap.of(stored(dealt.mapInArrow(merge, "h long"), "repeated"), shift=32 - bits)
+    found = stored(dealt.mapInArrow(merge, "h long"), "repeated")
+    model.destroy()
+    return Bitmap.of(found, shift=32 - bits)
 
 
-def count_sequences(texts: DataFrame, n: int, whole: Bitmap | None, most: int = 400_000) -> DataFrame:
-    """(h, c), and from two tokens on (h, ctx, sfx, c): counts of n-token sequences of texts (seq) that `whole` may have.
+def count_sequences(texts: DataFrame, n: int, whole: Bitmap | None, least: int = 1, most: int = 400_000) -> DataFrame:
+    """(h, c), and from two tokens on (h, ctx, sfx, c), stored: counts of n-token sequences of texts (seq) that `whole` may have, of `least` or more.
 
     Every task adds up what it has read before it passes it on. ctx and sfx are the hashes of the first and last n - 1 tokens.
     """
@@ -202,7 +204,10 @@ def count_sequences(texts: DataFrame, n: int, whole: Bitmap | None, most: int =
         yield out()
 
     rows = texts.select("seq").mapInArrow(count, ", ".join(f"{x} long" for x in names))
-    return rows.groupBy("h").agg(*[F.min(x).alias(x) for x in names[1:-1]], F.sum("c").alias("c"))
+    rows = rows.groupBy("h").agg(*[F.min(x).alias(x) for x in names[1:-1]], F.sum("c").alias("c"))
+    rows = stored(rows.where(F.col("c") >= least), "counts")
+    model.destroy()
+    return rows
 
 
 def states(texts: DataFrame, words: DataFrame, tokens: int, depth: int, least: int, divergence: float, discount: float) -> tuple[DataFrame, DataFrame]:
@@ -214,7 +219,7 @@ def states(texts: DataFrame, words: DataFrame, tokens: int, depth: int, least: i
     known, found = stored(words.where(F.col("c") >= least).select("h", "c", "lp"), "sequences"), []
     for n in range(2, depth + 2):
         often = repeated(texts, n, Bitmap.of(known.select("h")), least, tokens)
-        grams = stored(count_sequences(texts, n, often).where(F.col("c") >= least), "counts")
+        grams = count_sequences(texts, n, often, least)
         if grams.isEmpty():
             break
         g = grams.join(known.select(F.col("h").alias("sfx"), F.col("lp").alias("parent")), "sfx").join(known.select(F.col("h").alias("ctx"), F.col("c").alias("all")), "ctx")
@@ -295,7 +300,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learnt"), F.monotonically_increasing_id().alias("row"), tokenised(F.col(text_col)).alias("seq"))
     rows = stored(rows, "tokens")
     train = rows.where("learnt").select("seq")
-    words = stored(count_sequences(train, 1, None), "words")
+    words = count_sequences(train, 1, None)
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
     unknown = float(-np.log10(total + distinct + 1.0))
