@@ -165,7 +165,7 @@ def _(t):
 WITH c AS (SELECT conv_id, turn, role, text, substr(text, 1, 40) || CASE WHEN (conv_id + turn) % 7 = 0 THEN '⁂' ELSE '' END AS quote, CASE WHEN (conv_id + turn) % 5 = 0 THEN lag(text, 1, '') OVER w ELSE '' END AS gap, row_number() OVER w - 1 AS f FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 r AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'complete' ELSE 'partial' END AS status, bool_or(trim(gap) <> '') AS gap FROM c GROUP BY 1),
 v AS (SELECT conv_id, 'part_span' AS code FROM c WHERE conv_id % 11 = 0
-UNION SELECT conv_id, 'part_repeated' FROM c GROUP BY conv_id, lower(text) HAVING count(*) > 1 AND count(DISTINCT text) < count(*)
+UNION SELECT conv_id, 'part_repeated' FROM c GROUP BY conv_id, substr(text, 1, 60) HAVING count(*) > 1
 UNION SELECT conv_id, 'complete_with_gap' FROM r WHERE status = 'complete' AND gap
 UNION SELECT conv_id, 'partial_without_gap' FROM r WHERE status <> 'complete' AND NOT gap
 UNION SELECT conv_id, 'repeated_assertion' FROM c GROUP BY conv_id, lower(regexp_replace(text, '\\s+', '', 'g')) HAVING count(*) > 1
@@ -180,7 +180,7 @@ def _(t):
     c = c.withColumnRenamed("conv_id", "report").withColumn("e", F.concat(F.lit("e"), C("f").cast("string")))
     asked = c.groupBy("report").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "text"))), lambda x: x["text"]), "\n").alias("question"))
     status = F.when(C("report") % 2 == 0, "complete").otherwise("partial").alias("status")
-    span = F.when(C("report") % 11 == 0, F.concat("text", F.lit("⁂"))).otherwise(C("text")).alias("span")
+    span = F.concat(F.substring("text", 1, 60), F.when(C("report") % 11 == 0, "⁂").otherwise("")).alias("span")
     quote = F.concat(F.substring("text", 1, 40), F.when((C("report") + C("turn")) % 7 == 0, "⁂").otherwise("")).alias("quote")
     ids = F.when(C("report") % 13 == 0, F.array("e", F.lit("missing"))).otherwise(F.array("e")).alias("evidence_ids")
     out = covered.violations(
