@@ -1,17 +1,26 @@
 """Sources that a question names by their whole titles, for questions that ask to compare them.
 
-Titles are sought where words begin: a question is listed under the first word, or the one character that belongs to no word, at each of its places, and
-titles under their own first one, so the two meet in an equi-join however many titles there are. A question counts if it has a cue for a comparison
-and none against it, every title it mentions belongs to one source, no two mentions overlap, and they name two sources or more.
+Titles are sought as rows of tokens, words or single characters that belong to none: a title stands where its tokens do. A title is listed under the hash
+of as many of its first tokens as the largest of a few counts allows, a question under the hashes of those counts at each of its places, so the two meet in
+an equi-join however many titles there are and however long they are; what meets is compared in full. A question counts if it has a cue for a comparison and none
+against it, every title it mentions belongs to one source, no two mentions overlap, and they name two sources or more.
 
 Texts are compared in one normal form (NFKC, case folded, white space collapsed). Null and short titles name nothing; null questions name nothing.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.operators import relational as ops
 from tessera.operators.fuzzy import merge_key
 
 # What asks for a comparison, what speaks against it, and the shortest title.
@@ -21,7 +30,11 @@ AGAINST = ("no", "not", "without", "don't")
 CJK_AGAINST = ("不要", "无需", "不必", "不比较", "不对比")
 SHORTEST = 4
 
+# Numbers of first tokens that titles are listed under: words with spaces between them, up to 32.
+COUNTS = (1, 2, 3, 5, 7, 15, 31, 63)
+
 WORD = "[a-z0-9_]"
+TOKEN = re.compile(f"{WORD}+|.", re.DOTALL)
 
 
 def _has(x: Column, words: tuple[str, ...], others: tuple[str, ...]) -> Column:
@@ -33,25 +46,91 @@ def wants_comparison(normal: Column) -> Column:
     return _has(normal, CUES, CJK_CUES) & ~_has(normal, AGAINST, CJK_AGAINST)
 
 
-def mentions(questions: DataFrame, titles: DataFrame) -> DataFrame:
-    """(question, start, end, title, source, sources): every place of a title (source, title) in questions (question, text) that ask for a comparison."""
-    q = questions.select("question", merge_key("text").alias("q")).where(F.col("q").isNotNull())
-    q = q.where(wants_comparison(F.col("q")))
+def hashed(text: str, ends: list[int], at: int, count: int) -> int:
+    """64 bits of the tokens from a place on."""
+    return int.from_bytes(blake2b(text[ends[at] : ends[at + count]].encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+@F.arrow_udf(T.LongType())
+def listed(titles: pa.Array) -> pa.Array:
+    """What a title is listed under: its first tokens, as many as the largest of the counts allows."""
+    out = []
+    for t in titles.to_pylist():
+        ends = [0, *(m.end() for m in TOKEN.finditer(t))]
+        out.append(hashed(t, ends, 0, max(c for c in COUNTS if c < len(ends))))
+    return pa.array(out, pa.int64())
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def beginnings(titles: pa.Array) -> pa.Array:
+    """What a title's own beginnings may be listed under."""
+    out = []
+    for t in titles.to_pylist():
+        ends = [0, *(m.end() for m in TOKEN.finditer(t))]
+        out.append([hashed(t, ends, 0, c) for c in COUNTS if c < len(ends)])
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("key", T.LongType())])))
+def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """What titles at the places of a question may be listed under; one question at a time."""
+    for questions in batches:
+        out = []
+        for q in questions:
+            text = q.as_py()
+            ends = [0, *(m.end() for m in TOKEN.finditer(text))]
+            spots = [(k, c) for k in range(len(ends) - 1) if text[ends[k]] != " " for c in COUNTS if k + c < len(ends)]
+            keys = pa.array([hashed(text, ends, k, c) for k, c in spots], pa.int64())
+            out.append(pa.StructArray.from_arrays([pa.array([ends[k] for k, _ in spots], pa.int32()), keys], ["start", "key"]))
+        lengths = np.cumsum([0, *map(len, out)], dtype="int32")
+        flat = pa.concat_arrays(out) if out else pa.array([], pa.struct([("start", pa.int32()), ("key", pa.int64())]))
+        yield pa.ListArray.from_arrays(pa.array(lengths), flat)
+
+
+def known_titles(titles: DataFrame) -> DataFrame:
+    """(title, source, sources, key): each title once, and what it is listed under."""
     t = titles.where(F.col("source").isNotNull()).select("source", merge_key("title").alias("title")).where(F.length("title") >= SHORTEST).distinct()
     t = t.groupBy("title").agg(F.min("source").alias("source"), F.count("*").alias("sources"))
-    first = rf"^({WORD}+|.)"
-    t = t.withColumn("key", F.regexp_extract("title", first, 1))
-    at = q.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("q"))))
-    begins = (F.col("start") == 1) | ~(F.substring("q", F.col("start") - 1, F.lit(1)).rlike(WORD) & F.substring("q", F.col("start"), F.lit(1)).rlike(WORD))
-    at = at.where(begins).withColumn("rest", F.substring("q", F.col("start"), F.length("q")))
-    met = at.withColumn("key", F.regexp_extract("rest", first, 1)).join(t, "key")
-    whole = ~(F.right("title", F.lit(1)).rlike(WORD) & F.substring("rest", F.length("title") + 1, F.lit(1)).rlike(WORD))
-    return met.where(F.startswith("rest", "title") & whole).select("question", (F.col("start") - 1).alias("start"), (F.col("start") - 1 + F.length("title")).alias("end"), "title", "source", "sources")
+    return t.withColumn("key", listed("title"))
+
+
+def stands(title: Column, text: Column, start: Column | int) -> Column:
+    """Whether a title is what the text has from a place on where a token begins (0 is the first), and ends no earlier than the token."""
+    size = F.length(title)
+    goes_on = F.right(title, F.lit(1)).rlike(WORD) & F.substring(text, start + size + 1, F.lit(1)).rlike(WORD)
+    return (F.substring(text, start + F.lit(1), size) == title) & ~goes_on
+
+
+def decisive(titles: DataFrame) -> DataFrame:
+    """The known titles that begin with one other title at most.
+
+    A mention of one that begins with two is a mention of both, at one place, so the question has overlapping mentions without it.
+    """
+    known = ops.settled(known_titles(titles))
+    each = known.select(F.col("title").alias("whole"), F.explode(beginnings("title")).alias("key"))
+    begun = each.join(known.select("key", "title"), "key").where((F.length("whole") > F.length("title")) & stands(F.col("title"), F.col("whole"), F.lit(0)))
+    deep = begun.groupBy(F.col("whole").alias("title")).agg(F.count("*").alias("begins")).where("begins > 1")
+    return known.join(deep, "title", "left_anti")
+
+
+def found(questions: DataFrame, known: DataFrame) -> DataFrame:
+    q = questions.select("question", merge_key("text").alias("q")).where(F.col("q").isNotNull())
+    # Few bytes make many rows below, so the questions aren't left in as few tasks as their bytes need.
+    tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), q.sparkSession.sparkContext.defaultParallelism)
+    q = ops.settled(q.where(wants_comparison(F.col("q"))).repartition(tasks, "question"))
+    met = q.select("question", F.explode(places("q")).alias("o")).select("question", "o.*").join(known, "key")
+    met = met.join(q, "question").where(stands(F.col("title"), F.col("q"), F.col("start")))
+    return met.select("question", "start", (F.col("start") + F.length("title")).alias("end"), "title", "source", "sources")
+
+
+def mentions(questions: DataFrame, titles: DataFrame) -> DataFrame:
+    """(question, start, end, title, source, sources): every place of a title (source, title) in questions (question, text) that ask for a comparison."""
+    return found(questions, known_titles(titles))
 
 
 def compared_sources(questions: DataFrame, titles: DataFrame) -> DataFrame:
     """(question, sources): the sources that a question compares, in the order of their first mention; questions that compare none are left out."""
-    m = mentions(questions, titles)
+    m = found(questions, decisive(titles))
     m = m.withColumn("clash", F.col("start") < F.lag("end", 1, 0).over(Window.partitionBy("question").orderBy("start", "end")))
     per = m.groupBy("question", "source").agg(F.min("start").alias("start"), F.bool_or("clash").alias("clash"), F.max("sources").alias("shared"))
     out = per.groupBy("question").agg(F.bool_or("clash").alias("clash"), F.max("shared").alias("shared"), F.array_sort(F.collect_list(F.struct("start", "source"))).alias("s"))

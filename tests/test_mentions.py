@@ -42,3 +42,17 @@ def test_named_comparisons(spark):
     got = {r["question"]: list(r["sources"]) for r in mentions.compared_sources(df, spark.createDataFrame(titles, "source string, title string")).collect()}
     want = {k: plain(q, titles) for k, q in enumerate(questions)}
     assert got == {k: v for k, v in want.items() if v} and len(got) > 40
+
+
+def test_long_titles_that_begin_alike(spark):
+    # Titles of one word said up to 1,500 times: each begins with all shorter ones, and what is kept of a place doesn't grow with the text behind it.
+    titles = [("s1", "Alpha Model"), ("s2", "Beta-Net 2"), *((f"t{k}", "the " * k + "the") for k in range(100, 1500, 200)), ("s3", "alpha model of the")]
+    questions = ["compare " + "the " * 1450 + "with Alpha Model", "compare Alpha Model, Beta-Net 2 and the the the", "compare alpha model of the Beta-Net 2", "compare " + "the " * 101 + "and alpha model", "compare Beta-Net 2" + " the" * 301]
+    df = spark.createDataFrame([*enumerate(questions)], "question int, text string")
+    known = spark.createDataFrame(titles, "source string, title string")
+    got = {r["question"]: list(r["sources"]) for r in mentions.compared_sources(df, known).collect()}
+    want = {k: plain(q, titles) for k, q in enumerate(questions)}
+    assert got == {k: v for k, v in want.items() if v} == {1: ["s1", "s2"], 3: ["t100", "s1"]}
+    assert mentions.decisive(known).count() == 5
+    width = mentions.found(df, mentions.decisive(known)).count()
+    assert 0 < width < mentions.mentions(df, known).count() / 2
