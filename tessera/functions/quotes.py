@@ -7,6 +7,7 @@ leaves when names, citations and references have been read as tokens of their ow
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from fractions import Fraction
 
@@ -25,6 +26,7 @@ LIGATURES = {"ffi": "ﬃ", "ffl": "ﬄ", "ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ",
 HALF_WIDTH, FULL_MARKS = "｡｢｣､･", "。「」、・"
 PLAIN = "".join(map(chr, range(0x21, 0x7F)))
 WIDE = "".join(chr(ord(c) + 0xFEE0) for c in PLAIN)
+FORMS = dict(zip(PLAIN + FULL_MARKS, WIDE + HALF_WIDTH, strict=True))
 
 
 def variants(strict: bool) -> dict[str, str]:
@@ -50,29 +52,46 @@ def folded(x: Column, strict: bool = False) -> Column:
     return x if strict else F.lower(x)
 
 
-def quote_pattern(quote: Column, strict: bool = False) -> Column:
-    """A regular expression for the quote: every form of its characters, and between them white space and hyphens at line breaks."""
+def spelt_out(folded_quote: str, strict: bool) -> str:
+    """The expression for a folded quote. Letters in a row may be written together in several ways (s and sharp s, or sharp s and s); all are let pass."""
     noise = rf"[\s\p{{Z}}{INVISIBLE_STRICT if strict else INVISIBLE}]"
     broken = rf"(?:{noise}|(?<=\p{{L}})-(?=\s{noise}*+\p{{Ll}}))*+"
-    own = variants(strict)
+    own, together = variants(strict), ligatures(strict)
 
-    def one(c: Column) -> Column:
-        forms = F.concat(c, F.translate(c, PLAIN + FULL_MARKS, WIDE + HALF_WIDTH))
-        for plain, more in own.items():
-            forms = F.when(c == plain, F.concat(forms, F.lit(more))).otherwise(forms)
+    def one(k: int, forms: str = "") -> str:
+        c = folded_quote[k]
+        if not forms:
+            forms = c + FORMS.get(c, "") + own.get(c, "")
         # A hyphen of the quote itself may not be taken for one of the text's line breaks.
-        return F.concat(F.when(c == "-", F.lit(f"{noise}*+")).otherwise(F.lit(broken)), F.lit("["), F.regexp_replace(forms, r"([\[\]\\^&-])", r"\\$1"), F.lit("]"))
+        gap = "" if k == 0 else f"{noise}*+" if c == "-" else broken
+        return gap + "[" + re.sub(r"([\[\]\\^&-])", r"\\\1", forms) + "]"
 
-    chars = F.filter(F.split(folded(quote, strict), ""), lambda c: c != "")
-    pattern = F.array_join(F.transform(chars, one), "")
-    for plain, forms in ligatures(strict).items():
-        spelt = F.array_join(F.array(*[one(F.lit(c)) for c in plain]), "")
-        # The gap before a ligature's first letter stays before the choice.
-        head = F.lit(broken)
-        body = F.substring(spelt, F.length(head) + 1, F.length(spelt))
-        pattern = F.replace(pattern, body, F.concat(F.lit("(?:"), body, F.lit("|["), F.lit(forms), F.lit("])")))
-    pattern = F.substring(pattern, F.when(chars[0] == "-", F.lit(len(noise) + 2)).otherwise(F.lit(len(broken))) + 1, F.length(pattern))
-    return F.when(F.size(chars) > 0, pattern if strict else F.concat(F.lit("(?iu)"), pattern))
+    def across(k: int, i: int, j: int) -> list[tuple[int, int, str]]:
+        """What may be written together between i and j with letters on both sides of k."""
+        at = [(m, w) for w in together for m in range(max(i, k - len(w) + 1), k)]
+        return [(m, m + len(w), together[w]) for m, w in at if m + len(w) <= j and folded_quote.startswith(w, m)]
+
+    def ways(i: int, j: int) -> str:
+        if j - i < 2:
+            return one(i) if j > i else ""
+        k = (i + j) // 2
+        out = [ways(i, k) + ways(k, j), *(ways(i, m) + one(m, forms) + ways(n, j) for m, n, forms in across(k, i, j))]
+        return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+    size = len(folded_quote)
+    cuts = [0, *(k for k in range(1, size) if not across(k, 0, size)), size]
+    return "".join(ways(i, j) for i, j in zip(cuts, cuts[1:], strict=False))
+
+
+def quote_pattern(quote: Column, strict: bool = False) -> Column:
+    """A regular expression for the quote: every form of its characters, and between them white space and hyphens at line breaks."""
+
+    @F.arrow_udf(T.StringType())
+    def pattern(quotes: pa.Array) -> pa.Array:
+        head = "" if strict else "(?iu)"
+        return pa.array([head + spelt_out(q, strict) if q else None for q in quotes.to_pylist()], pa.string())
+
+    return pattern(folded(quote, strict))
 
 
 def quote_span(quote: Column, text: Column, strict: bool = False) -> Column:

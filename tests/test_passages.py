@@ -166,3 +166,14 @@ def test_queries_without_sql_cover_whole_texts(spark):
         assert out.count() == docs.where("length(text) > 0").count()
     for name in ("c3_paragraph_chunks", "c4_sentences", "f2_nfkc", "f23_numbers", "f24_unsupported_numbers"):
         assert registry.queries()[name](spark, DATA).count() > 0
+
+
+def test_letters_written_together_in_any_way(spark):
+    # Every spelling of a row of letters with or without ligatures is found by every other one.
+    forms = {"als ß sch": ["als ß sch", "alß s sch", "ALSSSSCH", "als sß ch", "als ss sch"], "offit": ["offit", "oﬀit", "ofﬁt", "oﬃt"], "masst": ["masst", "maßt", "masﬆ"]}
+    rows = [(a, b) for same in forms.values() for a in same for b in same] + [("maßt", "Mas-\nst")] + [("ssssssssss", "x" + t + "y") for t in ("ßßßßß", "sßßßßs", "ßsßsßss", "ßßßß")]
+    df = spark.createDataFrame([(k, q, f"ab {x} cd" if x[0] != "x" else x) for k, (q, x) in enumerate(rows)], "k int, q string, x string")
+    got = {r["k"]: r["s"] is not None for r in df.select("k", qt.quote_span(F.col("q"), F.col("x")).alias("s")).collect()}
+    assert [rows[k] for k, ok in got.items() if not ok] == [("ssssssssss", "xßßßßy")]
+    strict = df.where("k >= 25 and k < 41").select(qt.quote_span(F.col("q"), F.col("x"), strict=True).isNotNull().alias("ok")).collect()
+    assert all(r["ok"] for r in strict)
