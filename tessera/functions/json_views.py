@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from tessera.functions.text import sliced
+
 MARK = "$text"
 COMPACT = StructType([StructField("view", StringType()), StructField("conflict", StringType())])
 INTERNED = StructType([StructField("view", StringType()), StructField("strings", ArrayType(StringType()))])
@@ -43,7 +45,7 @@ def stripped(x: Column, drop: list[str], keep: list[str] | None = None) -> Colum
             return {k: e if k in whole else strip(e) for k, e in v.items() if k not in gone}
         return [strip(e) for e in v] if isinstance(v, list) else v
 
-    return F.arrow_udf(lambda c: pa.array(each(lambda v: dumps(strip(v)), c), pa.string()), StringType())(x)
+    return F.arrow_udf(sliced(lambda c: pa.array(each(lambda v: dumps(strip(v)), c), pa.string())), StringType())(x)
 
 
 def flattened(x: Column, fields: list[str], between: str = " ") -> Column:
@@ -56,7 +58,7 @@ def flattened(x: Column, fields: list[str], between: str = " ") -> Column:
             return [t for e in v for t in texts(e)]
         return [] if v is None or isinstance(v, bool) else [v if isinstance(v, str) else dumps(v)]
 
-    return F.arrow_udf(lambda c: pa.array(each(lambda v: between.join(t for t in texts(v) if t), c), pa.string()), StringType())(x)
+    return F.arrow_udf(sliced(lambda c: pa.array(each(lambda v: between.join(t for t in texts(v) if t), c), pa.string())), StringType())(x)
 
 
 def merged(base: Column, override: Column) -> Column:
@@ -67,7 +69,7 @@ def merged(base: Column, override: Column) -> Column:
             return o
         return {**b, **{k: merge(b[k], v) if k in b else v for k, v in o.items()}}
 
-    return F.arrow_udf(lambda b, o: pa.array(each(lambda x, y: dumps(merge(x, y)), b, o), pa.string()), StringType())(base, override)
+    return F.arrow_udf(sliced(lambda b, o: pa.array(each(lambda x, y: dumps(merge(x, y)), b, o), pa.string())), StringType())(base, override)
 
 
 def interned(x: Column, least: int = 80) -> Column:
@@ -89,7 +91,7 @@ def interned(x: Column, least: int = 80) -> Column:
         return {"view": dumps(cut(v, table)), "strings": list(table)}
 
     kind = pa.struct([("view", pa.string()), ("strings", pa.list_(pa.string()))])
-    return F.arrow_udf(lambda c: pa.array(each(one, c), kind), INTERNED)(x)
+    return F.arrow_udf(sliced(lambda c: pa.array(each(one, c), kind)), INTERNED)(x)
 
 
 def restored(view: Column, strings: Column) -> Column:
@@ -106,7 +108,7 @@ def restored(view: Column, strings: Column) -> Column:
         rows = zip(views.to_pylist(), tables.to_pylist(), strict=True)
         return pa.array([None if v is None or t is None else dumps(put(json.loads(v), t)) for v, t in rows], pa.string())
 
-    return F.arrow_udf(back, StringType())(view, strings)
+    return F.arrow_udf(sliced(back), StringType())(view, strings)
 
 
 def compacted(x: Column, bundles: str, tables: list[str], ident: str = "id") -> Column:
@@ -131,7 +133,7 @@ def compacted(x: Column, bundles: str, tables: list[str], ident: str = "id") ->
         return {"view": dumps({**package, bundles: out, "tables": found}), "conflict": None}
 
     kind = pa.struct([("view", pa.string()), ("conflict", pa.string())])
-    return F.arrow_udf(lambda c: pa.array(each(view, c), kind), COMPACT)(x)
+    return F.arrow_udf(sliced(lambda c: pa.array(each(view, c), kind)), COMPACT)(x)
 
 
 def expanded(view: Column, bundles: str) -> Column:
@@ -144,9 +146,9 @@ def expanded(view: Column, bundles: str) -> Column:
             package[bundles] = [{t: whole(t, v) for t, v in b.items()} for b in package[bundles]]
         return dumps(package)
 
-    return F.arrow_udf(lambda c: pa.array(each(back, c), pa.string()), StringType())(view)
+    return F.arrow_udf(sliced(lambda c: pa.array(each(back, c), pa.string())), StringType())(view)
 
 
 def canonical(x: Column) -> Column:
     """The JSON as these functions write it."""
-    return F.arrow_udf(lambda c: pa.array(each(dumps, c), pa.string()), StringType())(x)
+    return F.arrow_udf(sliced(lambda c: pa.array(each(dumps, c), pa.string())), StringType())(x)

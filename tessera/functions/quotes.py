@@ -8,15 +8,17 @@ leaves when names, citations and references have been read as tokens of their ow
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from fractions import Fraction
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.text import sliced
+
 # Characters that layout adds; the forms of quotes, dashes, ligatures and half-width marks; plain full-width forms are a rule.
 INVISIBLE = "­​‌‍﻿"
 INVISIBLE_STRICT = "­​﻿"
@@ -102,10 +104,15 @@ def quote_span(quote: Column, text: Column, strict: bool = False) -> Column:
     return F.when(match.isNotNull(), F.struct(start.alias("start"), (start + F.length(match)).alias("end")))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+@sliced
+def normal_form(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
+def nfkc(x: Column) -> Column:
     """The one normal form that Spark has no function for."""
-    return texts.str.normalize("NFKC")
+    return normal_form(x)
 
 
 # Words that make a number a reference, those that may end in a full stop, spelt numbers from 0 on, units, and citations.

@@ -70,7 +70,7 @@ def _(t):
 
 @query("f2_nfkc")
 def _(t):
-    return t("documents").select("doc_id", F.md5(qt.nfkc("text")).alias("h"))
+    return t("documents").select("doc_id", F.md5(qt.nfkc(C("text"))).alias("h"))
 
 
 BARE = "regexp_replace(lower({0}), '[ \\n\\r\\t\\f\\v]+', '', 'g')"

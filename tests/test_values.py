@@ -3,12 +3,14 @@
 import ast
 import json
 import random
+import unicodedata
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import formulas, glyphs
+from tessera.functions import formulas, glyphs, quotes, text
 from tessera.functions import json_views as jv
 from tessera.operators import clusters
 from tessera.streaming import queue
@@ -221,3 +223,22 @@ def test_lease_sessions_of_a_stream(spark, tmp_path):
     assert sorted((r["k"], utc(r["start"]), utc(r["end"]), r["beats"]) for r in got) == sorted(want)
     seconds = spark.createDataFrame([(0,), (3,), (30,), (900,)], "s int").select(queue.renewal_interval(F.col("s"))).collect()
     assert [round(r[0], 3) for r in seconds] == [0.333, 1.0, 10.0, 30.0]
+
+
+def test_helpers_see_a_few_rows_at_a_time():
+    seen = []
+
+    def f(a, b):
+        seen.append(len(a))
+        return pa.array([x + y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+
+    for n in (0, 1, 64, 150):
+        assert text.sliced(f)(pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64())).to_pylist() == [2 * k for k in range(n)]
+    assert seen == [0, 1, 64, 64, 64, 22]
+
+
+def test_normal_forms(spark):
+    texts = ["ＡＢＣ ﬁ", "é", "Ärger déjà", "深度", "", None, "½ ª", "각"] * 20
+    df = spark.createDataFrame([*enumerate(texts)], "k int, x string")
+    got = {r["k"]: r["y"] for r in df.select("k", quotes.nfkc(F.col("x")).alias("y")).collect()}
+    assert got == {k: x and unicodedata.normalize("NFKC", x) for k, x in enumerate(texts)}
