@@ -1,6 +1,7 @@
 """Golden expectations of single operators, and a stream run to its end."""
 
 import math
+import random
 from datetime import datetime
 
 import pytest
@@ -68,3 +69,23 @@ def test_dense_in_blocks_equals_broadcast(spark):
     q = v.where("id % 7 = 0").select(F.col("id").alias("query_id"), "vector")
     rows = lambda most: sorted(map(tuple, ret.dense(v, q, 5, most).collect()))
     assert rows(100) == rows(2) and len(rows(2)) == 30
+
+
+def test_dense_search_in_blocks_is_that_of_pairs(spark):
+    rng = random.Random(3)
+    vec = lambda n: [rng.choice([-1.0, 0.0, 0.5, 1.0, rng.random()]) for _ in range(n)]
+    rows = [(k, vec(rng.choice([3, 3, 3, 4]))) for k in range(300)] + [(k, [1.0, 2.0, 3.0]) for k in range(300, 340)]
+    rows += [(340, None), (341, []), (342, [1.0, None, 2.0]), (343, [float("nan"), 1.0, 1.0]), (344, [0.0, 0.0, 0.0]), (345, [float("inf"), 1.0, 0.0]), (346, [-1.0, -2.0, -3.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = v.where("id % 20 = 0 OR id > 338").withColumnRenamed("id", "query_id")
+    both = v.crossJoin(q.withColumnRenamed("vector", "w")).select("query_id", "id", F.round(ret.cosine(F.col("vector"), F.col("w")), 6).alias("score"))
+    plain = lambda df: sorted((r["query_id"], r["rank"], r["id"], str(r["score"])) for r in df.collect())
+    for limit in (7, 400):
+        want = plain(ret.ranked(both, limit))
+        assert plain(ret.dense(v, q, limit)) == want and plain(ret.dense(v, q, limit, 200)) == want
+
+
+def test_a_dense_search_makes_no_row_for_each_pair(spark):
+    v = spark.range(200).select("id", F.array(F.sin("id"), F.cos("id")).alias("vector"))
+    plan = ret.dense(v, v.withColumnRenamed("id", "query_id"), 3)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
