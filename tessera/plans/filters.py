@@ -180,7 +180,7 @@ def _(t):
 def _(t):
     q = t("benchmark").where("item_id % 20 = 0").select("item_id", tx.query_terms(C("text"), 100_000).alias("terms")).where("size(terms) > 0")
     terms = F.aggregate("terms", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
-    return ops.against(t("pages").select("page_id", "html"), q, terms).select("item_id", "page_id", F.round(tx.coverage(C("terms"), C("html")), 9).alias("coverage"))
+    return ops.against(t("pages").select("page_id", tx.folded(C("html")).alias("html")), q, terms).select("item_id", "page_id", F.round(tx.share_held(C("terms"), C("html")), 9).alias("coverage"))
 
 
 @query("f6_latin_anchors", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '[a-zA-Z][a-zA-Z0-9_-]*'))), ' ') AS anchors FROM pages")

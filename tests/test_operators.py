@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -89,3 +90,19 @@ def test_a_dense_search_makes_no_row_for_each_pair(spark):
     v = spark.range(200).select("id", F.array(F.sin("id"), F.cos("id")).alias("vector"))
     plan = ret.dense(v, v.withColumnRenamed("id", "query_id"), 3)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_text_is_folded_once_for_all_terms(spark):
+    # A text of 4 MB and 3,000 terms that begin it: folded for each of them, that would be 12 GB.
+    df = spark.range(1).select(F.repeat(F.lit("Straße "), 600_000).alias("x"), F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda k: F.lit("strasse")).alias("terms"))
+    start = time.monotonic()
+    assert df.select(tx.coverage(F.col("terms"), F.col("x")).alias("c")).where("c = 1").count() == 1 and time.monotonic() - start < 15
+
+
+def test_terms_of_many_questions_in_one_reading(spark):
+    texts = ["the abc-def_1 gh", "xabcx", "ab c", "", None, "ÄBCabcé abc", "x" * 70 + "abc"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    q = spark.createDataFrame([(1, ["abc", "def_1", "c-d"]), (2, ["zzz", "the"]), (3, [])], "q int, terms array<string>")
+    rows = lambda most: sorted((r["id"], r["q"], r["held"]) for r in ret.covered(d, q, "text", most).where("id <> 4").select("id", "q", "held").collect())
+    want = sorted((k, i, sum(t in x for t in ts) / len(ts) if ts else 0.0) for k, x in enumerate(texts) if x is not None for i, ts in ((1, ["abc", "def_1", "c-d"]), (2, ["zzz", "the"]), (3, [])))
+    assert rows(1 << 20) == want and rows(1) == want
