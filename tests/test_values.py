@@ -242,3 +242,12 @@ def test_normal_forms(spark):
     df = spark.createDataFrame([*enumerate(texts)], "k int, x string")
     got = {r["k"]: r["y"] for r in df.select("k", quotes.nfkc(F.col("x")).alias("y")).collect()}
     assert got == {k: x and unicodedata.normalize("NFKC", x) for k, x in enumerate(texts)}
+
+
+def test_a_formula_is_read_once_for_the_rows_of_a_batch(monkeypatch):
+    seen, read = [], formulas.tokens
+    monkeypatch.setattr(formulas, "tokens", lambda f: seen.append(f) or read(f))
+    maps = pa.array([[("a", float(k))] for k in range(5000)], pa.map_(pa.string(), pa.float64()))
+    got = formulas.each(pa.array(["1 / a", "a + b"] * 2500), maps, 1e12).to_pylist()
+    assert sorted(seen) == ["1 / a", "a + b"]
+    assert got[0] == {"value": None, "why": "zero"} and got[1] == {"value": None, "why": "undeclared"} and got[4] == {"value": 0.25, "why": None}
