@@ -13,16 +13,21 @@ OT1 = {0x0B: "ff", 0x0C: "fi", 0x0D: "fl", 0x0E: "ffi", 0x0F: "ffl"}
 SPACE = r"\s\x{1C}-\x{1F}\x{85}\p{Z}"
 RUN = rf"[\x{{5A00}}-\x{{5BFF}}{SPACE}]+"
 OTHER = rf"[^\x{{5A00}}-\x{{5BFF}}{SPACE}]+"
+RARE = r"[\x{5B00}-\x{5B7F}]"
 PLAIN = "".join(map(chr, range(0x20, 0x7F)))
 SHIFTED = "".join(chr(BASE + ord(c)) for c in PLAIN)
 
 
 def garbled(run: Column) -> Column:
-    """Whether a run of glyphs is noise: eight of them, four different, and at least half, and four, rare."""
-    glyphs = F.regexp_replace(run, f"[{SPACE}]+", "")
-    rare = F.length(F.regexp_replace(glyphs, rf"[^\x{{5B00}}-\x{{5B7F}}]|[{COMMON}]", ""))
-    n = F.length(glyphs)
-    return (n >= 8) & (F.size(F.array_distinct(F.split(glyphs, ""))) >= 4) & (rare >= 4) & (2 * rare >= n)
+    """Whether a run of glyphs is noise: eight of them, four different, and at least half, and four, rare. Only a run with a glyph of the rare plane is looked at."""
+
+    def noise(glyphs: Column) -> Column:
+        rare = F.length(F.regexp_replace(glyphs, rf"[^\x{{5B00}}-\x{{5B7F}}]|[{COMMON}]", ""))
+        n = F.length(glyphs)
+        return (n >= 8) & F.get(F.transform(F.array(rare), lambda r: (r >= 4) & (2 * r >= n)), F.lit(0)) & (F.size(F.array_distinct(F.split(glyphs, ""))) >= 4)
+
+    # The glyphs and their rare ones are bound once each.
+    return run.rlike(RARE) & F.get(F.transform(F.array(F.regexp_replace(run, f"[{SPACE}]+", "")), noise), F.lit(0))
 
 
 def pieces(text: Column) -> Column:
@@ -31,11 +36,11 @@ def pieces(text: Column) -> Column:
 
 
 def is_garbled(text: Column) -> Column:
-    return F.exists(pieces(text), garbled)
+    return text.rlike(RARE) & F.exists(pieces(text), garbled)
 
 
 def restored(text: Column) -> Column:
-    """The text with its garbled runs shifted back; all else as it is."""
+    """The text with its garbled runs shifted back; all else as it is, so a text without a rare glyph isn't cut into pieces."""
 
     def shifted(run: Column) -> Column:
         out = F.translate(run, SHIFTED, PLAIN)
@@ -43,4 +48,5 @@ def restored(text: Column) -> Column:
             out = F.replace(out, F.lit(chr(BASE + code)), F.lit(letters))
         return out
 
-    return F.array_join(F.transform(pieces(text), lambda p: F.when(garbled(p), shifted(p)).otherwise(p)), "")
+    whole = F.array_join(F.transform(pieces(text), lambda p: F.when(garbled(p), shifted(p)).otherwise(p)), "")
+    return F.when(text.rlike(RARE), whole).otherwise(text)
