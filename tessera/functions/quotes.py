@@ -128,27 +128,35 @@ YEAR = r"(?:19|20)[0-9]{2}[a-z]?"
 GROUPS, DIGITS, FRACTION, SIGN = "[0-9]{1,3}(?:,[0-9]{3})+", "[0-9]+", r"\.[0-9]+", "(?:(?<![0-9%])[+-])?"
 NUMBER = f"{SIGN}(?:(?:{GROUPS}|{DIGITS})(?:{FRACTION})?|{FRACTION})"
 LABEL = rf"(?:{'|'.join(CJK_REFERENCES)}|\b(?:{'|'.join(REFERENCES)})|\b(?:{'|'.join(STOPPED_REFERENCES)})\.?)"
-SPELT = rf"(?<![\w@-])(?:{'|'.join(SMALL)})(?![\w@-])"
+SPELT = rf"(?=[zotfsen])(?<![\w@-])(?:{'|'.join(SMALL)})(?![\w@-])"
+#: The first characters of labels, seen before their list is tried.
+LABELLED = r"(?=[aefst\x{4E00}-\x{9FFF}])"
+#: A word of letters alone, in which nothing else can begin: read as one token, so that its places aren't tried one after the other.
+WORD = r"[a-z]++(?![\w@./-])"
 #: What is read as one token, so that no number is found in it: labels with their number, citations, years of citations, and names with digits or marks.
 SKIPPED = (
-    rf"{LABEL}\s*\(?[a-z]?{DIGITS}(?:{FRACTION})*[a-z]?\)?",
-    rf"{LABEL}\s+(?:{'|'.join(SMALL)})\b",
+    rf"{LABELLED}{LABEL}\s*\(?[a-z]?{DIGITS}(?:{FRACTION})*[a-z]?\)?",
+    rf"{LABELLED}{LABEL}\s+(?:{'|'.join(SMALL)})\b",
     CITED,
     rf"\(\s*{YEAR}\s*\)",
-    rf"\bet\s+al\.,?\s*\(?\s*{YEAR}",
-    r"(?=[\w@./-]*[a-z@])(?![a-z]+(?![\w@./-]))[\w@]+(?:[./-][\w@]+)*",
+    rf"(?=e)\bet\s+al\.,?\s*\(?\s*{YEAR}",
+    rf"(?=[\w@])(?!{WORD})(?=[\w@./-]*[a-z@])[\w@]+(?:[./-][\w@]+)*",
 )
 QUANTITY = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("text", "value", "unit")]))
 
 
 def quantities(x: Column, spelt: bool = False) -> Column:
     """array<struct<text, value, unit>>: each number that isn't part of a name, citation, year or reference; words too if `spelt`. Values are decimal texts of any length."""
-    plain = F.translate(x, WIDE + "−–", PLAIN + "--")
+    wide = rf"[\x{{{ord(WIDE[0]):X}}}-\x{{{ord(WIDE[-1]):X}}}−–]"
+    plain = F.when(x.rlike(wide), F.translate(x, WIDE + "−–", PLAIN + "--")).otherwise(x)
     units = rf"(?:\s*(?:{'|'.join(UNITS.values())}))?"
     counted = f"{SPELT}|(?:{NUMBER}){units}" if spelt else f"(?:{NUMBER}){units}"
+    # A spelt number that what is before it forbids isn't read as a word: alone, it would look like a number.
+    word = f"(?!(?:{'|'.join(SMALL)})(?![a-z])){WORD}" if spelt else WORD
     # A skipped token of words alone would hide a spelt number; the last of the patterns only takes words with digits or marks.
-    tokens = F.regexp_extract_all(plain, F.lit(f"(?i)(?:{'|'.join(SKIPPED)})|{counted}"), F.lit(0))
-    tokens = F.filter(tokens, lambda t: t.rlike(f"(?i)^(?:{counted})$") & ~t.rlike(f"(?i)^(?:{'|'.join(SKIPPED)})$"))
+    tokens = F.regexp_extract_all(plain, F.lit(f"(?i)(?:{'|'.join(SKIPPED)})|{counted}|{word}"), F.lit(0))
+    begins = "(?i)^[0-9.+zotfsen-]" if spelt else "^[0-9.+-]"
+    tokens = F.filter(tokens, lambda t: t.rlike(begins) & t.rlike(f"(?i)^(?:{counted})$") & ~t.rlike(f"(?i)^(?:{'|'.join(SKIPPED)})$"))
 
     def read(t: Column) -> Column:
         text = F.regexp_extract(t, f"^(?:{NUMBER})", 0)

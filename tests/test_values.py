@@ -3,6 +3,7 @@
 import ast
 import json
 import random
+import time
 import unicodedata
 from datetime import datetime, timedelta, timezone
 
@@ -251,3 +252,16 @@ def test_a_formula_is_read_once_for_the_rows_of_a_batch(monkeypatch):
     got = formulas.each(pa.array(["1 / a", "a + b"] * 2500), maps, 1e12).to_pylist()
     assert sorted(seen) == ["1 / a", "a + b"]
     assert got[0] == {"value": None, "why": "zero"} and got[1] == {"value": None, "why": "undeclared"} and got[4] == {"value": 0.25, "why": None}
+
+
+def test_a_runs_glyphs_are_found_once():
+    assert str(glyphs.garbled(F.col("x"))).lower().count("regexp_replace") == 2
+
+
+def test_numbers_behind_a_very_long_word(spark):
+    # No place within a word of letters is tried on its own, so that its cost grows with its length and not with the square of it.
+    began = time.monotonic()
+    for spelt in (False, True):
+        row = spark.range(1).select(quotes.quantities(F.concat(F.repeat(F.lit("word"), 100_000), F.lit(" 12% of 7one twenty")), spelt).alias("n")).first()
+        assert [n["text"] for n in row["n"]] == ["12", *(["twenty"] if spelt else [])]
+    assert time.monotonic() - began < 20
