@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import hashes, sliced
+
 # What ends a sentence or a paragraph, and the sizes of passages.
 STOP = r"[.!?。！？][\"”’)\]]*(?:\s+|$)"
 ENDS = STOP + r"|\n[ \t]*\n"
@@ -88,29 +92,39 @@ def paragraph_ranges(text: Column, most: int = CHUNK) -> Column:
     return F.aggregate(F.split(text, "\n"), first, step, lambda acc: acc["out"])
 
 
-def neighbour_similarity(units: DataFrame, dim: int = 384) -> DataFrame:
-    """(id, k, alike): cosine of unit k's and unit k + 1's signed hash counts of words, of units (id, k, text)."""
-    h = F.sha2("word", 256)
-    idx = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("idx")
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    words = units.select("id", "k", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))
-    v = words.select("id", "k", idx, sign.alias("s")).groupBy("id", "k", "idx").agg(F.sum("s").alias("s"))
-    norms = v.groupBy("id", "k").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("size"))
-    after = v.select("id", (F.col("k") - 1).alias("k"), "idx", F.col("s").alias("t"))
-    dots = v.join(after, ["id", "k", "idx"]).groupBy("id", "k").agg(F.sum(F.col("s") * F.col("t")).alias("dot"))
-    size = F.col("size") * F.lead("size").over(Window.partitionBy("id").orderBy("k"))
-    both = norms.select("id", "k", size.alias("size")).join(dots, ["id", "k"], "left")
-    return both.select("id", "k", F.when(F.col("size") > 0, F.coalesce("dot", F.lit(0)) / F.col("size")).otherwise(0.0).alias("alike"))
+def neighbour_similarity(words: Column, dim: int = 384) -> Column:
+    """array<double>: cosine of each unit's and the following one's signed hash counts of words, of array<array<string>> words; 0 for the last and for none."""
+
+    def alike(places: list[np.ndarray]) -> np.ndarray:
+        counts = np.stack([np.bincount(p >> 1, 1 - 2 * (p & 1), dim) for p in places])
+        size = np.sqrt((counts * counts).sum(axis=1))
+        both, dot = size[:-1] * size[1:], (counts[:-1] * counts[1:]).sum(axis=1)
+        return np.divide(dot, both, out=np.zeros(len(dot)), where=both > 0)
+
+    def each(texts: pa.Array) -> pa.Array:
+        out, hashed = [], hashes(dim)
+        for units in texts.to_pylist():
+            if units is None:
+                out.append(None)
+                continue
+            places = [np.fromiter(map(hashed, u), dtype=np.int64, count=len(u)) for u in units]
+            # Some units at a time; each part begins with the last unit of the one before.
+            parts = [alike(places[k : k + 257]) for k in range(0, len(places) - 1, 256)]
+            out.append(np.concatenate([*parts, np.zeros(min(1, len(places)))]))
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return F.arrow_udf(sliced(each), "array<double>")(words)
 
 
 def similar_ranges(docs: DataFrame) -> DataFrame:
-    """(id, start, end) of docs (id, text): units of sentences, joined up to the least similar neighbours at a fitting distance."""
-    units = docs.select("id", "text", F.posexplode(cut(F.col("text"), match_ends(F.col("text"), STOP), F.array().cast("array<int>"), UNIT)).alias("k", "r"))
-    units = units.select("id", "k", "r.start", "r.end", F.substring("text", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("text"))
-    alike = neighbour_similarity(units.select("id", "k", "text"))
-    rows = units.drop("text").join(alike, ["id", "k"], "left")
-    per = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("end", F.round(F.coalesce("alike", F.lit(0.0)), 12).alias("alike")))).alias("u"))
-    n = F.element_at("u", -1)["end"]
+    """(id, start, end, text) of docs (id, text): units of sentences, joined up to the least similar neighbours at a fitting distance. A text's units stay in its row."""
+    docs = docs.select("id", "text", cut(F.col("text"), match_ends(F.col("text"), STOP), F.array().cast("array<int>"), UNIT).alias("r"))
+    own = lambda r: F.lower(F.substring(F.col("text"), r["start"] + 1, r["end"] - r["start"]))
+    words = F.transform("r", lambda r: F.regexp_extract_all(own(r), F.lit(r"(?U)\w+"), F.lit(0)))
+    docs = docs.select("id", "text", "r", neighbour_similarity(words).alias("alike"))
+    u = F.zip_with("r", "alike", lambda r, a: F.struct(r["end"].alias("end"), F.round(a, 12).alias("alike")))
+    per = docs.select("id", "text", u.alias("u"))
+    n = F.try_element_at("u", F.lit(-1))["end"]
 
     def step(acc: Column, _: Column) -> Column:
         at = acc["at"]
@@ -125,4 +139,4 @@ def similar_ranges(docs: DataFrame) -> DataFrame:
     # A range has NEAR characters at least, but for the last one; so many turns suffice.
     turns = F.sequence(F.lit(0), F.ceil(n / NEAR).cast("int"))
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return per.select("id", F.explode(F.aggregate(turns, first, step, lambda acc: acc["out"])).alias("r")).select("id", "r.*")
+    return per.select("id", "text", F.explode(F.aggregate(turns, first, step, lambda acc: acc["out"])).alias("r")).select("id", "r.*", "text")

@@ -46,7 +46,7 @@ def _(t):
 @query("c6_similarity_ranges")
 def _(t):
     d = t("documents").select(C("doc_id").alias("id"), "text")
-    return _pieces(ps.similar_ranges(d).join(d, "id").withColumnRenamed("id", "doc_id"))
+    return _pieces(ps.similar_ranges(d).withColumnRenamed("id", "doc_id"))
 
 
 @query("c10_label_expansion", "SELECT doc_id, i - 1 AS line, CASE WHEN length(string_split(text, chr(10))[i]) < 60 THEN 'head' ELSE 'body' END AS label FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")

@@ -60,6 +60,15 @@ def test_similar_ranges_part_where_neighbours_differ(spark):
     assert got[0][0] == 0 and abs(got[0][1] - cut_at) <= 450
 
 
+def test_similar_ranges_stay_in_their_row(spark):
+    few = spark.createDataFrame([(1, "One. " * 300), (1, "Two words. " * 200), (2, ""), (3, None)], "id int, text string")
+    out = ps.similar_ranges(few)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    # Texts with one id aren't mixed up, and texts without a unit have no range.
+    got = [tuple(r) for r in out.select("id", F.length("text").alias("n"), "start", "end").orderBy("n", "start").collect()]
+    assert {g[:2] for g in got} == {(1, 1500), (1, 2200)} and [g[2] for g in got if g[2] == 0] == [0, 0] and {g[1] for g in got if g[3] == g[1]} == {1500, 2200}
+
+
 def test_quotes(spark):
     cases = [
         ("ＲＡＧ “works”", 'x rag\n"works" y', False, (2, 13)),
