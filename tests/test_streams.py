@@ -1,8 +1,10 @@
 """The lease stream against a plain loop: pieces, restarts, timers, fences and the crash budget."""
 
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 
 from tessera.streaming import leases
@@ -91,3 +93,26 @@ def test_stream_in_pieces_ends_as_the_plain_loop(spark, tmp_path, pieces, files)
         assert log.where("op = 'expire'").count() > 0
     leases.run_available(spark.readStream.schema(leases.MESSAGE).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "state"), max_crashes=2)
     assert spark.read.parquet(str(tmp_path / "log")).where("op <> 'expire'").count() == log.where("op <> 'expire'").count()
+
+
+class Stub(dict):
+    """A state handle, its map states and its value in memory."""
+
+    getMapState = getValueState = lambda self, *_: Stub()
+    listTimers = lambda self: []
+    registerTimer = lambda self, at: None
+    iterator = lambda self: iter(self.items())
+    containsKey, updateValue, removeKey, getValue = dict.__contains__, dict.__setitem__, dict.__delitem__, dict.__getitem__
+    exists = lambda self: bool(len(self))
+    update = lambda self, v: self.updateValue("v", v)
+
+
+def test_a_long_queue_costs_no_more_a_message():
+    n, queue = 20_000, leases.Leases(2)
+    queue.init(Stub())
+    row = lambda k, op, job: (1, k, pd.Timestamp(ZERO) + pd.Timedelta(k, "s"), op, job, k, None, float(k % 7), 10**9)
+    rows = [row(k, "enqueue", k) for k in range(n)] + [row(n + k, "claim", None) for k in range(n)]
+    began = time.monotonic()
+    (log,) = queue.handleInputRows((1,), iter([pd.DataFrame(rows, columns=FIELDS)]), None)
+    assert time.monotonic() - began < 15
+    assert log["job"].tolist()[n:] == sorted(range(n), key=lambda k: (-(k % 7), k)) and log["accepted"].all()
