@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.shared import stored
+from tessera.llm.shared import arrow_rows, stored
 from tessera.llm.words import BASE, Powers, Words, batches_of, mixed
 
 
@@ -296,6 +296,12 @@ def summed(model: Held, n: int, tokens: np.ndarray, doc: np.ndarray, depth: int)
 
 def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 16, divergence: float = 12.0, discount: float = 0.5, most_held: int = 1_000_000) -> DataFrame:
     """(id, learnt, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; the model learns from the rows where `learns` holds."""
+    with arrow_rows(docs.sparkSession, 1_500):
+        return scored(docs, learns, id_col, text_col, depth, least, divergence, discount, most_held)
+
+
+def scored(docs: DataFrame, learns: Column, id_col: str, text_col: str, depth: int, least: int, divergence: float, discount: float, most_held: int) -> DataFrame:
+    """All that `score` does; what meets Python is stored before it ends."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learnt"), F.monotonically_increasing_id().alias("row"), tokenised(F.col(text_col)).alias("seq"))
     rows = stored(rows, "tokens")

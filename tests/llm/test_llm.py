@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, embeddings, language_model, line_dedup, mixing, pii, queries, secrets, simhash, toxicity, warc
-from tessera.llm.shared import components
+from tessera.llm.shared import arrow_rows, components
 from tessera.llm.words import Powers, Words
 
 DATA = "/root/testdata/sf0.001"
@@ -572,3 +572,11 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     out = {r["node"]: r["root"] for r in components(edges).collect()}
     assert len({out[k] for k in range(201)}) == 1 and out[500] == out[501] != out[0]
+
+
+def test_batches_of_wide_rows_are_small_for_a_while(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with arrow_rows(spark, 7):
+        sizes = spark.range(0, 50, 1, 1).mapInArrow(lambda batches: (b.slice(0, 0) if b.num_rows <= 7 else b for b in batches), "id long").count()
+    assert sizes == 0 and spark.conf.get(key) == before
