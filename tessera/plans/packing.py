@@ -83,18 +83,23 @@ def _choice(t):
     # first words verbatim. Neighbours of a document's source come with it, the source is a shared entry, and every eleventh candidate is pinned.
     q = t("benchmark").where("item_id % 20 = 0").select(C("item_id").alias("query_id"), "text")
     d = t("documents").select(C("doc_id").alias("id"), "source", "n_chars", "text")
-    ranked = ret.bm25(_docs(t), q)
     sentence = q.select("query_id", F.posexplode(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: x != "")).alias("part", "s"))
-    best = ret.bm25(_docs(t), sentence.select((C("query_id") * 1000 + C("part")).alias("query_id"), C("s").alias("text")), limit=3)
+    # Questions (even ids) and their sentences (odd ones) are ranked together, so the texts are read once.
+    asked = q.select((C("query_id") * 2).alias("query_id"), "text").unionByName(sentence.select(((C("query_id") * 1000 + C("part")) * 2 + 1).alias("query_id"), C("s").alias("text")))
+    both = ops.settled(ret.bm25(_docs(t), asked))
+    ranked = both.where("query_id % 2 = 0").select(F.expr("query_id div 2").alias("query_id"), "id", "rank")
+    best = both.where("query_id % 2 <> 0 AND rank <= 3").select(F.expr("query_id div 2").alias("query_id"), "id", "rank")
     best = best.select(F.expr("query_id div 1000").alias("query_id"), (C("query_id") % 1000).cast("int").alias("part"), "id", "rank")
-    anchors = best.join(sentence, ["query_id", "part"]).join(d.select("id", "source", "text"), "id")
+    # What the questions rank is counted: up to 200,000 rows go to the documents, so that no text is shuffled.
+    sent = F.broadcast if both.count() <= 200_000 else lambda df: df
+    anchors = d.select("id", "source", "text").join(sent(best.join(sentence, ["query_id", "part"])), "id")
     held = F.contains("text", F.concat_ws(" ", F.slice(F.split("s", " "), 1, 4)))
     sources = F.when(held, F.array("source")).otherwise(F.array().cast("array<string>"))
     anchors = ops.settled(anchors.select("query_id", "part", C("rank").cast("int").alias("place"), "id", sources.alias("sources")))
     entry = F.struct(F.lit("sources").alias("table"), C("source").alias("item"), (F.length("source") + 40).cast("long").alias("chars"))
     cost = d.select("id", "source", C("n_chars").alias("chars"), F.array(entry).alias("entries"))
     both = ranked.select("query_id", "id", C("rank").cast("long").alias("rank")).unionByName(anchors.select("query_id", "id", F.lit(1000).cast("long").alias("rank")))
-    candidates = ops.settled(both.groupBy("query_id", "id").agg(F.min("rank").alias("rank")).join(cost, "id"))
+    candidates = ops.settled(cost.join(sent(both.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))), "id").select("query_id", "id", "rank", "source", "chars", "entries"))
     near = candidates.select("query_id", (C("id") - 1).alias("id"), "source", C("id").alias("next"))
     groups = candidates.join(near, ["query_id", "id", "source"]).select("query_id", "id", F.array("next").alias("members"))
     named = anchors.select("query_id", "part", F.explode("sources").alias("source")).distinct().select("query_id", "part", F.lit(0).alias("place"), "source")

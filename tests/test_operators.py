@@ -5,6 +5,7 @@ import random
 import time
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,28 @@ def test_terms_of_many_questions_in_one_reading(spark):
     rows = lambda most: sorted((r["id"], r["q"], r["held"]) for r in ret.covered(d, q, "text", most).where("id <> 4").select("id", "q", "held").collect())
     want = sorted((k, i, sum(t in x for t in ts) / len(ts) if ts else 0.0) for k, x in enumerate(texts) if x is not None for i, ts in ((1, ["abc", "def_1", "c-d"]), (2, ["zzz", "the"]), (3, [])))
     assert rows(1 << 20) == want and rows(1) == want
+
+
+def test_ranking_in_tasks_says_what_the_joins_say(spark):
+    texts = ["gte-3000 is a Model", "a--b_c-d ÄÖ x", "model model MODEL gte 3000 gte3000", "", None, "nothing here", "K-9 İ-7 kelvin K-9"] + [f"model w{i % 7} gte-3000" for i in range(60)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id bigint, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "The gte-3000 model"), (2, "w3 w4 b_c-d k-9"), (3, "unheard of"), (4, "")], "query_id int, text string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for limit in (3, 1000):
+        got = rows(ret.bm25(docs, asked, limit=limit))
+        assert got and got == rows(ret.bm25(docs, asked, limit=limit, most=0))
+        got = rows(ret.hash_search(docs, asked, limit))
+        assert got and got == rows(ret.hash_search(docs, asked, limit, most=0))
+
+
+def test_token_lists_are_the_identifiers_in_another_order(spark):
+    texts = ["gte-3000 x_y-z -a- b--c __d_e_ 9-", "AK-İb é-f", "", "-_-", "a-b_c--d-e f"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").select(tx.identifiers(F.col("text")).alias("t"), F.lower("text").cast("binary").alias("b"))
+    for r in df.collect():
+        assert sorted(r["t"]) == sorted(w.decode() for w in tx.token_list(bytes(r["b"])))
+
+
+def test_rounded_is_spark_round(spark):
+    xs = [0.0078125, -0.0078125, 1.0000005, 2.5e-7, 0.1234565, 0.1234575, 1 / 3, -1 / 3, 12.3456785, 0.0, 5e-7, 4.9999999e-7]
+    want = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(F.round("x", 6)).collect()]
+    assert [float(v) for v in ret.rounded(np.array(xs))] == want
