@@ -132,3 +132,11 @@ def test_rounded_is_spark_round(spark):
     xs = [0.0078125, -0.0078125, 1.0000005, 2.5e-7, 0.1234565, 0.1234575, 1 / 3, -1 / 3, 12.3456785, 0.0, 5e-7, 4.9999999e-7]
     want = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(F.round("x", 6)).collect()]
     assert [float(v) for v in ret.rounded(np.array(xs))] == want
+
+
+def test_tasks_grow_in_number_with_the_rows(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ops.spread(df, ["id"], 10**9).rdd.getNumPartitions() == 2000
+    out = ops.spread(df, ["k"], 1000)
+    assert out.rdd.getNumPartitions() == least and out.count() == 1000
