@@ -55,9 +55,13 @@ def first_edges(edges: DataFrame, order: list[Column], most: int) -> DataFrame:
     return ops.first_per(edges, ["g"], order, most)
 
 
-def capped_nodes(nodes: DataFrame, pairs: DataFrame, order: list[Column], most: int, limits: dict[str, int], fill: list[str], default: int = 1, batch: int = 32) -> DataFrame:
+def capped_nodes(nodes: DataFrame, pairs: DataFrame, order: list[Column], most: int, limits: dict[str, int], fill: list[str], default: int = 1, batch: int = 32, kinds: DataFrame | None = None) -> DataFrame:
     """(g, node, type, via): what the pairs (g, a, b, ...) bring in by `order`, at most `most` in a g and limits[type] of a type; then, for each
-    type of `fill` with room, its nodes (g, node, type, name, degree) of highest degree, by name and id among equals."""
+    type of `fill` with room, its nodes (g, node, type, name, degree) of highest degree, by name and id among equals.
+
+    `kinds` (node, type) may say what the ends of pairs are, if that is the same in each g; else `nodes` does. The first round takes its pairs before
+    their ends are looked up, and where it fills a group, no pair of that group is looked at again.
+    """
     limit = lambda kind: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), kind), F.lit(default)) if limits else F.lit(default)
     member = "array<struct<node:string,type:string>>"
 
@@ -69,24 +73,41 @@ def capped_nodes(nodes: DataFrame, pairs: DataFrame, order: list[Column], most:
         fits = (F.size(inside) + F.size(ends) <= most) & F.forall(ends, lambda m: per(m["type"]) <= limit(m["type"]))
         return F.when(fits, ends)
 
-    kinds = nodes.select("g", F.col("node").cast("string").alias("node"), "type")
-    rest = pairs.select("g", F.struct(*order).alias("o"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
-    for end in ("a", "b"):
-        rest = rest.join(kinds.select("g", F.col("node").alias(end), F.col("type").alias(f"{end}_type")), ["g", end])
-    rest = ops.settled(rest.select("g", F.struct("o", "a", "b", "a_type", "b_type").alias("r")))
-    state = None
-    while not rest.isEmpty():
-        best = ops.first_per(rest, ["g"], [F.col("r.o")], batch).groupBy("g").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    by = ["node"] if kinds is not None else ["g", "node"]
+    kinds = (nodes if kinds is None else kinds).select(*by, "type").withColumn("node", F.col("node").cast("string"))
+
+    def typed(rows: DataFrame, small: bool) -> DataFrame:
+        """rows (g, r) with the types of both ends; those with an end that is no node go."""
+        rows = rows.select("g", F.col("r.o").alias("o"), F.col("r.a").alias("a"), F.col("r.b").alias("b"))
+        for end in ("a", "b"):
+            kind = kinds.select(*by[:-1], F.col("node").alias(end), F.col("type").alias(f"{end}_type"))
+            rows = kind.join(ops.sent(ops.settled(rows)), [*by[:-1], end]) if small else rows.join(kind, [*by[:-1], end])
+        return rows.select("g", F.struct("o", "a", "b", "a_type", "b_type").alias("r"))
+
+    every = pairs.where("g IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").select("g", F.struct(F.struct(*order).alias("o"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).alias("r"))
+    state, rest = None, None
+    while rest is None or not rest.isEmpty():
+        best = ops.first_per(every if rest is None else rest, ["g"], [F.col("r.o")], batch)
+        if rest is None:
+            first = ops.settled(best)
+            groups, best = first.select("g").distinct(), typed(first, True)
+        best = best.groupBy("g").agg(F.sort_array(F.collect_list("r")).alias("rs"))
         best = best.join(state, "g", "left") if state is not None else best.withColumn("inside", F.lit(None).cast(member))
         inside = F.coalesce("inside", F.array().cast(member))
         after = F.aggregate("rs", inside, lambda acc, r: F.concat(acc, F.coalesce(brings(acc, r), F.array().cast(member))))
         new = best.select("g", after.alias("inside"))
         if state is not None:
             new = new.unionByName(state.join(new, "g", "left_anti"))
+        else:
+            new = groups.join(new, "g", "left").select("g", F.coalesce("inside", F.array().cast(member)).alias("inside"))
         state = ops.settled(new)
         need = brings(F.col("inside"), F.col("r"))
-        rest = ops.settled(rest.join(state, "g").where(F.size(need) > 0).select("g", "r"))
-    inside = state.select("g", F.explode("inside").alias("m")).select("g", "m.node", "m.type") if state is not None else kinds.where("false")
+        room = state.where(F.size("inside") < most)
+        if rest is None:
+            # Only groups with room are looked through, if there are any.
+            rest = room.limit(0) if room.isEmpty() else typed(every.join(ops.sent(room.select("g")), "g"), False)
+        rest = rest.limit(0) if room.isEmpty() else ops.settled(rest.join(room, "g").where(F.size(need) > 0).select("g", "r"))
+    inside = state.select("g", F.explode("inside").alias("m")).select("g", "m.node", "m.type")
     had = inside.groupBy("g", "type").agg(F.count("*").alias("had"))
     left = nodes.where(F.col("type").isin(fill)).withColumn("node", F.col("node").cast("string")).join(inside.select("g", "node"), ["g", "node"], "left_anti")
     by = [F.desc("degree"), F.lower("name"), F.col("node")]

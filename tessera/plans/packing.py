@@ -90,16 +90,16 @@ def _choice(t):
     ranked = both.where("query_id % 2 = 0").select(F.expr("query_id div 2").alias("query_id"), "id", "rank")
     best = both.where("query_id % 2 <> 0 AND rank <= 3").select(F.expr("query_id div 2").alias("query_id"), "id", "rank")
     best = best.select(F.expr("query_id div 1000").alias("query_id"), (C("query_id") % 1000).cast("int").alias("part"), "id", "rank")
-    # What the questions rank is counted: up to 200,000 rows go to the documents, so that no text is shuffled.
-    sent = F.broadcast if both.count() <= 200_000 else lambda df: df
-    anchors = d.select("id", "source", "text").join(sent(best.join(sentence, ["query_id", "part"])), "id")
+    # What the questions rank goes to the documents, so that no text is shuffled.
+    best = ops.settled(best.join(sentence, ["query_id", "part"]))
+    anchors = d.select("id", "source", "text").join(ops.sent(best), "id")
     held = F.contains("text", F.concat_ws(" ", F.slice(F.split("s", " "), 1, 4)))
     sources = F.when(held, F.array("source")).otherwise(F.array().cast("array<string>"))
     anchors = ops.settled(anchors.select("query_id", "part", C("rank").cast("int").alias("place"), "id", sources.alias("sources")))
     entry = F.struct(F.lit("sources").alias("table"), C("source").alias("item"), (F.length("source") + 40).cast("long").alias("chars"))
     cost = d.select("id", "source", C("n_chars").alias("chars"), F.array(entry).alias("entries"))
     both = ranked.select("query_id", "id", C("rank").cast("long").alias("rank")).unionByName(anchors.select("query_id", "id", F.lit(1000).cast("long").alias("rank")))
-    candidates = ops.settled(cost.join(sent(both.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))), "id").select("query_id", "id", "rank", "source", "chars", "entries"))
+    candidates = ops.settled(cost.join(ops.sent(ops.settled(both.groupBy("query_id", "id").agg(F.min("rank").alias("rank")))), "id").select("query_id", "id", "rank", "source", "chars", "entries"))
     near = candidates.select("query_id", (C("id") - 1).alias("id"), "source", C("id").alias("next"))
     groups = candidates.join(near, ["query_id", "id", "source"]).select("query_id", "id", F.array("next").alias("members"))
     named = anchors.select("query_id", "part", F.explode("sources").alias("source")).distinct().select("query_id", "part", F.lit(0).alias("place"), "source")
@@ -198,14 +198,24 @@ def _(t):
     return edges.groupBy("node", "other").agg(F.bool_or("out").alias("out")).select("node", "other", F.when(C("out"), "published").otherwise("pending").alias("state"))
 
 
+def _lines(t):
+    """Lines (g, a, b, conf, pri, id) of a year's orders: parts and suppliers by name of kind and key."""
+    line = t("lineitem").select(F.year("l_shipdate").alias("g"), "l_partkey", "l_suppkey", F.round(C("l_quantity") / 50, 2).alias("conf"), F.ascii("l_returnflag").alias("pri"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("id"))
+    return line.select("g", F.concat(F.lit("p"), C("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), C("l_suppkey").cast("string")).alias("b"), "conf", "pri", "id")
+
+
+def _pairs(lines):
+    return lines.groupBy("g", "a", "b", "id").agg(F.max("conf").alias("conf"), F.min("pri").alias("pri"))
+
+
 def _canvas(t):
-    """Nodes (g, node, type, name, degree) and pairs (g, a, b, conf, pri, id) of a year's orders: parts and suppliers, each line a pair."""
-    line = t("lineitem").select(F.year("l_shipdate").alias("g"), F.concat(F.lit("p"), C("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), C("l_suppkey").cast("string")).alias("b"), F.round(C("l_quantity") / 50, 2).alias("conf"), F.ascii("l_returnflag").alias("pri"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("id"))
-    line = line.groupBy("g", "a", "b", "id").agg(F.max("conf").alias("conf"), F.min("pri").alias("pri"))
+    """Nodes (g, node, type, name, degree), pairs (g, a, b, conf, pri, id) and (node, type, name) of a year's orders: parts and suppliers, each line a pair."""
+    # Lines are dealt by their ids; the count comes from the files' footers.
+    line = _pairs(ops.spread(_lines(t), ["id"], t("lineitem").count()))
     named = t("part").select(F.concat(F.lit("p"), C("p_partkey").cast("string")).alias("node"), C("p_type").alias("type"), C("p_name").alias("name"))
     named = named.unionByName(t("supplier").select(F.concat(F.lit("s"), C("s_suppkey").cast("string")).alias("node"), F.lit("SUPPLIER").alias("type"), C("s_name").alias("name")))
     degree = line.select("g", F.explode(F.array("a", "b")).alias("node")).groupBy("g", "node").agg(F.count("*").alias("degree"))
-    return degree.join(named, "node").select("g", "node", "type", "name", "degree"), line
+    return degree.join(named, "node").select("g", "node", "type", "name", "degree"), line, named
 
 
 LIMITS, FILL, MOST = {"SUPPLIER": 6, "ECONOMY": 4, "STANDARD": 3}, ["SUPPLIER", "ECONOMY", "STANDARD"], 12
@@ -236,8 +246,8 @@ c AS (SELECT g, node, type, 'pair' AS via FROM p UNION ALL SELECT f.g, f.node, f
 
 @query("g6_canvas_selection", f"{CANVAS} SELECT * FROM c")
 def _(t):
-    nodes, pairs = _canvas(t)
-    return selection.capped_nodes(nodes, pairs, _ranked(), MOST, LIMITS, FILL)
+    nodes, pairs, named = _canvas(t)
+    return selection.capped_nodes(nodes, pairs, _ranked(), MOST, LIMITS, FILL, kinds=named)
 
 
 @query("g7_canvas_edges", f"""{CANVAS},
@@ -250,12 +260,16 @@ SELECT g, id, a, b, CASE WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx >= 0 THEN 'ri
 """)
 def _(t):
     # Edges among what the canvas shows; parts in one lane, suppliers in the other, by degree from the top.
-    nodes, pairs = _canvas(t)
-    shown = ops.settled(selection.capped_nodes(nodes, pairs, _ranked(), MOST, LIMITS, FILL))
-    among = pairs.where("conf >= 0.65").join(shown.select("g", C("node").alias("a")), ["g", "a"]).join(shown.select("g", C("node").alias("b")), ["g", "b"])
+    nodes, pairs, named = _canvas(t)
+    shown = ops.settled(selection.capped_nodes(nodes, pairs, _ranked(), MOST, LIMITS, FILL, kinds=named))
+    # Lines of nodes that aren't shown go before lines are brought together.
+    end = lambda name: ops.sent(shown.select("g", C("node").alias(name)))
+    among = ops.settled(_pairs(_lines(t).join(end("a"), ["g", "a"]).join(end("b"), ["g", "b"])).where("conf >= 0.65"))
+    ends = _lines(t).select("g", "a", "b", "id", F.explode(F.array("a", "b")).alias("node")).join(end("node"), ["g", "node"])
+    degree = ends.distinct().groupBy("g", "node").agg(F.count("*").alias("degree"))
     edges = selection.first_edges(selection.capped_edges(among, _ranked(), 3), _ranked(), 18)
     lane = (C("type") == "SUPPLIER").cast("int")
-    at = shown.join(nodes.drop("type"), ["g", "node"]).withColumn("lane", lane)
+    at = ops.settled(named.drop("type").join(ops.sent(shown), "node").join(degree, ["g", "node"]).withColumn("lane", lane))
     y = F.row_number().over(W.partitionBy("g", "lane").orderBy(C("degree").desc(), F.lower("name"), "node")) * 148
     at = at.select("g", "node", (C("lane") * 460).alias("x"), y.alias("y"))
     side = lambda end, x, y: at.select("g", C("node").alias(end), C("x").alias(x), C("y").alias(y))

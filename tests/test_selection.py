@@ -75,3 +75,25 @@ def test_sides_of_edges(spark):
     boxes = spark.createDataFrame([(5, 5), (5, 6), (-5, 1), (0, -3), (0, 0)], "x int, y int")
     got = [tuple(r[0]) for r in boxes.select(selection.edge_sides(F.col("x"), F.col("y"))).collect()]
     assert got == [("right", "left"), ("bottom", "top"), ("left", "right"), ("top", "bottom"), ("right", "left")]
+
+
+@pytest.mark.parametrize("batch", [8])
+def test_types_of_their_own_give_the_same_nodes(spark, batch):
+    # Group 1 begins with pairs whose ends are no nodes, group 2 has none but those, group 3 fills up at once; null ends are dropped.
+    rng = random.Random(batch)
+    kinds = [(f"n{k}", "xyz"[k % 3], f"name {k % 5}") for k in range(30)]
+    pairs = [(1, f"u{k}", f"n{k}", k) for k in range(5)] + [(1, f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", 10 + k) for k in range(80)]
+    pairs += [(2, f"u{k}", f"v{k}", k) for k in range(5)] + [(3, f"n{k}", f"n{k + 1}", k) for k in range(0, 28)] + [(3, None, "n1", -1), (None, "n1", "n2", -1)]
+    p = spark.createDataFrame(pairs, "g int, a string, b string, id int")
+    k = spark.createDataFrame(kinds, "node string, type string, name string")
+    nodes = p.where("g IS NOT NULL").select("g", F.explode(F.array("a", "b")).alias("node")).groupBy("g", "node").agg(F.count("*").alias("degree")).join(k, "node").select("g", "node", "type", "name", "degree")
+    for most in (9,):
+        limits = {"x": 2, "y": 3, "z": most}
+        got = [sorted(map(tuple, selection.capped_nodes(nodes, p, [F.col("id"), F.col("a"), F.col("b")], most, limits, ["x", "y"], batch=batch, **more).collect())) for more in ({}, {"kinds": k.drop("name")})]
+        inside, of = {}, {n: t for n, t, _ in kinds}
+        for g, a, b, _ in sorted((x for x in pairs if None not in x), key=lambda x: (x[3], x[1], x[2])):
+            mine = inside.setdefault(g, [])
+            new = [n for n in dict.fromkeys((a, b)) if n not in mine]
+            if a in of and b in of and len(mine) + len(new) <= most and all(sum(of[n] == t for n in mine + new) <= limits[t] for t in {of[n] for n in new}):
+                mine += new
+        assert got[0] == got[1] and {x[:2] for x in got[0] if x[3] == "pair"} == {(g, n) for g, ns in inside.items() for n in ns}
