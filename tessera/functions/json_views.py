@@ -21,8 +21,8 @@ COMPACT = StructType([StructField("view", StringType()), StructField("conflict",
 INTERNED = StructType([StructField("view", StringType()), StructField("strings", ArrayType(StringType()))])
 
 
-def dumps(x) -> str:
-    return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+#: Made once; `json.dumps` would make an encoder for each call.
+dumps = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
 
 def each(f: Callable, *columns: pa.Array) -> list:
@@ -126,7 +126,9 @@ def compacted(x: Column, bundles: str, tables: list[str], ident: str = "id") ->
             for t in tables:
                 if isinstance(bundle.get(t), list) and all(isinstance(e, dict) and isinstance(e.get(ident), str) for e in bundle[t]):
                     for e in bundle[t]:
-                        if dumps(found[t].setdefault(e[ident], e)) != dumps(e):
+                        # An entry met for the first time is its own.
+                        kept = found[t].setdefault(e[ident], e)
+                        if kept is not e and dumps(kept) != dumps(e):
                             return {"view": None, "conflict": f"{t} {e[ident]}"}
                     new[t] = {"ids": [e[ident] for e in bundle[t]]}
             out.append(new)
