@@ -51,6 +51,15 @@ def test_components_of_a_chain(spark):
     assert {r["node"]: r["component"] for r in ops.connected(edges).collect()} == {k: 1 for k in range(1, 13)} | {40: 40, 50: 40}
 
 
+def test_rounds_of_components_know_their_sizes(spark):
+    # Sizes that are only estimated are products of products: after some rounds they have millions of digits.
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 20_000, (12_000, 2))], "a long, b long")
+    found = ops.connected(edges)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**100
+    assert found.count() == found.select("node").distinct().count() == edges.where("a <> b").select(F.explode(F.array("a", "b"))).distinct().count()
+
+
 def test_stream_drops_replays_and_counts_windows(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [(k, datetime(2024, 1, 1, k // 4), float(k)) for k in range(8)]
