@@ -33,3 +33,8 @@ def test_query_equals_sql(spark, duck, name):
     at = [[d[0] for d in cur.description].index(c) for c in cols]
     want = plain([tuple(r[i] for i in at) for r in cur.fetchall()])
     assert want and plain(map(tuple, df.select(*cols).collect())) == want
+
+
+def test_fusion_asks_every_question(spark, duck):
+    got = {r["query_id"] for r in registry.queries()["r2_reciprocal_rank_fusion"](spark, DATA).select("query_id").distinct().collect()}
+    assert got == {r[0] for r in duck.execute("SELECT item_id FROM benchmark").fetchall()}
