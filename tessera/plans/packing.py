@@ -81,7 +81,7 @@ def _choice(t):
     """What is chosen for each question, and its candidates."""
     # Questions with their sentences as parts. Anchors are the sentence's three best documents; a source counts where the text has the sentence's
     # first words verbatim. Neighbours of a document's source come with it, the source is a shared entry, and every eleventh candidate is pinned.
-    q = t("benchmark").where("item_id % 20 = 0").select(C("item_id").alias("query_id"), "text")
+    q = t("benchmark").select(C("item_id").alias("query_id"), "text")
     d = t("documents").select(C("doc_id").alias("id"), "source", "n_chars", "text")
     sentence = q.select("query_id", F.posexplode(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: x != "")).alias("part", "s"))
     # Questions (even ids) and their sentences (odd ones) are ranked together, so the texts are read once.

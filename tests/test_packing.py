@@ -158,3 +158,9 @@ def test_bold_lines(spark):
 def test_queries_without_sql(spark):
     for name in ("r10_adjacent_expansion", "r12_r13_packing", "r20_packing_audit", "w16_running_batches", "f27_fake_bold", "e11_numeric_gate"):
         assert registry.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_every_question_is_packed(spark):
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    got = {r["query_id"] for r in packing._choice(table)[0].select("query_id").collect()}
+    assert got == {r["item_id"] for r in table("benchmark").select("item_id").collect()}
