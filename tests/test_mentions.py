@@ -4,6 +4,8 @@ import random
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from tessera.operators import mentions
 
 CUE = re.compile(r"\b(compare|comparison|contrast|versus|vs|differences?|respectively|separately)\b|比较|对比|区别|差异|分别(说明|介绍|解释)")
@@ -56,3 +58,14 @@ def test_long_titles_that_begin_alike(spark):
     assert mentions.decisive(known).count() == 5
     width = mentions.found(df, mentions.decisive(known)).count()
     assert 0 < width < mentions.mentions(df, known).count() / 2
+
+
+def test_titles_that_merely_begin_alike_do_not_meet(spark):
+    # 600 variants of a long title, asked for two at a time: by their first words alone they would meet 360,000 times and more.
+    title = lambda k: "one long title that all of these begin with and that goes on for more than thirty two words as it says the same over and over until it comes to its own number at the very end which is " + str(k)
+    known = spark.createDataFrame([(f"s{k}", title(k)) for k in range(600)], "source string, title string")
+    df = spark.createDataFrame([(k, f"compare {title(k)} with {title((7 * k + 1) % 600)}") for k in range(600)], "question int, text string")
+    marks = mentions.marked(mentions.known_titles(known))
+    assert df.select(F.sum(F.size(mentions.places(mentions.merge_key("text"), marks)))).first()[0] < 1300
+    got = {r["question"]: list(r["sources"]) for r in mentions.compared_sources(df, known).collect()}
+    assert got == {k: [f"s{k}", f"s{(7 * k + 1) % 600}"] for k in range(600)}
